@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from wayline.llm import bpe_chunks
+from wayline.llm import bpe_chunks, token_counts, wavelet, wu_manber
 
 QUERIES = {
+    "op3_wavelet_store": wavelet.op3,
+    "op5_token_counts": token_counts.op5,
+    "op7_wu_manber": wu_manber.op7,
     "op9_bpe_chunks": bpe_chunks.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_wu_manber": wu_manber.OP7_SQL,
+}
