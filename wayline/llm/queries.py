@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wayline.llm import bpe_chunks, order_minhash, png_media, quality_crf, token_counts, toxicity, wavelet, wu_manber
+from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_counts, toxicity, wavelet, wu_manber
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.op1,
+    "op2_html_crf": html_crf.op2,
     "op3_wavelet_store": wavelet.op3,
     "op4_order_minhash": order_minhash.op4,
     "op5_token_counts": token_counts.op5,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_wu_manber": wu_manber.op7,
     "op8_quality_crf": quality_crf.op8,
     "op9_bpe_chunks": bpe_chunks.op9,
+    "op10_boosted_pii": pii.op10,
 }
 
 SQL: dict[str, str] = {
