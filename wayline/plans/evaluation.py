@@ -1 +1,132 @@
-""
+"""Queries of votes, calibration, agreement and data quality."""
+
+from pyspark.sql import functions as F
+
+from wayline.operators import evaluation as E
+from wayline.plans.aggregates import hierarchical_codes
+from wayline.plans.registry import query, table
+
+_VOTES = """v AS (SELECT doc_id, 'length' AS juror, CASE WHEN n_chars > 1000 THEN '1' ELSE '0' END AS code FROM documents UNION ALL SELECT doc_id, 'language', CASE WHEN lang = 'en' THEN '1' ELSE '0' END FROM documents UNION ALL SELECT doc_id, 'source', CASE WHEN source = 'src0' THEN '0' ELSE '1' END FROM documents)"""
+
+
+def votes(spark, d):
+    docs = table(spark, d, "documents")
+    rules = {"length": F.col("n_chars") > 1000, "language": F.col("lang") == "en", "source": F.col("source") != "src0"}
+    cast = F.explode(F.array(*(F.struct(F.lit(j).alias("juror"), F.when(r, "1").otherwise("0").alias("code")) for j, r in rules.items())))
+    return docs.select("doc_id", cast.alias("v")).select("doc_id", "v.*")
+
+
+@query("vote_state", f"WITH {_VOTES} SELECT doc_id, 3 AS votes, count(DISTINCT code) AS codes, CASE WHEN count(DISTINCT code) = 1 THEN min(code) END AS unanimous, CASE WHEN count(*) FILTER (code = '1') >= 2 THEN '1' ELSE '0' END AS majority, CASE WHEN count(DISTINCT code) = 1 THEN 'unanimous' ELSE 'majority' END AS state FROM v GROUP BY 1")
+def vote_state(spark, d):
+    return E.vote_state(votes(spark, d), "doc_id", "code")
+
+
+@query(
+    "hier_consensus",
+    """WITH v AS (SELECT c_nationkey AS item, r_name || '.' || n_name || CASE WHEN c_acctbal > 0 THEN '.' || c_mktsegment ELSE '' END AS code FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), t AS (SELECT item, count(*) AS t FROM v GROUP BY 1),
+    p AS (SELECT item, array_to_string(string_split(code, '.')[1:k], '.') AS p, k FROM v CROSS JOIN (VALUES (1), (2), (3)) x(k) WHERE len(string_split(code, '.')) >= k), n AS (SELECT item, p, k, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT item, p, k, row_number() OVER (PARTITION BY item ORDER BY k DESC, n DESC, p DESC) AS rn FROM n JOIN t USING (item) WHERE n > 0.2 * t)
+    SELECT t.item AS c_nationkey, p AS consensus, coalesce(k, 0) AS depth FROM t LEFT JOIN b ON t.item = b.item AND rn = 1""",
+)
+def hier_consensus(spark, d):
+    return E.hierarchical_consensus(hierarchical_codes(spark, d).select("c_nationkey", "code"), "c_nationkey", "code", 0.2, 3)
+
+
+_GOLD = "g AS (SELECT doc_id, CAST(quality AS VARCHAR) AS gold, toxic AS band FROM labels)"
+
+
+@query(
+    "calibration_bands",
+    f"""WITH {_VOTES}, {_GOLD}, s AS (SELECT doc_id, CASE WHEN count(DISTINCT code) = 1 THEN 'unanimous' ELSE 'majority' END AS state, CASE WHEN count(*) FILTER (code = '1') >= 2 THEN '1' ELSE '0' END AS called FROM v GROUP BY 1),
+    o AS (SELECT 'juror:' || juror AS slice, count(*) AS n, avg(CAST(code = gold AS INT)) AS a FROM v JOIN g USING (doc_id) GROUP BY 1 UNION ALL SELECT 'state:' || state, count(*), avg(CAST(called = gold AS INT)) FROM s JOIN g USING (doc_id) GROUP BY 1 UNION ALL SELECT 'band:' || band, count(*), avg(CAST(called = gold AS INT)) FROM s JOIN g USING (doc_id) GROUP BY 1) SELECT slice, n, round(a, 6) AS accuracy, a >= 0.85 AS passes FROM o""",
+)
+def calibration_bands(spark, d):
+    gold = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("gold"), F.col("toxic").alias("band"))
+    return E.calibration(votes(spark, d), gold, "doc_id", "juror", "code", "gold", "band", 0.85)
+
+
+@query(
+    "level_scores",
+    """WITH c AS (SELECT r_name || '.' || n_name || CASE WHEN c_acctbal > 0 THEN '.' || c_mktsegment ELSE '' END AS gold, CASE WHEN c_custkey % 4 > 0 THEN r_name || CASE WHEN c_custkey % 4 > 1 THEN '.' || n_name || CASE WHEN c_custkey % 4 > 2 THEN '.BUILDING' ELSE '' END ELSE '' END END AS pred FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    l AS (SELECT k AS level, CASE WHEN len(string_split(pred, '.')) >= k THEN array_to_string(string_split(pred, '.')[1:k], '.') END AS p, CASE WHEN len(string_split(gold, '.')) >= k THEN array_to_string(string_split(gold, '.')[1:k], '.') END AS g FROM c CROSS JOIN (VALUES (1), (2), (3)) x(k))
+    SELECT level, count(p) AS predicted, count(g) AS known, round(count(*) FILTER (p = g) / count(p), 6) AS precision, round(count(*) FILTER (p = g) / count(g), 6) AS recall FROM l GROUP BY 1""",
+)
+def level_scores(spark, d):
+    k = F.col("c_custkey") % 4
+    pred = F.when(k > 0, F.concat("r_name", F.when(k > 1, F.concat(F.lit("."), "n_name", F.when(k > 2, ".BUILDING").otherwise(""))).otherwise("")))
+    return E.level_scores(hierarchical_codes(spark, d).withColumn("pred", pred), "pred", "code", 3)
+
+
+_PRED = "p AS (SELECT quality AS gold, CASE WHEN n_chars > 3000 THEN 1 WHEN n_chars > 200 THEN CASE WHEN lang = 'en' THEN 1 ELSE 0 END END AS pred FROM labels JOIN documents USING (doc_id))"
+
+
+def predictions(spark, d):
+    call = F.when(F.col("n_chars") > 3000, 1).when(F.col("n_chars") > 200, F.when(F.col("lang") == "en", 1).otherwise(0))
+    return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("quality").alias("gold"), call.alias("pred"))
+
+
+@query(
+    "macro_f1",
+    f"WITH {_PRED}, f AS (SELECT c, 2 * (SELECT count(*) FROM p WHERE pred = c AND gold = c) / ((SELECT count(*) FROM p WHERE gold = c) + (SELECT count(*) FROM p WHERE pred = c)) AS f1 FROM (SELECT DISTINCT gold AS c FROM p)) SELECT round((SELECT avg(f1) FROM f), 6) AS macro_f1, round(count(pred) / count(*), 6) AS coverage, round(count(*) FILTER (pred = gold) / count(pred), 6) AS accuracy FROM p",
+)
+def macro_f1(spark, d):
+    return E.macro_f1(predictions(spark, d), "pred", "gold")
+
+
+@query(
+    "kappa",
+    f"WITH {_PRED}, k AS (SELECT * FROM p WHERE pred IS NOT NULL), c AS (SELECT count(*) AS n, count(*) FILTER (pred = gold) / count(*) AS po, (count(*) FILTER (pred = 1) * count(*) FILTER (gold = 1) + count(*) FILTER (pred = 0) * count(*) FILTER (gold = 0)) / (count(*) * count(*)) AS pe FROM k) SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM c",
+)
+def kappa(spark, d):
+    return E.kappa(predictions(spark, d), "pred", "gold")
+
+
+@query("wilson", "WITH c AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (lang = 'en') / count(*) AS p FROM documents GROUP BY 1) SELECT source, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM c")
+def wilson(spark, d):
+    c = table(spark, d, "documents").groupBy("source").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("lang") == "en").alias("k"))
+    low, high = E.wilson(F.col("k"), F.col("n"))
+    return c.select("source", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(
+    "pair_scores",
+    "WITH p AS (SELECT p_partkey AS a, p_partkey + 1 AS b, p_partkey % 3 = 0 AS same FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part)), j AS (SELECT same, coalesce(x.p_type = y.p_type, FALSE) AS m FROM p LEFT JOIN part x ON x.p_partkey = a LEFT JOIN part y ON y.p_partkey = b), c AS (SELECT count(*) FILTER (m AND same) AS tp, count(*) FILTER (m AND NOT same) AS fp, count(*) FILTER (NOT m AND same) AS fn FROM j) SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c",
+)
+def pair_scores(spark, d):
+    p = table(spark, d, "part")
+    last = p.agg(F.max("p_partkey").alias("m"))
+    pairs = p.join(F.broadcast(last)).filter("p_partkey < m").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"), (F.col("p_partkey") % 3 == 0).alias("same"))
+    return E.pair_scores(pairs, p, "a", "b", "same", "p_partkey", "p_type")
+
+
+@query("bias_delta", "WITH a AS (SELECT c_mktsegment, round(avg(o_totalprice), 4) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), b AS (SELECT c_mktsegment, round(avg(o_totalprice), 4) AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_mktsegment, a, b, round(b - a, 6) AS delta, abs(b - a) > 1000 AS material FROM a JOIN b USING (c_mktsegment)")
+def bias_delta(spark, d):
+    from wayline.plans.aggregates import order_customer
+
+    stat = lambda df: df.groupBy("c_mktsegment").agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
+    rows = order_customer(spark, d)
+    return E.bias_delta(stat(rows), stat(rows.filter("o_orderstatus = 'F'")), ["c_mktsegment"], "v", 1000)
+
+
+@query("key_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def key_duplicates(spark, d):
+    return E.key_duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("rule_violations", "SELECT 'ships after order' AS rule, count(*) FILTER (NOT l_shipdate >= o_orderdate) AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'discount below tax', count(*) FILTER (NOT l_discount <= l_tax) FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def rule_violations(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return E.rule_violations(j, {"ships after order": F.col("l_shipdate") >= F.col("o_orderdate"), "discount below tax": F.col("l_discount") <= F.col("l_tax")})
+
+
+@query("row_preservation", "SELECT count(*) AS rows_before, count(*) AS rows_after, TRUE AS preserved FROM orders")
+def row_preservation(spark, d):
+    from wayline.operators.joins import map_values
+
+    o = table(spark, d, "orders")
+    names = table(spark, d, "customer").select("c_custkey", "c_name")
+    return E.row_preservation(o, map_values(o, names, {"o_custkey": "c_custkey"}, ["c_name"]))
+
+
+@query("column_profile", "SELECT 'source' AS column, count(*) AS rows, count(*) FILTER (source IS NULL) AS nulls, count(*) FILTER (trim(source) = '') AS blanks, count(DISTINCT source) AS distinct, count(DISTINCT lower(source)) AS distinct_lower, CAST(median(length(source)) AS DOUBLE) AS median_length FROM documents UNION ALL SELECT 'text', count(*), count(*) FILTER (text IS NULL), count(*) FILTER (trim(text) = ''), count(DISTINCT text), count(DISTINCT lower(text)), CAST(median(length(text)) AS DOUBLE) FROM documents")
+def column_profile(spark, d):
+    return E.column_profile(table(spark, d, "documents"), ["source", "text"])
