@@ -14,14 +14,14 @@ def order_customer(spark, d):
 
 @query(
     "grouped_stats",
-    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_partkey) AS parts,
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 6) AS avg_price, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_partkey) AS parts,
     count(*) FILTER (l_discount > 0.05) AS discounted, bool_or(l_quantity = 50) AS any_full FROM lineitem GROUP BY ALL""",
 )
 def grouped_stats(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"),
         F.round(F.sum("l_quantity"), 2).alias("qty"),
-        F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
+        F.round(F.avg("l_extendedprice"), 6).alias("avg_price"),
         F.min("l_quantity").alias("lo"),
         F.max("l_quantity").alias("hi"),
         F.count_distinct("l_partkey").alias("parts"),
@@ -100,11 +100,11 @@ def vocabulary_profile(spark, d):
 @query(
     "overlap_cube",
     f"""WITH r AS (SELECT *, o_totalprice AS p FROM {_OC}), g AS (SELECT 'all' AS grp, * FROM r UNION ALL SELECT 'building', * FROM r WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'rich', * FROM r WHERE c_acctbal > 5000 UNION ALL SELECT 'urgent', * FROM r WHERE o_orderpriority = '1-URGENT')
-    SELECT grp, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS persons, round(avg(p), 4) AS avg_price FROM g GROUP BY ALL""",
+    SELECT grp, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS persons, round(avg(p), 6) AS avg_price FROM g GROUP BY ALL""",
 )
 def overlap_cube(spark, d):
     groups = {"all": F.lit(True), "building": F.col("c_mktsegment") == "BUILDING", "rich": F.col("c_acctbal") > 5000, "urgent": F.col("o_orderpriority") == "1-URGENT"}
-    measures = [F.count("*").alias("n"), F.count_distinct("o_custkey").alias("persons"), F.round(F.avg("o_totalprice"), 4).alias("avg_price")]
+    measures = [F.count("*").alias("n"), F.count_distinct("o_custkey").alias("persons"), F.round(F.avg("o_totalprice"), 6).alias("avg_price")]
     return A.overlapping_cube(order_customer(spark, d), groups, ["o_orderstatus"], measures)
 
 

@@ -98,11 +98,11 @@ def pair_scores(spark, d):
     return E.pair_scores(pairs, p, "a", "b", "same", "p_partkey", "p_type")
 
 
-@query("bias_delta", "WITH a AS (SELECT c_mktsegment, round(avg(o_totalprice), 4) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), b AS (SELECT c_mktsegment, round(avg(o_totalprice), 4) AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_mktsegment, a, b, round(b - a, 6) AS delta, abs(b - a) > 1000 AS material FROM a JOIN b USING (c_mktsegment)")
+@query("bias_delta", "WITH a AS (SELECT c_mktsegment, round(avg(o_totalprice), 6) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), b AS (SELECT c_mktsegment, round(avg(o_totalprice), 6) AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_mktsegment, a, b, round(b - a, 6) AS delta, abs(b - a) > 1000 AS material FROM a JOIN b USING (c_mktsegment)")
 def bias_delta(spark, d):
     from wayline.plans.aggregates import order_customer
 
-    stat = lambda df: df.groupBy("c_mktsegment").agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
+    stat = lambda df: df.groupBy("c_mktsegment").agg(F.round(F.avg("o_totalprice"), 6).alias("v"))
     rows = order_customer(spark, d)
     return E.bias_delta(stat(rows), stat(rows.filter("o_orderstatus = 'F'")), ["c_mktsegment"], "v", 1000)
 

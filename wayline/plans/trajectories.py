@@ -122,7 +122,7 @@ def metrics_cube(spark, d):
 @query(
     "age_profile_gap",
     _PANEL + """, a AS (SELECT o_custkey, min(cal_year) AS first FROM p GROUP BY 1), c AS (SELECT c_mktsegment, cal_year - first AS age, avg(o_totalprice) AS v, count(*) AS n FROM p JOIN a USING (o_custkey) JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
-    SELECT x.c_mktsegment, x.age, x.n, round(x.v, 4) AS mean, round(x.v - b.v, 4) AS gap FROM c x LEFT JOIN c b ON b.c_mktsegment = 'BUILDING' AND b.age = x.age""",
+    SELECT x.c_mktsegment, x.age, x.n, round(x.v, 6) AS mean, round(x.v - b.v, 6) AS gap FROM c x LEFT JOIN c b ON b.c_mktsegment = 'BUILDING' AND b.age = x.age""",
 )
 def age_profile_gap(spark, d):
     p = panel(spark, d)
@@ -130,7 +130,7 @@ def age_profile_gap(spark, d):
     cells = p.join(first, "o_custkey").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     cells = cells.groupBy("c_mktsegment", (F.col("cal_year") - F.col("first")).alias("age")).agg(F.avg("o_totalprice").alias("v"), F.count("*").alias("n"))
     base = cells.filter("c_mktsegment = 'BUILDING'").select("age", F.col("v").alias("b"))
-    return cells.join(base, "age", "left").select("c_mktsegment", "age", "n", F.round("v", 4).alias("mean"), F.round(F.col("v") - F.col("b"), 4).alias("gap"))
+    return cells.join(base, "age", "left").select("c_mktsegment", "age", "n", F.round("v", 6).alias("mean"), F.round(F.col("v") - F.col("b"), 6).alias("gap"))
 
 
 @query(
