@@ -76,17 +76,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     chosen = per_word.filter(F.col("a") + F.col("b") >= 3).select("word", odds.alias("odds"), strength.alias("z")).orderBy(F.desc("z"), "word").limit(features).collect()
     place = {r.word: i for i, r in enumerate(chosen)}
     telling = {r.word for r in chosen if r.odds > 2 and r.z > 3}
-    names = F.array(*[F.lit(w) for w in place]) if place else F.array().cast("array<string>")
-    sparse = rows.select("mark", "id", F.expr("arrays_zip(held, n)").alias("p")).select(
-        "mark", "id", F.filter("p", lambda x: F.array_contains(names, x["held"])).alias("p")
-    )
-    found = sorted(sparse.collect(), key=lambda r: (r.id, r.mark, str(r.p)))
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            kept = [[(place[w], k) for w, k in zip(held, n, strict=True) if w in place] for held, n in rows]
+            index, counts = ([[p[i] for p in row] for row in kept] for i in (0, 1))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["mark", "id", "index", "n"])
+
+    found = rows.mapInArrow(sparse, "mark int, id long, index array<int>, n array<int>").collect()  # at most ``limit`` rows
+    found.sort(key=lambda r: (r.id, r.mark, r.index, r.n))
+    words_of = list(place)
     x = np.zeros((len(found), len(place)))
     weight = np.zeros(len(found))
     for i, r in enumerate(found):
-        for held, n in r.p:
-            x[i, place[held]] = math.log1p(n)
-            weight[i] += n * (held in telling)
+        for j, n in zip(r.index, r.n, strict=True):
+            x[i, j] = math.log1p(n)
+            weight[i] += n * (words_of[j] in telling)
     mark = np.array([r.mark for r in found]) > 0
     cuts = np.quantile(weight[mark], [1 / 3, 2 / 3])
     grade = np.where(mark, 1 + (weight[:, None] > cuts).sum(1), 0)
