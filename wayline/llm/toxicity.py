@@ -82,15 +82,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             kept = [[(place[w], k) for w, k in zip(held, n, strict=True) if w in place] for held, n in rows]
             index, counts = ([[p[i] for p in row] for row in kept] for i in (0, 1))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["mark", "id", "index", "n"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["mark", "id", "places", "n"])
 
-    found = rows.mapInArrow(sparse, "mark int, id long, index array<int>, n array<int>").collect()  # at most ``limit`` rows
-    found.sort(key=lambda r: (r.id, r.mark, r.index, r.n))
+    found = rows.mapInArrow(sparse, "mark int, id long, places array<int>, n array<int>").collect()  # at most ``limit`` rows
+    found.sort(key=lambda r: (r.id, r.mark, r.places, r.n))
     words_of = list(place)
     x = np.zeros((len(found), len(place)))
     weight = np.zeros(len(found))
     for i, r in enumerate(found):
-        for j, n in zip(r.index, r.n, strict=True):
+        for j, n in zip(r.places, r.n, strict=True):
             x[i, j] = math.log1p(n)
             weight[i] += n * (words_of[j] in telling)
     mark = np.array([r.mark for r in found]) > 0
