@@ -10,7 +10,13 @@ from wayline.sources.scratch import scratch, written
 __all__ = ["id_and_text", "scratch", "table", "written"]
 
 
+BATCH_ROWS = 1_000  # rows that one Arrow batch hands to Python: bounds the memory beside the heap where texts are long
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder, in a session whose Arrow batches are small enough for whole texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
