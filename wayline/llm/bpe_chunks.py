@@ -13,9 +13,11 @@ their own row; an empty table gives an empty result; a null id stays null.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def _pieces(path: str) -> Pieces:
 
     encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
     single = encoding._encode_single_piece  # one pre-token, as encode_ordinary encodes each of its matches
-    return Pieces(lambda pieces: [single(p) for p in pieces])
+    return Pieces(lambda pieces: [array("I", single(p)).tobytes() for p in pieces])
 
 
 @lru_cache(2)
@@ -47,11 +49,11 @@ def _vocabulary(path: str) -> list[bytes]:
     return out
 
 
-def encode_text(pieces: list[str], ranks_path: str) -> list[int]:
-    out: list[int] = []
-    for ids in _pieces(ranks_path).look_up(pieces):
-        out += ids
-    return out
+def encode_texts(texts: list[list[str]], ranks_path: str) -> pa.ListArray:
+    """The ids of texts given as their pre-tokens."""
+    ids = _pieces(ranks_path).ids(texts)
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def decode_ids(ids, ranks_path: str) -> bytes:
@@ -99,8 +101,8 @@ def encode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                ids = [encode_text(pretokens(t), ranks_path) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+                ids = encode_texts([pretokens(t) for t in part.column(1).to_pylist()], ranks_path)
+                yield pa.record_batch([part.column(0), ids], [id_col, "ids"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +117,8 @@ def encode(
     def stitched(group: pa.Table) -> pa.Table:
         group = group.sort_by("wl_at")
         parts = list(zip(*(group.column(c).to_pylist() for c in ("wl_at", "wl_chunk", "wl_starts")), strict=True))
-        ids = encode_text(stitch(parts), ranks_path)
-        return pa.table([group.column(id_col).slice(0, 1), pa.array([ids], pa.list_(pa.int32()))], [id_col, "ids"])
+        ids = encode_texts([stitch(parts)], ranks_path)
+        return pa.table([group.column(id_col).slice(0, 1), ids], [id_col, "ids"])
 
     long = F.length(text_col) > chunk
     short_rows = rows.filter(~long).mapInArrow(whole, schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: The public pattern of the byte-level vocabularies.
@@ -33,21 +35,48 @@ def boundaries(text: str) -> list[int]:
 
 
 class Pieces:
-    """A bounded dict from pre-token to what ``encode`` makes of it; results never depend on what it holds."""
+    """A bounded dict from pre-token to its ids as unsigned 32-bit integers; results never depend on what it holds."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
-    def look_up(self, pieces: list[str]) -> Iterator:
-        known = self.known
-        missing = set(pieces).difference(known)
-        if missing:
-            if len(known) > self.limit:
-                known.clear()
-                missing = set(pieces)
-            missing = list(missing)
-            known.update(zip(missing, self.encode(missing), strict=True))
-        return map(known.__getitem__, pieces)
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, given as its pre-tokens; what is new in any of the texts is encoded at once."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        missing = list(set().union(*texts).difference(self.known))
+        self.known.update(zip(missing, self.encode(missing), strict=True))
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in texts]
+
+
+def library_pieces(tokenizer, pieces: list[str], together: int = 1_000) -> list[bytes]:
+    """The library's ids of each pre-token.
+
+    Pre-tokens of a space and what follows it are encoded many at a time as one text, which splits into the same
+    pre-tokens; a token that begins with the space then begins the next one.
+    """
+    spaced = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+    out: dict[str, bytes] = {}
+    runs = [spaced[i : i + together] for i in range(0, len(spaced), together)]
+    for run, e in zip(runs, tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.uint32)
+        starts = np.flatnonzero(_begins(tokenizer)[ids])
+        if len(starts) == len(run):
+            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            out.update((p, data[a:b]) for p, a, b in zip(run, (4 * starts).tolist(), ends, strict=True))
+    rest = [p for p in pieces if p not in out]
+    out.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+    return [out[p] for p in pieces]
+
+
+@lru_cache(2)
+def _begins(tokenizer) -> np.ndarray:
+    """Which ids stand for tokens that begin with a space."""
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        out[i] = token.startswith("\u0120")
+    return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm import common
-from wayline.llm.pretokens import Pieces, library_tokenizer, pretokens
+from wayline.llm.pretokens import Pieces, library_pieces, library_tokenizer, pretokens
 
 MAGIC = b"WLWM\x01"
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits between two entries of the rank directory
 
 
@@ -45,7 +45,7 @@ class WaveletMatrix:
         planes, zeros, ones = [], [], []
         for bit in range(width - 1, -1, -1):
             set_ = (level >> bit & 1).astype(bool)
-            level = np.concatenate([low := level[~set_], level[set_]])
+            level = np.concatenate([low := level.compress(~set_), level.compress(set_)])
             plane = np.packbits(set_, bitorder="little")
             planes.append(plane)
             zeros.append(len(low))
@@ -59,8 +59,8 @@ class WaveletMatrix:
         for bit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             set_ = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(level)
-            above[~set_] = level[:zeros]
-            above[set_] = level[zeros:] | (1 << bit)
+            above[np.flatnonzero(~set_)] = level[:zeros]
+            above[np.flatnonzero(set_)] = level[zeros:] | (1 << bit)
             level = above
         return level
 
@@ -178,10 +178,7 @@ def _pieces(path: str) -> Pieces:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = library_tokenizer(path)
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return Pieces(encode)
+    return Pieces(lambda pieces: library_pieces(tokenizer, pieces), limit=1_000_000)
 
 
 @lru_cache(2)
@@ -189,11 +186,12 @@ def _added(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in library_tokenizer(path).get_added_tokens_decoder().values())
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The library's ids of a text as native unsigned 32-bit integers; pre-tokens are encoded once and kept."""
-    if any(special in text for special in _added(path)):
-        return array("I", library_tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
-    return b"".join(_pieces(path).look_up(pretokens(text)))
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    """The library's ids of each text as native unsigned 32-bit integers; pre-tokens are encoded once and kept."""
+    special = [any(s in t for s in _added(path)) for t in texts]
+    plain = iter(_pieces(path).ids([pretokens(t) for t, s in zip(texts, special, strict=True) if not s]))
+    library = library_tokenizer(path)
+    return [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() if s else next(plain) for t, s in zip(texts, special, strict=True)]
 
 
 def write_store(
@@ -207,23 +205,24 @@ def write_store(
     end = array("I", [end_id]).tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, keys, chunks, total = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, keys, sizes, chunks, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.frombuffer(b"".join(chunks), np.uint32))
-            data = matrix.to_bytes(keys, [len(c) // 4 for c in chunks])
+            data = matrix.to_bytes(keys, sizes)
             return pa.record_batch([[part], [seq], [len(keys)], [matrix.n], pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                for key, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                for key, ids in zip(rows.column(0).to_pylist(), token_ids(rows.column(1).to_pylist(), tokenizer_path), strict=True):
                     keys.append(key)
-                    chunks.append(token_bytes(text, tokenizer_path) + end)
-                    total += len(chunks[-1]) // 4
+                    sizes.append(len(ids) // 4 + 1)
+                    chunks += [ids, end]
+                    total += sizes[-1]
                     if total >= shard_tokens:
                         yield flush()
-                        seq, keys, chunks, total = seq + 1, [], [], 0
+                        seq, keys, sizes, chunks, total = seq + 1, [], [], [], 0
         if keys:
             yield flush()
 
@@ -250,7 +249,7 @@ def read_store(store: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def offsets(store: DataFrame) -> DataFrame:
-    """``before``: tokens of all earlier shards. One small row per shard of millions of tokens is ordered in one task."""
+    """``before``: tokens of all earlier shards. One small row per shard of a million tokens is ordered in one task."""
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return store.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
 
