@@ -215,6 +215,35 @@ def test_classes_against_all_pairs(spark, sf_dir):
     assert len(wrong) <= 0.02 * len(ids) and all(top(got[i]) == top(i) for i in ids)
 
 
+def one_bucket(spark, texts):
+    """The linked pairs of texts that share their one sketch."""
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, len(t.split()), [7]) for i, t in texts.items()], "node long, n long, sketches array<long>")
+    return {(r.a, r.b) for r in order_minhash.similar_pairs(docs, nodes).collect()}
+
+
+def changed(words, places, tag):
+    return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_distances_are_never_overstated():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [f"w{i}" for i in range(60)]
+        b = changed(a, set(rng.sample(range(60), rng.randint(0, 20))), "z")
+        if rng.random() < 0.5:
+            rng.shuffle(b)
+        d, similar = order_minhash.compare(" ".join(a), " ".join(b), 0.8)
+        assert d <= plain_distance(a, b) and (not similar or d == plain_distance(a, b) <= 12)
+
+
+def test_a_chain_inside_one_bucket(spark):
+    h = [f"w{i}" for i in range(200)]
+    for first in (6, 4):  # 38 and 40 words between the two others: both within 0.2 of 200
+        texts = {1: h, 2: changed(h, set(range(first)), "z"), 3: changed(h, set(range(44)), "z")}
+        assert one_bucket(spark, {k: " ".join(t) for k, t in texts.items()}) == {(1, 2), (2, 3)}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 

@@ -88,18 +88,16 @@ def least_overlap(similarity: float) -> float:
 
 
 def compare(x: str, y: str, similarity: float) -> tuple[int, bool]:
-    """Edit distance in words, exact up to twice the band and a lower bound beyond it, and whether the texts are similar."""
+    """Edit distance in words, exact where the texts are similar and else never above the true one, and whether they are."""
     a, b = words(x), words(y)
     longer = max(len(a), len(b))
     band = int((1 - similarity) * longer + 1e-9)
     apart = longer - (Counter(a) & Counter(b)).total()  # no alignment is shorter
     if apart > band:
-        return max(apart, 2 * band + 1), False
+        return apart, False
     s, t = set(shingles(x).tolist()), set(shingles(y).tolist())
-    if len(s & t) < least_overlap(similarity) * len(s | t):
-        return 2 * band + 1, False
     d = distance(a, b, 2 * band)
-    return d, d <= band
+    return d, d <= band and len(s & t) >= least_overlap(similarity) * len(s | t)
 
 
 def distance(a: list, b: list, band: int) -> int:
@@ -153,7 +151,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``, ``d`` (edit distance, exact up to twice the band) and ``similar`` for pairs of nodes.
+    """``a``, ``b``, ``d`` (edit distance, exact for similar nodes and else a lower bound) and ``similar`` for pairs of nodes.
 
     Pairs and texts meet by sorted shuffles at every size, so that the plan of a small run is that of a large one.
     """
@@ -214,13 +212,13 @@ def _through_buckets(spokes: DataFrame, known: DataFrame | None, texts: DataFram
     known = aligned(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")), known)
     judged = spokes.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "d", "similar"), ["hub", "node"])
     beyond = judged.filter("not similar").groupBy("bucket").agg(F.min("d").alias("nearest"))
-    edge = F.col("nearest") - (1 - similarity) * F.col("longest")
+    edge = F.col("nearest") - F.floor((1 - similarity) * F.col("longest") + 1e-9)
     left = judged.join(beyond, "bucket").filter(~F.col("similar") | (F.col("d") >= edge)).select("bucket", "node", "n")
     left = common.written(left, "left")
     small = left.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k").between(2, SMALL)).select("bucket")
     mine = left.join(small, "bucket")
     other = mine.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"))
-    close = F.abs(F.col("n") - F.col("m")) <= (1 - similarity) * F.greatest("n", "m")
+    close = F.abs(F.col("n") - F.col("m")) <= (1 - similarity) * F.greatest("n", "m") + 1e-9
     pairs = mine.withColumnRenamed("node", "a").join(other, "bucket").filter((F.col("a") < F.col("b")) & close).select("a", "b")
     return aligned(pairs, known), left
 
