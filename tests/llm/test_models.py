@@ -244,6 +244,14 @@ def test_a_chain_inside_one_bucket(spark):
         assert one_bucket(spark, {k: " ".join(t) for k, t in texts.items()}) == {(1, 2), (2, 3)}
 
 
+def test_many_families_in_one_bucket(spark):
+    texts = {}
+    for family in range(60):
+        base = [f"f{family}w{i}" for i in range(40)]
+        texts |= {family: " ".join(base), 1000 - family: " ".join(changed(base, {3}, "z"))}
+    assert one_bucket(spark, texts) == {(k, 1000 - k) for k in range(60)}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 

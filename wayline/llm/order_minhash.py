@@ -9,9 +9,11 @@ much as such an alignment leaves them on average (``least_overlap``); the alignm
 
 Equal texts are one node from the start. In a sketch's bucket every node is aligned with the bucket's least node. By the
 triangle inequality only nodes near the edge of the band can be similar to nodes beyond it: those beyond it, and the few
-near its edge, stay. Where at most SMALL stay in a bucket, all pairs of them are aligned; a larger rest is split by
-FURTHER further keys of three shingles each, and goes through the same two steps once more. So the pairs grow with the
-texts and not with the square of a bucket; no text is dropped. Classes are the connected components of similar pairs.
+near its edge, stay. Where at most SMALL stay in a bucket, all pairs of them are aligned, but for those linked with one
+node already; a larger rest is aligned with further nodes of its own, twice as many each round, until nothing stays. So
+a bucket of few families takes as many pairs as it has texts for each, in rounds that grow with the logarithm of the
+families, and no two nodes of a bucket stay untested that could link what nothing else links; only texts that share a
+bucket and are not similar at all are compared pair by pair. Classes are the connected components of similar pairs.
 
 Defined cases: a null text is the empty text; texts without words are only copies of equal texts; rows that share an id
 are one document; a null id has a null class; other columns are not read; an empty table gives none.
@@ -37,10 +39,8 @@ SKETCHES = 40
 TAKE = 4
 SIMILARITY = 0.8
 SMALL = 32
-FURTHER = 8
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
-_MORE = mix(np.arange(1001, 1001 + 3 * FURTHER, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -56,7 +56,7 @@ def shingles(text: str) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One value per sketch, then one per further key; equal values stand for equal choices of shingles."""
+    """One value per sketch; equal values stand for equal choices of shingles."""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -66,7 +66,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     labelled[order] += (np.arange(len(ranked)) - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     labelled = mix(labelled)
     take = min(TAKE, len(hashes))
-    out = np.empty(SKETCHES + FURTHER, np.uint64)
+    out = np.empty(SKETCHES, np.uint64)
     step = max(1, 4_000_000 // len(hashes))  # bounds the memory for very long texts
     for lo in range(0, SKETCHES, step):
         seeds, factors = _SEEDS[lo : lo + step, None], _FACTORS[lo : lo + step, None]
@@ -76,8 +76,6 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
         for chosen in np.take_along_axis(keys, places, 1).T:
             value = mix(value * np.uint64(3) + chosen)
         out[lo : lo + len(value)] = value
-    least = np.array([(distinct * factor).min() for factor in _MORE]).reshape(FURTHER, 3)
-    out[SKETCHES:] = mix(mix(mix(least[:, 0]) + least[:, 1]) + least[:, 2])
     return out
 
 
@@ -175,33 +173,43 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``a`` < ``b``: linked nodes. Pairs inside a bucket that others already link may be left out."""
-    keyed = nodes.select("node", "n", F.slice("sketches", 1, SKETCHES).alias("own"))
-    members = keyed.select("node", "n", F.posexplode("own").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "n")
-    spokes = _spokes(members)
+    members = nodes.select("node", "n", F.posexplode("sketches").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "n")
+    firsts = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
+    spokes = members.join(firsts, "bucket").filter("node <> hub")
+    spokes = common.written(spokes.withColumns({"linked": F.col("node"), "hub_linked": F.col("hub")}), "buckets")
     met = spokes.select("node").union(spokes.select("hub")).distinct().hint("merge")
     texts = common.id_and_text(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     texts = common.written(texts.join(met, "node", "left_semi"), "texts")  # only those that share a bucket
-    aligned, left = _through_buckets(spokes, None, texts, similarity)
-    large = left.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL).select("bucket")
-    large = left.join(large, "bucket")
-    if not large.isEmpty():
-        further = nodes.select("node", F.slice("sketches", SKETCHES + 1, FURTHER).alias("more"))
-        split = large.join(further, "node").select("bucket", "node", "n", F.posexplode("more").alias("j", "value"))
-        split = split.select(F.xxhash64("bucket", "j", "value").alias("bucket"), "node", "n")
-        aligned, _ = _through_buckets(_spokes(split), aligned, texts, similarity)
-    return aligned.filter("similar").select("a", "b")
+    known, left = _through_buckets(spokes.select("bucket", "node", "n", "linked"), spokes, None, texts, similarity)
+    hubs = 2
+    while not left.isEmpty():  # every round takes its hubs out of every bucket
+        left, spokes = _further_spokes(left, hubs)
+        known, left = _through_buckets(left, spokes, known, texts, similarity)
+        hubs *= 2
+    return known.filter("similar").select("a", "b")
 
 
-def _spokes(members: DataFrame) -> DataFrame:
-    """Every member of a bucket of several, beside the bucket's least node (``hub``) and its ``longest`` text."""
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.max("n").alias("longest")).filter("hub < last")
-    return common.written(members.join(hubs.drop("last"), "bucket").filter("node <> hub"), "buckets")
+def _further_spokes(left: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """About that many new hubs of every bucket, one at least: the other members, and their rows beside each hub.
 
-
-def _through_buckets(spokes: DataFrame, known: DataFrame | None, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Align every member with its hub, then the pairs of what stays in small buckets.
-
-    Returns the aligned pairs (``a``, ``b``, ``d``, ``similar``), those of ``known`` included, and what stayed.
+    Hubs are nodes not linked with an earlier hub, as long as there are any; members linked as a hub is are not beside it.
+    """
+    free = F.col("linked") == F.col("node")
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("k"), F.count_if(free).alias("unlinked"), F.min(F.when(free, F.col("node"))).alias("least_free"), F.min("node").alias("least"))
+    able = free | (F.col("unlinked") == 0)
+    drawn = F.pmod(F.xxhash64(F.lit(hubs), "node"), F.when(F.col("unlinked") > 0, F.col("unlinked")).otherwise(F.col("k"))) < hubs - 1
+    chosen = able & (drawn | (F.col("node") == F.coalesce("least_free", "least")))
+    marked = common.written(left.join(sizes, "bucket").select("bucket", "node", "n", "linked", chosen.alias("chosen")), "marked")
+    heads = marked.filter("chosen").select("bucket", F.col("node").alias("hub"), F.col("linked").alias("hub_linked"))
+    beside = marked.join(heads, "bucket").filter("linked <> hub_linked and (not chosen or hub < node)").drop("chosen")
+    return marked.filter("not chosen").drop("chosen"), common.written(beside, "buckets")
+
+
+def _through_buckets(members: DataFrame, spokes: DataFrame, known: DataFrame | None, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Align the members of buckets with their hubs, then the pairs of what stays in small buckets.
+
+    ``linked`` is a node that the member is linked with, itself at first. Returns the aligned pairs (``a``, ``b``, ``d``,
+    ``similar``), those of ``known`` included, and the members that stay in large buckets.
     """
 
     def aligned(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -209,18 +217,24 @@ def _through_buckets(spokes: DataFrame, known: DataFrame | None, texts: DataFram
         new = common.written(_aligned(pairs, texts, similarity), "aligned")
         return new if before is None else before.unionByName(new)
 
-    known = aligned(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")), known)
-    judged = spokes.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "d", "similar"), ["hub", "node"])
-    beyond = judged.filter("not similar").groupBy("bucket").agg(F.min("d").alias("nearest"))
-    edge = F.col("nearest") - F.floor((1 - similarity) * F.col("longest") + 1e-9)
-    left = judged.join(beyond, "bucket").filter(~F.col("similar") | (F.col("d") >= edge)).select("bucket", "node", "n")
-    left = common.written(left, "left")
-    small = left.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k").between(2, SMALL)).select("bucket")
-    mine = left.join(small, "bucket")
-    other = mine.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"))
+    spokes = spokes.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")})
+    known = aligned(spokes.select("a", "b"), known)
+    judged = spokes.join(known, ["a", "b"])
+    allowed = F.floor((1 - similarity) * F.col("n") + 1e-9)
+    beyond = judged.filter("not similar").groupBy("bucket", "hub").agg(F.min("d").alias("nearest"), F.min(F.col("d") - allowed).alias("reach"))
+    # What is similar to a member that this settles is similar to its hub too.
+    settled = F.col("nearest").isNull() | (F.col("d") < F.least("reach", F.col("nearest") - allowed))
+    fates = judged.filter("similar").join(beyond, ["bucket", "hub"], "left").groupBy("bucket", "node").agg(F.bool_or(settled).alias("settled"), F.min("hub_linked").alias("to"))
+    left = members.join(fates, ["bucket", "node"], "left").filter(~F.coalesce("settled", F.lit(False)))
+    linked = F.when(F.col("linked") == F.col("node"), F.coalesce("to", "linked")).otherwise(F.col("linked"))
+    left = common.written(left.select("bucket", "node", "n", linked.alias("linked")), "left")
+    open_ = left.groupBy("bucket").agg(F.count("*").alias("k"), F.min("linked").alias("lo"), F.max("linked").alias("hi")).filter("lo < hi").select("bucket", "k")
+    small = left.join(open_.filter(F.col("k") <= SMALL).select("bucket"), "bucket")
+    other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("linked").alias("other_linked"))
     close = F.abs(F.col("n") - F.col("m")) <= (1 - similarity) * F.greatest("n", "m") + 1e-9
-    pairs = mine.withColumnRenamed("node", "a").join(other, "bucket").filter((F.col("a") < F.col("b")) & close).select("a", "b")
-    return aligned(pairs, known), left
+    pairs = small.withColumnRenamed("node", "a").join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("linked") != F.col("other_linked")) & close)
+    large = left.join(open_.filter(F.col("k") > SMALL).select("bucket"), "bucket")
+    return aligned(pairs.select("a", "b"), known), large
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
