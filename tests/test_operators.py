@@ -162,6 +162,25 @@ def test_within_spread_is_the_mean_of_pairs(spark):
     assert rows(statistics.within_spread(df, "g", "v")) == [("a", 6, round(float(want), 6))]
 
 
+def test_springrank_query_solves_the_whole_trade_graph(spark, sf_dir, duck):
+    from wayline.plans import registry
+
+    a = np.zeros((25, 25))
+    for i, j, w in duck.execute("SELECT c_nationkey, s_nationkey, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL").fetchall():
+        a[i, j] = w
+    out, into = a.sum(1), a.sum(0)
+    live = out + into > 0
+    want = np.linalg.solve(np.eye(25) + np.diag(out + into) - a - a.T, into - out)
+    got = dict(rows(registry.QUERIES["springrank"](spark, sf_dir)))
+    assert len(got) == live.sum() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+
+
+def test_loops_that_do_not_converge_fail(ring):
+    for stopped in (lambda: graphs.hits(ring[1], 0.0, 1), lambda: graphs.springrank(ring[1], 1.0, 1e-9, 2)):
+        with pytest.raises(RuntimeError):
+            stopped()
+
+
 def test_typo_clusters(spark):
     v = spark.createDataFrame([("marketing", 90), ("marketting", 3), ("markting", 1), ("accounting", 50), ("sales", 7)], "v string, n long")
     got = dict(rows(canon.typo_clusters(v, "v", "n", 2)))

@@ -63,14 +63,14 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 def _iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], value: str, tolerance: float, rounds: int) -> DataFrame:
-    """Apply ``step`` (rows of node, value and ``was``) until no value moves by more than the tolerance."""
+    """Apply ``step`` (rows of node, value and ``was``) until no value moves by more than the tolerance; an error if one still does."""
     for _ in range(rounds):
         new = written(step(state), "state")
         moved = new.agg(F.max(F.abs(F.col(value) - F.col("was")))).first()[0] or 0.0
         state = new.drop("was")
         if moved <= tolerance:
-            break
-    return state
+            return state
+    raise RuntimeError(f"{value} still moves by {moved} after {rounds} rounds")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, rounds: int = 60) -> DataFrame:
@@ -111,7 +111,10 @@ def hits(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 60) -> DataFra
 
 
 def springrank(edges: DataFrame, alpha: float = 1.0, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
-    """``node``, ``score`` solving (alpha + D) s = k_in - k_out + (A + A') s by Jacobi steps: a move up raises its target."""
+    """``node``, ``score`` solving (alpha + D) s = k_in - k_out + (A + A') s by Jacobi steps: a move up raises its target.
+
+    The solution sums to 0, so every step is centred: what all nodes share would fade by alpha / (alpha + D) a round only.
+    """
     e = edges.filter(~F.col("is_self_loop")).select("src", "dst", F.col("weight").cast("double").alias("weight"))
     both = e.select("src", "dst", "weight", F.lit(-1.0).alias("side")).union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(1.0).alias("side")))
     both = written(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("side")).alias("pull")), "edges")
@@ -121,12 +124,13 @@ def springrank(edges: DataFrame, alpha: float = 1.0, tolerance: float = 1e-6, ro
     def step(s: DataFrame) -> DataFrame:
         around = both.join(s, both.dst == s.node).groupBy("src").agg(F.sum(F.col("weight") * F.col("score")).alias("a"))
         j = s.join(own, "node").join(around, s.node == around.src, "left")
-        return j.select("node", ((F.col("k") + F.coalesce("a", F.lit(0.0))) / (alpha + F.col("d"))).alias("score"), F.col("score").alias("was"))
+        j = j.select("node", ((F.col("k") + F.coalesce("a", F.lit(0.0))) / (alpha + F.col("d"))).alias("score"), F.col("score").alias("was"))
+        return j.join(F.broadcast(j.agg(F.avg("score").alias("m")))).select("node", (F.col("score") - F.col("m")).alias("score"), "was")
 
     return _iterate(state, step, "score", tolerance, rounds)
 
 
-def agony_rank(edges: DataFrame, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def agony_rank(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """``node``, ``score``: each round a node moves to the mean of one above its sources and one below its targets."""
     e = edges.filter(~F.col("is_self_loop")).select("src", "dst", F.col("weight").cast("double").alias("weight"))
     both = written(e.select("src", "dst", "weight", F.lit(-1.0).alias("side")).union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(1.0).alias("side"))), "edges")
@@ -171,8 +175,8 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
         new = written(best.select(F.col("src").alias("node"), F.when(half, F.col("t.label")).otherwise(F.col("own")).alias("label"), (F.col("t.label") != F.col("own")).alias("moved")), "state")
         state = new.select("node", "label")
         if new.filter("moved").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,7 +190,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return j.agg(F.sum(F.coalesce("w", F.lit(0)) / F.col("t") - F.pow(F.col("s") / (2 * F.col("t")), 2)).alias("modularity"), F.count("*").alias("communities"))
 
 
-def label_spread(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def label_spread(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """``node``, ``class``, ``score`` over symmetric normalised edges, class masses evened at the end; best class per node."""
     both = edges.filter(~F.col("is_self_loop")).select("src", "dst", "weight")
     both = both.union(both.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -201,6 +205,8 @@ def label_spread(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8, rounds:
         state = new.drop("was")
         if (new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"scores still move after {rounds} rounds")
     mass = state.groupBy("class").agg(F.sum("score").alias("m"))
     even = state.join(mass, "class").withColumn("score", F.col("score") / F.col("m"))
     best = even.groupBy("node").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), "class")).alias("t"))
