@@ -100,6 +100,15 @@ def test_pii_keeps_base_adds_spelled_out_forms_and_leaves_clean_text(spark):
     assert out.columns == docs.columns and out.filter("text is null").count() == 1 and out.filter("text = 'mail [EMAIL] now'").count() == 1
 
 
+def test_spelled_out_forms_do_not_need_another_at(spark):
+    forms = ["anna{at}firma{dot}de", "anna<at>firma.de", "anna( AT }firma.de", "anna[at]firma.de", "anna at firma dot de"]
+    texts = [f"bitte an {form} senden" for form in forms]
+    for text, form in zip(texts, forms):
+        assert ("email", 9, 9 + len(form)) in pii.candidates(text)
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(model.spans(text)[1] == [("email", 9, 9 + len(form))] for text, form in zip(texts[:2], forms))
+
+
 def test_op10_base_spans_on_the_table(spark, sf_dir):
     import hashlib
 
