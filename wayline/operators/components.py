@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.sources.scratch import written
+from wayline.sources.scratch import discard, written
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """``node`` and ``component``, the least node that it is linked with, for every node of ``edges``.
 
     Each round takes the least label of a node's neighbours and then that label's own label, so that long paths halve.
-    Labels go through files in the shared folder; the loop ends when no label changes.
+    Labels go through files in the shared folder, the last round's are deleted; the loop ends when no label changes.
     """
     links = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node <> other")
     links = written(links.union(links.select("other", "node")).distinct(), "links")
     labels = written(links.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
     for _ in range(max_rounds):
-        around = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        around = links.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         stepped = labels.join(around, "node").select("node", F.least("component", "near").alias("step"), F.col("component").alias("was"))
         heads = labels.select(F.col("node").alias("step"), F.col("component").alias("head"))
         new = written(
             stepped.join(heads, "step", "left").select("node", F.least("step", F.coalesce("head", "step")).alias("component"), "was"), "labels"
         )
-        labels = new.select("node", "component")
+        discard(labels)
         if new.filter("component <> was").isEmpty():
-            return labels
+            discard(links)
+            return new.select("node", "component")
+        labels = new
     raise RuntimeError(f"no fixed point in {max_rounds} rounds")
