@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.sources.scratch import scratch, written
+from wayline.sources.scratch import discard, scratch, written
 
-__all__ = ["id_and_text", "scratch", "table", "written"]
+__all__ = ["discard", "id_and_text", "scratch", "table", "written"]
 
 
 BATCH_ROWS = 1_000  # rows that one Arrow batch hands to Python: bounds the memory beside the heap where texts are long

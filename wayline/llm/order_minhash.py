@@ -2,21 +2,21 @@
 
 A text is a sequence of words, and of shingles of SHINGLE consecutive words (fewer words are one shingle). Each of
 SKETCHES sketches takes the TAKE occurrence-labelled shingles of least hash and keeps them in text order, so that texts
-agree where they have the same shingles in the same order; the least of the distinct shingles under another hash is added,
-so that one line repeated many times does not bring texts together. Texts that agree in a sketch are candidates. Similar
-are texts whose words align at an edit distance of at most 0.2 of the longer text, and whose distinct shingles overlap as
-much as such an alignment leaves them on average (``least_overlap``); the alignment runs inside a band.
-
-Equal texts are one node from the start. In a sketch's bucket every node is aligned with the bucket's least node. By the
-triangle inequality only nodes near the edge of the band can be similar to nodes beyond it: those beyond it, and the few
-near its edge, stay. Where at most SMALL stay in a bucket, all pairs of them are aligned, but for those linked with one
-node already; a larger rest is aligned with further nodes of its own, twice as many each round, until nothing stays. So
-a bucket of few families takes as many pairs as it has texts for each, in rounds that grow with the logarithm of the
-families, and no two nodes of a bucket stay untested that could link what nothing else links; only texts that share a
-bucket and are not similar at all are compared pair by pair. Classes are the connected components of similar pairs.
-
-Defined cases: a null text is the empty text; texts without words are only copies of equal texts; rows that share an id
-are one document; a null id has a null class; other columns are not read; an empty table gives none.
+agree where they have the same shingles in the same order. Texts that agree in a sketch are candidates. Similar are texts
+whose words align at an edit distance of at most 0.2 of the longer text; the alignment runs inside a band.
+
+Equal texts are one node from the start. First, every node of a sketch's bucket is aligned with the bucket's least node;
+each such pair once, in however many buckets it stands. By the triangle inequality only nodes near the edge of the band
+can be similar to nodes beyond it: those beyond it, and the few near its edge, stay. What stays of a bucket is dealt into
+blocks of bounded size, and every two blocks of a bucket meet in a task. There a product of word counts gives, for all
+pairs at once, a distance that no alignment can undercut; the pairs that it does not tell apart, and that nothing links
+yet, are aligned. So every two nodes that share a bucket are aligned, told apart by a bound, or linked through others,
+whatever the bucket's size; a task only returns a forest of links, never the pairs of a group. Classes are the connected
+components.
+
+Defined cases: a null text is the empty text; texts without words are only copies of equal texts; an id with several texts
+is one node for those that no lesser id has, compared by the least of them; a null id has a null class; other columns are
+not read; ids may have any type with an order; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,12 +35,14 @@ from wayline.llm.wu_manber import words
 from wayline.operators.components import connected_components
 
 SHINGLE = 5
-SKETCHES = 40
-TAKE = 4
+SKETCHES = 64
+TAKE = 2
 SIMILARITY = 0.8
-SMALL = 32
-_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTORS = mix(_SEEDS) | np.uint64(1)
+BLOCK_NODES, BLOCK_WORDS = 2_048, 1 << 20  # of a bucket's rest; a task holds two blocks
+BINS, LEVELS = 1_024, 2  # words fall into bins; counts up to LEVELS are compared bin by bin
+_SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+_FACTORS = (_SEEDS[:SKETCHES, None] | np.uint64(1)).astype(np.uint32)
+_SHIFTS = _SEEDS[SKETCHES:, None].astype(np.uint32)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -59,43 +61,49 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     """One value per sketch; equal values stand for equal choices of shingles."""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(ranked)), 0))
-    distinct = ranked[new]
+    again = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
     labelled = hashes.copy()
-    labelled[order] += (np.arange(len(ranked)) - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    if len(again):  # the occurrence number tells repeated shingles apart
+        first = np.arange(len(ranked))
+        first[again] = 0
+        labelled[order] += (np.arange(len(ranked)) - np.maximum.accumulate(first)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     labelled = mix(labelled)
+    low = labelled.astype(np.uint32)
     take = min(TAKE, len(hashes))
-    out = np.empty(SKETCHES, np.uint64)
+    out = np.zeros(SKETCHES, np.uint64)
     step = max(1, 4_000_000 // len(hashes))  # bounds the memory for very long texts
     for lo in range(0, SKETCHES, step):
-        seeds, factors = _SEEDS[lo : lo + step, None], _FACTORS[lo : lo + step, None]
-        keys = (labelled[None, :] ^ seeds) * factors
-        places = np.sort(np.argpartition(keys, take - 1, 1)[:, :take], 1)
-        value = (distinct[None, :] * factors).min(1)
-        for chosen in np.take_along_axis(keys, places, 1).T:
-            value = mix(value * np.uint64(3) + chosen)
-        out[lo : lo + len(value)] = value
+        keys = low * _FACTORS[lo : lo + step]
+        keys += _SHIFTS[lo : lo + step]
+        rows = np.arange(len(keys))
+        places = np.empty((take, len(keys)), np.int64)
+        for k in range(take):
+            places[k] = keys.argmin(1)
+            keys[rows, places[k]] = 0xFFFFFFFF
+        places.sort(0)
+        value = out[lo : lo + step]
+        for at in places:
+            value = mix(value * np.uint64(3) + labelled[at])
+        out[lo : lo + step] = value
     return out
 
 
-def least_overlap(similarity: float) -> float:
-    """The overlap of distinct shingles where that share of words, spread evenly, is common."""
-    kept = similarity**SHINGLE
-    return kept / (2 - kept)
-
-
 def compare(x: str, y: str, similarity: float) -> tuple[int, bool]:
     """Edit distance in words, exact where the texts are similar and else never above the true one, and whether they are."""
-    a, b = words(x), words(y)
+    return aligned(words(x), words(y), similarity)
+
+
+def aligned(a: list, b: list, similarity: float) -> tuple[int, bool]:
+    """``compare`` for lists of words."""
     longer = max(len(a), len(b))
     band = int((1 - similarity) * longer + 1e-9)
-    apart = longer - (Counter(a) & Counter(b)).total()  # no alignment is shorter
+    apart = longer - min(len(a), len(b))
+    if apart <= band:
+        apart = longer - (Counter(a) & Counter(b)).total()  # no alignment is shorter
     if apart > band:
         return apart, False
-    s, t = set(shingles(x).tolist()), set(shingles(y).tolist())
-    d = distance(a, b, 2 * band)
-    return d, d <= band and len(s & t) >= least_overlap(similarity) * len(s | t)
+    d = distance(a, b, band)
+    return d, d <= band
 
 
 def distance(a: list, b: list, band: int) -> int:
@@ -103,6 +111,13 @@ def distance(a: list, b: list, band: int) -> int:
 
     Bit-parallel alignment inside the band: bit i of a vector is the row i - band below the column at hand.
     """
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    end = 0
+    while end < hi - lo and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[lo : len(a) - end], b[lo : len(b) - end]
     slope = len(a) - len(b)
     if abs(slope) > band:
         return band + 1
@@ -131,30 +146,54 @@ def distance(a: list, b: list, band: int) -> int:
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``node`` (the least id with this text), ``n`` words (SHINGLE at least) and ``sketches`` of every distinct text, with its ``key``."""
     rows = common.id_and_text(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    id_type = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # of this task: equal texts are sketched once
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 n, values = [], []
-                for text in batch.column(2).to_pylist():
+                for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if key in seen:
+                        n.append(None)
+                        values.append(None)
+                        continue
+                    seen.add(key)
                     h = shingles(text)
                     n.append(len(h) + SHINGLE - 1)
-                    values.append(sketch(h).view(np.int64).tolist() if len(h) else [])
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["node", "key", "n", "sketches"])
+                    values.append(sketch(h).view(np.int64) if len(h) else [])
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["node", "key", "n", "sketches"])
+
+    keyed = rows.select(F.col(id_col).alias("node"), F.unhex(F.md5(text_col)).alias("key"), text_col)
+    sketched = keyed.mapInArrow(run, f"node {id_type}, key binary, n int, sketches array<long>")
+    return sketched.groupBy("key").agg(F.min("node").alias("node"), F.first("n", True).alias("n"), F.first("sketches", True).alias("sketches"))
+
 
-    keyed = rows.select(F.col(id_col).cast("long").alias("node"), F.unhex(F.md5(text_col)).alias("key"), text_col)
-    sketched = keyed.mapInArrow(run, "node long, key binary, n long, sketches array<long>")
-    return sketched.groupBy("key").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+def _words(docs: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node`` and ``words``, joined by one space, of the nodes of ``met``."""
+    rows = common.id_and_text(docs, id_col, text_col).select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    id_type = rows.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = pa.array([b" ".join(words(t)) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.record_batch([batch.column(0), joined], ["node", "words"])
+
+    return rows.join(met.hint("merge"), "node", "left_semi").mapInArrow(run, f"node {id_type}, words binary")
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``, ``d`` (edit distance, exact for similar nodes and else a lower bound) and ``similar`` for pairs of nodes.
+    """``hub``, ``node``, ``d`` (edit distance, exact for similar nodes and else a lower bound) and ``similar`` for pairs of nodes.
 
     Pairs and texts meet by sorted shuffles at every size, so that the plan of a small run is that of a large one.
     """
-    both = pairs.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b")
-    both = both.select("a", "b", "text_a", "text_b")
+    least = texts.groupBy("node").agg(F.min("words").alias("words"))
+    both = pairs.join(least.toDF("node", "words_b").hint("merge"), "node").join(least.toDF("hub", "words_a").hint("merge"), "hub")
+    both = both.select("hub", "node", "words_a", "words_b")
+    id_type = pairs.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,96 +201,135 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 batch = whole.slice(at, 64)
                 d, similar = [], []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    apart, alike = compare(x, y, similarity)
+                    apart, alike = aligned(x.split(), y.split(), similarity)
                     d.append(apart)
                     similar.append(alike)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d, pa.int64()), pa.array(similar)], ["a", "b", "d", "similar"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d, pa.int32()), pa.array(similar)], ["hub", "node", "d", "similar"])
 
-    found = both.mapInArrow(run, "a long, b long, d long, similar boolean")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("similar").alias("similar"))
+    return both.mapInArrow(run, f"hub {id_type}, node {id_type}, d int, similar boolean")
 
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``a`` < ``b``: linked nodes. Pairs inside a bucket that others already link may be left out."""
-    members = nodes.select("node", "n", F.posexplode("sketches").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "n")
+    """``a``, ``b``: linked nodes. Pairs inside a bucket that others already link may be left out."""
+    members = nodes.select("node", F.posexplode("sketches").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node")
     firsts = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
-    spokes = members.join(firsts, "bucket").filter("node <> hub")
-    spokes = common.written(spokes.withColumns({"linked": F.col("node"), "hub_linked": F.col("hub")}), "buckets")
-    met = spokes.select("node").union(spokes.select("hub")).distinct().hint("merge")
-    texts = common.id_and_text(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = common.written(texts.join(met, "node", "left_semi"), "texts")  # only those that share a bucket
-    known, left = _through_buckets(spokes.select("bucket", "node", "n", "linked"), spokes, None, texts, similarity)
-    hubs = 2
-    while not left.isEmpty():  # every round takes its hubs out of every bucket
-        left, spokes = _further_spokes(left, hubs)
-        known, left = _through_buckets(left, spokes, known, texts, similarity)
-        hubs *= 2
-    return known.filter("similar").select("a", "b")
-
-
-def _further_spokes(left: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """About that many new hubs of every bucket, one at least: the other members, and their rows beside each hub.
-
-    Hubs are nodes not linked with an earlier hub, as long as there are any; members linked as a hub is are not beside it.
-    """
-    free = F.col("linked") == F.col("node")
-    sizes = left.groupBy("bucket").agg(F.count("*").alias("k"), F.count_if(free).alias("unlinked"), F.min(F.when(free, F.col("node"))).alias("least_free"), F.min("node").alias("least"))
-    able = free | (F.col("unlinked") == 0)
-    drawn = F.pmod(F.xxhash64(F.lit(hubs), "node"), F.when(F.col("unlinked") > 0, F.col("unlinked")).otherwise(F.col("k"))) < hubs - 1
-    chosen = able & (drawn | (F.col("node") == F.coalesce("least_free", "least")))
-    marked = common.written(left.join(sizes, "bucket").select("bucket", "node", "n", "linked", chosen.alias("chosen")), "marked")
-    heads = marked.filter("chosen").select("bucket", F.col("node").alias("hub"), F.col("linked").alias("hub_linked"))
-    beside = marked.join(heads, "bucket").filter("linked <> hub_linked and (not chosen or hub < node)").drop("chosen")
-    return marked.filter("not chosen").drop("chosen"), common.written(beside, "buckets")
-
-
-def _through_buckets(members: DataFrame, spokes: DataFrame, known: DataFrame | None, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Align the members of buckets with their hubs, then the pairs of what stays in small buckets.
-
-    ``linked`` is a node that the member is linked with, itself at first. Returns the aligned pairs (``a``, ``b``, ``d``,
-    ``similar``), those of ``known`` included, and the members that stay in large buckets.
+    spokes = common.written(members.join(firsts, "bucket").filter("node <> hub"), "spokes")
+    met = spokes.select("node").union(spokes.select("hub")).distinct()
+    texts = common.written(_words(docs, met, id_col, text_col), "texts")  # only those that share a bucket
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
+    pairs = spokes.select("hub", "node").distinct().join(sizes.toDF("hub", "hub_n"), "hub").join(sizes, "node")
+    pairs = common.written(pairs, "pairs")
+    close = F.abs(F.col("n") - F.col("hub_n")) <= F.floor((1 - similarity) * F.greatest("n", "hub_n") + 1e-9)
+    near = _aligned(pairs.filter(close).select("hub", "node"), texts, similarity)
+    far = pairs.filter(~close).select("hub", "node", F.abs(F.col("n") - F.col("hub_n")).alias("d"), F.lit(False).alias("similar"))
+    known = common.written(near.unionByName(far).join(pairs.select("hub", "node", "n"), ["hub", "node"]), "known")
+    left = common.written(_unsettled(spokes, known, similarity), "left")
+    more = common.written(_rest_links(left, texts, similarity), "links")
+    links = common.written(known.filter("similar").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(more), "links")
+    common.discard(spokes, texts, pairs, known, left, more)
+    return links
+
+
+def _unsettled(spokes: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Members of a bucket that may be similar to others than its hub: ``bucket``, ``node``, ``n`` and ``linked``, the hub where they are similar to it and else themselves."""
+    judged = spokes.join(known, ["hub", "node"])
+    allowed = F.floor((1 - similarity) * F.col("n") + 1e-9)
+    beyond = judged.filter("not similar").groupBy("bucket").agg(F.min("d").alias("nearest"), F.min(F.col("d") - allowed).alias("reach"))
+    # What is similar to a member that this settles is similar to its hub too.
+    settled = F.col("similar") & (F.col("d") < F.least("reach", F.col("nearest") - allowed))
+    return judged.join(beyond, "bucket").filter(~settled).select("bucket", "node", "n", F.when(F.col("similar"), F.col("hub")).otherwise(F.col("node")).alias("linked"))
+
+
+def _rest_links(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: links among what stays of each bucket, found in tasks that hold two blocks of it."""
+    rest = left.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("linked").alias("lo"), F.max("linked").alias("hi")).filter("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS))
+    dealt = left.join(rest.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    least = texts.groupBy("node").agg(F.min("words").alias("words"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(least.hint("merge"), "node")
+    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("second"), "node", "linked", "words")
+    id_type = left.schema["node"].dataType.simpleString()
+    arrow_type = left.limit(0).select("node").toArrow().schema.field("node").type
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        second = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
+        found = link_group([r[5] for r in rows], [r[6].split() for r in rows], second, similarity)
+        return pa.record_batch([pa.array([rows[i][4] for i, _ in found], arrow_type), pa.array([rows[j][4] for _, j in found], arrow_type)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:3] != rows[0][:3]:
+                    yield links(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield links(rows)
+
+    keys = ["bucket", "lo", "hi"]
+    return met.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+
+
+def link_group(linked: list, texts: list[list[bytes]], second: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that link all similar texts of a group, as far as ``linked`` does not: equal values are linked.
+
+    With ``second``, only pairs of a text for which it holds and one for which it does not.
     """
+    names: dict = {}
+    roots = np.array([names.setdefault(x, len(names)) for x in linked])
+    n = np.array([len(t) for t in texts])
+    common_words = _common_words(texts)
+    out = []
+    for lo in range(0, len(texts), 256):
+        longer = np.maximum(n[lo : lo + 256, None], n[None, lo:])
+        open_ = longer - common_words(lo, lo + 256) <= np.floor((1 - similarity) * longer + 1e-9)
+        if second is not None:
+            open_ &= second[lo : lo + 256, None] != second[None, lo:]
+        for i in range(lo, min(lo + 256, len(texts))):
+            others = np.flatnonzero(open_[i - lo, i - lo + 1 :]) + i + 1
+            for j in others[roots[others] != roots[i]].tolist():
+                if roots[i] != roots[j] and aligned(texts[i], texts[j], similarity)[1]:
+                    roots[roots == roots[j]] = roots[i]
+                    out.append((i, j))
+    return out
 
-    def aligned(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
-        pairs = pairs.distinct() if before is None else pairs.distinct().join(before.select("a", "b"), ["a", "b"], "left_anti")
-        new = common.written(_aligned(pairs, texts, similarity), "aligned")
-        return new if before is None else before.unionByName(new)
 
-    spokes = spokes.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")})
-    known = aligned(spokes.select("a", "b"), known)
-    judged = spokes.join(known, ["a", "b"])
-    allowed = F.floor((1 - similarity) * F.col("n") + 1e-9)
-    beyond = judged.filter("not similar").groupBy("bucket", "hub").agg(F.min("d").alias("nearest"), F.min(F.col("d") - allowed).alias("reach"))
-    # What is similar to a member that this settles is similar to its hub too.
-    settled = F.col("nearest").isNull() | (F.col("d") < F.least("reach", F.col("nearest") - allowed))
-    fates = judged.filter("similar").join(beyond, ["bucket", "hub"], "left").groupBy("bucket", "node").agg(F.bool_or(settled).alias("settled"), F.min("hub_linked").alias("to"))
-    left = members.join(fates, ["bucket", "node"], "left").filter(~F.coalesce("settled", F.lit(False)))
-    linked = F.when(F.col("linked") == F.col("node"), F.coalesce("to", "linked")).otherwise(F.col("linked"))
-    left = common.written(left.select("bucket", "node", "n", linked.alias("linked")), "left")
-    open_ = left.groupBy("bucket").agg(F.count("*").alias("k"), F.min("linked").alias("lo"), F.max("linked").alias("hi")).filter("lo < hi").select("bucket", "k")
-    small = left.join(open_.filter(F.col("k") <= SMALL).select("bucket"), "bucket")
-    other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("linked").alias("other_linked"))
-    close = F.abs(F.col("n") - F.col("m")) <= (1 - similarity) * F.greatest("n", "m") + 1e-9
-    pairs = small.withColumnRenamed("node", "a").join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("linked") != F.col("other_linked")) & close)
-    large = left.join(open_.filter(F.col("k") > SMALL).select("bucket"), "bucket")
-    return aligned(pairs.select("a", "b"), known), large
+def _common_words(texts: list[list[bytes]]):
+    """A function of (lo, hi): for texts lo to hi and all from lo on, a number that their common words do not exceed."""
+    places: dict = {}
+    counts = np.zeros((len(texts), BINS), np.int32)
+    for k, text in enumerate(texts):
+        bins = np.fromiter((places.setdefault(w, len(places)) for w in text), np.int64, len(text)) % BINS
+        counts[k] = np.bincount(bins, minlength=BINS)
+    used = counts.any(0)
+    counts = counts[:, used]
+    marks = np.concatenate([counts >= level for level in range(1, LEVELS + 1)], 1).astype(np.float32)
+    over = np.maximum(counts - LEVELS, 0).sum(1)
+    return lambda lo, hi: marks[lo:hi] @ marks[lo:].T + np.minimum(over[lo:hi, None], over[None, lo:])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Each row's id and ``class_id``, the least id of its group of near copies; a text without any is its own class."""
     nodes = common.written(_nodes(docs, id_col, text_col), "nodes")
-    linked = connected_components(similar_pairs(docs, nodes, id_col, text_col, similarity), "a", "b")
+    links = similar_pairs(docs, nodes, id_col, text_col, similarity)
+    linked = connected_components(links, "a", "b")
     label = nodes.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
     rows = common.id_and_text(docs, id_col, text_col).select(F.col(id_col), F.unhex(F.md5(text_col)).alias("key"))
     known = rows.filter(F.col(id_col).isNotNull()).join(label, "key").select(id_col, "class_id")
-    return known.unionByName(rows.filter(F.col(id_col).isNull()).select(id_col, F.lit(None).cast("long").alias("class_id")))
+    nothing = F.lit(None).cast(docs.schema[id_col].dataType)
+    return known.unionByName(rows.filter(F.col(id_col).isNull()).select(id_col, nothing.alias("class_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one of least id, with its columns as they are; rows without an id stay."""
+    """One document of each class, the one of least id, with its columns as they are; rows without an id stay.
+
+    Of rows that share the kept id, the one of the least text stays.
+    """
     first = classes(docs, id_col, text_col, similarity).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("wl_row")
+    kept = docs.join(first, id_col, "left_semi").groupBy(F.col(id_col).alias("wl_id")).agg(F.min_by(whole, F.coalesce(F.col(text_col), F.lit(""))).alias("wl_row"))
+    return kept.select("wl_row.*").unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
