@@ -37,37 +37,42 @@ def boundaries(text: str) -> list[int]:
 class Pieces:
     """A bounded dict from pre-token to its ids as unsigned 32-bit integers; results never depend on what it holds."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], dict[str, bytes]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its pre-tokens; what is new in any of the texts is encoded at once."""
         if len(self.known) > self.limit:
             self.known.clear()
-        missing = list(set().union(*texts).difference(self.known))
-        self.known.update(zip(missing, self.encode(missing), strict=True))
+        missing = set().union(*texts).difference(self.known)
+        if missing:
+            self.known |= self.encode(list(missing))
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in texts]
 
 
-def library_pieces(tokenizer, pieces: list[str], together: int = 1_000) -> list[bytes]:
+def library_pieces(tokenizer, pieces: list[str], together: int = 1_000) -> dict[str, bytes]:
     """The library's ids of each pre-token.
 
-    Pre-tokens of a space and what follows it are encoded many at a time as one text, which splits into the same
-    pre-tokens; a token that begins with the space then begins the next one.
+    Pre-tokens are encoded many at a time as one text that splits into the same pre-tokens: those of a space and what
+    follows it one after the other, where a token that begins with the space begins the next one; those without white
+    space after a line feed each, where the line feed's token does. The few others are encoded one by one.
     """
+    begins, feed = _begins(tokenizer), tokenizer.token_to_id("\u010a")
     spaced = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+    solid = [p for p in pieces if not p[0].isspace()] if feed is not None else []
     out: dict[str, bytes] = {}
-    runs = [spaced[i : i + together] for i in range(0, len(spaced), together)]
-    for run, e in zip(runs, tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, np.uint32)
-        starts = np.flatnonzero(_begins(tokenizer)[ids])
-        if len(starts) == len(run):
-            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            out.update((p, data[a:b]) for p, a, b in zip(run, (4 * starts).tolist(), ends, strict=True))
-    rest = [p for p in pieces if p not in out]
+    for some, lead in ((spaced, ""), (solid, "\n")):
+        runs = [some[i : i + together] for i in range(0, len(some), together)]
+        for run, e in zip(runs, tokenizer.encode_batch_fast([lead + lead.join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            starts = np.flatnonzero(ids == feed if lead else begins[ids])
+            if len(starts) == len(run):
+                data, first = ids.tobytes(), 4 * (starts + len(lead))
+                out.update(zip(run, map(data.__getitem__, map(slice, first.tolist(), [*(4 * starts[1:]).tolist(), 4 * len(ids)])), strict=True))
+    rest = [p for p in pieces if p not in out] if len(out) < len(pieces) else []
     out.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-    return [out[p] for p in pieces]
+    return out
 
 
 @lru_cache(2)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import common
-from wayline.llm.pretokens import library_tokenizer, pretokens
+from wayline.llm.pretokens import library_pieces, library_tokenizer, pretokens
 
 BLOCK_CHARS = 32_000_000  # of text whose pre-tokens one block counts
 
@@ -125,8 +125,8 @@ def piece_counts(vocabularies: DataFrame, tokenizer_path: str) -> DataFrame:
                     pieces = data.split(b"\0")
                     new = [p for p in pieces if p not in known]
                     texts = [p.replace(b"\xff", b"\0").decode("utf-8", "surrogatepass") for p in new]
-                    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                    known.update((p, len(e.ids)) for p, e in zip(new, found, strict=True))
+                    ids = library_pieces(tokenizer, texts)
+                    known.update((p, len(ids[t]) // 4) for p, t in zip(new, texts, strict=True))
                     out.append(np.fromiter(map(known.__getitem__, pieces), "<u4", len(pieces)).tobytes())
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "counts"])
 

@@ -2,11 +2,12 @@
 
 A shard file holds the bit-planes of its ids, most significant first, each plane stably partitioned by the one above it,
 with a directory of ones per block: access, rank (counting) and select (occurrence lookup) work on the planes alone, and
-16 bits hold an id of a vocabulary of 50,257. Spark deals the documents out by ranges of their id and writes the shard
+16 bits hold an id of a vocabulary of 50,257. In the file every plane is a zstandard frame of its own, opened when it is first
+read. Spark deals the documents out by ranges of their id and writes the shard
 files as rows of a Parquet table in the shared folder, so that lost executors only cost their own tasks.
 
 Defined cases: a null text is the empty text and gets the end id alone; rows with equal ids stand in order of their
-texts; null ids stand first; an empty table gives an empty store; other columns are not read.
+texts; null ids stand first; ids are integers of at most 64 bits; an empty table gives an empty store; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,16 +29,23 @@ from pyspark.sql import functions as F
 from wayline.llm import common
 from wayline.llm.pretokens import Pieces, library_pieces, library_tokenizer, pretokens
 
-MAGIC = b"WLWM\x01"
+MAGIC = b"WLWM\x02"
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits between two entries of the rank directory
 
 
 class WaveletMatrix:
-    """Ids in bit-planes. ``planes`` are packed little-endian, ``zeros`` the zero bits of each, ``ones`` the directory."""
+    """Ids in bit-planes. ``zeros`` are the zero bits of each, ``ones`` its directory; a plane is packed little-endian."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray]):
-        self.n, self.planes, self.zeros, self.ones = n, planes, zeros, ones
+    def __init__(self, n: int, planes: list[np.ndarray | bytes], zeros: list[int], ones: list[np.ndarray]):
+        self.n, self._planes, self.zeros, self.ones = n, planes, zeros, ones
+        self._none: dict[int, np.ndarray] = {}
+
+    def plane(self, k: int) -> np.ndarray:
+        """Plane ``k``; one that is still a frame of the file is opened."""
+        if isinstance(self._planes[k], bytes):
+            self._planes[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._planes[k]), np.uint8)
+        return self._planes[k]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -54,30 +63,31 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane up."""
-        width = len(self.planes)
+        width = len(self.zeros)
         level = np.zeros(self.n, np.uint16 if width <= 16 else np.uint32)
-        for bit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            set_ = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+        for k in range(width - 1, -1, -1):
+            set_ = np.unpackbits(self.plane(k), count=self.n, bitorder="little").view(bool)
+            zeros = self.zeros[k]
             above = np.empty_like(level)
             above[np.flatnonzero(~set_)] = level[:zeros]
-            above[np.flatnonzero(set_)] = level[zeros:] | (1 << bit)
+            above[np.flatnonzero(set_)] = level[zeros:] | level.dtype.type(1 << (width - 1 - k))
             level = above
         return level
 
     def _ones_before(self, k: int, i: int) -> int:
         block = i // BLOCK
         start = block * (BLOCK // 8)
-        part = int.from_bytes(self.planes[k][start : i // 8 + 1].tobytes(), "little")
+        part = int.from_bytes(self.plane(k)[start : i // 8 + 1].tobytes(), "little")
         return int(self.ones[k][block]) + (part & ((1 << (i - block * BLOCK)) - 1)).bit_count()
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3]) >> (i & 7) & 1
+        return int(self.plane(k)[i >> 3]) >> (i & 7) & 1
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k in range(len(self.planes)):
+        for k in range(len(self.zeros)):
             ones, bit = self._ones_before(k, i), self._bit(k, i)
             value = value << 1 | bit
             i = self.zeros[k] + ones if bit else i - ones
@@ -85,7 +95,7 @@ class WaveletMatrix:
 
     def _range(self, symbol: int, i: int) -> tuple[int, int]:
         """Where, under the last plane, the occurrences of ``symbol`` before ``i`` stand."""
-        lo, hi, width = 0, i, len(self.planes)
+        lo, hi, width = 0, i, len(self.zeros)
         if symbol < 0 or symbol >> width:
             return 0, 0
         for k in range(width):
@@ -110,17 +120,20 @@ class WaveletMatrix:
         if not 0 <= nth < hi - lo:
             raise IndexError(nth)
         i = lo + nth
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit = symbol >> (len(self.planes) - 1 - k) & 1
+        for k in range(len(self.zeros) - 1, -1, -1):
+            bit = symbol >> (len(self.zeros) - 1 - k) & 1
             i = self._select_bit(k, bit, i - self.zeros[k] if bit else i)
         return i
 
     def _select_bit(self, k: int, bit: int, nth: int) -> int:
         """Position of the bit number ``nth`` of this value in plane ``k``: binary search for its block, then inside it."""
-        blocks = self.ones[k]
-        before = blocks if bit else np.arange(len(blocks)) * BLOCK - blocks
+        before = self.ones[k]
+        if not bit:
+            if k not in self._none:
+                self._none[k] = np.arange(len(before)) * BLOCK - before
+            before = self._none[k]
         block = int(np.searchsorted(before, nth, side="right")) - 1
-        bits = np.unpackbits(self.planes[k][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
+        bits = np.unpackbits(self.plane(k)[block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(before[block])])
 
     def occurrences(self, symbol: int) -> list[int]:
@@ -131,13 +144,15 @@ class WaveletMatrix:
         known = np.array([d is not None for d in doc_ids], np.uint8)
         out = [
             MAGIC,
-            struct.pack("<QBI", self.n, len(self.planes), len(doc_ids)),
+            struct.pack("<QBI", self.n, len(self.zeros), len(doc_ids)),
             known.tobytes(),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array(lengths, "<u4").tobytes(),
         ]
-        for plane, zeros, ones in zip(self.planes, self.zeros, self.ones, strict=True):
-            out += [struct.pack("<Q", zeros), plane.tobytes(), ones.astype("<u4").tobytes()]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for k, (zeros, ones) in enumerate(zip(self.zeros, self.ones, strict=True)):
+            frame = pack(self.plane(k).tobytes())
+            out += [struct.pack("<QQ", zeros, len(frame)), frame, ones.astype("<u4").tobytes()]
         body = b"".join(out)
         return body + struct.pack("<I", zlib.crc32(body))
 
@@ -159,7 +174,7 @@ class WaveletMatrix:
         planes, zeros, ones = [], [], []
         for _ in range(width):
             zeros.append(int(take("<u8", 1)[0]))
-            planes.append(take("u1", (n + 7) // 8))
+            planes.append(take("u1", int(take("<u8", 1)[0])).tobytes())
             ones.append(take("<u4", (n + 7) // 8 // (BLOCK // 8) + 2))
         return cls(n, planes, zeros, ones), [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths
 
@@ -249,9 +264,11 @@ def read_store(store: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def offsets(store: DataFrame) -> DataFrame:
-    """``before``: tokens of all earlier shards. One small row per shard of a million tokens is ordered in one task."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return store.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
+    """``before``: tokens of all earlier shards; one task orders the sums of the parts, the shards of a part are ordered apart."""
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = store.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", earlier(Window.orderBy("part")).alias("base"))
+    inside = store.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("inside"))
+    return inside.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("before"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
