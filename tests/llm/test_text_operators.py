@@ -30,13 +30,23 @@ def test_pretokens_follow_the_pattern(text):
     assert pretokens.pretokens(text) == regex.findall(public_tokenizers.PATTERN, text)
 
 
-@given(st.text(alphabet=" \n'slé7,ab中", max_size=120), st.integers(12, 30), st.integers(2, 10))
-@settings(max_examples=400, deadline=None)
-def test_stitching_gives_the_whole_text(text, chunk, overlap):
-    parts = [(at, c, pretokens.boundaries(c)) for at, c in bpe_chunks.cut(text, chunk, overlap)]
-    assert "".join(bpe_chunks.stitch(parts)) == text
-    if text:
-        assert bpe_chunks.stitch(parts) == pretokens.pretokens(text)
+@given(st.text(alphabet=" \n\t'slé7,ab中\u3000\x1c\xa0", max_size=60), st.integers(0, 60))
+@settings(max_examples=600, deadline=None)
+def test_sure_boundaries_hold_whatever_stands_before(text, at):
+    if 0 < at < len(text) and bpe_chunks.sure(text, at):
+        assert all(at - k in pretokens.boundaries(text[k:]) for k in range(at))
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(12, 4), (25, 7), (40, 20)])
+def test_stitching_gives_the_whole_text(spark, chunk, overlap):
+    import tiktoken
+
+    rng = random.Random(chunk)
+    alphabets = [" \n'slé7,ab中", "ab ", "abc", ",.7a", " \n\t", "中文，é"]
+    rows = [(i // 2, "".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 300)))) for i in range(160)] + [(None, "x y" * 50), (7, "q" * 400 + " z" * 80)]
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.read_ranks(RANKS), special_tokens={})
+    got = bpe_chunks.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, chunk=chunk, overlap=overlap).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), encoding.encode_ordinary(t)) for i, t in rows)
 
 
 def test_bpe_as_the_library_does(spark, odd):
@@ -50,11 +60,43 @@ def test_bpe_as_the_library_does(spark, odd):
 
 
 def test_op9_digests(spark, sf_dir):
+    import tiktoken
+
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.read_ranks(RANKS), special_tokens={})
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: r for r in bpe_chunks.op9(spark, sf_dir).collect()}
     assert set(got) == set(docs)
     for i, text in docs.items():
-        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        ids = encoding.encode_ordinary(text)
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_op5_limit(spark, sf_dir):
+    library = pretokens.library_tokenizer(JSON)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in token_counts.op5(spark, sf_dir).collect():
+        n = len(library.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 512)
+
+
+def test_op6_digests_and_direct_cosine_sums(spark, sf_dir):
+    import math
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in png_media.op6(spark, sf_dir).collect():
+        data = docs[r.doc_id].encode()
+        payload = data + b"\xff" * (max(1, math.ceil(len(data) / 576)) * 576 - len(data))
+        image = png_media.write_png(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest())
+    grid = np.arange(32 * 576, dtype=np.uint8).reshape(32, 576)
+    means = [[grid[y, 18 * x : 18 * x + 18].mean() for x in range(32)] for y in range(32)]
+    cos = [[math.cos(math.pi * (2 * x + 1) * u / 64) for x in range(32)] for u in range(8)]
+    sums = [sum(means[y][x] * cos[v][y] * cos[u][x] for y in range(32) for x in range(32)) for v in range(8) for u in range(8)]
+    middle = float(np.median(sums[1:]))
+    want = "".join("01"[round(s, 6) > middle] for s in sums)
+    assert "".join(f"{b:08b}" for b in png_media.cosine_hash(grid)) == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
@@ -164,5 +206,11 @@ def test_wu_manber_against_brute_force(spark, monkeypatch, chars):
     assert wu_manber.clean(d, b.limit(0)).count() == len(docs) and wu_manber.find(d.limit(0), b).count() == 0
 
 
+def test_clean_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "h", 5), (2, "c d", None, 6)], "doc_id long, text string, wl_hits string, Wl_items int")
+    bench = spark.createDataFrame([(1, "C D")], "item_id long, text string")
+    assert [tuple(r) for r in wu_manber.clean(docs, bench).collect()] == [(1, "a b", "h", 5)]
+
+
 def test_op7_matches_sql(spark, sf_dir, same_rows):
     same_rows(wu_manber.op7(spark, sf_dir), wu_manber.OP7_SQL)

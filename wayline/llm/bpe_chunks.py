@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
-A text of up to CHUNK characters is one chunk. A longer one is cut into chunks that overlap by OVERLAP characters; the
-chunks are pre-tokenised in parallel, and the chunks of a document are stitched at the first pre-token boundary that
-both neighbours have in their overlap. What a pre-token matches depends only on the text after its start, so from a
-common boundary on both chunks agree. Where an overlap has no common boundary (a run of thousands of letters), the two
-chunks are joined and pre-tokenised as one, so the result is always that of the whole text.
+A text of up to CHUNK characters is one chunk. A longer one is cut into chunks that overlap by OVERLAP characters and are
+dealt out, so that the chunks of one text are pre-tokenised in parallel. Neighbours are stitched at a pre-token boundary
+that both have in their overlap. What a pre-token matches depends only on the text after its start, so from a common
+boundary on both chunks agree; it is a boundary of the whole text if the earlier chunk's are, or if white space follows
+other characters there, for no pre-token contains that. The pieces between such boundaries are encoded in parallel; where
+an overlap has none (a run of thousands of letters), its chunks are joined into one piece. So the result is always that of
+the whole text, whose ids are then put together in order.
 
 Defined cases: a null text is the empty text; an empty text has no ids; rows with equal ids or equal texts each give
 their own row; an empty table gives an empty result; a null id stays null.
@@ -19,11 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm import common
-from wayline.llm.pretokens import Pieces, boundaries, pretokens, read_ranks
+from wayline.llm.pretokens import _OUTSIDE, Pieces, boundaries, pretokens, read_ranks
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -37,16 +39,16 @@ def _pieces(path: str) -> Pieces:
 
     encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
     single = encoding._encode_single_piece  # one pre-token, as encode_ordinary encodes each of its matches
-    return Pieces(lambda pieces: [array("I", single(p)).tobytes() for p in pieces])
+    return Pieces(lambda pieces: {p: array("I", single(p)).tobytes() for p in pieces})
 
 
 @lru_cache(2)
-def _vocabulary(path: str) -> list[bytes]:
+def _vocabulary(path: str) -> pa.BinaryArray:
     ranks = read_ranks(path)
     out = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, i in ranks.items():
         out[i] = piece
-    return out
+    return pa.array(out, pa.binary())
 
 
 def encode_texts(texts: list[list[str]], ranks_path: str) -> pa.ListArray:
@@ -56,9 +58,13 @@ def encode_texts(texts: list[list[str]], ranks_path: str) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
-def decode_ids(ids, ranks_path: str) -> bytes:
-    """The bytes of ids: their vocabulary entries one after the other."""
-    return b"".join(map(_vocabulary(ranks_path).__getitem__, ids))
+def decode_ids(ids: pa.ListArray, ranks_path: str) -> pa.BinaryArray:
+    """The bytes of each list of ids: their vocabulary entries one after the other."""
+    first, last = (ids.offsets[k].as_py() for k in (0, len(ids)))
+    entries = _vocabulary(ranks_path).take(ids.values.slice(first, last - first))
+    places = np.frombuffer(entries.buffers()[1], np.int32)[: len(entries) + 1] if len(entries) else np.zeros(1, np.int32)
+    ends = places[np.asarray(ids.offsets) - first]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), entries.buffers()[2] or pa.py_buffer(b"")])
 
 
 def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
@@ -71,23 +77,17 @@ def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
         at += chunk - overlap
 
 
-def stitch(chunks: list[tuple[int, str, list[int]]]) -> list[str]:
-    """Pre-tokens of the whole text from (offset, chunk, boundaries in the chunk), in order of offset."""
-    at, text, starts = chunks[0]
-    out: list[str] = []
-    for next_at, next_text, next_starts in chunks[1:]:
-        # A pre-token is settled if it ends two characters before the end of its chunk: none looks further ahead.
-        shift, settled = next_at - at, len(text) - 2
-        ours = {b for b, end in zip(starts, starts[1:]) if b >= shift and end <= settled}
-        meet = next((b for b in next_starts if b + shift in ours), None)
-        if meet is None:
-            text += next_text[len(text) - shift :]
-            starts = boundaries(text)
-            continue
-        ends = [b for b in starts if b <= meet + shift]
-        out += [text[a:b] for a, b in zip(ends, ends[1:])]
-        at, text, starts = next_at + meet, next_text[meet:], [b - meet for b in next_starts if b >= meet]
-    return out + [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+def edges(text: str, overlap: int) -> tuple[list[int], list[int]]:
+    """A chunk's pre-token boundaries in its first ``overlap`` characters, and those in its last that no text behind it can change."""
+    starts = boundaries(text)
+    # A pre-token is settled if it ends two characters before the end of the chunk: none looks further ahead.
+    settled, shift = len(text) - 2, len(text) - overlap
+    return [b for b in starts if b < overlap], [b for b, end in zip(starts, starts[1:]) if b >= shift and end <= settled]
+
+
+def sure(text: str, b: int) -> bool:
+    """Whether ``b`` is a boundary whatever stands before: white space after another character."""
+    return b > 0 and text[b].isspace() and not text[b - 1].isspace() and not _OUTSIDE.search(text[b - 1 : b + 1])
 
 
 def encode(
@@ -104,32 +104,89 @@ def encode(
                 ids = encode_texts([pretokens(t) for t in part.column(1).to_pylist()], ranks_path)
                 yield pa.record_batch([part.column(0), ids], [id_col, "ids"])
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if 2 * overlap > chunk:  # a chunk's two overlaps must not cross
+        raise ValueError("overlap is more than half of a chunk")
+    long = F.length(text_col) > chunk
+    short_rows = rows.filter(~long).mapInArrow(whole, schema)
+    return short_rows.unionByName(_encode_long(rows.filter(long), ranks_path, chunk, overlap))
+
+
+def _encode_long(rows: DataFrame, ranks_path: str, chunk: int, overlap: int) -> DataFrame:
+    """``encode`` for (id, text) rows of more than ``chunk`` characters."""
+    id_col, text_col = rows.columns
+    id_type = rows.schema[id_col].dataType.simpleString()
+
+    def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 key, text, tag = (batch.column(i)[row] for i in range(3))
-                for at, part in cut(text.as_py(), chunk, overlap):
+                parts = list(cut(text.as_py(), chunk, overlap))
+                for lo in range(0, len(parts), 32):
+                    some = parts[lo : lo + 32]
+                    n = len(some)
                     yield pa.record_batch(
-                        [pa.array([key.as_py()], key.type), pa.array([tag.as_py()], pa.int64()), pa.array([at], pa.int64()), pa.array([part]), pa.array([boundaries(part)], pa.list_(pa.int32()))],
-                        [id_col, "wl_tag", "wl_at", "wl_chunk", "wl_starts"],
-                    )
+                        [pa.repeat(tag, n), pa.array(range(lo, lo + n), pa.int64()), pa.repeat(key, n), pa.array([at for at, _ in some], pa.int64()), pa.array([t for _, t in some])],
+                        ["tag", "no", "id", "at", "text"],
+                    )
 
-    def stitched(group: pa.Table) -> pa.Table:
-        group = group.sort_by("wl_at")
-        parts = list(zip(*(group.column(c).to_pylist() for c in ("wl_at", "wl_chunk", "wl_starts")), strict=True))
-        ids = encode_texts([stitch(parts)], ranks_path)
-        return pa.table([group.column(id_col).slice(0, 1), ids], [id_col, "ids"])
+    def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 32):
+                heads, tails, sures = [], [], []
+                for at, text in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    head, tail = edges(text, overlap)
+                    heads.append([at + b for b in head])
+                    tails.append([at + b for b in tail])
+                    sures.append([at + b for b in head if sure(text, b)])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails, sures)]
+                yield pa.record_batch([*part.columns, *lists], [*part.schema.names, "head", "tail", "sure"])
+
+    tagged = rows.select(id_col, text_col, F.monotonically_increasing_id().alias("tag"))  # tells rows with equal ids and texts apart
+    dealt = tagged.mapInArrow(cut_rows, f"tag long, no long, id {id_type}, at long, text string").repartition("tag", "no")
+    chunks = common.written(dealt.mapInArrow(edge_rows, f"tag long, no long, id {id_type}, at long, text string, head array<long>, tail array<long>, sure array<long>"), "chunks")
+
+    # Where the chunk meets the one before it, and whether that is a boundary of the whole text.
+    before = chunks.select("tag", (F.col("no") + 1).alias("no"), "tail")
+    both = chunks.select("tag", "no", "at", F.length("text").alias("n"), "head", "sure").join(before, ["tag", "no"], "left")
+    surely, either = (F.array_min(F.array_intersect(c, "tail")) for c in ("sure", "head"))
+    seams = both.select("tag", "no", "at", "n", surely.isNotNull().alias("surely"), F.coalesce(surely, either).alias("meet"))
+    so_far = Window.partitionBy("tag").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    last_sure = F.max(F.when(F.col("surely") | (F.col("no") == 0), F.col("no"))).over(so_far)
+    last_none = F.max(F.when(F.col("meet").isNull() & (F.col("no") > 0), F.col("no"))).over(so_far)
+    cuts = seams.select("tag", "no", "at", "n", F.when(F.col("no") == 0, 0).when(last_sure > F.coalesce(last_none, F.lit(-1)), F.col("meet")).alias("start"))
+    next_start = F.lead("start").over(Window.partitionBy("tag").orderBy("no"))
+    spans = cuts.select(
+        "tag", "no", F.count("start").over(so_far).alias("piece"),
+        (F.coalesce("start", F.col("at") + overlap) - F.col("at")).alias("lo"), F.coalesce(next_start - F.col("at"), "n").alias("hi"),
+    )
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def encoded() -> pa.RecordBatch:
+            ids = encode_texts([pretokens("".join(p[4][p[5] : p[6]] for p in g)) for g in held], ranks_path)
+            firsts = [g[0] for g in held]
+            return pa.record_batch([pa.array([f[0] for f in firsts], pa.int64()), pa.array([f[1] for f in firsts], pa.int64()), pa.array([f[3] for f in firsts], id_arrow), ids], ["tag", "piece", "id", "ids"])
 
-    long = F.length(text_col) > chunk
-    short_rows = rows.filter(~long).mapInArrow(whole, schema)
-    long_rows = (
-        rows.filter(long)
-        .withColumn("wl_tag", F.monotonically_increasing_id())  # tells rows with equal ids and texts apart
-        .mapInArrow(chunks, f"`{id_col}` {id_type}, wl_tag bigint, wl_at bigint, wl_chunk string, wl_starts array<int>")
-        .groupBy("wl_tag")
-        .applyInArrow(stitched, schema)
-    )
-    return short_rows.unionByName(long_rows)
+        for batch in batches:
+            id_arrow = batch.schema.field(3).type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0][:2] == row[:2]:
+                    held[-1].append(row)
+                    continue
+                if len(held) == 32:
+                    yield encoded()
+                    held = []
+                held.append([row])
+        if held:
+            yield encoded()
+
+    met = chunks.select("tag", "no", "id", "text").join(spans.hint("merge"), ["tag", "no"]).select("tag", "piece", "no", "id", "text", "lo", "hi")
+    met = met.repartition("tag", "piece").sortWithinPartitions("tag", "piece", "no")
+    found = met.mapInArrow(pieces, f"tag long, piece long, id {id_type}, ids array<int>")
+    parts = F.array_sort(F.collect_list(F.struct("piece", "ids")))
+    whole = found.groupBy("tag").agg(F.first("id").alias(id_col), F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    return whole.select(id_col, "ids")
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -144,8 +201,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                data = [decode_ids(ids, ranks_path) for ids in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(data, pa.binary())], [id_col, "ids", "decoded"])
+                yield pa.record_batch([part.column(0), part.column(1), decode_ids(part.column(1), ranks_path)], [id_col, "ids", "decoded"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded binary")
 
