@@ -6,7 +6,7 @@ The field is trained on labelled pages written from varied layouts (no table of
 Viterbi; the blocks labelled main are joined in page order.
 
 Defined cases: a null or empty page has the empty text; unclosed, stray and crossing tags are closed as browsers do; an
-unclosed script, style or comment runs to the end; rows with equal ids each give their own row; an empty table gives none.
+unclosed script, style or comment runs to the end; character references are decoded inside a piece of text, never across a tag; rows with equal ids each give their own row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ BLOCK = frozenset(
     "head header hgroup hr html li legend main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th "
     "thead tr ul button label".split()
 )
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
+RAW = frozenset("script style template textarea title svg iframe canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -41,8 +42,12 @@ CLOSES = {
 _ENDS_P = BLOCK - {"button", "label", "option", "optgroup", "select", "legend", "summary", "body", "html", "head"}
 _SCOPES = frozenset(("article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "th", "ul", "ol"))
 
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
+QUOTES = 64  # quoted values looked through for a tag's end; a tag with more ends at its first >
 _SPACE = re.compile(r"\s+")
+_RAW_END = {name: re.compile(f"</{name}[\\s/>]", re.I) for name in RAW}
+_LISTS = frozenset(("ul", "ol", "dl", "table", "select"))
 
 TAGS = "article main section nav header footer aside form ul ol li table td p h1 h2 h3 h4 figure figcaption blockquote pre dl button label div".split()
 HINTS = tuple(
@@ -67,70 +72,129 @@ OWN = len(TAGS) + len(HINTS) + TEXT_FEATURES + 2
 @dataclass
 class Block:
     text: str
-    tags: frozenset
-    marks: str
+    around: bytes  # per name of TAGS and pattern of HINTS, whether an open element has it
     linked: int
 
 
+class _Open:
+    """The open elements: what they count for, and where the last of each name stands, so that no step walks the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.counts = [0] * (len(TAGS) + len(HINTS))
+
+    def push(self, name: str, marks: str) -> None:
+        own = _counted(name, marks)
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, own))
+        for k in own:
+            self.counts[k] += 1
+
+    def close(self, name: str, scope: frozenset = frozenset()) -> None:
+        """Close the last element of that name and what is inside, unless an element of ``scope`` is open inside it."""
+        at = self.places.get(name)
+        if not at or any(inner[-1] > at[-1] for s in scope if (inner := self.places.get(s))):
+            return
+        for other, own in reversed(self.stack[(keep := at[-1]) :]):
+            self.places[other].pop()
+            for k in own:
+                self.counts[k] -= 1
+        del self.stack[keep:]
+
+    def around(self) -> bytes:
+        return bytes(map(bool, self.counts))
+
+
+@lru_cache(4096)
+def _counted(name: str, marks: str) -> tuple[int, ...]:
+    """Places of an element's name and hints in ``Block.around``."""
+    hints = [len(TAGS) + k for k, h in enumerate(HINTS) if marks and h.search(marks)]
+    return (TAGS.index(name), *hints) if name in TAGS else tuple(hints)
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Behind the > that ends the tag: the first outside quotes, or the first of all where quotes are not closed."""
+    k = at
+    for _ in range(QUOTES):
+        k = _PLAIN.match(page, k).end()
+        if k == len(page):
+            break
+        if page[k] == ">":
+            return k + 1
+        if k >= last[page[k]]:
+            break
+        k = page.index(page[k], k + 1) + 1
+    return page.index(">", at) + 1
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+    """Leaf blocks with text, in page order, by one scan over the page."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    open_ = _Open()
     parts: list[str] = []
     at, linked, in_link, end = 0, 0, False, len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}
+
+    def text(piece: str) -> None:
+        nonlocal linked
+        if piece:
+            parts.append(html.unescape(piece))
+            linked += in_link * len(parts[-1])
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                out.append(Block(text, frozenset(t for t, _ in stack), " ".join(m for _, m in stack if m), linked))
+            joined = _SPACE.sub(" ", "".join(parts)).strip()
+            if joined:
+                out.append(Block(joined, open_.around(), linked))
             parts.clear()
         linked = 0
 
-    def close(name: str, scope: frozenset = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
-
+    start = 0  # of the text at hand
     while at < end:
-        m = _TAG.search(page, at)
-        piece = page[at : m.start() if m else end]
-        if piece:
-            parts.append(piece)
-            linked += in_link * len(piece)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
             break
-        at = m.end()
-        if m[1]:  # a comment
-            at = end if (stop := page.find("-->", m.start() + 4)) < 0 else stop + 3
+        if lt > last[">"]:  # no tag ends any more, but a comment may begin
+            if (comment := page.find("<!--", lt)) >= 0:
+                text(page[start:comment])
+                start = end
+            break
+        closing = page.startswith("/", lt + 1)
+        m = _NAME.match(page, lt + 1 + closing)
+        if not m and page[lt + 1 : lt + 2] not in ("!", "?", "/"):
+            at = lt + 1  # a bare <
+            continue
+        text(page[start:lt])
+        if not m:
+            stop = page.find("-->", lt + 4) + 3 if page.startswith("!--", lt + 1) else page.index(">", lt) + 1
+            start = at = stop if stop > 2 else end  # an unclosed comment runs to the end
             continue
-        name = (m[3] or m[6] or "").lower()
-        closing, marks = m[2] or m[5], (m[4] or m[7] or "").lower()
+        start = at = _tag_end(page, m.end(), last)
+        name, marks = m[0].lower(), page[m.end() : at - 1].lower()
         if name == "a":
             in_link = not closing
         elif name == "br":
             parts.append(" ")
         elif name in RAW:
             if not closing and not marks.endswith("/"):
-                stop = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
-                at = end if stop is None else page.find(">", stop.start()) + 1 or end
+                stop = _RAW_END[name].search(page, at)
+                start = at = end if stop is None else page.find(">", stop.start()) + 1 or end
             if name in ("title", "textarea"):
                 flush()
         elif name in BLOCK:
             flush()
             if closing:
-                close(name, _SCOPES - {name} if name in ("p", "li") else frozenset())
+                open_.close(name, _SCOPES - {name} if name in ("p", "li") else frozenset())
             else:
                 if name in _ENDS_P:
-                    close("p", _SCOPES)
+                    open_.close("p", _SCOPES)
                 for other in CLOSES.get(name, ()):
-                    close(other, frozenset(("ul", "ol", "dl", "table", "select")))
+                    open_.close(other, _LISTS)
                 if name not in VOID:
-                    stack.append((name, marks if "=" in marks else ""))
+                    open_.push(name, marks if "=" in marks else "")
+    text(page[start:])
     flush()
     return out
 
@@ -139,13 +203,9 @@ def features(found: list[Block]) -> np.ndarray:
     """Own features of a page's blocks, and the text features of the blocks before and after."""
     own = np.zeros((len(found), OWN))
     texts = np.zeros((len(found), TEXT_FEATURES))
-    hints: dict[str, list[bool]] = {}
-    n_tags, n_hints = len(TAGS), len(HINTS)
+    n_around = len(TAGS) + len(HINTS)
     for i, b in enumerate(found):
-        own[i, :n_tags] = [t in b.tags for t in TAGS]
-        if b.marks not in hints:
-            hints[b.marks] = [bool(h.search(b.marks)) for h in HINTS]
-        own[i, n_tags : n_tags + n_hints] = hints[b.marks]
+        own[i, :n_around] = np.frombuffer(b.around, np.uint8)
         t, n = b.text, len(b.text)
         letters = sum(map(str.isalpha, t)) if n < 200 else n
         texts[i] = (
@@ -153,7 +213,7 @@ def features(found: list[Block]) -> np.ndarray:
             letters / n < 0.6, t[0] == "©" or "©" in t[:40] or "copyright" in t[:60].lower(), "|" in t or "·" in t or "»" in t or "›" in t, t[0].isupper(), n < 80 and t.count(" ") < 3,
         )
         own[i, -2:] = i == 0, i == len(found) - 1
-    own[:, n_tags + n_hints : -2] = texts
+    own[:, n_around:-2] = texts
     before, after = np.zeros_like(texts), np.zeros_like(texts)
     before[1:], after[:-1] = texts[:-1], texts[1:]
     return np.concatenate([own, before, after], 1)
