@@ -1,10 +1,11 @@
-"""Toxicity severity by cumulative-link ordinal regression on sparse word features.
+"""Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Grades: 0 for a document marked clean; 1 to 3 for a marked one, by the tercile of how many of its words the marked rows
-hold far more often than the clean ones. One weight per word is shared by the three ordered thresholds:
-P(grade > k) = sigmoid(w x - theta_k). The expected severity is the sum of the three probabilities; a document is toxic if
-P(grade > 0) is 0.5 or more. Words are counted over the labelled rows by Spark; the words with the strongest evidence are
-the features, and the fit uses a bounded sample of rows with those features alone.
+Features are a text's words and the beginnings of its words, which words of one stem share. Grades: 0 for a document
+marked clean; 1 to 3 for a marked one, by the tercile of how many of its features the marked rows hold far more often than
+the clean ones. One weight per feature is shared by the three ordered thresholds: P(grade > k) = sigmoid(w x - theta_k).
+The expected severity is the sum of the three probabilities; a document is toxic if P(grade > 0) is 0.5 or more. Features
+are counted by Spark over a bounded sample of labelled rows (TRAIN_DOCS), those with the strongest evidence are kept, and
+the fit uses the same rows.
 
 Defined cases: a null text is the empty text, and an empty text has no features and its grade's base rate; rows with equal
 ids each give their own row; labels that are null or without a document are not used; without marked or clean rows every
@@ -17,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +31,42 @@ from wayline.llm.quality_crf import training_rows
 from wayline.llm.wu_manber import words
 
 TRAIN_DOCS = 6_000  # labelled documents that are counted and fitted at most
-FEATURES = 2_000  # words with the strongest evidence
+FEATURES = 2_000  # words and beginnings with the strongest evidence
+STEMS = (4, 5, 6, 7)  # characters of a word's beginnings that are features beside the word
 GRADES = 4
 
 
 @dataclass
 class SeverityModel:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     thresholds: np.ndarray  # ascending, one less than grades
 
     def severities(self, texts: list[str]) -> np.ndarray:
         """P(grade > k) for each text and k."""
-        get = self.weights.get
+        used = lru_cache(200_000)(lambda word: tuple(filter(self.weights.__contains__, forms(word))))
         pull = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            found = Counter(filter(self.weights.__contains__, words(text)))
-            if found:
-                pull[i] = sum(get(w) * math.log1p(n) for w, n in sorted(found.items()))
+            found: dict[str, int] = {}
+            for word, n in Counter(words(text)).items():
+                for form in used(word):
+                    found[form] = found.get(form, 0) + n
+            pull[i] = sum(self.weights[form] * math.log1p(n) for form, n in sorted(found.items()))
         return 1 / (1 + np.exp(self.thresholds - pull[:, None]))
 
 
+def forms(word: bytes) -> list[str]:
+    """A word's features: itself, and its beginnings of STEMS characters, which words of one stem share."""
+    w = word.decode("utf-8", "replace")
+    return [w, *(f"{w[:k]}*" for k in STEMS if len(w) > k)]
+
+
 def _word_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, limit: int) -> DataFrame:
     """Labelled rows as their distinct words and counts, made in the tasks and kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [Counter(words(t)) for t in batch.column(0).to_pylist()]
-            held = [[w.decode("utf-8", "replace") for w in r] for r in rows]
+            rows = [Counter(f for w in words(t) for f in forms(w)) for t in batch.column(0).to_pylist()]
+            held = [list(r) for r in rows]
             yield pa.record_batch([batch.column(1), batch.column(2).cast(pa.int64()), pa.array(held, pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], ["mark", "id", "held", "n"])
 
     rows = training_rows(docs, labels, label_col, id_col, limit)
@@ -97,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     cuts = np.quantile(weight[mark], [1 / 3, 2 / 3])
     grade = np.where(mark, 1 + (weight[:, None] > cuts).sum(1), 0)
     w, thresholds = fit_ordinal(x, grade, GRADES)
-    return SeverityModel({word.encode(): float(w[i]) for word, i in place.items() if abs(w[i]) > 1e-4}, thresholds)
+    return SeverityModel({word: float(w[i]) for word, i in place.items() if abs(w[i]) > 1e-4}, thresholds)
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.5, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
