@@ -67,7 +67,11 @@ class CRF:
 
     def marginals(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Each position's probability of each label, by forward-backward."""
-        return self._marginals(self._emit(x), _Order(lengths))[0]
+        return self.marginals_of(self._emit(x), lengths)
+
+    def marginals_of(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``marginals`` from the positions' label scores."""
+        return self._marginals(emit, _Order(lengths))[0]
 
     def viterbi(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The most likely labels of each sequence; ties go to the lower label."""

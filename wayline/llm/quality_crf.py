@@ -26,6 +26,7 @@ from wayline.llm.optimise import minimise
 from wayline.llm.spans import span_hashes
 
 TRAIN_DOCS = 3_000  # labelled documents that the field is fitted on at most
+BATCH_CHARS = 2_000_000  # of texts that are described together, beyond one
 GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r", b".,;:", b"!", b"?", b"|", b"#$%&*", b"'\"()[]{}<>", b"-_=+/\\@~^`")
 _KIND = np.full(256, len(GROUPS), np.uint8)  # the last kind: bytes beyond ASCII and control characters
 for _k, _group in enumerate(GROUPS):
@@ -36,6 +37,12 @@ OWN = KINDS + 7
 
 def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line features of all texts (own, before, after), lines per text, bytes per line."""
+    own, lengths, sizes = lines(texts)
+    return _with_neighbours(own, lengths), lengths, sizes
+
+
+def lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features of all lines, lines per text, bytes per line."""
     data = ("\n".join(texts)).encode("utf-8", "surrogatepass")
     lengths = np.array([t.count("\n") + 1 for t in texts], np.int64)
     buffer = np.frombuffer(data + b"\n", np.uint8)
@@ -59,7 +66,7 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[:, KINDS + 2] = sizes == 0
     own[:, KINDS + 3] = np.log1p(words) / 5
     own[:, KINDS + 4 :] = _repeats(buffer, starts, ends, lengths)
-    return _with_neighbours(own, lengths), lengths, sizes
+    return own, lengths, sizes
 
 
 def _repeats(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -103,15 +110,27 @@ class QualityModel:
             return np.zeros(0)
         if self.field is None:
             return np.full(len(texts), 1 / (1 + np.exp(-self.shift)))
-        return self._curve(*describe(texts))
+        own, lengths, sizes = lines(texts)
+        odds = evidence(self.field.marginals_of(_emissions(self.field, own, lengths), lengths), lengths, sizes)
+        return 1 / (1 + np.exp(-(self.slope * odds + self.shift)))
+
 
-    def _curve(self, x: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * evidence(self.field, x, lengths, sizes) + self.shift)))
+def _emissions(field: CRF, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Label scores of all lines: as of ``_with_neighbours``, which would take three times the memory."""
+    mine, before, after = np.split(field.weights[:-1], 3)
+    starts = np.cumsum(lengths) - lengths
+    emit = own @ mine + field.weights[-1]
+    from_before, from_after = (own @ before)[:-1], (own @ after)[1:]
+    inner = np.ones(len(own), bool)
+    inner[starts] = False
+    emit[1:][inner[1:]] += from_before[inner[1:]]
+    emit[:-1][inner[1:]] += from_after[inner[1:]]
+    return emit
 
 
-def evidence(field: CRF, x: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def evidence(marginals: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Log odds of the length-weighted mean marginal of "good" in each text."""
-    good = field.marginals(x, lengths)[:, 1]
+    good = marginals[:, 1]
     weight = sizes + 1.0
     starts = np.cumsum(lengths) - lengths
     mean = np.clip(np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts), 1e-6, 1 - 1e-6)
@@ -151,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     lengths = np.array([len(s) for s in sizes])
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, 3 * OWN) for r in rows]).astype(np.float64)
     field = CRF.fit(x, np.repeat(marks, lengths), lengths, l2=1.0, steps=60)
-    odds = evidence(field, x, lengths, np.concatenate(sizes))
+    odds = evidence(field.marginals(x, lengths), lengths, np.concatenate(sizes))
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         z = p[0] * odds + p[1]
@@ -169,10 +188,10 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(model.scores(texts), pa.float64())], [*kept, name])
+            texts = [t or "" for t in whole.column(text_col).to_pylist()]
+            for lo, hi in common.by_size(texts, 512, BATCH_CHARS):
+                batch = whole.slice(lo, hi - lo)
+                yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(model.scores(texts[lo:hi]), pa.float64())], [*kept, name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema), f"`{name}` double"])
     return docs.select(kept).mapInArrow(run, schema)
@@ -180,7 +199,8 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: st
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """The documents whose quality is 0.5 or more, with their columns as they are."""
-    return score(docs, model, text_col, "wl_score").filter(F.col("wl_score") >= 0.5).select(docs.columns)
+    name = common.unused(docs.columns, "wl_score")
+    return score(docs, model, text_col, name).filter(F.col(name) >= 0.5).select(docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def find(
 ) -> DataFrame:
     """Each document's ``n_words``, ``hits`` (flat word ranges) and ``items`` (ids as strings, sorted).
 
-    With ``keep`` the rows keep all their columns, and the three are added under names with the prefix ``wl_``.
+    With ``keep`` the rows keep all their columns, and the three come behind them under names that ``added_names`` gives.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("text")).dropna()
@@ -111,7 +111,8 @@ def find(
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     out = docs if keep else common.id_and_text(docs, id_col, text_col)
     kept = out.columns
-    added = {"wl_n_words": pa.int64(), "wl_hits": pa.list_(pa.int32()), "wl_items": pa.list_(pa.string())}
+    words_as, hits_as, items_as = added_names(kept)
+    added = {words_as: pa.int64(), hits_as: pa.list_(pa.int32()), items_as: pa.list_(pa.string())}
     for block in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else bench
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # bounded by BLOCK_CHARS and one item
@@ -125,7 +126,7 @@ def find(
                 for lo in range(0, whole.num_rows, 512):
                     batch = whole.slice(lo, 512)
                     n, hits, items = [], [], []
-                    before = [None] * batch.num_rows if first else list(zip(batch.column("wl_hits").to_pylist(), batch.column("wl_items").to_pylist(), strict=True))
+                    before = [None] * batch.num_rows if first else list(zip(batch.column(hits_as).to_pylist(), batch.column(items_as).to_pylist(), strict=True))
                     for text, was in zip(batch.column(text_col).to_pylist(), before, strict=True):
                         w = words(text or "")
                         spans, found = scan(w, searches)
@@ -138,11 +139,17 @@ def find(
                     values = [pa.array(x, t) for x, t in zip((n, hits, items), added.values(), strict=True)]
                     yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *values], [*kept, *added])
 
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(kept).schema), "wl_n_words long, wl_hits array<int>, wl_items array<string>"])
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(kept).schema), f"`{words_as}` long, `{hits_as}` array<int>, `{items_as}` array<string>"])
         out = out.mapInArrow(run, schema)
     if keep:
         return out
-    return out.select(id_col, F.col("wl_n_words").alias("n_words"), F.col("wl_hits").alias("hits"), F.col("wl_items").alias("items"))
+    return out.select(id_col, F.col(words_as).alias("n_words"), F.col(hits_as).alias("hits"), F.col(items_as).alias("items"))
+
+
+def added_names(columns: list[str]) -> tuple[str, str, str]:
+    """Names for the words, hits and items of ``find`` that none of the columns has."""
+    words_as, hits_as, items_as = (common.unused(columns, f"wl_{x}") for x in ("n_words", "hits", "items"))
+    return words_as, hits_as, items_as
 
 
 def n_hit(hits: str) -> F.Column:
@@ -152,7 +159,7 @@ def n_hit(hits: str) -> F.Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without any benchmark window, with their columns as they are."""
-    return find(docs, benchmark, text_col=text_col, keep=True).filter(F.size("wl_hits") == 0).select(docs.columns)
+    return find(docs, benchmark, text_col=text_col, keep=True).filter(F.size(added_names(docs.columns)[1]) == 0).select(docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
