@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.windows import running_total
+
 
 def top_value(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Per key the most frequent value (the least on a tie), its ``support`` and the key's ``total``; nulls don't count.
@@ -100,13 +102,17 @@ def concentration(df: DataFrame, key: str, buckets: list[tuple[str, int, int | N
 def midpoint_percentile(groups: DataFrame, baseline: DataFrame, group: str, x: str, v: str) -> DataFrame:
     """Where each group's ``x`` stands in the baseline's values: 100 (below + half of equal) / all.
 
-    The baseline is first counted per value; each group then meets value counts, not rows.
+    Values' counts and groups are added up in one order, each group before the values equal to its own; no group meets the
+    values one by one.
     """
-    counts = baseline.groupBy(F.col(v).alias("wl_v")).agg(F.count("*").alias("wl_n"))
-    hit = groups.select(group, x).join(F.broadcast(groups.select(F.col(group).alias("wl_g"))), F.col(group) == F.col("wl_g")).drop("wl_g")
-    pairs = counts.join(F.broadcast(hit))
-    below = F.sum(F.when(F.col("wl_v") < F.col(x), F.col("wl_n")).when(F.col("wl_v") == F.col(x), F.col("wl_n") / 2).otherwise(0.0))
-    return pairs.groupBy(group, x).agg(F.round(100 * below / F.sum("wl_n"), 6).alias("percentile"))
+    nobody = F.lit(None).cast(groups.schema[group].dataType)
+    counts = baseline.groupBy(F.col(v).cast("double").alias("wl_v")).agg(F.count("*").alias("wl_n"))
+    rows = counts.select("wl_v", "wl_n", nobody.alias(group), F.lit(1).alias("wl_k"))
+    rows = rows.unionByName(groups.select(F.col(x).cast("double").alias("wl_v"), F.lit(0).cast("long").alias("wl_n"), group, F.lit(0).alias("wl_k")))
+    below = running_total(rows, [F.col("wl_v"), F.col("wl_k"), F.col(group)], "wl_n", "wl_below").filter("wl_k = 0").select(group, "wl_v", "wl_below")
+    placed = below.join(counts.withColumnRenamed("wl_n", "wl_e"), "wl_v", "left").join(F.broadcast(counts.agg(F.sum("wl_n").alias("wl_t"))))
+    at = F.round(100 * (F.col("wl_below") + F.coalesce("wl_e", F.lit(0)) / 2) / F.col("wl_t"), 6)
+    return placed.select(group, F.col("wl_v").cast(groups.schema[x].dataType).alias(x), at.alias("percentile"))
 
 
 def purity(df: DataFrame, cluster: str, label: str) -> DataFrame:
@@ -115,5 +121,6 @@ def purity(df: DataFrame, cluster: str, label: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum of all columns."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum"))
+    """Row count and two order-free checksums of all columns: rows that stand twice cancel in the first, not in the second."""
+    row = F.xxhash64(*df.columns)
+    return df.agg(F.count("*").alias("rows"), F.bit_xor(row).alias("checksum"), F.sum(row.cast("decimal(20,0)")).alias("total"))

@@ -66,17 +66,16 @@ def lexicon_ladder(vocab: DataFrame, value: str, lexicon: DataFrame, code: str,
 def typo_clusters(vocab: DataFrame, key: str, n: str, distance: int = 2) -> DataFrame:
     """``key`` and ``representative``: values of a phonetic block within the edit distance, linked transitively.
 
-    The most frequent value of a cluster stands for it. Pairs share one of distance + 1 equal-length pieces of the value
-    inside the block, so that a large block is not compared with itself as a whole.
+    The most frequent value of a cluster stands for it. Values within the distance share a text that each becomes by deleting
+    at most that many characters, so values meet on those texts inside their block, and a block is never compared with itself
+    as a whole.
     """
-    blocked = vocab.select(key, n, soundex_block(F.col(key)).alias("wl_b"))
-    size = F.length(key)
-    step = F.ceil(size / (distance + 1)).cast("int")
-    pieces = F.array_union(
-        F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.concat_ws("|", "wl_b", F.substring(F.col(key), i * 2 + 1, F.lit(2)))),
-        F.array(F.concat_ws("|", "wl_b", F.lit("end"), F.substring(key, -2, 2)), F.concat_ws("|", "wl_b", step)),
-    )
-    cut = blocked.withColumn("wl_piece", F.explode(pieces))
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    left = F.array(F.col(key))
+    for _ in range(distance):
+        left = F.array_distinct(F.concat(left, F.flatten(F.transform(F.filter(left, lambda t: t != ""), shorter))))
+    cut = vocab.select(key, F.explode(left).alias("wl_left"), soundex_block(F.col(key)).alias("wl_b"))
+    cut = cut.select(key, F.xxhash64("wl_b", "wl_left").alias("wl_piece"))
     other = cut.select(F.col(key).alias("wl_other"), "wl_piece")
     pairs = cut.join(other, "wl_piece").filter((F.col(key) < F.col("wl_other")) & (F.levenshtein(F.col(key), F.col("wl_other"), distance) >= 0))
     groups = connected_components(pairs.select(key, "wl_other").distinct(), key, "wl_other")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators.aggregates import top_value
 from wayline.operators.components import connected_components
+from wayline.operators.joins import similar_vector_links
 
 
 def neighbour_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str, floor: float) -> DataFrame:
@@ -66,11 +67,10 @@ def overrides(df: DataFrame, key: str, current: str, rules: list[tuple[str, Colu
     return out.filter(F.col(current).isNull() | (same_major & (F.col(current) != F.col("override")))).select(key, "override", "reason")
 
 
-def vector_clusters(neighbours: DataFrame, keys: DataFrame, key: str, least: float) -> DataFrame:
-    """Each key's cluster: components of neighbour pairs of at least that similarity; others are their own."""
-    close = neighbours.filter(F.col("similarity") >= least).select("query", "neighbour")
-    groups = connected_components(close, "query", "neighbour")
-    return keys.select(key).join(groups, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
+def vector_clusters(vectors: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """Each key's cluster: components of all pairs of at least that cosine; others are their own."""
+    groups = connected_components(similar_vector_links(vectors, key, vector, least), "a", "b")
+    return vectors.select(key).join(groups, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
 def knn_graph(neighbours: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.sources.scratch import written
+from wayline.operators.windows import average_percent_rank, clip_confidence, z_scores
+from wayline.sources.scratch import discard, written
 
 
 def edge_table(df: DataFrame, src: Column, dst: Column, person: Column | None = None, era: Column | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def _iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], value: st
     raise RuntimeError(f"{value} still moves by {moved} after {rounds} rounds")
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, rounds: int = 60) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
     """``node``, ``rank``: weighted, dangling mass spread evenly."""
     e = written(edges.filter(~F.col("is_self_loop")).select("src", "dst", "weight"), "edges")
     out = e.groupBy("src").agg(F.sum("weight").alias("s"))
@@ -110,24 +111,43 @@ def hits(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 60) -> DataFra
     return _iterate(state, step, "hub", tolerance, rounds)
 
 
-def springrank(edges: DataFrame, alpha: float = 1.0, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
-    """``node``, ``score`` solving (alpha + D) s = k_in - k_out + (A + A') s by Jacobi steps: a move up raises its target.
-
-    The solution sums to 0, so every step is centred: what all nodes share would fade by alpha / (alpha + D) a round only.
-    """
+def _pulls(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symmetric weights between nodes, and per node ``d`` (all weight) and ``k`` (weight in less weight out), without self-loops."""
     e = edges.filter(~F.col("is_self_loop")).select("src", "dst", F.col("weight").cast("double").alias("weight"))
     both = e.select("src", "dst", "weight", F.lit(-1.0).alias("side")).union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(1.0).alias("side")))
     both = written(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("side")).alias("pull")), "edges")
-    own = written(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d"), F.sum("pull").alias("k")), "nodes")
-    state = written(own.select("node", F.lit(0.0).alias("score")), "state")
+    return both, both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d"), F.sum("pull").alias("k"))
 
-    def step(s: DataFrame) -> DataFrame:
-        around = both.join(s, both.dst == s.node).groupBy("src").agg(F.sum(F.col("weight") * F.col("score")).alias("a"))
-        j = s.join(own, "node").join(around, s.node == around.src, "left")
-        j = j.select("node", ((F.col("k") + F.coalesce("a", F.lit(0.0))) / (alpha + F.col("d"))).alias("score"), F.col("score").alias("was"))
-        return j.join(F.broadcast(j.agg(F.avg("score").alias("m")))).select("node", (F.col("score") - F.col("m")).alias("score"), "was")
 
-    return _iterate(state, step, "score", tolerance, rounds)
+def _spring_solution(edges: DataFrame, alpha: float, tolerance: float, rounds: int) -> DataFrame:
+    """``node``, ``score`` of (alpha + D - A - A') s = k by conjugate gradients from zero; an error if the residual stays.
+
+    A round is one product over the edges, written, and one aggregate of four sums; the loop ends where the residual's length
+    is ``tolerance`` of the right side's. With alpha = 0 the right side sums to zero in every component, and so do the steps.
+    """
+    both, own = _pulls(edges)
+    zero = F.lit(0.0)
+    step = written(own.select("node", "d", zero.alias("score"), F.col("k").alias("r"), F.col("k").alias("p")), "step")
+    state, goal = step, None
+    for _ in range(rounds):
+        around = both.join(state.select(F.col("node").alias("dst"), "p"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("p")).alias("a"))
+        new = written(state.join(around, "node").withColumn("q", (F.col("d") + alpha) * F.col("p") - F.col("a")).drop("a"), "step")
+        discard(step)
+        step = new
+        sums = step.agg(*(F.coalesce(F.sum(F.col(x) * F.col(y)), zero).alias(x + y) for x, y in (("r", "r"), ("p", "q"), ("r", "q"), ("q", "q")))).first()
+        goal = tolerance**2 * sums.rr if goal is None else goal
+        if sums.rr <= goal or not sums.pq:
+            return step.select("node", "score")
+        by = sums.rr / sums.pq
+        onward = max(sums.rr - 2 * by * sums.rq + by * by * sums.qq, 0.0) / sums.rr
+        r = F.col("r") - by * F.col("q")
+        state = step.select("node", "d", (F.col("score") + by * F.col("p")).alias("score"), r.alias("r"), (r + onward * F.col("p")).alias("p"))
+    raise RuntimeError(f"the residual is {sums.rr**0.5} after {rounds} rounds")
+
+
+def springrank(edges: DataFrame, alpha: float = 1.0, tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
+    """``node``, ``score`` solving (alpha + D) s = k_in - k_out + (A + A') s: a move up raises its target."""
+    return _spring_solution(edges, alpha, tolerance, rounds)
 
 
 def agony_rank(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
@@ -144,13 +164,24 @@ def agony_rank(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-6) ->
     return _iterate(state, step, "score", tolerance, rounds)
 
 
-def trophic_levels(edges: DataFrame, components: DataFrame, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
-    """``node``, ``level``: the spring solution with hardly any pull to zero, centred in each weak component."""
-    s = springrank(edges, 1e-6, tolerance, rounds).join(components, "node")
+def trophic_levels(edges: DataFrame, components: DataFrame, tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
+    """``node``, ``component``, ``level``: the spring solution without any pull to zero, centred in each weak component."""
+    s = _spring_solution(edges, 0.0, tolerance, rounds).join(components, "node")
     means = s.groupBy("component").agg(F.avg("score").alias("m"))
     return s.join(means, "component").select("node", "component", (F.col("score") - F.col("m")).alias("level"))
 
 
+def oriented_scores(scores: DataFrame, anchor: DataFrame, node: str, score: str, ordinal: str, support: str) -> DataFrame:
+    """Revealed scores turned so that they rise with the anchor's ordinals: ``oriented``, its z-score, percentile and confidence.
+
+    Confidence is the support over its 90th percentile, at most 1. A correlation of 0, or without anchors, turns nothing.
+    """
+    turn = scores.join(anchor.select(node, ordinal).dropna(), node).agg(F.corr(score, ordinal).alias("wl_c"))
+    turned = scores.join(F.broadcast(turn)).withColumn("oriented", F.when(F.col("wl_c") < 0, -F.col(score)).otherwise(F.col(score))).drop("wl_c")
+    ranked = average_percent_rank(z_scores(turned, "oriented", "z"), [], "oriented", "percentile")
+    return clip_confidence(ranked, support, 0.9, "confidence")
+
+
 def davids_score(edges: DataFrame) -> DataFrame:
     """``node``, ``score`` = w + w2 - l - l2 from pairwise win shares; an edge src to dst is a win of dst."""
     e = edges.filter(~F.col("is_self_loop")).select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("weight").alias("won"), F.lit(0).cast("long").alias("lost"))

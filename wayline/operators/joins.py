@@ -44,22 +44,23 @@ def one_per_key(df: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*(F.min(c).alias(c) for c in take))
 
 
-def dominated_intervals(df: DataFrame, entity: str, row: str, start: str, end: str, weight: Column) -> DataFrame:
-    """Add ``dominated``: another row of the entity contains the interval and outranks it (longer, heavier, lower row).
+def dominated_intervals(df: DataFrame, entity: str, row: str, start: str, end: str, rank: list[Column], share: float = 0.5) -> DataFrame:
+    """Add ``dominated``: another row of the entity shares ``share`` or more of the shorter interval's days and outranks it.
 
-    The entity is the equi-key, so the interval comparison stays inside an entity's rows.
+    ``rank`` goes from the most to the least weighty, larger is better; the lower row wins what is left of ties. Rows meet by
+    entity and by the calendar years that both touch, so a long history is not compared with itself as a whole;
+    bound an entity's rows first (``bounded_entities``) where one may hold a share of the table.
     """
-    length = F.datediff(F.col(end), F.col(start))
-    rank = df.select(entity, F.col(row).alias("wl_row"), F.col(start).alias("wl_s"), F.col(end).alias("wl_e"), F.struct(length.alias("l"), weight.alias("w"), (-F.col(row)).alias("r")).alias("wl_k"))
-    mine = df.select(entity, row, start, end, F.struct(length.alias("l"), weight.alias("w"), (-F.col(row)).alias("r")).alias("wl_mine"))
-    hit = (
-        mine.join(rank, entity)
-        .filter((F.col(row) != F.col("wl_row")) & (F.col("wl_s") <= F.col(start)) & (F.col("wl_e") >= F.col(end)) & (F.col("wl_k") > F.col("wl_mine")))
-        .select(entity, row)
-        .distinct()
-        .withColumn("wl_hit", F.lit(True))
-    )
-    return df.join(hit, [entity, row], "left").withColumn("dominated", F.coalesce("wl_hit", F.lit(False))).drop("wl_hit")
+    days = F.datediff(F.col(end), F.col(start)) + 1
+    mine = df.select(
+        F.col(entity).alias("wl_entity"), F.col(row).alias("wl_row"), F.col(start).alias("wl_s"), F.col(end).alias("wl_e"), days.alias("wl_days"),
+        F.struct(*(c.alias(f"r{k}") for k, c in enumerate(rank)), (-F.col(row)).alias("row")).alias("wl_rank"),
+    ).withColumn("wl_year", F.explode(F.sequence(F.year("wl_s"), F.greatest(F.year("wl_s"), F.year("wl_e")))))
+    a, b = mine.alias("a"), mine.alias("b")
+    shared = F.datediff(F.least("a.wl_e", "b.wl_e"), F.greatest("a.wl_s", "b.wl_s")) + 1
+    met = a.join(b, (F.col("a.wl_entity") == F.col("b.wl_entity")) & (F.col("a.wl_year") == F.col("b.wl_year")) & (F.col("b.wl_rank") > F.col("a.wl_rank")))
+    hit = met.filter(shared >= share * F.least("a.wl_days", "b.wl_days")).select(F.col("a.wl_row").alias("wl_row")).distinct()
+    return df.join(hit.withColumn("dominated", F.lit(True)), F.col(row) == F.col("wl_row"), "left").drop("wl_row").na.fill({"dominated": False})
 
 
 def active_at(df: DataFrame, anchors: DataFrame, entity: str, start: str, end: str, at: Column, order: list[Column]) -> DataFrame:
@@ -99,12 +100,14 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
     words = a.select(F.explode("t_a").alias("w")).union(b.select(F.explode("t_b").alias("w"))).groupBy("w").agg(F.count("*").alias("wl_n"))
 
     def rare(df: DataFrame, suffix: str) -> DataFrame:
-        """The rarest words of a value, one more than it may miss."""
+        """The rarest words of a value, one more than it may miss; only its key and size go along."""
         w = Window.partitionBy(f"{key}_{suffix}").orderBy("wl_n", "w")
-        out = df.select("*", F.explode(f"t_{suffix}").alias("w")).join(words, "w").withColumn("wl_rn", F.row_number().over(w))
-        return out.filter(F.col("wl_rn") <= F.size(f"t_{suffix}") - F.ceil(F.size(f"t_{suffix}") * least) + 1).drop("wl_rn", "wl_n")
+        out = df.select(f"{key}_{suffix}", F.size(f"t_{suffix}").alias(f"size_{suffix}"), F.explode(f"t_{suffix}").alias("w"))
+        out = out.join(words, "w").withColumn("wl_rn", F.row_number().over(w))
+        return out.filter(F.col("wl_rn") <= F.col(f"size_{suffix}") - F.ceil(F.col(f"size_{suffix}") * least) + 1).drop("wl_rn", "wl_n")
 
-    pairs = rare(a, "a").join(rare(b, "b"), "w").drop("w").dropDuplicates([f"{key}_a", f"{key}_b"])
+    met = rare(a, "a").join(rare(b, "b"), "w").filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    pairs = met.select(f"{key}_a", f"{key}_b").distinct().join(a, f"{key}_a").join(b, f"{key}_b")
     pairs = pairs.filter(F.col(f"{text}_a") != F.col(f"{text}_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     pairs = pairs.withColumn("jaccard", both / (F.size("t_a") + F.size("t_b") - both)).filter(F.col("jaccard") >= least)
@@ -112,44 +115,88 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(f"{key}_a", f"{key}_b", "jaccard", "rank")
 
 
-def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, blocks: int, keep_self: bool = False) -> DataFrame:
+BLOCK_ROWS = 4_096  # vectors of either side that a task holds
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into blocks of about ``block_rows`` and repeated for every block of the other: as many blocks as the rows ask for."""
+    sides = [df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (left, right)]
+    n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    a = sides[0].withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(n)), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    b = sides[1].withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(m)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))})
+    return a, b
+
+
+def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS, keep_self: bool = False) -> DataFrame:
     """``k`` nearest reference vectors of each query by cosine, exactly: every query against all rows, in blocks.
 
-    Both sides are dealt into blocks; a task multiplies one block of queries by one of references and keeps ``k`` per query,
-    and the partial lists are merged. A task holds two blocks, however large the tables are.
+    Both sides are dealt into blocks of about ``block_rows``; a task multiplies tiles of one block of queries by one of
+    references and keeps ``k`` per query, and the partial lists are merged.
     """
     key_type = queries.schema[key].dataType.simpleString()
-    dim = F.col(vector).cast("array<double>")
-    q = queries.select(F.col(key).alias("id"), dim.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("qb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = reference.select(F.col(key).alias("id"), dim.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = f"query {key_type}, neighbour {key_type}, similarity double"
+    q, r = _block_pairs(queries, reference, key, vector, block_rows)
 
     def block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if mine.num_rows and theirs.num_rows:
-            ids, a = _unit(mine)
-            others, b = _unit(theirs)
-            order = np.argsort(others, kind="stable")
-            others, b = others[order], b[order]
-            score = np.round(a @ b.T, 9)
+        ids, a = _unit(mine)
+        others, b = _unit(theirs)
+        rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for lo in range(0, len(ids) if len(others) else 0, 512):
+            score = np.round(a[lo : lo + 512] @ b.T, 9)
             if not keep_self:
-                score[ids[:, None] == others[None, :]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            for i, row in enumerate(best):
-                for j in row:
-                    if score[i, j] > -np.inf:
-                        out[0].append(ids[i])
-                        out[1].append(others[j])
-                        out[2].append(float(score[i, j]))
-        return pa.table({"query": pa.array(out[0], mine.schema.field("id").type), "neighbour": pa.array(out[1], mine.schema.field("id").type), "similarity": pa.array(out[2], pa.float64())})
-
-    partial = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(block, schema)
+                score[ids[lo : lo + 512, None] == others[None, :]] = -np.inf
+            edge = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+            i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+            order = np.lexsort((others[j], -score[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, i, side="left")
+            best = np.arange(len(i)) - first < k
+            rows.append(i[best] + lo)
+            cols.append(j[best])
+            scores.append(score[i[best], j[best]])
+        i, j = np.concatenate(rows), np.concatenate(cols)
+        id_type = mine.schema.field("id").type
+        return pa.table({"query": pa.array(ids[i], id_type), "neighbour": pa.array(others[j], id_type), "similarity": pa.array(np.concatenate(scores), pa.float64())})
+
+    partial = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(block, f"query {key_type}, neighbour {key_type}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    v = np.array(t.column("v").to_pylist(), float)
-    return t.column("id").to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def similar_vector_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a``, ``b``: links whose connected components are those of all pairs of that cosine or more.
 
+    Every pair is looked at, in pairs of blocks; a task returns a forest of its pairs, not the pairs.
+    """
+    key_type = vectors.schema[key].dataType.simpleString()
+    left, right = _block_pairs(vectors, vectors, key, vector, block_rows)
+
+    def block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, a = _unit(mine)
+        others, b = _unit(theirs)
+        if not len(ids) or not len(others):
+            i = j = np.zeros(0, np.int64)
+        else:
+            near = np.concatenate([np.round(a[lo : lo + 512] @ b.T, 9) >= least for lo in range(0, len(a), 512)])
+            label, far = np.arange(len(others)), len(others)  # of theirs; mine take the least around, until nothing changes
+            while True:
+                around = np.concatenate([np.where(near[lo : lo + 512], label[None, :], far).min(1) for lo in range(0, len(a), 512)])
+                new = np.concatenate([np.where(near[:, lo : lo + 512], around[:, None], far).min(0) for lo in range(0, len(b), 512)])
+                new = np.minimum(label, new)
+                if (new == label).all():
+                    break
+                label = new
+            i = np.flatnonzero(around < far)
+            j = around[i]
+            used = np.flatnonzero(near.any(0))
+            hub = np.full(far, -1)
+            hub[j[::-1]] = i[::-1]  # one of mine for every component
+            i, j = np.concatenate([i, hub[label[used]]]), np.concatenate([j, used])
+        id_type = mine.schema.field("id").type
+        return pa.table({"a": pa.array(ids[i], id_type), "b": pa.array(others[j], id_type)})
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(block, f"a {key_type}, b {key_type}").filter("a <> b").distinct()
 
+
+def _unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    v = np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
+    return t.column("id").to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

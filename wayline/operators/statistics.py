@@ -155,8 +155,7 @@ def bootstrap_vendi(df: DataFrame, group: str, key: str, vector: str, n: int, re
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    both = df.dropna(subset=[x, y]).withColumn("wl_one", F.lit(1))
-    ranked = average_percent_rank(average_percent_rank(both, ["wl_one"], x, "wl_rx"), ["wl_one"], y, "wl_ry")
+    ranked = average_percent_rank(average_percent_rank(df.dropna(subset=[x, y]), [], x, "wl_rx"), [], y, "wl_ry")
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("wl_rx", "wl_ry"), 6).alias("spearman"))
 
 

@@ -48,7 +48,11 @@ def fused_score(layers: list[tuple[Column, float]], agreement: float = 0.1) -> t
 
 
 def transitions(steps: DataFrame, entity: str, row: str, start: str, end: str, attributes: list[str]) -> DataFrame:
-    """Edges between successive steps: from_ and to_ attributes, gap and overlap months, dwell. One sort per entity."""
+    """Edges between successive steps: from_ and to_ attributes, dwell, gap and overlap. One sort per entity.
+
+    Months count from the floors of both boundaries, so that a step that begins in the month its predecessor ends in, or in
+    the next, has no gap; from two common months on there is an overlap.
+    """
     w = Window.partitionBy(entity).orderBy(start, end, row)
     taken = [row, start, end, *attributes]
     nexts = {f"to_{c}": F.lead(c).over(w) for c in taken}
@@ -56,12 +60,52 @@ def transitions(steps: DataFrame, entity: str, row: str, start: str, end: str, a
     out = out.filter(F.col(f"to_{row}").isNotNull())
     apart = months_between(F.col(f"from_{end}"), F.col(f"to_{start}"))
     return out.withColumns({
-        "gap_months": F.greatest(apart, F.lit(0)),
-        "overlap_months": F.greatest(-apart, F.lit(0)),
+        "gap_months": F.greatest(apart - 1, F.lit(0)),
+        "overlap_months": F.greatest(1 - apart, F.lit(0)),
+        "has_gap": apart - 1 >= 1,
+        "has_overlap": 1 - apart >= 2,
         "dwell_months": months_between(F.col(f"from_{start}"), F.col(f"from_{end}")) + 1,
     })
 
 
+# The kinds of employment that end or leave a career, and those of one's own business.
+EXITS = ("retired", "unemployed", "homemaker", "career_break")
+SELF_EMPLOYED = ("self_employed", "business_owner")
+
+
+def transition_types(edges: DataFrame, employment: str, company: str, major: str, ordinal: str, score: str, confidence: str, up: float = 0.08, down: float = 0.12, least: float = 0.3) -> DataFrame:
+    """Add what kind of move each edge is, from its from_ and to_ columns of these names.
+
+    ``kind``: exit, entry to education, into or out of self-employment, then promotion, demotion or lateral inside a company,
+    else move. ``transition_type`` tells changes of occupation apart and gives a direction only where the fused scores differ
+    by more than ``up`` or ``down`` at a confidence of ``least``. ``direction_from_lexical`` marks edges with both ordinals.
+    """
+    a, b = (lambda c: F.col(f"from_{c}")), (lambda c: F.col(f"to_{c}"))
+    leaves, studies = b(employment).isin(*EXITS), b(employment) == "student"
+    own_from, own_to = a(employment).isin(*SELF_EMPLOYED), b(employment).isin(*SELF_EMPLOYED)
+    same_company = (a(company) == b(company)) & ~a(company).startswith("nonorg:")
+    delta, sure = b(score) - a(score), F.least(F.coalesce(a(confidence), F.lit(0.0)), F.coalesce(b(confidence), F.lit(0.0)))
+    rises, falls = (sure >= least) & (delta > up), (sure >= least) & (delta < -down)
+    by_axis = F.when(leaves, "exit").when(studies, "education_entry").when(~own_from & own_to, "into_self_employment").when(own_from & ~own_to, "out_of_self_employment")
+    inside = F.when(b(ordinal) > a(ordinal), "promotion").when(b(ordinal) < a(ordinal), "demotion").otherwise("lateral")
+    fused = (
+        by_axis.when(a(major) != b(major), F.when(rises, "occupation_change_up").when(falls, "occupation_change_down").otherwise("occupation_change"))
+        .when(same_company, F.when(rises, "promotion").when(falls, "demotion").otherwise("lateral"))
+        .otherwise(F.when(rises, "employer_move_up").when(falls, "employer_move_down").when(sure >= least, "employer_move_lateral").otherwise("employer_move"))
+    )
+    ruled = F.coalesce(leaves | studies | (own_from != own_to), F.lit(False))
+    directed = F.coalesce((sure >= least) & (F.abs(delta) > up), F.lit(False))
+    return edges.withColumns({
+        "direction": direction(a(ordinal), b(ordinal)),
+        "kind": by_axis.when(same_company, inside).otherwise("move"),
+        "delta_score": F.round(delta, 4),
+        "score_confidence": F.round(sure, 3),
+        "transition_type": fused,
+        "direction_from_lexical": a(ordinal).isNotNull() & b(ordinal).isNotNull(),
+        "transition_confidence": F.when(ruled, 0.95).when(directed, F.round(0.5 + 0.5 * sure, 3)).otherwise(F.round(0.4 * sure, 3)),
+    })
+
+
 def direction(a: Column, b: Column, dead_band: float = 0) -> Column:
     return F.when(a.isNull() | b.isNull(), "unknown").when(b - a > dead_band, "up").when(a - b > dead_band, "down").otherwise("flat")
 

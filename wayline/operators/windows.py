@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.sources.scratch import written
+
 
 def duplicate_flag(df: DataFrame, keys: list[str], order: list[Column], name: str = "is_duplicate") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
@@ -29,17 +31,41 @@ def salted_sample(df: DataFrame, strata: list[str], key: str, salt: str, n: int)
     return df.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= n)
 
 
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows up to this one, without one task for all rows.
+
+    Rows are dealt out by ranges of the order, which must be total, and written; each range adds up its own rows, and one
+    small row per range adds up the ranges before it.
+    """
+    ranges = written(df.repartitionByRange(*order).withColumn("wl_part", F.spark_partition_id()), "ranges")
+    upto = Window.unboundedPreceding
+    sums = ranges.groupBy("wl_part").agg(F.sum(value).alias("wl_s"))
+    before = sums.select("wl_part", F.coalesce(F.sum("wl_s").over(Window.orderBy("wl_part").rowsBetween(upto, -1)), F.lit(0)).alias("wl_b"))
+    inside = ranges.withColumn("wl_i", F.sum(value).over(Window.partitionBy("wl_part").orderBy(*order).rowsBetween(upto, 0)))
+    return inside.join(F.broadcast(before), "wl_part").withColumn(name, F.col("wl_i") + F.col("wl_b")).drop("wl_part", "wl_i", "wl_b")
+
+
 def terciles(counts: DataFrame, n: str, key: str) -> DataFrame:
-    """Add ``tercile`` of a vocabulary ordered by count; the input is one row per distinct value."""
-    return counts.withColumn("tercile", F.ntile(3).over(Window.orderBy(F.desc(n), key)))
+    """Add ``tercile`` of a vocabulary ordered by count, the first ones larger by one where three do not divide it."""
+    placed = running_total(counts.withColumn("wl_one", F.lit(1)), [F.desc(n), F.col(key)], "wl_one", "wl_at").drop("wl_one")
+    size, rest = F.floor(F.col("wl_t") / 3), F.col("wl_t") % 3
+    large = rest * (size + 1)
+    place = F.when(F.col("wl_at") <= large, F.ceil(F.col("wl_at") / (size + 1))).otherwise(rest + F.ceil((F.col("wl_at") - large) / size))
+    total = counts.agg(F.count("*").alias("wl_t"))
+    return placed.join(F.broadcast(total)).withColumn("tercile", place.cast("int")).drop("wl_at", "wl_t")
 
 
 def average_percent_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Rank in the partition over its size, ties sharing the mean of their ranks.
 
-    Ranks are those of the distinct values' running counts, so a partition of many rows is one row per value.
+    Ranks are those of the distinct values' running counts, so a partition of many rows is one row per value. Without
+    ``keys`` the whole table is the partition, and its values are added up by ranges.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("wl_n"))
+    if not keys:
+        total = counts.agg(F.sum("wl_n").alias("wl_t"))
+        upto = running_total(counts, [F.col(value)], "wl_n", "wl_u").join(F.broadcast(total))
+        return df.join(upto.select(value, ((F.col("wl_u") - (F.col("wl_n") - 1) / 2) / F.col("wl_t")).alias(name)), value)
     w = Window.partitionBy(*keys)
     below = F.sum("wl_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranks = counts.withColumn(name, (below - (F.col("wl_n") - 1) / 2) / F.sum("wl_n").over(w)).drop("wl_n")
@@ -48,9 +74,9 @@ def average_percent_rank(df: DataFrame, keys: list[str], value: str, name: str)
 
 def running_share(counts: DataFrame, n: str, key: str, name: str) -> DataFrame:
     """Cumulative share of the total, largest first; the input is one row per distinct value."""
-    w = Window.orderBy(F.desc(n), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.agg(F.sum(n).alias("wl_t"))
-    return counts.withColumn("wl_c", F.sum(n).over(w)).join(F.broadcast(total)).withColumn(name, F.round(F.col("wl_c") / F.col("wl_t"), 6)).drop("wl_c", "wl_t")
+    added = running_total(counts, [F.desc(n), F.col(key)], n, "wl_c")
+    return added.join(F.broadcast(total)).withColumn(name, F.round(F.col("wl_c") / F.col("wl_t"), 6)).drop("wl_c", "wl_t")
 
 
 def z_scores(df: DataFrame, value: str, name: str) -> DataFrame:

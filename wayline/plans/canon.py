@@ -9,10 +9,10 @@ from wayline.plans.registry import query, table
 
 @query(
     "normalize_key",
-    r"SELECT value, freq, k AS match_key, array_to_string(list_sort(list_distinct(list_filter(string_split(k, ' '), lambda t: t <> ''))), ' ') AS token_key FROM (SELECT value, freq, trim(regexp_replace(replace(strip_accents(lower(value)), '&', ' and '), '[^a-z0-9+#]+', ' ', 'g')) AS k FROM (SELECT split_part(text, chr(10), 1) AS value, count(*) AS freq FROM documents GROUP BY 1))",
+    r"SELECT value, freq, k AS match_key, array_to_string(list_sort(list_distinct(list_filter(string_split(k, ' '), lambda t: t <> ''))), ' ') AS token_key FROM (SELECT value, freq, trim(regexp_replace(replace(strip_accents(lower(value)), '&', ' and '), '[^a-z0-9+#]+', ' ', 'g')) AS k FROM (SELECT unnest(string_split(text, chr(10))) AS value, count(*) AS freq FROM documents GROUP BY 1))",
 )
 def normalize_key(spark, d):
-    vocab = table(spark, d, "documents").groupBy(F.split_part("text", F.lit("\n"), F.lit(1)).alias("value")).agg(F.count("*").alias("freq"))
+    vocab = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")).groupBy("value").agg(F.count("*").alias("freq"))
     keyed = X.fold(vocab, "value", "folded").withColumn("match_key", X.match_key(F.col("folded")))
     return keyed.select("value", "freq", "match_key", X.token_key(F.col("match_key")).alias("token_key"))
 
@@ -74,7 +74,7 @@ def lexicon_ladder(spark, d):
 
 @query("typo_clusters")
 def typo_clusters(spark, d):
-    vocab = table(spark, d, "documents").select(F.explode(F.split(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), "[^a-z]+")).alias("value")).filter("length(value) > 4")
+    vocab = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("value")).filter("length(value) > 4")
     return C.typo_clusters(vocab.groupBy("value").agg(F.count("*").alias("n")), "value", "n", 1)
 
 

@@ -13,7 +13,7 @@ _NN = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 
 def neighbours(spark, d, k):
     e = table(spark, d, "embeddings")
-    return nearest_vectors(e, e, "vec_id", "embedding", k, blocks=4)
+    return nearest_vectors(e, e, "vec_id", "embedding", k)
 
 
 @query(
@@ -39,7 +39,7 @@ def knn_graph(spark, d):
 
 @query("vector_clusters")
 def vector_clusters(spark, d):
-    return C.vector_clusters(neighbours(spark, d, 5), table(spark, d, "embeddings"), "vec_id", 0.6)
+    return C.vector_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
 
 
 @query("ensemble_vote", f"WITH {_VOTES}, c AS (SELECT doc_id, count(*) FILTER (code = '1') AS a, count(*) FILTER (code = '0') AS b FROM v WHERE juror <> 'source' OR code = '1' GROUP BY 1) SELECT doc_id, CASE WHEN a > b THEN '1' WHEN b > a THEN '0' END AS decided, greatest(a, b) AS votes FROM c")

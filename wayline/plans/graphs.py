@@ -17,17 +17,16 @@ def event_edges(spark, d):
     return G.edge_table(moves, F.col("event_type"), F.col("next"), F.col("user_id"))
 
 
-def trade_edges(spark, d, era=None, whole=False):
-    """Customers' nations to suppliers' nations by line; two fifths of the pairs as in the SQL, or the whole table."""
+def trade_edges(spark, d, era=None):
+    """Customers' nations to suppliers' nations by line."""
     rows = (
         table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter(F.lit(whole) | ((F.col("c_nationkey") * 7 + F.col("s_nationkey") * 3) % 10 < 4))
     )
     return G.edge_table(rows, F.col("c_nationkey"), F.col("s_nationkey"), F.col("o_custkey"), era)
 
 
-_TRADE = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (c_nationkey * 7 + s_nationkey * 3) % 10 < 4 GROUP BY ALL)"
+_TRADE = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
 
 
 @query(
@@ -75,48 +74,65 @@ def davids_score(spark, d):
 
 @query("pagerank")
 def pagerank(spark, d):
-    return G.pagerank(trade_edges(spark, d, whole=True))
+    return G.pagerank(trade_edges(spark, d))
 
 
 @query("hits")
 def hits(spark, d):
-    return G.hits(trade_edges(spark, d, whole=True))
+    return G.hits(trade_edges(spark, d))
 
 
 @query("springrank")
 def springrank(spark, d):
-    return G.springrank(trade_edges(spark, d, whole=True))
+    return G.springrank(trade_edges(spark, d))
 
 
 @query("agony_rank")
 def agony_rank(spark, d):
-    return G.agony_rank(trade_edges(spark, d, whole=True))
+    return G.agony_rank(trade_edges(spark, d))
 
 
 @query("label_propagation")
 def label_propagation(spark, d):
-    return G.label_propagation(trade_edges(spark, d, whole=True))
+    return G.label_propagation(trade_edges(spark, d))
 
 
 @query("label_spread")
 def label_spread(spark, d):
-    e = trade_edges(spark, d, whole=True)
+    e = trade_edges(spark, d)
     seeds = table(spark, d, "nation").filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("class"))
     return G.label_spread(e, seeds)
 
 
-@query(
-    "components",
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 1000000000 AS b FROM lineitem WHERE l_quantity = 50), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, c) AS (SELECT a, a FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1",
-)
+@query("components")
 def components(spark, d):
-    e = table(spark, d, "lineitem").filter("l_quantity = 50").select("l_orderkey", (F.col("l_partkey") + 1000000000).alias("p"))
+    e = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") + 1000000000).alias("p"))
     return connected_components(e.distinct(), "l_orderkey", "p")
 
 
+@query("trophic_levels")
+def trophic_levels(spark, d):
+    e = trade_edges(spark, d)
+    return G.trophic_levels(e, connected_components(e, "src", "dst")).withColumn("level", F.round("level", 6))
+
+
+@query("modularity")
+def modularity(spark, d):
+    e = event_edges(spark, d)
+    return G.modularity(e, G.label_propagation(e)).withColumn("modularity", F.round("modularity", 6))
+
+
+@query("oriented_scores")
+def oriented_scores(spark, d):
+    e = trade_edges(spark, d)
+    nodes = G.node_strengths(e).select("node", (F.col("in_strength") + F.col("out_strength")).alias("support"))
+    anchor = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("ordinal"))
+    return G.oriented_scores(G.springrank(e).join(nodes, "node"), anchor, "node", "score", "ordinal", "support")
+
+
 @query(
     "era_networks",
-    "WITH e AS (SELECT CAST(floor(year(o_orderdate) / 2) AS INT) AS era, c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (c_nationkey * 7 + s_nationkey * 3) % 10 < 4 GROUP BY ALL) SELECT era, src, dst, weight, round(weight * sum(weight) OVER (PARTITION BY era) / (sum(weight) OVER (PARTITION BY era, src) * sum(weight) OVER (PARTITION BY era, dst)), 6) AS rr FROM e WHERE src <> dst",
+    "WITH e AS (SELECT CAST(floor(year(o_orderdate) / 2) AS INT) AS era, c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) SELECT era, src, dst, weight, round(weight * sum(weight) OVER (PARTITION BY era) / (sum(weight) OVER (PARTITION BY era, src) * sum(weight) OVER (PARTITION BY era, dst)), 6) AS rr FROM e WHERE src <> dst",
 )
 def era_networks(spark, d):
     e = trade_edges(spark, d, F.floor(F.year("o_orderdate") / 2).cast("int"))

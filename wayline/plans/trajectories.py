@@ -6,7 +6,7 @@ from wayline.operators import trajectories as D
 from wayline.operators.aggregates import overlapping_cube, suppress
 from wayline.operators.windows import pick_one, triples
 from wayline.plans.aggregates import order_customer
-from wayline.plans.joins import _STEP, steps
+from wayline.plans.joins import _PRIMARY, _STEP, flagged_steps, steps
 from wayline.plans.registry import query, table
 
 
@@ -31,12 +31,12 @@ def interval_steps(spark, d):
     return out.select("o_orderkey", "start_dt", "end_dt", "granularity", "is_ongoing", "datable", "bad_negative_duration", "bad_future_start", "tenure_months")
 
 
-_EDGE = f"""WITH t AS {_STEP}, n AS (SELECT *, lead(o_orderkey) OVER w AS to_key, lead(s) OVER w AS to_s, lead(o_orderpriority) OVER w AS to_p FROM t WINDOW w AS (PARTITION BY o_custkey ORDER BY s, e, o_orderkey)),
+_EDGE = f"""WITH t AS {_STEP}, {_PRIMARY}, n AS (SELECT *, lead(o_orderkey) OVER w AS to_key, lead(s) OVER w AS to_s, lead(o_orderpriority) OVER w AS to_p FROM pr WINDOW w AS (PARTITION BY o_custkey ORDER BY s, e, o_orderkey)),
 m AS (SELECT *, date_diff('month', e, to_s) AS apart, CAST(left(o_orderpriority, 1) AS INT) AS a, CAST(left(to_p, 1) AS INT) AS b FROM n WHERE to_key IS NOT NULL)"""
 
 
 def edges(spark, d):
-    out = D.transitions(steps(spark, d), "o_custkey", "o_orderkey", "s", "e", ["o_orderpriority"])
+    out = D.transitions(flagged_steps(spark, d).filter("not dominated"), "o_custkey", "o_orderkey", "s", "e", ["o_orderpriority"])
     rank = lambda c: F.left(c, F.lit(1)).cast("int")
     out = out.withColumn("direction", D.direction(rank("to_o_orderpriority"), rank("from_o_orderpriority")))
     kind = F.when(F.col("gap_months") > 12, "return").when(F.col("direction") == "up", "promotion").when(F.col("direction") == "down", "demotion").otherwise("lateral")
@@ -45,11 +45,50 @@ def edges(spark, d):
 
 @query(
     "transitions_typed",
-    _EDGE + """ SELECT o_custkey, o_orderkey AS from_o_orderkey, to_key AS to_o_orderkey, greatest(apart, 0) AS gap_months, greatest(-apart, 0) AS overlap_months, date_diff('month', s, e) + 1 AS dwell_months,
-    CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'flat' END AS direction, CASE WHEN apart > 12 THEN 'return' WHEN a > b THEN 'promotion' WHEN a < b THEN 'demotion' ELSE 'lateral' END AS kind FROM m""",
+    _EDGE + """ SELECT o_custkey, o_orderkey AS from_o_orderkey, to_key AS to_o_orderkey, greatest(apart - 1, 0) AS gap_months, greatest(1 - apart, 0) AS overlap_months, apart >= 2 AS has_gap, apart <= -1 AS has_overlap, date_diff('month', s, e) + 1 AS dwell_months,
+    CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'flat' END AS direction, CASE WHEN apart > 13 THEN 'return' WHEN a > b THEN 'promotion' WHEN a < b THEN 'demotion' ELSE 'lateral' END AS kind FROM m""",
 )
 def transitions_typed(spark, d):
-    return edges(spark, d).select("o_custkey", "from_o_orderkey", "to_o_orderkey", "gap_months", "overlap_months", "dwell_months", "direction", "kind")
+    return edges(spark, d).select("o_custkey", "from_o_orderkey", "to_o_orderkey", "gap_months", "overlap_months", "has_gap", "has_overlap", "dwell_months", "direction", "kind")
+
+
+_FACTS_SQL = """f AS (SELECT *, CASE o_orderkey % 13 WHEN 0 THEN 'retired' WHEN 1 THEN 'student' WHEN 2 THEN 'self_employed' WHEN 3 THEN 'business_owner' WHEN 4 THEN 'career_break' ELSE 'employee' END AS employment,
+    CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'nonorg:home' ELSE 'id:' || CAST(o_orderkey % 3 AS VARCHAR) END AS company, CASE WHEN o_orderkey % 7 > 0 THEN CAST(11 + o_orderkey % 2 AS VARCHAR) END AS major,
+    CASE WHEN o_orderkey % 4 > 0 THEN 6 - CAST(left(o_orderpriority, 1) AS INT) END AS ordinal, o_totalprice / 500000 AS score, CASE WHEN o_orderkey % 9 > 0 THEN (o_orderkey % 10) / 10 END AS confidence FROM pr)"""
+_FACTS = ["employment", "company", "major", "ordinal", "score", "confidence"]
+
+
+def facts(df):
+    """Employment, company, occupation and seniority of a step, made from its key, priority and price."""
+    k = F.col("o_orderkey")
+    kinds = {0: "retired", 1: "student", 2: "self_employed", 3: "business_owner", 4: "career_break"}
+    employment = F.lit("employee")
+    for rest, name in kinds.items():
+        employment = F.when(k % 13 == rest, name).otherwise(employment)
+    return df.withColumns({
+        "employment": employment, "company": F.when(k % 17 == 0, None).when(k % 5 == 0, "nonorg:home").otherwise(F.concat(F.lit("id:"), (k % 3).cast("string"))),
+        "major": F.when(k % 7 > 0, (11 + k % 2).cast("string")), "ordinal": F.when(k % 4 > 0, 6 - F.left("o_orderpriority", F.lit(1)).cast("int")),
+        "score": F.col("o_totalprice") / 500000, "confidence": F.when(k % 9 > 0, (k % 10) / 10),
+    })
+
+
+@query(
+    "transition_types",
+    f"""WITH t AS {_STEP}, {_PRIMARY}, {_FACTS_SQL}, n AS (SELECT o_orderkey AS from_o_orderkey, lead(o_orderkey) OVER w AS to_o_orderkey, employment AS fe, lead(employment) OVER w AS te, company AS fc, lead(company) OVER w AS tc, major AS fm, lead(major) OVER w AS tm, ordinal AS fo, lead(ordinal) OVER w AS tord,
+    lead(score) OVER w - score AS delta, least(coalesce(confidence, 0), coalesce(lead(confidence) OVER w, 0)) AS conf FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY s, e, o_orderkey)),
+    m AS (SELECT *, fe IN ('self_employed', 'business_owner') AS sf, te IN ('self_employed', 'business_owner') AS st, te IN ('retired', 'unemployed', 'homemaker', 'career_break') AS leaves, coalesce(fc = tc AND fc NOT LIKE 'nonorg:%', FALSE) AS same, conf >= 0.3 AND delta > 0.08 AS up, conf >= 0.3 AND delta < -0.12 AS dn FROM n WHERE to_o_orderkey IS NOT NULL),
+    a AS (SELECT *, CASE WHEN leaves THEN 'exit' WHEN te = 'student' THEN 'education_entry' WHEN NOT sf AND st THEN 'into_self_employment' WHEN sf AND NOT st THEN 'out_of_self_employment' END AS axis FROM m)
+    SELECT from_o_orderkey, to_o_orderkey, CASE WHEN fo IS NULL OR tord IS NULL THEN 'unknown' WHEN tord > fo THEN 'up' WHEN tord < fo THEN 'down' ELSE 'flat' END AS direction,
+    coalesce(axis, CASE WHEN same THEN CASE WHEN tord > fo THEN 'promotion' WHEN tord < fo THEN 'demotion' ELSE 'lateral' END ELSE 'move' END) AS kind,
+    coalesce(axis, CASE WHEN fm <> tm THEN CASE WHEN up THEN 'occupation_change_up' WHEN dn THEN 'occupation_change_down' ELSE 'occupation_change' END WHEN same THEN CASE WHEN up THEN 'promotion' WHEN dn THEN 'demotion' ELSE 'lateral' END
+      ELSE CASE WHEN up THEN 'employer_move_up' WHEN dn THEN 'employer_move_down' WHEN conf >= 0.3 THEN 'employer_move_lateral' ELSE 'employer_move' END END) AS transition_type,
+    fo IS NOT NULL AND tord IS NOT NULL AS direction_from_lexical, CAST(round(100 * CASE WHEN leaves OR te = 'student' OR sf <> st THEN 0.95 WHEN conf >= 0.3 AND abs(delta) > 0.08 THEN 0.5 + 0.5 * conf ELSE 0.4 * conf END) AS BIGINT) AS percent FROM a""",
+)
+def transition_types(spark, d):
+    primary = facts(flagged_steps(spark, d).filter("not dominated"))
+    out = D.transition_types(D.transitions(primary, "o_custkey", "o_orderkey", "s", "e", _FACTS), *_FACTS)
+    percent = F.round(100 * F.col("transition_confidence")).cast("long")
+    return out.select("from_o_orderkey", "to_o_orderkey", "direction", "kind", "transition_type", "direction_from_lexical", percent.alias("percent"))
 
 
 @query(
@@ -231,7 +270,7 @@ def waypoint_flows(spark, d):
 
 @query(
     "trajectory_features",
-    _EDGE + " SELECT o_custkey, count(*) AS moves, round(avg(CAST(a > b AS INT)), 6) AS up_share, round(avg(date_diff('month', s, e) + 1), 6) AS mean_dwell, max(greatest(apart, 0)) AS longest_gap, count(DISTINCT to_p) AS states FROM m GROUP BY 1",
+    _EDGE + " SELECT o_custkey, count(*) AS moves, round(avg(CAST(a > b AS INT)), 6) AS up_share, round(avg(date_diff('month', s, e) + 1), 6) AS mean_dwell, max(greatest(apart - 1, 0)) AS longest_gap, count(DISTINCT to_p) AS states FROM m GROUP BY 1",
 )
 def trajectory_features(spark, d):
     return edges(spark, d).groupBy("o_custkey").agg(

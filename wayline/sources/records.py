@@ -68,7 +68,7 @@ def parse(lines: DataFrame, value: str, spec: Record) -> DataFrame:
 def _parsed(lines: DataFrame, spec: Record) -> DataFrame:
     schema = T.StructType([*schema_of(spec), T.StructField("_corrupt", T.StringType())])
     rec = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = lines.withColumn("rec", rec)
+    parsed = lines.select("*", F.explode(F.array(rec)).alias("rec"))  # a generator's row is used by name, so a line is parsed once
     bad = F.col("rec").isNull() | F.col("rec._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")
     return parsed.withColumns({"bad": bad, "rec": F.when(~bad, F.col("rec"))}).drop("value")
 
