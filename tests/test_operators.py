@@ -413,3 +413,29 @@ def test_a_line_is_parsed_once(spark, sf_dir):
     for name in ("flatten_parent", "flatten_child", "flatten_grandchild", "flatten_scalar_list"):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1, name
+
+
+def test_seeded_kmeans_against_lloyd(spark):
+    from wayline.operators import composites
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(0, 0.6, (20, 3)) for c in (np.zeros(3), np.full(3, 2.0), np.array([2.0, -2.0, 0.0]))])
+    centres = x[[0, 20, 40]].copy()
+    for _ in range(100):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[near == k].mean(0) for k in range(3)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>")
+    seeds = spark.createDataFrame([(k, [float(v) for v in x[20 * k]]) for k in range(3)], "label int, v array<double>")
+    got = dict(rows(composites.seeded_kmeans(df, "id", "v", seeds, "label", rounds=60)))
+    assert [got[i] for i in range(60)] == near.tolist()
+
+
+def test_ladders_of_odd_rows(spark):
+    from wayline.operators import composites
+
+    df = spark.createDataFrame([(1, "Self employed", 7), (2, None, None), (3, " ACME ", None), (4, "Twin", None), (5, "x", 9)], "k int, name string, own int")
+    cross = spark.createDataFrame([("acme", 11), ("acme", 11), ("twin", 1), ("twin", 2)], "match string, id int")
+    got = {r.k: (r.company, r.company_method) for r in composites.company_ladder(df, "name", "own", {"^self": "self"}, cross).collect()}
+    assert got == {1: ("nonorg:self", "placeholder"), 2: (None, None), 3: ("id:11", "crosswalk"), 4: ("raw:twin", "raw"), 5: ("id:9", "id")}
+    changed = df.withColumn("own", F.when(F.col("k") == 5, 8).otherwise(F.col("own")))
+    assert composites.unchanged(df, df.withColumn("more", F.lit(1))).first().unchanged and not composites.unchanged(df, changed).first().unchanged

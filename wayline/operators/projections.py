@@ -89,3 +89,8 @@ def all_of(*conditions: Column) -> Column:
 
 def partition_share(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)))
+
+
+def slim(df: DataFrame, keep: Column, columns: dict[str, Column]) -> DataFrame:
+    """A narrow extract for later steps: the rows that ``keep`` holds for, and the named columns alone."""
+    return df.filter(keep).select(*(c.alias(name) for name, c in columns.items()))

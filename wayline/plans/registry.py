@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from wayline.plans import aggregates, canon, classifiers, evaluation, flatten, graphs, joins, projections, statistics, streams, trajectories, windows  # noqa: E402, F401
+from wayline.plans import aggregates, canon, classifiers, composites, evaluation, flatten, graphs, joins, projections, statistics, streams, trajectories, windows  # noqa: E402, F401
