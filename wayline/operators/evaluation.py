@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.operators.aggregates import top_value
+from wayline.operators.windows import average_percent_rank, correlation
 
 
 def vote_state(votes: DataFrame, item: str, code: str) -> DataFrame:
@@ -66,13 +67,71 @@ def macro_f1(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     return f1.agg(F.round(F.avg("f1"), 6).alias("macro_f1")).join(totals).select("macro_f1", F.round(F.col("k") / F.col("n"), 6).alias("coverage"), F.round(F.col("r") / F.col("k"), 6).alias("accuracy"))
 
 
-def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("n"))
+def kappa(df: DataFrame, a: str, b: str, weight: Column | None = None) -> DataFrame:
+    """Rows with both labels, their agreement and Cohen's kappa, by rows or by weight; 1 where chance alone agrees."""
+    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("k"), (F.count("*") if weight is None else F.sum(weight)).alias("n"))
     rows, cols = cells.groupBy(F.col(a).alias("k")).agg(F.sum("n").alias("ra")), cells.groupBy(F.col(b).alias("k")).agg(F.sum("n").alias("cb"))
     chance = rows.join(cols, "k").agg(F.coalesce(F.sum(F.col("ra") * F.col("cb")), F.lit(0)).alias("e"))
-    seen = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("o"))
+    seen = cells.agg(F.sum("k").alias("rows"), F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("o"))
     po, pe = F.col("o") / F.col("n"), F.col("e") / F.col("n") / F.col("n")
-    return seen.join(chance).select("n", F.round(po, 6).alias("agreement"), F.round(F.try_divide(po - pe, 1 - pe), 6).alias("kappa"))
+    return seen.join(chance).select(F.col("rows").alias("n"), F.round(po, 6).alias("agreement"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)).when(pe >= 1, 1.0), 6).alias("kappa"))
+
+
+def disagreements(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Rows whose two labels are there and differ."""
+    return df.filter(F.col(a) != F.col(b)).select(key, a, b)
+
+
+def assignment_scores(df: DataFrame, predicted: str, primary: str, secondary: str, weight: str, strata: list[str]) -> DataFrame:
+    """Per slice (all rows, and each value of the strata): coverage and accuracy, strict and lenient, by rows, by weight and of what is assigned.
+
+    Lenient takes the secondary gold label too. A null prediction abstains: it lowers accuracy but not that of assigned rows.
+    """
+    slices = F.array(F.lit("all"), *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in strata))
+    made, strict = F.col(predicted).isNotNull(), F.coalesce(F.col(predicted) == F.col(primary), F.lit(False))
+    lenient = strict | F.coalesce(F.col(predicted) == F.col(secondary), F.lit(False))
+    one, w = (lambda c: F.count_if(c)), (lambda c: F.sum(F.when(c, F.col(weight)).otherwise(0)))
+    out = df.filter(F.col(primary).isNotNull()).withColumn("slice", F.explode(slices)).groupBy("slice").agg(
+        F.count("*").alias("n"), F.sum(weight).alias("wn"), *(f(c).alias(p + k) for p, f in (("", one), ("w", w)) for k, c in (("made", made), ("strict", strict), ("lenient", lenient)))
+    )
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return out.select(
+        "slice", "n", ratio("made", "n").alias("coverage"), ratio("wmade", "wn").alias("coverage_weighted"), ratio("strict", "n").alias("strict"), ratio("lenient", "n").alias("lenient"),
+        ratio("wstrict", "wn").alias("strict_weighted"), ratio("wlenient", "wn").alias("lenient_weighted"), ratio("strict", "made").alias("strict_assigned"), ratio("lenient", "made").alias("lenient_assigned"),
+    )
+
+
+def confusion(df: DataFrame, predicted: str, gold: str) -> DataFrame:
+    """Counts of gold labels called otherwise; an abstention is null."""
+    return df.filter(F.col(gold).isNotNull() & ~F.col(gold).eqNullSafe(F.col(predicted))).groupBy(gold, predicted).agg(F.count("*").alias("n"))
+
+
+def ranking_leaderboard(methods: dict[str, DataFrame], silver: DataFrame, anchor: DataFrame, ladders: DataFrame) -> DataFrame:
+    """Per ranking method: coverage and accuracy of known directions, up and down precision, rank correlation with the anchor, ladders kept.
+
+    Methods are tables of ``node`` and ``score``, turned so that they rise with the anchor (``node``, ``value``). ``silver``
+    has ``src``, ``dst`` and ``truth`` (1 or -1); equal scores call no direction. ``ladders`` has ``low`` and ``high`` nodes.
+    """
+    scores = None
+    for name, df in methods.items():
+        one = df.select(F.lit(name).alias("method"), "node", F.col("score").cast("double").alias("score"))
+        scores = one if scores is None else scores.union(one)
+    both = scores.join(anchor.select("node", F.col("value").cast("double").alias("value")).dropna(), "node")
+    turn = both.groupBy("method").agg(correlation("score", "value").alias("c"))
+    scores = scores.join(turn, "method").select("method", "node", F.when(F.col("c") < 0, -F.col("score")).otherwise(F.col("score")).alias("score"))
+    ranked = scores.join(anchor.select("node", "value").dropna(), "node")
+    ranked = average_percent_rank(average_percent_rank(ranked, ["method"], "score", "a"), ["method"], "value", "b")
+    rho = ranked.groupBy("method").agg(F.round(correlation("a", "b"), 6).alias("spearman"))
+    ends = lambda df, lo, hi: df.join(scores.select("method", F.col("node").alias(lo), F.col("score").alias("wl_lo")), lo).join(scores.select("method", F.col("node").alias(hi), F.col("score").alias("wl_hi")), ["method", hi])
+    call, t = F.signum(F.col("wl_hi") - F.col("wl_lo")), F.col("truth")
+    calls = ends(silver, "src", "dst").groupBy("method").agg(
+        F.count("*").alias("silver"), F.count_if(call != 0).alias("c"), F.count_if(call == t).alias("r"), F.count_if(call > 0).alias("u"), F.count_if((call > 0) & (t > 0)).alias("ur"),
+        F.count_if(call < 0).alias("d"), F.count_if((call < 0) & (t < 0)).alias("dr"),
+    )
+    kept = ends(ladders, "low", "high").groupBy("method").agg(F.count_if(F.col("wl_hi") > F.col("wl_lo")).alias("ladders_kept"), F.count("*").alias("ladders"))
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 6)
+    out = calls.select("method", "silver", ratio("c", "silver").alias("coverage"), ratio("r", "c").alias("accuracy"), ratio("ur", "u").alias("up_precision"), ratio("dr", "d").alias("down_precision"))
+    return out.join(rho, "method", "left").join(kept, "method", "left")
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

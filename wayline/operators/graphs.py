@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.windows import average_percent_rank, clip_confidence, z_scores
+from wayline.operators.windows import average_percent_rank, clip_confidence, correlation, z_scores
 from wayline.sources.scratch import discard, written
 
 
@@ -176,7 +176,7 @@ def oriented_scores(scores: DataFrame, anchor: DataFrame, node: str, score: str,
 
     Confidence is the support over its 90th percentile, at most 1. A correlation of 0, or without anchors, turns nothing.
     """
-    turn = scores.join(anchor.select(node, ordinal).dropna(), node).agg(F.corr(score, ordinal).alias("wl_c"))
+    turn = scores.join(anchor.select(node, ordinal).dropna(), node).agg(correlation(score, ordinal).alias("wl_c"))
     turned = scores.join(F.broadcast(turn)).withColumn("oriented", F.when(F.col("wl_c") < 0, -F.col(score)).otherwise(F.col(score))).drop("wl_c")
     ranked = average_percent_rank(z_scores(turned, "oriented", "z"), [], "oriented", "percentile")
     return clip_confidence(ranked, support, 0.9, "confidence")

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.windows import average_percent_rank
+from wayline.operators.windows import average_percent_rank, correlation
 from wayline.sources.scratch import written
 
 
@@ -154,9 +154,41 @@ def bootstrap_vendi(df: DataFrame, group: str, key: str, vector: str, n: int, re
     return each.groupBy(group).agg(F.count("*").alias("replicates"), F.round(F.avg("vendi"), 6).alias("mean"), F.round(F.percentile("vendi", 0.025), 6).alias("low"), F.round(F.percentile("vendi", 0.975), 6).alias("high"))
 
 
+def paired_bootstrap(df: DataFrame, group: str, person: str, role: str, bases: list[str], n: int, replicates: int, salt: str = "7") -> DataFrame:
+    """Vendi of every basis over the same draws: ``n`` people of a group, one role of each; ``people``, mean and 95 % interval.
+
+    People and roles are drawn by hashes of their keys, the replicate and the salt, so that bases share the draws and every
+    run draws alike. A group of fewer than ``n`` people is drawn whole. Rows without a vector in any basis are left out.
+    """
+    rows = df.dropna(subset=[group, person, role, *bases])
+    drawn = lambda c: F.md5(F.concat_ws("|", F.col(c).cast("string"), "rep", F.lit(salt)))
+    people = rows.select(group, person).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    w = Window.partitionBy(group, "rep").orderBy(drawn(person), person)
+    people = people.withColumn("wl_rn", F.row_number().over(w)).filter(F.col("wl_rn") <= n).drop("wl_rn")
+    one = people.join(rows.select(group, person, role, *bases), [group, person]).groupBy(group, "rep", person).agg(F.min_by(F.struct(*bases), F.struct(drawn(role), F.col(role))).alias("v"))
+    long = one.select(group, "rep", F.explode(F.array(*(F.struct(F.lit(b).alias("basis"), F.col(f"v.{b}").cast("array<double>").alias("x")) for b in bases))).alias("e"))
+    draws = F.struct(F.col(group).alias("g"), "rep", F.col("e.basis").alias("basis"))
+    each = vendi(long.select(F.to_json(draws).alias("wl_g"), F.col("e.x").alias("x")), "wl_g", "x")
+    each = each.select(F.from_json("wl_g", f"g {df.schema[group].dataType.simpleString()}, basis string").alias("k"), "n", "vendi")
+    return each.groupBy(F.col("k.g").alias(group), F.col("k.basis").alias("basis")).agg(
+        F.max("n").alias("people"), F.count("*").alias("replicates"), F.round(F.avg("vendi"), 6).alias("mean"), F.round(F.percentile("vendi", 0.025), 6).alias("low"), F.round(F.percentile("vendi", 0.975), 6).alias("high")
+    )
+
+
+def sensitivity(df: DataFrame, restrictions: dict[str, Column], group: str, person: str, role: str, bases: list[str], n: int, replicates: int) -> DataFrame:
+    """``paired_bootstrap`` on the rows of each restriction, with the same number of people in every group: the smallest's, at most ``n``."""
+    out = None
+    for name, holds in restrictions.items():
+        kept = df.filter(holds)
+        least = kept.dropna(subset=[group, person, role, *bases]).groupBy(group).agg(F.count_distinct(person).alias("k")).agg(F.min("k")).first()[0] or 0
+        one = paired_bootstrap(kept, group, person, role, bases, min(n, least), replicates).withColumn("restriction", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranked = average_percent_rank(average_percent_rank(df.dropna(subset=[x, y]), [], x, "wl_rx"), [], y, "wl_ry")
-    return ranked.agg(F.count("*").alias("n"), F.round(F.corr("wl_rx", "wl_ry"), 6).alias("spearman"))
+    return ranked.agg(F.count("*").alias("n"), F.round(correlation("wl_rx", "wl_ry"), 6).alias("spearman"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -171,12 +203,20 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: list[float]) -> DataFrame:
-    """Coverage and accuracy of signs of a score beyond each threshold; truth is 1 or -1."""
+    """Coverage, accuracy, up and down precision of signs of a score beyond each threshold; truth is 1 or -1."""
     grid = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     call = F.when(F.col(score) > F.col("threshold"), 1).when(F.col(score) < -F.col("threshold"), -1)
     hit = grid.withColumn("call", call).groupBy("threshold").agg(
         F.count("*").alias("n"), F.count("call").alias("called"), F.count_if(F.col("call") == F.col(truth)).alias("right"),
         F.count_if(F.col("call") == 1).alias("up"), F.count_if((F.col("call") == 1) & (F.col(truth) == 1)).alias("up_right"),
+        F.count_if(F.col("call") == -1).alias("down"), F.count_if((F.col("call") == -1) & (F.col(truth) == -1)).alias("down_right"),
     )
     ratio = lambda a, b: F.round(F.try_divide(a, b), 6)
-    return hit.select("threshold", ratio("called", "n").alias("coverage"), ratio("right", "called").alias("accuracy"), ratio("up_right", "up").alias("up_precision"))
+    return hit.select("threshold", ratio("called", "n").alias("coverage"), ratio("right", "called").alias("accuracy"), ratio("up_right", "up").alias("up_precision"), ratio("down_right", "down").alias("down_precision"))
+
+
+def recommended_threshold(sweep: DataFrame, target: float) -> DataFrame:
+    """The least threshold whose accuracy reaches the target, else that of greatest accuracy; ``meets_target`` tells which."""
+    meets = F.coalesce(F.col("accuracy") >= target, F.lit(False))
+    order = F.struct((~meets).alias("m"), F.when(meets, 0.0).otherwise(-F.coalesce("accuracy", F.lit(-1.0))).alias("a"), "threshold", "coverage", "accuracy")
+    return sweep.agg(F.min(order).alias("b")).select("b.threshold", "b.coverage", "b.accuracy", (~F.col("b.m")).alias("meets_target"))

@@ -79,6 +79,11 @@ def running_share(counts: DataFrame, n: str, key: str, name: str) -> DataFrame:
     return added.join(F.broadcast(total)).withColumn(name, F.round(F.col("wl_c") / F.col("wl_t"), 6)).drop("wl_c", "wl_t")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where either side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def z_scores(df: DataFrame, value: str, name: str) -> DataFrame:
     moments = df.agg(F.avg(value).alias("wl_m"), F.stddev_pop(value).alias("wl_s"))
     return df.join(F.broadcast(moments)).withColumn(name, F.try_divide(F.col(value) - F.col("wl_m"), F.col("wl_s"))).drop("wl_m", "wl_s")

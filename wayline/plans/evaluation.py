@@ -130,3 +130,68 @@ def row_preservation(spark, d):
 @query("column_profile", "SELECT 'source' AS column, count(*) AS rows, count(*) FILTER (source IS NULL) AS nulls, count(*) FILTER (trim(source) = '') AS blanks, count(DISTINCT source) AS distinct, count(DISTINCT lower(source)) AS distinct_lower, CAST(median(length(source)) AS DOUBLE) AS median_length FROM documents UNION ALL SELECT 'text', count(*), count(*) FILTER (text IS NULL), count(*) FILTER (trim(text) = ''), count(DISTINCT text), count(DISTINCT lower(text)), CAST(median(length(text)) AS DOUBLE) FROM documents")
 def column_profile(spark, d):
     return E.column_profile(table(spark, d, "documents"), ["source", "text"])
+
+
+@query(
+    "kappa_weighted",
+    "WITH k AS (SELECT quality AS a, toxic AS b, n_chars AS w FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, sum(w) AS s, sum(w) FILTER (a = b) / sum(w) AS po FROM k), e AS (SELECT sum(x * y) AS e FROM (SELECT a AS c, sum(w) AS x FROM k GROUP BY 1) JOIN (SELECT b AS c, sum(w) AS y FROM k GROUP BY 1) USING (c)) SELECT n, round(po, 6) AS agreement, round((po - e / s / s) / (1 - e / s / s), 6) AS kappa FROM t, e",
+)
+def kappa_weighted(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    return E.kappa(j, "quality", "toxic", F.col("n_chars"))
+
+
+@query("disagreements", "SELECT doc_id, quality, toxic FROM labels WHERE quality <> toxic")
+def disagreements(spark, d):
+    return E.disagreements(table(spark, d, "labels"), "doc_id", "quality", "toxic")
+
+
+_CALLS = "c AS (SELECT doc_id, source, lang, n_chars, CAST(quality AS VARCHAR) AS gold, CAST(toxic AS VARCHAR) AS second, CASE WHEN doc_id % 6 > 0 THEN CASE WHEN n_chars > 1000 THEN '1' ELSE '0' END END AS call FROM labels JOIN documents USING (doc_id))"
+
+
+def calls(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    call = F.when(F.col("doc_id") % 6 > 0, F.when(F.col("n_chars") > 1000, "1").otherwise("0"))
+    return j.select("source", "lang", "n_chars", F.col("quality").cast("string").alias("gold"), F.col("toxic").cast("string").alias("second"), call.alias("call"))
+
+
+@query(
+    "assignment_scores",
+    f"""WITH {_CALLS}, l AS (SELECT 'all' AS slice, * FROM c UNION ALL SELECT 'source:' || source, * FROM c UNION ALL SELECT 'lang:' || lang, * FROM c), s AS (SELECT slice, count(*) AS n, sum(n_chars) AS wn, count(call) AS m, coalesce(sum(n_chars) FILTER (call IS NOT NULL), 0) AS wm, count(*) FILTER (call = gold) AS st, coalesce(sum(n_chars) FILTER (call = gold), 0) AS wst, count(*) FILTER (call IN (gold, second)) AS le, coalesce(sum(n_chars) FILTER (call IN (gold, second)), 0) AS wle FROM l GROUP BY 1)
+    SELECT slice, n, round(m / n, 6) AS coverage, round(wm / wn, 6) AS coverage_weighted, round(st / n, 6) AS strict, round(le / n, 6) AS lenient, round(wst / wn, 6) AS strict_weighted, round(wle / wn, 6) AS lenient_weighted, round(st / nullif(m, 0), 6) AS strict_assigned, round(le / nullif(m, 0), 6) AS lenient_assigned FROM s""",
+)
+def assignment_scores(spark, d):
+    return E.assignment_scores(calls(spark, d), "call", "gold", "second", "n_chars", ["source", "lang"])
+
+
+@query("confusion", f"WITH {_CALLS} SELECT gold, call, count(*) AS n FROM c WHERE gold IS DISTINCT FROM call GROUP BY 1, 2")
+def confusion(spark, d):
+    return E.confusion(calls(spark, d), "call", "gold")
+
+
+def _leaderboard_sql():
+    from wayline.plans.graphs import _TRADE
+
+    return f"""WITH {_TRADE}, o AS (SELECT src, sum(weight) AS o FROM e WHERE src <> dst GROUP BY 1), i AS (SELECT dst, sum(weight) AS i FROM e WHERE src <> dst GROUP BY 1), nf AS (SELECT coalesce(src, dst) AS node, coalesce(i, 0) - coalesce(o, 0) AS score FROM o FULL JOIN i ON src = dst),
+    pw AS (SELECT a, b, won / (won + lost) AS p FROM (SELECT a, b, sum(won) AS won, sum(lost) AS lost FROM (SELECT dst AS a, src AS b, weight AS won, 0 AS lost FROM e WHERE src <> dst UNION ALL SELECT src, dst, 0, weight FROM e WHERE src <> dst) GROUP BY ALL)), f AS (SELECT a, sum(p) AS w, sum(1 - p) AS l FROM pw GROUP BY 1),
+    dv AS (SELECT pw.a AS node, any_value(f.w) + sum(pw.p * g.w) - any_value(f.l) - sum((1 - pw.p) * g.l) AS score FROM pw JOIN f ON f.a = pw.a JOIN f g ON g.a = pw.b GROUP BY 1), an AS (SELECT c_nationkey AS node, avg(c_acctbal) AS value FROM customer GROUP BY 1),
+    raw AS (SELECT 'davids' AS method, node, CAST(round(score, 6) AS DOUBLE) AS score FROM dv UNION ALL SELECT 'net_flow', node, CAST(score AS DOUBLE) FROM nf), tn AS (SELECT method, corr(score, value) AS c FROM raw JOIN an USING (node) GROUP BY 1), sc AS (SELECT method, node, CASE WHEN c < 0 THEN -score ELSE score END AS score FROM raw JOIN tn USING (method)),
+    rk AS (SELECT method, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2 AS a, rank() OVER (PARTITION BY method ORDER BY value) + (count(*) OVER (PARTITION BY method, value) - 1) / 2 AS b FROM sc JOIN an USING (node)), rho AS (SELECT method, round(corr(a, b), 6) AS spearman FROM rk GROUP BY 1),
+    sv AS (SELECT src, dst, sign(y.n_regionkey - x.n_regionkey) AS truth FROM e JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst WHERE x.n_regionkey <> y.n_regionkey), cl AS (SELECT h.method, truth, sign(h.score - l.score) AS call FROM sv JOIN sc l ON l.node = src JOIN sc h ON h.node = dst AND h.method = l.method),
+    ac AS (SELECT method, count(*) AS silver, round(count(*) FILTER (call <> 0) / count(*), 6) AS coverage, round(count(*) FILTER (call = truth) / nullif(count(*) FILTER (call <> 0), 0), 6) AS accuracy, round(count(*) FILTER (call > 0 AND truth > 0) / nullif(count(*) FILTER (call > 0), 0), 6) AS up_precision, round(count(*) FILTER (call < 0 AND truth < 0) / nullif(count(*) FILTER (call < 0), 0), 6) AS down_precision FROM cl GROUP BY 1),
+    ld AS (SELECT l.method, count(*) FILTER (h.score > l.score) AS ladders_kept, count(*) AS ladders FROM nation JOIN sc l ON l.node = n_nationkey JOIN sc h ON h.node = n_nationkey + 1 AND h.method = l.method WHERE n_nationkey % 5 = 0 GROUP BY 1) SELECT * FROM ac LEFT JOIN rho USING (method) LEFT JOIN ld USING (method)"""
+
+
+@query("ranking_leaderboard", _leaderboard_sql())
+def ranking_leaderboard(spark, d):
+    """Nations ranked by pairwise wins and by net flow; directions and ladders by region and number, the customers' mean balance as anchor."""
+    from wayline.operators import graphs as G
+    from wayline.plans.graphs import trade_edges
+
+    e, n = trade_edges(spark, d), table(spark, d, "nation")
+    region = lambda end: n.select(F.col("n_nationkey").alias(end), F.col("n_regionkey").alias(f"r_{end}"))
+    methods = {"davids": G.davids_score(e).withColumn("score", F.round("score", 6)), "net_flow": G.node_strengths(e).select("node", F.col("net_flow").alias("score"))}
+    silver = e.join(region("src"), "src").join(region("dst"), "dst").select("src", "dst", F.signum(F.col("r_dst") - F.col("r_src")).alias("truth")).filter("truth <> 0")
+    anchor = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.avg("c_acctbal").alias("value"))
+    ladders = n.filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("low"), (F.col("n_nationkey") + 1).alias("high"))
+    return E.ranking_leaderboard(methods, silver, anchor, ladders)

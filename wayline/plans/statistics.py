@@ -26,7 +26,11 @@ def km_by_group(spark, d):
     return M.kaplan_meier(durations(spark, d), "c_mktsegment", "t", "event").withColumn("survival", F.round("survival", 6))
 
 
-@query("median_survival")
+@query(
+    "median_survival",
+    f"""WITH p AS (SELECT c_mktsegment, t, count(*) AS n, sum(event::INT) AS d FROM {_SURV} GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY c_mktsegment ORDER BY t DESC) AS risk FROM p),
+    s AS (SELECT c_mktsegment, t, CASE WHEN min(risk - d) OVER w = 0 THEN 0 ELSE exp(sum(CASE WHEN d < risk THEN ln(1 - d / risk) ELSE 0 END) OVER w) END AS survival FROM r WINDOW w AS (PARTITION BY c_mktsegment ORDER BY t)) SELECT c_mktsegment, min(t) FILTER (survival <= 0.5) AS median FROM s GROUP BY 1""",
+)
 def median_survival(spark, d):
     return M.median_survival(M.kaplan_meier(durations(spark, d), "c_mktsegment", "t", "event"), "c_mktsegment", "t")
 
@@ -85,8 +89,33 @@ def adjusted_rand(spark, d):
 
 @query(
     "threshold_sweep",
-    "WITH s AS (SELECT l_quantity / 25 - 1 AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS y FROM lineitem), g AS (SELECT t AS threshold, y, CASE WHEN s > t THEN 1 WHEN s < -t THEN -1 END AS c FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) v(t)) SELECT threshold, round(count(c) / count(*), 6) AS coverage, round(count(*) FILTER (c = y) / count(c), 6) AS accuracy, round(count(*) FILTER (c = 1 AND y = 1) / count(*) FILTER (c = 1), 6) AS up_precision FROM g GROUP BY 1",
+    "WITH s AS (SELECT l_quantity / 25 - 1 AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS y FROM lineitem), g AS (SELECT t AS threshold, y, CASE WHEN s > t THEN 1 WHEN s < -t THEN -1 END AS c FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) v(t)) SELECT threshold, round(count(c) / count(*), 6) AS coverage, round(count(*) FILTER (c = y) / count(c), 6) AS accuracy, round(count(*) FILTER (c = 1 AND y = 1) / nullif(count(*) FILTER (c = 1), 0), 6) AS up_precision, round(count(*) FILTER (c = -1 AND y = -1) / nullif(count(*) FILTER (c = -1), 0), 6) AS down_precision FROM g GROUP BY 1",
 )
 def threshold_sweep(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_quantity") / 25 - 1).alias("s"), F.when(F.col("l_returnflag") == "R", 1).otherwise(-1).alias("y"))
     return M.threshold_sweep(li, "s", "y", [0.0, 0.25, 0.5, 0.75])
+
+
+@query(
+    "recommended_threshold",
+    "WITH s AS (SELECT l_quantity / 25 - 1 AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS y FROM lineitem), g AS (SELECT t AS threshold, y, CASE WHEN s > t THEN 1 WHEN s < -t THEN -1 END AS c FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) v(t)), r AS (SELECT threshold, round(count(c) / count(*), 6) AS coverage, round(count(*) FILTER (c = y) / nullif(count(c), 0), 6) AS accuracy FROM g GROUP BY 1) SELECT threshold, coverage, accuracy, accuracy >= 0.5 AS meets_target FROM r ORDER BY accuracy >= 0.5 DESC, CASE WHEN accuracy >= 0.5 THEN 0 ELSE -accuracy END, threshold LIMIT 1",
+)
+def recommended_threshold(spark, d):
+    return M.recommended_threshold(threshold_sweep(spark, d), 0.5)
+
+
+def people(spark, d):
+    """Vectors as roles of people, seven people to a label at least, and the same vectors cut to eight numbers as a second basis."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", "label", (F.col("vec_id") % 97).alias("person"), "embedding", F.slice("embedding", 1, 8).alias("short"))
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark, d):
+    return M.paired_bootstrap(people(spark, d), "label", "person", "vec_id", ["embedding", "short"], 20, 10)
+
+
+@query("sensitivity")
+def sensitivity(spark, d):
+    restrictions = {"even": F.col("vec_id") % 2 == 0, "positive": F.col("short")[0] > 0}
+    return M.sensitivity(people(spark, d), restrictions, "label", "person", "vec_id", ["embedding", "short"], 20, 5)
