@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayline.operators import cohorts, evaluation, proposals, statistics
+from wayline.operators import canon, classifiers, cohorts, evaluation, proposals, statistics
 
 
 def rows(df):
@@ -110,3 +110,34 @@ def test_threshold_falls_back_to_the_most_accurate(spark):
     sweep = spark.createDataFrame([(0.0, 1.0, 0.6), (0.1, 0.8, 0.7), (0.2, 0.5, 0.9), (0.3, 0.0, None)], "threshold double, coverage double, accuracy double")
     assert rows(statistics.recommended_threshold(sweep, 0.7)) == [(0.1, 0.8, 0.7, True)]
     assert rows(statistics.recommended_threshold(sweep, 0.95)) == [(0.2, 0.5, 0.9, False)]
+
+
+def test_spectral_embedding_against_svd(spark):
+    rng = np.random.default_rng(11)
+    w = {(i, j): int(rng.integers(1, 30)) for i in range(14) for j in range(14) if i != j and rng.random() < 0.4}
+    df = spark.createDataFrame([(i, j, x) for (i, j), x in w.items()], "src long, dst long, weight long")
+    a = np.zeros((14, 14))
+    for (i, j), x in w.items():
+        a[i, j] = x
+    norm = lambda m: m / np.maximum(m.sum(1, keepdims=True), 1e-12)
+    u, s, _ = np.linalg.svd(np.hstack([norm(a), norm(a.T)]))
+    want = u[:, :3] * s[:3]
+    want *= np.sign(want.sum(0))
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = {r.node: r.vector for r in classifiers.spectral_embedding(df, 3, spare=4).collect()}
+    assert np.allclose([got[i] for i in range(14)], want, atol=2e-3)
+    two = spark.createDataFrame([(1, 2, 5)], "src long, dst long, weight long")
+    assert {r.node: len(r.vector) for r in classifiers.spectral_embedding(two, 4).collect()} == {1: 4, 2: 4}
+
+
+def test_locations_of_odd_forms(spark):
+    values = [("Paris, TX, United States Area",), ("tx",), ("TX",), ("Dallas Metroplex",), (None,), ("a, b",), ("Canada, ",), (",",), ("Texas Metro Area, US",)]
+    df = spark.createDataFrame(values, "v string")
+    known = {"united states": "US", "us": "US", "canada": "CA"}, {"texas": "TX"}
+    parsed = canon.parse_location(F.col("v"), *known, "US", {"dallas": ("dallas", "TX")}, {}, ["remote"])
+    got = {r.v: tuple(r)[1:] for r in df.withColumns(parsed).collect()}
+    assert got["Paris, TX, United States Area"] == ("US", "TX", "paris", "city_state_country", 1.0)
+    assert got["tx"][3] == "unparsed" and got["TX"] == ("US", "TX", None, "state", 1.0)
+    assert got["Dallas Metroplex"] == ("US", "TX", "dallas", "metro", 0.95)
+    assert got[None][3:] == ("empty", 0.0) and got["a, b"][3] == got[","][3] == "unparsed"
+    assert got["Canada, "] == ("CA", None, None, "country", 1.0) and got["Texas Metro Area, US"] == ("US", "TX", None, "state_country", 1.0)

@@ -62,6 +62,13 @@ def diversity(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def cluster_balance(df: DataFrame, cluster: str, weight: str) -> DataFrame:
+    """How evenly weight lies over clusters: ``clusters``, ``effective`` (exponential of the entropy), ``largest_share``; no weight, no share."""
+    per = df.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum(weight).alias("w")).filter("w > 0")
+    share = per.join(F.broadcast(per.agg(F.sum("w").alias("t")))).select((F.col("w") / F.col("t")).alias("p"))
+    return share.agg(F.count("*").alias("clusters"), F.round(F.exp(-F.sum(F.col("p") * F.ln("p"))), 6).alias("effective"), F.round(F.max("p"), 6).alias("largest_share"))
+
+
 def destination_fan(df: DataFrame, group: str, value: str, baseline: str) -> DataFrame:
     """Per group and destination: count, share of the group, and share relative to the baseline group's."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -84,16 +84,53 @@ def typo_clusters(vocab: DataFrame, key: str, n: str, distance: int = 2) -> Data
     return member.join(best, "component").select(key, F.col("wl_t.v").alias("representative"))
 
 
-def parse_location(value: Column, countries: list[str], remote: str = "remote") -> dict[str, Column]:
-    """``country``, ``city``, ``location_method`` of a comma-separated place."""
-    parts = F.transform(F.split(F.lower(value), ","), lambda p: F.trim(p))
-    last = F.element_at(parts, -1)
-    known = last.isin(countries)
-    return {
-        "country": F.when(known, last),
-        "city": F.when(known & (F.size(parts) > 1), parts[0]),
-        "location_method": F.when(value.isNull(), None).when(F.lower(value).contains(remote), "remote").when(known, "country").otherwise("unparsed"),
-    }
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    if not table:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def parse_location(value: Column, countries: dict[str, str], states: dict[str, str], home: str, metros: dict[str, tuple[str, str]], cities: dict[str, tuple[str, str]], remote: list[str]) -> dict[str, Column]:
+    """``country``, ``state``, ``city``, ``location_method`` and ``location_confidence`` of a place written with commas.
+
+    Gazetteers have lower-case names: ``countries`` and the ``states`` of the ``home`` country map to codes, ``metros`` and
+    ``cities`` to (city, state). One name alone is tried as city, metro, state and country in this order. Of several, the
+    last may be a country, the last state before it is taken, and the first is the city if it is neither. Codes of states
+    count in capitals only. A state with another country is unparsed, like what no gazetteer knows; no text is ``empty``.
+    """
+    text = F.regexp_replace(F.trim(value), "\\s+", " ")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    bare = lambda x: F.trim(F.regexp_replace(F.lower(x), " (metropolitan area|metro area|area|metro)$", ""))
+    codes = {c: c for c in states.values()}
+    state_of = lambda x: F.when(x.rlike("^[A-Z]{2}$"), _lookup(codes, x)).otherwise(_lookup(states, bare(x)))
+
+    one = F.lower(F.get(parts, F.lit(0)))
+    core = F.regexp_replace(F.regexp_replace(one, "^greater ", ""), " (metropolitan area|metro area|area|metro|metroplex)$", "")
+    at_gazetteer = lambda table, key, i: _lookup({k: v[i] for k, v in table.items()}, key)
+    city, metro, alone, land = at_gazetteer(cities, one, 0), at_gazetteer(metros, core, 0), state_of(F.get(parts, F.lit(0))), _lookup(countries, one)
+    fields, empty = ("country", "state", "city", "method", "confidence"), F.lit(None).cast("string")
+    place = lambda *v: F.struct(*((x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in zip(fields, v, strict=True)))
+    single = (
+        F.when(city.isNotNull(), place(home, at_gazetteer(cities, one, 1), city, "city_alias", 0.9))
+        .when(metro.isNotNull(), place(home, at_gazetteer(metros, core, 1), metro, "metro", 0.95))
+        .when(alone.isNotNull(), place(home, alone, empty, "state", 1.0))
+        .when(land.isNotNull(), place(land, empty, empty, "country", 1.0))
+    )
+    country = _lookup(countries, bare(F.try_element_at(parts, F.lit(-1))))
+    rest = F.slice(parts, F.lit(1), F.size(parts) - country.isNotNull().cast("int"))
+    found = F.transform(rest, state_of)
+    at = F.array_max(F.transform(found, lambda s, i: F.when(s.isNotNull(), i)))
+    state, first = F.get(found, at), F.lower(F.get(rest, F.lit(0)))
+    named = F.when(country.isNotNull(), "_country").otherwise("")
+    method = F.concat(F.when(at > 0, "city_").otherwise(""), F.lit("state"), named)
+    several = (
+        F.when(state.isNotNull() & (F.coalesce(country, F.lit(home)) == home), place(home, state, F.when(at > 0, first), method, 1.0))
+        .when(state.isNull() & country.isNotNull(), place(country, empty, first, F.when(first.isNotNull(), "city_country").otherwise("country"), 1.0))
+    )
+    none = lambda method, sure: place(empty, empty, empty, method, sure)
+    known = F.when(F.size(parts) == 1, single).otherwise(several)
+    result = F.when(F.coalesce(F.trim(value), F.lit("")) == "", none("empty", 0.0)).when(F.lower(text).isin(remote), none("remote", 1.0)).otherwise(F.coalesce(known, none("unparsed", 0.0)))
+    return {"country": result["country"], "state": result["state"], "city": result["city"], "location_method": result["method"], "location_confidence": result["confidence"]}
 
 
 def split_compound(vocab: DataFrame, value: str, minor: str = "minor") -> DataFrame:
@@ -159,3 +196,15 @@ def rating_matrix(long: DataFrame, code: str, item: str, rating: str) -> DataFra
     rows = scored.groupBy(code).agg(F.array_sort(F.collect_list(F.struct(item, "wl_z"))).alias("wl_v"), F.sum(F.col("wl_z") ** 2).alias("wl_l"))
     full = rows.join(F.broadcast(moments.agg(F.count("*").alias("wl_n")))).filter(F.size("wl_v") == F.col("wl_n"))
     return full.select(code, F.transform("wl_v", lambda x: F.round(F.coalesce(F.try_divide(x["wl_z"], F.sqrt("wl_l")), F.lit(0.0)), 6)).alias("vector"))
+
+
+def backfilled_ratings(long: DataFrame, code: str, item: str, rating: str, crosswalk: DataFrame) -> DataFrame:
+    """Ratings of rated codes, and for unrated codes of the ``crosswalk`` (``code``, ``parent``) the mean over the rated codes of their parent.
+
+    ``source`` is ``own`` or the crosswalk; a parent without any rated code gives nothing.
+    """
+    own = long.groupBy(code, item).agg(F.avg(rating).alias(rating))
+    means = own.join(crosswalk.select(code, "parent"), code).groupBy("parent", item).agg(F.avg(rating).alias(rating))
+    bare = crosswalk.join(own.select(code).distinct(), code, "left_anti")
+    filled = bare.join(means, "parent").select(code, item, rating, F.lit("crosswalk").alias("source"))
+    return own.withColumn("source", F.lit("own")).unionByName(filled)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.aggregates import top_value
 from wayline.operators.components import connected_components
 from wayline.operators.joins import similar_vector_links
+from wayline.sources.scratch import discard, written
 
 
 def neighbour_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str, floor: float) -> DataFrame:
@@ -80,17 +80,53 @@ def knn_graph(neighbours: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.round(F.sum(F.log1p("similarity")), 6).alias("weight"))
 
 
-def spectral_embedding(edges: DataFrame, dim: int) -> DataFrame:
-    """Nodes by the principal components of their row-normalised out and in profiles."""
-    total = edges.groupBy("src").agg(F.sum("weight").alias("t"))
-    out = edges.join(total, "src").select("src", F.concat(F.lit("o"), "dst").alias("c"), (F.col("weight") / F.col("t")).alias("v"))
-    into = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("t")), "dst").select(F.col("dst").alias("src"), F.concat(F.lit("i"), "src").alias("c"), (F.col("weight") / F.col("t")).alias("v"))
-    cells = out.union(into)
-    grid = cells.select("src").distinct().join(F.broadcast(cells.select("c").distinct().agg(F.array_sort(F.collect_set("c")).alias("all"))))
-    have = cells.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
-    rows = grid.join(have, "src").select(F.col("src").alias("node"), array_to_vector(F.transform("all", lambda c: F.coalesce(F.col("m")[c], F.lit(0.0)))).alias("x"))
-    model = PCA(k=dim, inputCol="x", outputCol="y").fit(rows)
-    return model.transform(rows).select("node", F.transform(vector_to_array("y"), lambda v: F.round(v, 6)).alias("vector"))
+def spectral_embedding(edges: DataFrame, dim: int, spare: int = 8, tolerance: float = 1e-7, rounds: int = 100) -> DataFrame:
+    """``node``, ``vector`` of length 1: nodes by the truncated singular vectors of their row-normalised out and in profiles.
+
+    Subspace iteration with ``spare`` further directions: a round is two joins of the edges with a few numbers per node, and
+    only the small matrix of their products reaches the driver. It ends where no singular value moves by more than the
+    tolerance of the greatest; an error if they still do. Signs make each direction's sum positive; missing directions are 0.
+    """
+    total = lambda end: edges.join(edges.groupBy(end).agg(F.sum("weight").alias("t")), end)
+    share = (F.col("weight") / F.col("t")).alias("v")
+    cells = total("src").select(F.col("src").alias("node"), F.struct(F.lit("o").alias("side"), F.col("dst").alias("other")).alias("c"), share)
+    cells = written(cells.union(total("dst").select("dst", F.struct(F.lit("i"), F.col("src")), share)), "cells")
+    k = dim + spare
+    start = cells.select("node").distinct().select("node", *((F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2000003)) / 1000001.5 - 1).alias(f"y{i}") for i in range(k)))
+
+    def times(state: DataFrame, here: str, there: str) -> DataFrame:
+        names = state.columns[1:]
+        return cells.join(state, here).groupBy(there).agg(*(F.sum(F.col("v") * F.col(y)).alias(y) for y in names))
+
+    def products(state: DataFrame) -> np.ndarray:
+        names = state.columns[1:]
+        row = state.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:])).first()
+        return np.array([[row[f"{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] or 0.0 for b in names] for a in names])
+
+    def mixed(state: DataFrame, by: np.ndarray) -> DataFrame:
+        names = state.columns[1:]
+        return state.select("node", *(sum((F.lit(float(by[i, j])) * F.col(y) for i, y in enumerate(names)), F.lit(0.0)).alias(f"y{j}") for j in range(by.shape[1])))
+
+    state, before = written(start, "state"), None
+    for _ in range(rounds):
+        size, turn = np.linalg.eigh(products(state))
+        live = size > 1e-14 * max(size.max(initial=0.0), 1e-300)
+        across = written(times(mixed(state, turn[:, live] / np.sqrt(size[live])), "node", "c"), "across")
+        values, axes = np.linalg.eigh(products(across))
+        order = np.argsort(-values)[:dim]
+        now = np.zeros(dim)
+        now[: len(order)] = np.sqrt(np.maximum(values[order], 0.0))
+        following = written(times(across, "c", "node"), "state")
+        if before is not None and np.abs(now - before).max() <= tolerance * now.max(initial=0.0):
+            good = [i for i in order if values[i] > 1e-12 * values.max()]
+            found = mixed(following, axes[:, good] / np.sqrt(values[good]))  # X X' y over the singular value: the direction times it
+            signs = found.agg(*(F.when(F.sum(y) < 0, -1.0).otherwise(1.0).alias(y) for y in found.columns[1:])).first()
+            v = F.array(*(F.col(y) * float(signs[y]) for y in found.columns[1:]), *([F.lit(0.0)] * (dim - len(good))))
+            length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+            return found.select("node", F.transform(v, lambda x: F.round(F.coalesce(F.try_divide(x, length), F.lit(0.0)), 6)).alias("vector"))
+        discard(across, state)
+        state, before = following, now
+    raise RuntimeError(f"singular values still move by {np.abs(now - before).max()} after {rounds} rounds")
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:

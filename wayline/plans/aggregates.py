@@ -331,3 +331,10 @@ def set_algebra(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"))
     a, b = o.filter("y = 1995").select("k"), o.filter("y = 2000").select("k")
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
+
+
+@query("cluster_balance", "WITH s AS (SELECT sum(p_size) / (SELECT sum(p_size) FROM part) AS p FROM part GROUP BY p_type) SELECT count(*) AS clusters, round(exp(-sum(p * ln(p))), 6) AS effective, round(max(p), 6) AS largest_share FROM s")
+def cluster_balance(spark, d):
+    from wayline.operators.aggregates import cluster_balance as balance
+
+    return balance(table(spark, d, "part"), "p_type", "p_size")

@@ -78,15 +78,21 @@ def typo_clusters(spark, d):
     return C.typo_clusters(vocab.groupBy("value").agg(F.count("*").alias("n")), "value", "n", 1)
 
 
+_PLACES = """p AS (SELECT CASE c_custkey % 12 WHEN 0 THEN n_name || ', Texas,  United States' WHEN 1 THEN n_name || ', OH' WHEN 2 THEN 'Ohio, United States' WHEN 3 THEN n_name || ', Ontario, Canada' WHEN 4 THEN 'Greater Dallas Area' WHEN 5 THEN 'Austin' WHEN 6 THEN 'Texas' WHEN 7 THEN ' India ' WHEN 8 THEN 'Remote' WHEN 9 THEN n_name WHEN 10 THEN n_name || ', Texas, Canada' WHEN 11 THEN ' ' END AS value, c_custkey % 12 AS k, lower(n_name) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
 @query(
     "location_parse",
-    "WITH v AS (SELECT n_name || ', ' || r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'Remote ' || r_name FROM region UNION SELECT n_name FROM nation) SELECT value, CASE WHEN l IN ('asia', 'europe') THEN l END AS country, CASE WHEN l IN ('asia', 'europe') AND len(p) > 1 THEN p[1] END AS city, CASE WHEN contains(lower(value), 'remote') THEN 'remote' WHEN l IN ('asia', 'europe') THEN 'country' ELSE 'unparsed' END AS location_method FROM (SELECT value, list_transform(string_split(lower(value), ','), lambda x: trim(x)) AS p, trim(string_split(lower(value), ',')[-1]) AS l FROM v)",
+    f"""WITH {_PLACES} SELECT DISTINCT value, CASE WHEN k IN (0, 1, 2, 4, 5, 6) THEN 'US' WHEN k = 3 THEN 'CA' WHEN k = 7 THEN 'IN' END AS country, CASE WHEN k IN (0, 4, 5, 6) THEN 'TX' WHEN k IN (1, 2) THEN 'OH' END AS state, CASE WHEN k IN (0, 1, 3) THEN n WHEN k = 4 THEN 'dallas' WHEN k = 5 THEN 'austin' END AS city,
+    CASE k WHEN 0 THEN 'city_state_country' WHEN 1 THEN 'city_state' WHEN 2 THEN 'state_country' WHEN 3 THEN 'city_country' WHEN 4 THEN 'metro' WHEN 5 THEN 'city_alias' WHEN 6 THEN 'state' WHEN 7 THEN 'country' WHEN 8 THEN 'remote' WHEN 11 THEN 'empty' ELSE 'unparsed' END AS location_method, CAST(CASE WHEN k = 4 THEN 0.95 WHEN k = 5 THEN 0.9 WHEN k IN (9, 10, 11) THEN 0 ELSE 1 END AS DOUBLE) AS location_confidence FROM p""",
 )
 def location_parse(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("n_name", F.lit(", "), "r_name").alias("value"))
-    vocab = both.union(r.select(F.concat(F.lit("Remote "), "r_name"))).union(n.select("n_name")).distinct()
-    return vocab.withColumns(C.parse_location(F.col("value"), ["asia", "europe"]))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    forms = ["{}, Texas,  United States", "{}, OH", "Ohio, United States", "{}, Ontario, Canada", "Greater Dallas Area", "Austin", "Texas", " India ", "Remote", "{}", "{}, Texas, Canada", " "]
+    written = F.element_at(F.array(*map(F.lit, forms)), (F.col("c_custkey") % 12 + 1).cast("int"))
+    vocab = rows.select(F.replace(written, F.lit("{}"), F.col("n_name")).alias("value")).distinct()
+    gazetteers = {"united states": "US", "canada": "CA", "india": "IN"}, {"texas": "TX", "ohio": "OH"}
+    return vocab.withColumns(C.parse_location(F.col("value"), *gazetteers, "US", {"dallas": ("dallas", "TX")}, {"austin": ("austin", "TX")}, ["remote", "anywhere"]))
 
 
 @query("compound_split", "WITH v AS (SELECT DISTINCT p_type, p_name FROM part) SELECT p_type || ' and ' || p_name || '; minor in ' || p_type AS value, 2 AS majors, 1 AS minors, lower(p_type) AS first_part FROM v")
@@ -148,3 +154,15 @@ def code_status(spark, d):
 def truncated_codes(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("r_name", F.lit("."), "n_name").alias("code"))
     return n.select("code", *(X.truncate_code(F.col("code"), k).alias(f"l{k}") for k in (1, 2, 3)))
+
+
+@query(
+    "backfilled_ratings",
+    """WITH o AS (SELECT p_brand, p_type, avg(p_retailprice) AS r FROM part WHERE right(p_brand, 1) <> '3' GROUP BY 1, 2), b AS (SELECT DISTINCT p_brand, left(p_brand, 7) AS parent FROM part), m AS (SELECT parent, p_type, avg(r) AS r FROM o JOIN b USING (p_brand) GROUP BY 1, 2)
+    SELECT p_brand, p_type, round(r, 6) AS rating, 'own' AS source FROM o UNION ALL SELECT p_brand, p_type, round(r, 6), 'crosswalk' FROM b JOIN m USING (parent) WHERE p_brand NOT IN (SELECT p_brand FROM o)""",
+)
+def backfilled_ratings(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_type", F.col("p_retailprice").alias("rating"))
+    crosswalk = p.select("p_brand", F.left("p_brand", F.lit(7)).alias("parent")).distinct()
+    found = C.backfilled_ratings(p.filter(F.right("p_brand", F.lit(1)) != "3"), "p_brand", "p_type", "rating", crosswalk)
+    return found.withColumn("rating", F.round("rating", 6))

@@ -37,7 +37,11 @@ def knn_graph(spark, d):
     return C.knn_graph(neighbours(spark, d, 3))
 
 
-@query("vector_clusters")
+@query(
+    "vector_clusters",
+    """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.6), r(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+    SELECT a AS vec_id, min(b) AS cluster FROM r GROUP BY 1""",
+)
 def vector_clusters(spark, d):
     return C.vector_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
 

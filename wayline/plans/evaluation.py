@@ -195,3 +195,19 @@ def ranking_leaderboard(spark, d):
     anchor = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.avg("c_acctbal").alias("value"))
     ladders = n.filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("low"), (F.col("n_nationkey") + 1).alias("high"))
     return E.ranking_leaderboard(methods, silver, anchor, ladders)
+
+
+@query(
+    "calibration_terciles",
+    f"""WITH {_VOTES}, {_GOLD}, c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT source, row_number() OVER (ORDER BY n DESC, source) AS pos, count(*) OVER () AS t FROM c), b AS (SELECT source, CAST(CASE WHEN pos <= (t % 3) * (t // 3 + 1) THEN ceil(pos / (t // 3 + 1)) ELSE t % 3 + ceil((pos - (t % 3) * (t // 3 + 1)) / (t // 3)) END AS INT) AS tercile FROM k),
+    s AS (SELECT doc_id, CASE WHEN count(*) FILTER (code = '1') >= 2 THEN '1' ELSE '0' END AS called FROM v GROUP BY 1) SELECT 'band:' || tercile AS slice, count(*) AS n, round(avg(CAST(called = gold AS INT)), 6) AS accuracy, avg(CAST(called = gold AS INT)) >= 0.5 AS passes FROM s JOIN g USING (doc_id) JOIN documents USING (doc_id) JOIN b USING (source) GROUP BY tercile""",
+)
+def calibration_terciles(spark, d):
+    """Accuracy of the votes by tercile of how often a source occurs."""
+    from wayline.operators.windows import terciles
+
+    docs = table(spark, d, "documents")
+    bands = terciles(docs.groupBy("source").agg(F.count("*").alias("n")), "n", "source").select("source", "tercile")
+    gold = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("gold"))
+    gold = gold.join(docs.select("doc_id", "source"), "doc_id").join(bands, "source").select("doc_id", "gold", "tercile")
+    return E.calibration(votes(spark, d), gold, "doc_id", "juror", "code", "gold", "tercile", 0.5).filter("slice LIKE 'band:%'")
