@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_counts, toxicity, wavelet, wu_manber
+from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_counts, toxicity, vector_codes, wavelet, wu_manber
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_crf": quality_crf.op8,
     "op9_bpe_chunks": bpe_chunks.op9,
     "op10_boosted_pii": pii.op10,
+    "op11_limb_codes": vector_codes.op11,
 }
 
 SQL: dict[str, str] = {
