@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import zstandard
 
-from wayline.llm import vector_codes
+from wayline.llm import vector_codes, warc_zstd
 
 VECTORS = "vec_id long, embedding array<float>, label int, id int, ints string, error int"
 
@@ -95,3 +97,76 @@ def test_codes_stand_for_their_entries(spark, sf_dir):
     coded = vector_codes.decode(vector_codes.encode(ints, books), books).join(ints.select("id", "ints"), "id")
     for r in coded.collect():
         assert sum((a - int(b)) ** 2 for a, b in zip(r.approximation, np.frombuffer(r.ints, "<i4"), strict=True)) == r.error
+
+
+PAGES = "page_id long, url string, html string, id int, digest string, first_id int, payload string, key int"
+
+
+@pytest.fixture
+def odd_pages(spark):
+    body = "<p>xé中 " * 20
+    rows = [(5, "http://a/1", body), (3, "http://a/ 2\r\nX: y", body), (3, "http://a/3", body), (None, None, body), (9, "u", "short"), (8, "u", "short"), (1, "u", None), (2, "u", "")]
+    rows += [(None, "u", "<b>" * 40), (None, "v", "<b>" * 40), (20, "u", "a" * 100), (21, "u", "a" * 100), (22, "u", "b" * 99), (23, "u", "b" * 99), (30, "u", "long " * 400_000)]
+    return spark.createDataFrame([(*r, 1, "d", 2, "p", 3) for r in rows], PAGES)
+
+
+def slow_archive(rows):
+    kept = [(i, (h or "").encode()) for i, _, h in rows]
+    out = []
+    for i, p in kept:
+        same = [j for j, q in kept if q == p and j is not None]
+        again = len(p) >= 100 and bool(same) and i != min(same)
+        out.append((str(i), len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", min(same) if again else None))
+    return sorted(out, key=str)
+
+
+def test_op12_matches_sql_and_plain_python(spark, sf_dir, same_rows):
+    same_rows(warc_zstd.op12(spark, sf_dir), warc_zstd.OP12_SQL)
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    got = [(str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_zstd.op12(spark, sf_dir).collect()]
+    assert sorted(got, key=str) == slow_archive(rows)
+
+
+@pytest.mark.parametrize("size", [1, 400, 1 << 25])
+def test_archives_of_odd_pages(spark, odd_pages, size):
+    store = warc_zstd.write_archives(warc_zstd.planned(odd_pages), archive_bytes=size)
+    found = warc_zstd.read_archives(store).collect()
+    rows = [(r.page_id, r.url, r.html) for r in odd_pages.collect()]
+    assert sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == slow_archive(rows)
+    assert all((r.payload is None) == (r.record_type == "revisit") for r in found)
+    assert sorted(bytes(r.payload) for r in found if r.payload is not None and len(r.payload) < 100) == sorted((h or "").encode() for _, _, h in rows if len((h or "").encode()) < 100)
+    names = [f["warc-record-id"] for r in store.collect() for f, _ in warc_zstd.records(bytes(r.archive))]
+    assert len(names) == len(set(names)) == len(rows) + store.count()
+    assert warc_zstd.write_archives(warc_zstd.planned(odd_pages.limit(0))).count() == 0
+
+
+def test_archive_layout(spark, sf_dir, tmp_path):
+    """The leading frame is a dictionary that plain Zstandard skips; records are frames that open one by one."""
+    store = warc_zstd.write_archives(warc_zstd.planned(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    files = warc_zstd.export(store, f"{tmp_path}/warc").collect()
+    assert sorted(r.n_records for r in files) == sorted(r.n_records for r in store.collect())
+    smaller = plainer = 0
+    for r in files:
+        data = open(r.file, "rb").read()
+        magic, size = struct.unpack_from("<II", data)
+        trained = zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])
+        assert magic == 0x184D2A5D and struct.unpack_from("<I", trained)[0] == 0xEC30A437
+        opened = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
+        whole = opened.stream_reader(data, read_across_frames=True).read()
+        found = [warc_zstd.record(f["warc-type"], f["warc-record-id"][10:-1], {}, b, f["content-type"], f["warc-date"]) for f, b in warc_zstd.records(data)]
+        assert whole.count(b"WARC/1.1\r\nWARC-Type: ") == len(found) == r.n_records and found[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        again, places = warc_zstd.pack(found, trained)
+        for k in (len(found) - 1, 0, len(found) // 2):
+            assert warc_zstd.record_at(again, places[k])[0] == found[k]
+        smaller += len(data)
+        plainer += len(warc_zstd.pack(found, None)[0])
+    assert smaller < 0.9 * plainer  # dictionary and all its records
+
+
+def test_damaged_archives_are_refused():
+    made = [warc_zstd.record("response", "x", {"A": "b"}, b"HTTP/1.1 200 OK\r\n\r\n" + bytes([65 + k]) * 500, "t", "d") for k in range(40)]
+    data, places = warc_zstd.pack(made, warc_zstd.dictionary(made))
+    assert [b for _, b in warc_zstd.records(data)] == [warc_zstd.parse(m)[1] for m in made]
+    for broken in (data[:-3], data[: places[0]] + b"\0" * 40, data[:6], data[: places[1] - 5] + bytes([data[places[1] - 5] ^ 255]) + data[places[1] - 4 :]):
+        with pytest.raises(ValueError):
+            list(warc_zstd.records(broken))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_counts, toxicity, vector_codes, wavelet, wu_manber
+from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_counts, toxicity, vector_codes, warc_zstd, wavelet, wu_manber
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.op1,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_bpe_chunks": bpe_chunks.op9,
     "op10_boosted_pii": pii.op10,
     "op11_limb_codes": vector_codes.op11,
+    "op12_dictionary_warc": warc_zstd.op12,
 }
 
 SQL: dict[str, str] = {
     "op7_wu_manber": wu_manber.OP7_SQL,
+    "op12_dictionary_warc": warc_zstd.OP12_SQL,
 }
