@@ -6,10 +6,11 @@ import random
 import struct
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 
-from wayline.llm import vector_codes, warc_zstd
+from wayline.llm import token_align, vector_codes, warc_zstd
 
 VECTORS = "vec_id long, embedding array<float>, label int, id int, ints string, error int"
 
@@ -170,3 +171,123 @@ def test_damaged_archives_are_refused():
     for broken in (data[:-3], data[: places[0]] + b"\0" * 40, data[:6], data[: places[1] - 5] + bytes([data[places[1] - 5] ^ 255]) + data[places[1] - 4 :]):
         with pytest.raises(ValueError):
             list(warc_zstd.records(broken))
+
+
+JSON, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def slow_alignments(texts):
+    """Per text: ids, groups and links from the libraries' ids of the whole text and the tokens' places."""
+    import sentencepiece
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    a, b = Tokenizer.from_file(JSON), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    a.encode_special_tokens = True
+    plain = sorted(pre_tokenizers.ByteLevel.alphabet())
+    of = {}
+    printable = {chr(i) for i in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    rest = iter(sorted(set(plain) - printable))
+    for i in range(256):
+        of[chr(i) if chr(i) in printable else next(rest)] = i
+    out = []
+    for text in texts:
+        ids_a, ids_b = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        bytes_a = [bytes(of[c] for c in a.id_to_token(i)) for i in ids_a]
+        bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ids_b]
+        if not text or not b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode():
+            out.append(([], [], "", []))
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
+        both = sorted(set(ends_a) & set(ends_b))
+        groups, links, lo = [], [], 0
+        for end in both:
+            groups.append((",".join(str(i) for i, e in zip(ids_a, ends_a) if lo < e <= end), ",".join(str(i) for i, e in zip(ids_b, ends_b) if lo < e <= end)) if len(text) < 400 else None)
+            lo = end
+        if len(text) >= 400:  # the same by one walk over the tokens
+            ends, x, y = set(both), 0, 0
+            groups = []
+            while x < len(ids_a):
+                i, j = x, y
+                while ends_a[x] not in ends:
+                    x += 1
+                while ends_b[y] not in ends:
+                    y += 1
+                x, y = x + 1, y + 1
+                groups.append((",".join(map(str, ids_a[i:x])), ",".join(map(str, ids_b[j:y]))))
+        starts_b, first = [0, *ends_b[:-1]], 0
+        for i, (s, e) in enumerate(zip([0, *ends_a[:-1]], ends_a)):
+            while ends_b[first] <= s:
+                first += 1
+            j = first
+            while j < len(ids_b) and starts_b[j] < e:
+                links.append((i, j))
+                j += 1
+        out.append((ids_a, ids_b, ";".join(f"{x}|{y}" for x, y in groups), links))
+    return out
+
+
+def slow_summaries(rows):
+    from collections import Counter
+
+    found = slow_alignments([t for _, t in rows])
+    counts = Counter((a[i], b[j]) for a, b, _, links in found for i, j in links)
+    most = {}
+    for (_, b), n in counts.items():
+        most[b] = max(most.get(b, 0), n)
+    out = []
+    for (key, _), (a, b, groups, links) in zip(rows, found, strict=True):
+        per = [(counts[a[i], b[j]], most[b[j]]) for i, j in links]
+        out.append((str(key), len(a), len(b), groups.count("|"), len(links), sum(c == m for c, m in per), sum(c for c, _ in per), hashlib.sha256(groups.encode()).hexdigest() if a else ""))
+    return sorted(out)
+
+
+def summary_rows(df):
+    return sorted((str(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in df.collect())
+
+
+def odd_texts():
+    rng = random.Random(3)
+    texts = [None, "", " ", "  ", "a", "the cat, it's  here", "x<|endoftext|>y <s> </s> <unk> <0x0A>", "q" * 3000, "word " * 4000, "\u2581", "a\u2581 b", "é中\n\n 12", "中文，没有空格" * 400, "\x00 \x1c a\x85b\xa0c", "tail  ", "\t x\r\n", "\ud7ff\ufeff\U0001f600 ﬁ①"]
+    for alphabet in (" ab\n", " \t\u3000x中", "é'sll 7,", " a\x1c\x85\u2028", "the of and ", "\U0001f600e\u0301 "):
+        texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 120))) for _ in range(25)]
+        texts.append("".join(rng.choices(alphabet, k=5000)))
+    return texts
+
+
+ALIGN = "doc_id long, text string, n int, block int, place int, pair int, n_a int"
+
+
+def test_op13_as_the_libraries_do(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert summary_rows(token_align.op13(spark, sf_dir)) == slow_summaries(rows)
+
+
+@pytest.mark.parametrize("block", [1, 3000, 1 << 25])
+def test_alignment_of_odd_texts(spark, block):
+    rows = [(k // 2 if k % 7 else None, t) for k, t in enumerate(odd_texts() + ["the cat, it's  here", "tail  "])]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], ALIGN)
+    assert summary_rows(token_align.summaries(docs, JSON, MODEL, block_chars=block)) == slow_summaries(rows)
+    assert token_align.summaries(docs.limit(0), JSON, MODEL).count() == 0
+
+
+@pytest.mark.parametrize("lane", [1, 7, 1 << 20])
+def test_lanes_do_not_change_an_alignment(lane):
+    a, b = token_align.sides(JSON, MODEL)
+    texts = [t or "" for t in odd_texts()]
+    found = token_align.Aligned(texts, a, b, lane_chars=lane)
+    links = sorted(zip(found.owner_a[found.link_a].tolist(), found.link_a.tolist(), found.link_b.tolist()))
+    want = []
+    for k, (_, _, _, some) in enumerate(slow_alignments(texts)):
+        want += [(k, int(found.bounds_a[k]) + i, int(found.bounds_b[k]) + j) for i, j in some]
+    assert links == want
+    assert [g.decode() for g in found.groups(a, b)] == [g for _, _, g, _ in slow_alignments(texts)]
+
+
+def test_align_returns_tokens_links_and_cuts(spark):
+    rows = [(k, t) for k, t in enumerate(odd_texts())]
+    got = {r.doc_id: r for r in token_align.align(spark.createDataFrame(rows, "doc_id long, text string"), JSON, MODEL).collect()}
+    for k, (a, b, groups, links) in enumerate(slow_alignments([t for _, t in rows])):
+        r = got[k]
+        assert (r.a_ids, r.b_ids, list(zip(r.link_a, r.link_b))) == (a, b, links)
+        at = [(0, 0), *((x + 1, y + 1) for x, y in zip(r.cut_a, r.cut_b))]
+        assert groups == ";".join(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])) for (i, j), (x, y) in zip(at, at[1:]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_counts, toxicity, vector_codes, warc_zstd, wavelet, wu_manber
+from wayline.llm import bpe_chunks, html_crf, order_minhash, pii, png_media, quality_crf, token_align, token_counts, toxicity, vector_codes, warc_zstd, wavelet, wu_manber
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_boosted_pii": pii.op10,
     "op11_limb_codes": vector_codes.op11,
     "op12_dictionary_warc": warc_zstd.op12,
+    "op13_lockstep_align": token_align.op13,
 }
 
 SQL: dict[str, str] = {
