@@ -44,7 +44,6 @@ _SCOPES = frozenset(("article", "aside", "body", "div", "footer", "form", "heade
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^>\"']*")
-QUOTES = 64  # quoted values looked through for a tag's end; a tag with more ends at its first >
 _SPACE = re.compile(r"\s+")
 _RAW_END = {name: re.compile(f"</{name}[\\s/>]", re.I) for name in RAW}
 _LISTS = frozenset(("ul", "ol", "dl", "table", "select"))
@@ -113,19 +112,28 @@ def _counted(name: str, marks: str) -> tuple[int, ...]:
     return (TAGS.index(name), *hints) if name in TAGS else tuple(hints)
 
 
-def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
-    """Behind the > that ends the tag: the first outside quotes, or the first of all where quotes are not closed."""
-    k = at
-    for _ in range(QUOTES):
+def _tag_end(page: str, at: int, last: dict[str, int], known: dict[int, int]) -> int:
+    """Behind the > that ends the tag: the first outside quotes, or the first of all where quotes are not closed.
+
+    ``known`` holds what follows from each quote that opened in an earlier tag of the page (0: none ends it), so that no
+    quote is looked at twice and a page takes linear time, however its quotes stand.
+    """
+    k, seen = at, []
+    while True:
         k = _PLAIN.match(page, k).end()
-        if k == len(page):
+        if k == len(page) or page[k] == ">":
+            end = 0 if k == len(page) else k + 1
+            break
+        if k in known:
+            end = known[k]
             break
-        if page[k] == ">":
-            return k + 1
+        seen.append(k)
         if k >= last[page[k]]:
+            end = 0
             break
         k = page.index(page[k], k + 1) + 1
-    return page.index(">", at) + 1
+    known.update(dict.fromkeys(seen, end))
+    return end or page.index(">", at) + 1
 
 
 def blocks(page: str) -> list[Block]:
@@ -134,7 +142,7 @@ def blocks(page: str) -> list[Block]:
     open_ = _Open()
     parts: list[str] = []
     at, linked, in_link, end = 0, 0, False, len(page)
-    last = {c: page.rfind(c) for c in ">\"'"}
+    last, known = {c: page.rfind(c) for c in ">\"'"}, {}
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -171,7 +179,7 @@ def blocks(page: str) -> list[Block]:
             stop = page.find("-->", lt + 4) + 3 if page.startswith("!--", lt + 1) else page.index(">", lt) + 1
             start = at = stop if stop > 2 else end  # an unclosed comment runs to the end
             continue
-        start = at = _tag_end(page, m.end(), last)
+        start = at = _tag_end(page, m.end(), last, known)
         name, marks = m[0].lower(), page[m.end() : at - 1].lower()
         if name == "a":
             in_link = not closing

@@ -1,9 +1,10 @@
 """Near-duplicates by Order MinHash and banded alignment.
 
-A text is a sequence of words, and of shingles of SHINGLE consecutive words (fewer words are one shingle). Each of
-SKETCHES sketches takes the TAKE occurrence-labelled shingles of least hash and keeps them in text order, so that texts
-agree where they have the same shingles in the same order. Texts that agree in a sketch are candidates. Similar are texts
-whose words align at an edit distance of at most 0.2 of the longer text; the alignment runs inside a band.
+A text is a sequence of words, and of shingles of SHINGLE consecutive words (fewer words are one shingle). A sketch takes
+the TAKE occurrence-labelled shingles of least hash and keeps them in text order, so that texts agree where they have the
+same shingles in the same order. Texts that agree in a sketch are candidates. Words changed here and there leave few long
+shingles whole, so further sketches take shorter ones (FAMILIES), those of two words for short texts alone. Similar are
+texts whose words align at an edit distance of at most 0.2 of the longer text; the alignment runs inside a band.
 
 Equal texts are one node from the start. First, every node of a sketch's bucket is aligned with the bucket's least node;
 each such pair once, in however many buckets it stands. By the triangle inequality only nodes near the edge of the band
@@ -35,7 +36,9 @@ from wayline.llm.wu_manber import words
 from wayline.operators.components import connected_components
 
 SHINGLE = 5
-SKETCHES = 64
+#: Words of a shingle, sketches of them, and the longest texts that have these sketches. A text that is similar to one of 24 words has at most 30.
+FAMILIES = ((SHINGLE, 32, None), (3, 32, None), (2, 32, 30))
+SKETCHES = sum(f[1] for f in FAMILIES)
 TAKE = 2
 SIMILARITY = 0.8
 BLOCK_NODES, BLOCK_WORDS = 2_048, 1 << 20  # of a bucket's rest; a task holds two blocks
@@ -45,36 +48,46 @@ _FACTORS = (_SEEDS[:SKETCHES, None] | np.uint64(1)).astype(np.uint32)
 _SHIFTS = _SEEDS[SKETCHES:, None].astype(np.uint32)
 
 
-def shingles(text: str) -> np.ndarray:
-    """64-bit hashes of the text's shingles in order."""
-    w = words(text)
+def shingles(w: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles of ``size`` words in order."""
     if not w:
         return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(sizes + 1) - 1
-    k = min(SHINGLE, len(w))
+    k = min(size, len(w))
     starts = (ends - sizes)[: len(w) - k + 1]
     return span_hashes(np.frombuffer(b" ".join(w), np.uint8), starts, ends[k - 1 :])
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One value per sketch; equal values stand for equal choices of shingles."""
+def sketches(w: list[bytes]) -> np.ndarray:
+    """The values of a text's sketches of all families that its length has, none without words."""
+    out, first = [], 0
+    for size, many, longest in FAMILIES:
+        if w and (longest is None or len(w) <= longest):
+            out.append(_sketch(shingles(w, size), first, many))
+        first += many
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _sketch(hashes: np.ndarray, first: int, many: int) -> np.ndarray:
+    """Sketches ``first`` to ``first + many``; equal values stand for equal choices of shingles."""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     again = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
     labelled = hashes.copy()
     if len(again):  # the occurrence number tells repeated shingles apart
-        first = np.arange(len(ranked))
-        first[again] = 0
-        labelled[order] += (np.arange(len(ranked)) - np.maximum.accumulate(first)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        start = np.arange(len(ranked))
+        start[again] = 0
+        labelled[order] += (np.arange(len(ranked)) - np.maximum.accumulate(start)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     labelled = mix(labelled)
     low = labelled.astype(np.uint32)
     take = min(TAKE, len(hashes))
-    out = np.zeros(SKETCHES, np.uint64)
+    out = np.zeros(many, np.uint64)
     step = max(1, 4_000_000 // len(hashes))  # bounds the memory for very long texts
-    for lo in range(0, SKETCHES, step):
-        keys = low * _FACTORS[lo : lo + step]
-        keys += _SHIFTS[lo : lo + step]
+    for lo in range(0, many, step):
+        some = slice(first + lo, first + min(many, lo + step))
+        keys = low * _FACTORS[some]
+        keys += _SHIFTS[some]
         rows = np.arange(len(keys))
         places = np.empty((take, len(keys)), np.int64)
         for k in range(take):
@@ -160,9 +173,9 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         values.append(None)
                         continue
                     seen.add(key)
-                    h = shingles(text)
-                    n.append(len(h) + SHINGLE - 1)
-                    values.append(sketch(h).view(np.int64) if len(h) else [])
+                    w = words(text)
+                    n.append(max(len(w), SHINGLE) if w else SHINGLE - 1)
+                    values.append(sketches(w).view(np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["node", "key", "n", "sketches"])
