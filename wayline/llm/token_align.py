@@ -56,20 +56,29 @@ class Side:
     def units(self, lane: str) -> list[str]:
         raise NotImplementedError
 
-    def encode(self, units: list[str]) -> dict[str, bytes]:
+    def encode(self, units: list[str]) -> list[bytes]:
         raise NotImplementedError
 
+    def _sound(self, units: list[str], coded: list[bytes]) -> Iterator[tuple[str, bytes | None]]:
+        """Units with their ids, or None where the ids' bytes are not the unit's."""
+        ids = np.frombuffer(b"".join(coded), np.uint32)
+        texts = [u.encode("utf-8", "surrogatepass") for u in units]
+        sizes = np.concatenate([[0], np.cumsum(self.lengths[ids])])[np.cumsum([0, *map(len, coded)]) // 4]
+        apart = np.diff(sizes) != np.fromiter(map(len, texts), np.int64, len(texts))
+        entry = self.entries.__getitem__
+        if not apart.any() and b"".join(map(entry, ids.tolist())) == b"".join(texts):
+            return zip(units, coded, strict=True)
+        whole = (b"".join(map(entry, array("I", c))) == t for c, t in zip(coded, texts, strict=True))
+        return ((u, c if w else None) for u, c, w in zip(units, coded, whole, strict=True))
+
     def lanes(self, lanes: list[str]) -> list[bytes | None]:
         """The ids of each lane as unsigned 32-bit integers; None where they do not give back its bytes."""
         texts = [self.units(t) for t in lanes]
         every = set().union(*texts)
-        if len(self.known) + len(every) > KEPT_UNITS:
+        if len(self.known) > KEPT_UNITS:
             self.known.clear()
-        new = self.encode([u for u in every if u not in self.known])
-        entry = self.entries.__getitem__
-        for unit, ids in new.items():
-            sound = b"".join(map(entry, array("I", ids))) == unit.encode("utf-8", "surrogatepass")
-            self.known[unit] = ids if sound else None
+        new = [u for u in every if u not in self.known]
+        self.known.update(self._sound(new, self.encode(new)))
         out = []
         for units in texts:
             try:
@@ -97,8 +106,8 @@ class ByteLevel(Side):
     def units(self, lane: str) -> list[str]:
         return pretokens(lane)
 
-    def encode(self, units: list[str]) -> dict[str, bytes]:
-        return library_pieces(self.tokenizer, units)
+    def encode(self, units: list[str]) -> list[bytes]:
+        return list(map(library_pieces(self.tokenizer, units).__getitem__, units))
 
 
 class SpaceLed(Side):
@@ -116,9 +125,9 @@ class SpaceLed(Side):
     def units(self, lane: str) -> list[str]:
         return _WORD.findall(lane) if self.apart else [lane]
 
-    def encode(self, units: list[str]) -> dict[str, bytes]:
+    def encode(self, units: list[str]) -> list[bytes]:
         found = self.model.encode([u[1:] for u in units], num_threads=1)
-        return {u: self.last if u == " " else array("I", ids).tobytes() for u, ids in zip(units, found, strict=True)}
+        return [self.last if u == " " else array("I", ids).tobytes() for u, ids in zip(units, found, strict=True)]
 
 
 @lru_cache(2)
