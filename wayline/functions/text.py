@@ -23,6 +23,17 @@ def fold(df: DataFrame, value: str, name: str) -> DataFrame:
     return ascii_.unionByName(df.filter(~plain).withColumn(name, _folded(value)))
 
 
+@F.pandas_udf(T.StringType())
+def _composed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
+
+
+def compose(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the value in normal form NFKC; ASCII values, which it does not change, do not leave the JVM."""
+    plain = F.coalesce(~F.col(value).rlike("[^\\x00-\\x7f]"), F.lit(True))
+    return df.filter(plain).withColumn(name, F.col(value)).unionByName(df.filter(~plain).withColumn(name, _composed(value)))
+
+
 def match_key(folded: Column) -> Column:
     """Lower case, & as "and", letters, digits, + and # kept, all else one space."""
     text = F.regexp_replace(F.lower(folded), "&", " and ")
