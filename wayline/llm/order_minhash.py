@@ -36,8 +36,8 @@ from wayline.llm.wu_manber import words
 from wayline.operators.components import connected_components
 
 SHINGLE = 5
-#: Words of a shingle, sketches of them, and the longest texts that have these sketches. A text that is similar to one of 24 words has at most 30.
-FAMILIES = ((SHINGLE, 32, None), (3, 32, None), (2, 32, 30))
+#: Words of a shingle, sketches of them, and the longest texts that have these sketches. A text that is similar to one of 48 words has at most 60.
+FAMILIES = ((SHINGLE, 32, None), (3, 20, None), (2, 36, 60))
 SKETCHES = sum(f[1] for f in FAMILIES)
 TAKE = 2
 SIMILARITY = 0.8
