@@ -11,7 +11,7 @@ each such pair once, in however many buckets it stands. By the triangle inequali
 can be similar to nodes beyond it: those beyond it, and the few near its edge, stay. What stays of a bucket is dealt into
 blocks of bounded size, and every two blocks of a bucket meet in a task. There a product of word counts gives, for all
 pairs at once, a distance that no alignment can undercut; the pairs that it does not tell apart, and that nothing links
-yet, are aligned. So every two nodes that share a bucket are aligned, told apart by a bound, or linked through others,
+yet, are aligned, in the least of the buckets they share. So every two nodes that share a bucket are aligned, told apart by a bound, or linked through others,
 whatever the bucket's size; a task only returns a forest of links, never the pairs of a group. Classes are the connected
 components.
 
@@ -23,7 +23,7 @@ not read; ids may have any type with an order; an empty table gives none.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,15 +258,19 @@ def _rest_links(left: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     rest = left.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("linked").alias("lo"), F.max("linked").alias("hi")).filter("lo < hi")
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS))
     dealt = left.join(rest.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    least = texts.groupBy("node").agg(F.min("words").alias("words"))
+    # A pair that shares several buckets is tested in the least of them alone; a node is in as many as it has sketches at most.
+    mine = dealt.groupBy("node").agg(F.collect_set("bucket").alias("mine"))
+    least = texts.groupBy("node").agg(F.min("words").alias("words")).join(mine.hint("merge"), "node")
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(least.hint("merge"), "node")
-    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("second"), "node", "linked", "words")
+    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("second"), "node", "linked", "words", "mine")
     id_type = left.schema["node"].dataType.simpleString()
     arrow_type = left.limit(0).select("node").toArrow().schema.field("node").type
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
         second = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
-        found = link_group([r[5] for r in rows], [r[6].split() for r in rows], second, similarity)
+        buckets = [frozenset(r[7]) for r in rows]
+        here = lambda i, j: min(buckets[i] & buckets[j]) == rows[0][0]
+        found = link_group([r[5] for r in rows], [r[6].split() for r in rows], second, similarity, here)
         return pa.record_batch([pa.array([rows[i][4] for i, _ in found], arrow_type), pa.array([rows[j][4] for _, j in found], arrow_type)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +288,11 @@ def _rest_links(left: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return met.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
-def link_group(linked: list, texts: list[list[bytes]], second: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+def link_group(linked: list, texts: list[list[bytes]], second: np.ndarray | None, similarity: float, here: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     """Pairs of places that link all similar texts of a group, as far as ``linked`` does not: equal values are linked.
 
-    With ``second``, only pairs of a text for which it holds and one for which it does not.
+    With ``second``, only pairs of a text for which it holds and one for which it does not; of all, only those that ``here``
+    says belong to this group.
     """
     names: dict = {}
     roots = np.array([names.setdefault(x, len(names)) for x in linked])
@@ -302,7 +307,7 @@ def link_group(linked: list, texts: list[list[bytes]], second: np.ndarray | None
         for i in range(lo, min(lo + 256, len(texts))):
             others = np.flatnonzero(open_[i - lo, i - lo + 1 :]) + i + 1
             for j in others[roots[others] != roots[i]].tolist():
-                if roots[i] != roots[j] and aligned(texts[i], texts[j], similarity)[1]:
+                if roots[i] != roots[j] and here(i, j) and aligned(texts[i], texts[j], similarity)[1]:
                     roots[roots == roots[j]] = roots[i]
                     out.append((i, j))
     return out
