@@ -22,7 +22,7 @@ def company_ladder(df: DataFrame, name: str, own_id: str, placeholders: dict[str
     kind = F.lit(None).cast("string")
     for pattern, label in reversed(placeholders.items()):
         kind = F.when(F.col("wl_text").rlike(pattern), f"nonorg:{label}").otherwise(kind)
-    tiers = [("placeholder", kind, 1.0), ("id", F.concat(F.lit("id:"), F.col(own_id).cast("string")), 1.0), ("crosswalk", F.concat(F.lit("id:"), F.col("wl_id").cast("string")), 0.9), ("raw", F.concat(F.lit("raw:"), F.nullif("wl_text", F.lit(""))), 0.5)]
+    tiers = [("placeholder", kind, 1.0), ("id", F.concat(F.lit("id:"), F.col(own_id).cast("string")), 1.0), ("crosswalk", F.concat(F.lit("id:"), F.col("wl_id").cast("string")), 0.97), ("raw", F.concat(F.lit("raw:"), F.nullif("wl_text", F.lit(""))), 0.5)]
     return joined.withColumns({
         "company": F.coalesce(*(v for _, v, _ in tiers)),
         "company_method": reduce(lambda rest, t: F.when(t[1].isNotNull(), t[0]).otherwise(rest), reversed(tiers), F.lit(None).cast("string")),
@@ -38,71 +38,112 @@ def rescue_levels(df: DataFrame, level: str, text: str, support: int, share: flo
     return df.join(usable, text, "left").withColumn(f"{level}_source", source).withColumn(level, F.coalesce(level, "wl_rescued")).drop("wl_rescued")
 
 
-def classify_industry(companies: DataFrame, key: str, name: str, curated: DataFrame, rules: list[tuple[str, str]], prior: DataFrame) -> DataFrame:
-    """``code``, ``source``, ``confidence``, ``review``: a curated code, else a name rule's, else the occupations' prior.
+def classify_industry(companies: DataFrame, key: str, name: str, curated: DataFrame, rules: list[tuple[str, str]], prior: DataFrame, unresolved: str = "XOT") -> DataFrame:
+    """``code``, ``depth``, ``source``, ``confidence``, ``per_level`` (of the code's levels), ``review``: a curated code, else a name rule's, else the occupations' prior.
 
-    ``curated`` has key and ``curated_code``, ``prior`` key, ``prior_code`` and ``prior_share``; codes are dotted. A first level
-    that the prior shares raises the confidence; one that it contradicts, or an unsure prior alone, asks for a review.
+    ``curated`` has key and ``curated_code``, ``prior`` key, ``prior_code`` and ``prior_confidence``; codes are dotted. A rule
+    is (pattern, code); one that matches several words is surer. A prior of the same first level adds 0.05; one of another
+    asks for a review of a rule's code, not of a curated one. A prior alone is always reviewed, and so is ``unresolved``.
     """
-    rule = F.lit(None).cast("string")
+    rule, hit = F.lit(None).cast("string"), F.lit(None).cast("string")
     for pattern, code in reversed(rules):
-        rule = F.when(F.lower(F.col(name)).rlike(pattern), code).otherwise(rule)
-    j = companies.join(curated, key, "left").join(prior, key, "left").withColumn("wl_rule", rule)
-    code = F.coalesce("curated_code", "wl_rule", "prior_code")
+        met = F.lower(F.col(name)).rlike(pattern)
+        rule, hit = F.when(met, code).otherwise(rule), F.when(met, F.regexp_extract(F.lower(F.col(name)), f"({pattern})", 1)).otherwise(hit)
+    j = companies.join(curated, key, "left").join(prior, key, "left").withColumns({"wl_rule": rule, "wl_hit": hit})
+    source = F.when(F.col("curated_code").isNotNull(), "curated").when(F.col("wl_rule").isNotNull(), "name_rule").when(F.col("prior_code").isNotNull(), "occupation_prior").otherwise("unresolved")
+    j = j.withColumns({"wl_code": F.coalesce("curated_code", "wl_rule", "prior_code", F.lit(unresolved)), "wl_source": source})
     first = lambda c: F.split_part(c, F.lit("."), F.lit(1))
-    agrees = first(code) == first(F.col("prior_code"))
-    source = F.when(F.col("curated_code").isNotNull(), "curated").when(F.col("wl_rule").isNotNull(), "rule").when(F.col("prior_code").isNotNull(), "prior")
-    base = F.when(source == "curated", 0.95).when(source == "rule", 0.8).when(source == "prior", F.col("prior_share") * 0.7)
-    own = source != "prior"
-    return j.select(
-        key, code.alias("code"), source.alias("source"), F.round(F.least(F.lit(1.0), base + F.when(own & agrees, 0.05).otherwise(0.0)), 6).alias("confidence"),
-        F.coalesce(F.when(own, ~agrees).otherwise(F.col("prior_share") < 0.5), F.lit(False)).alias("review"),
-    )
-
-
-def cohort_profile(steps: DataFrame, entity: str, order: list[str], value: Column, macro: DataFrame, year: str, last_year: int, width: int = 2, horizon: int = 3) -> DataFrame:
-    """Per entity: ``entry_year``, its ``cohort`` (floor of ``width`` years), first value, years seen, ``censored``, and the macro value at entry.
-
-    ``order`` is total and begins with the start and end. An entity is censored at ``horizon`` years if the last complete year comes sooner. ``macro`` has ``year`` and ``macro``.
-    """
+    agrees = first(F.col("wl_code")) == first(F.col("prior_code"))
+    kind = F.col("wl_source")
+    own = kind.isin("curated", "name_rule")
+    base = F.when(kind == "curated", 1.0).when(kind == "name_rule", F.when(F.trim("wl_hit").contains(" "), 0.9).otherwise(0.82)).when(kind == "occupation_prior", F.col("prior_confidence")).otherwise(0.0)
+    sure = F.round(F.least(F.lit(1.0), base + F.when(own & agrees, 0.05).otherwise(0.0)), 3)
+    depth = F.size(F.split("wl_code", "\\."))
+    review = F.when(kind == "curated", False).when(kind == "name_rule", F.coalesce(~agrees, F.lit(False))).otherwise(True)
+    return j.select(key, F.col("wl_code").alias("code"), depth.alias("depth"), kind.alias("source"), sure.alias("confidence"), F.array_repeat(sure, depth).alias("per_level"), review.alias("review"))
+
+
+#: Names of generations by proxied years of birth.
+GENERATIONS = (("Boomer", 1946, 1964), ("Gen X", 1965, 1980), ("Millennial", 1981, 1996), ("Gen Z", 1997, 2012))
+
+
+def cohort_profile(
+    steps: DataFrame, entity: str, order: list[str], value: Column, macro: DataFrame, year: str, snapshot_year: int, valid: tuple[int, int], width: int = 5, entry_age: int = 22,
+    generations: tuple[tuple[str, int, int], ...] = GENERATIONS, anchors: DataFrame | None = None,
+) -> DataFrame:
+    """Per entity: ``entry_year``, ``last_year`` and the years between, steps, first value, ``right_censored``, generation by a proxied year of birth, whether its ``cohort`` (``width`` years) is ``valid``, and the macro value at entry.
+
+    ``order`` is total and begins with the start and end. An entity is censored if a step reaches into ``snapshot_year``.
+    ``macro`` has ``year`` and ``macro``. ``anchors`` has the entity and columns of years, of which the first between 1950
+    and the year before the snapshot is the ``graduation_year``.
+    """
     (start, end), first = order[:2], F.struct(*order)
-    per = steps.groupBy(entity).agg(F.year(F.min(start)).alias("entry_year"), F.min_by(value, first).alias("entry_value"), F.greatest(F.lit(0), F.year(F.max(end)) - F.year(F.min(start))).alias("years_seen"))
-    per = per.withColumns({"cohort": (F.floor(F.col("entry_year") / width) * width).cast("int"), "censored": F.col("entry_year") + horizon > last_year})
+    per = steps.groupBy(entity).agg(
+        F.year(F.min(start)).alias("entry_year"), F.max(F.year(end)).alias("last_year"), F.count("*").alias("n_steps"), F.min_by(value, first).alias("entry_value"),
+        F.coalesce(F.bool_or(F.year(end) >= snapshot_year), F.lit(False)).alias("right_censored"),
+    )
+    entry, born = F.col("entry_year"), F.col("entry_year") - entry_age
+    generation = reduce(lambda rest, g: F.when(born.between(g[1], g[2]), g[0]).otherwise(rest), reversed(generations), F.lit(None).cast("string"))
+    per = per.withColumns({
+        "years_seen": F.col("last_year") - entry, "birth_year_proxy": born, "generation": generation,
+        "valid_cohort": entry.between(*valid), "cohort": (F.floor(entry / width) * width).cast("int"),
+    })
+    if anchors is not None:
+        years = [F.when(F.col(c).between(1950, snapshot_year - 1), F.col(c)) for c in anchors.columns if c != entity]
+        per = per.join(anchors.select(entity, F.coalesce(*years).cast("int").alias("graduation_year")), entity, "left")
     return per.join(macro.select(F.col(year).alias("entry_year"), "macro"), "entry_year", "left")
 
 
-def role_features(steps: DataFrame, role: str, code: str, owner: Column, seniority: Column, text: str) -> DataFrame:
-    """Per role: modal code with support and share, share of owners, mean seniority, and the most usual text."""
-    n = steps.groupBy(role).agg(F.count("*").alias("steps"), F.avg(owner.cast("int")).alias("owner_share"), F.avg(seniority).alias("mean_seniority"))
+def role_features(steps: DataFrame, role: str, person: str, code: str, owner: Column, seniority: Column, text: str) -> DataFrame:
+    """Per role: steps, persons, coded steps, modal code with its support and its share of the coded ones, share of owners, mean seniority, and the most usual text."""
+    n = steps.groupBy(role).agg(F.count("*").alias("steps"), F.count_distinct(person).alias("persons"), F.count(code).alias("coded_steps"), F.avg(owner.cast("int")).alias("owner_share"), F.avg(seniority).alias("mean_seniority"))
     modal = top_value(steps.filter(F.col(code).isNotNull()), [role], code).select(role, code, F.col("support").alias("code_support"))
     usual = top_value(steps.filter(F.col(text).isNotNull()), [role], text).select(role, F.col(text).alias("usual_text"))
-    out = n.join(modal, role, "left").join(usual, role, "left").withColumn("code_share", F.round(F.col("code_support") / F.col("steps"), 6))
-    return out.withColumns({"owner_share": F.round("owner_share", 6), "mean_seniority": F.round("mean_seniority", 6)})
+    out = n.join(modal, role, "left").join(usual, role, "left").withColumn("code_support", F.coalesce("code_support", F.lit(0)))
+    return out.withColumns({"code_share": F.round(F.try_divide("code_support", "coded_steps"), 6), "owner_share": F.round("owner_share", 6), "mean_seniority": F.round("mean_seniority", 6)})
+
+
+def trusted_code(code: Column, support: Column, steps: Column, least: int = 10, share: float = 0.05) -> Column:
+    """A role's modal code where enough of its steps carry it."""
+    return F.when((support >= least) & (support >= share * steps), code)
 
 
-def assign_archetypes(roles: DataFrame, key: str, by_rule: Column, neighbours: DataFrame, prototypes: DataFrame, margin: float) -> DataFrame:
-    """``archetype`` and ``archetype_source``: a rule's label, else that of the nearest prototype if it leads the second by ``margin``.
+def assign_archetypes(
+    roles: DataFrame, key: str, by_rule: Column, persons: Column, neighbours: DataFrame, prototypes: DataFrame, other: str, margin: float = 0.05, least_cosine: float = 0.45, least_persons: int = 5
+) -> DataFrame:
+    """``archetype``, ``archetype_source`` and, for a vector's, ``cosine``: a rule's label (let it read ``trusted_code``), else the nearest prototype's.
 
-    ``neighbours`` has query, neighbour, similarity and rank 1 and 2 over ``prototypes`` (key and ``archetype``).
+    A vector counts for roles of ``least_persons`` at least, from ``least_cosine`` on, and if it leads the second by ``margin``;
+    what is left is ``other``, as residual_other. ``neighbours`` has query, neighbour, similarity and rank 1 and 2 over
+    ``prototypes`` (key and ``archetype``).
     """
     two = neighbours.filter("rank <= 2").groupBy("query").agg(
         F.max(F.when(F.col("rank") == 1, F.col("neighbour"))).alias("wl_best"), F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("wl_s1"), F.max(F.when(F.col("rank") == 2, F.col("similarity"))).alias("wl_s2")
     )
-    led = two.filter(F.col("wl_s1") - F.coalesce("wl_s2", F.lit(-1.0)) >= margin).join(prototypes.select(F.col(key).alias("wl_best"), F.col("archetype").alias("wl_near")), "wl_best")
-    j = roles.withColumn("wl_rule", by_rule).join(led.select(F.col("query").alias(key), "wl_near"), key, "left")
-    source = F.when(F.col("wl_rule").isNotNull(), "rule").when(F.col("wl_near").isNotNull(), "vector")
-    return j.select(key, F.coalesce("wl_rule", "wl_near").alias("archetype"), source.alias("archetype_source"))
+    led = two.filter((F.col("wl_s1") >= least_cosine) & (F.col("wl_s1") - F.coalesce("wl_s2", F.lit(-1.0)) >= margin))
+    led = led.join(prototypes.select(F.col(key).alias("wl_best"), F.col("archetype").alias("wl_near")), "wl_best")
+    j = roles.withColumns({"wl_rule": by_rule.cast("string"), "wl_many": persons >= least_persons}).join(led.select(F.col("query").alias(key), F.col("wl_near").cast("string").alias("wl_near"), "wl_s1"), key, "left")
+    embedded = F.col("wl_rule").isNull() & F.col("wl_many") & F.col("wl_near").isNotNull()
+    source = F.when(F.col("wl_rule").isNotNull(), "rule").when(embedded, "embed").otherwise("residual_other")
+    return j.select(key, F.coalesce("wl_rule", F.when(embedded, F.col("wl_near")), F.lit(other)).alias("archetype"), source.alias("archetype_source"), F.when(embedded, F.round("wl_s1", 3)).alias("cosine"))
 
 
-def accepted_votes(votes: DataFrame, item: str, code: str, least: int, none: list[str], population: DataFrame, known: DataFrame) -> DataFrame:
-    """``item``, ``code``, ``votes``: codes with a strict majority of at least ``least`` answers, of items in the population and not known yet.
+def vote_outcomes(votes: DataFrame, item: str, juror: str, code: str, jury: list[str], none: list[str]) -> DataFrame:
+    """``item``, ``outcome`` and, where accepted, ``code``: an answer is accepted if the whole jury gives it and nobody abstains.
 
-    Codes in ``none`` are no answers.
+    ``incomplete`` if a juror is missing, else ``abstained`` if one answers with a code in ``none``, else ``disagree`` unless
+    all are the same. A null code is no vote; of several by one juror the least counts.
     """
+    one = votes.filter(F.col(juror).isin(jury) & F.col(code).isNotNull()).groupBy(item, juror).agg(F.min(code).alias("wl_c"))
+    per = one.groupBy(item).agg(F.count("*").alias("n"), F.count_if(F.col("wl_c").isin(none)).alias("a"), F.min("wl_c").alias("lo"), F.max("wl_c").alias("hi"))
+    outcome = F.when(F.col("n") < len(jury), "incomplete").when(F.col("a") > 0, "abstained").when(F.col("lo") == F.col("hi"), "accepted").otherwise("disagree")
+    return per.withColumn("outcome", outcome).select(item, "outcome", F.when(F.col("outcome") == "accepted", F.col("lo")).alias(code))
+
+
+def accepted_votes(votes: DataFrame, item: str, juror: str, code: str, jury: list[str], none: list[str], population: DataFrame, known: DataFrame) -> DataFrame:
+    """``item``, ``code``, ``n_jurors`` of the answers that ``vote_outcomes`` accepts, of items in the population and not known yet."""
     asked = votes.join(population.select(item).distinct(), item, "left_semi").join(known.select(item), item, "left_anti")
-    counts = asked.filter(F.col(code).isNotNull() & ~F.col(code).isin(none)).groupBy(item, code).agg(F.count("*").alias("votes"))
-    totals = counts.groupBy(item).agg(F.sum("votes").alias("wl_n"))
-    return counts.join(totals, item).filter((2 * F.col("votes") > F.col("wl_n")) & (F.col("wl_n") >= least)).drop("wl_n")
+    return vote_outcomes(asked, item, juror, code, jury, none).filter("outcome = 'accepted'").select(item, code, F.lit(len(jury)).alias("n_jurors"))
 
 
 def label_precision(df: DataFrame, by: str, label: str, positive: str, unsure: str) -> DataFrame:

@@ -180,3 +180,59 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns[1:]:
         out = out.unionByName(one(c))
     return out
+
+
+def head_gate(head: DataFrame, review: DataFrame, row: str, code: str, abstain: list[str], valid: DataFrame, bar: float = 0.9) -> DataFrame:
+    """One row: how far a reviewer's dotted codes agree with the head's, level by level, and whether the first level reaches the bar.
+
+    ``abstained`` reviews (no code, or one in ``abstain``), ``invalid`` codes (not in ``valid``) and ``unmatched`` reviews,
+    whose row the head does not have, are counted apart and not scored. The second level is judged where both have one and
+    the first agrees. A review that does not join is a broken join: it fails the gate whatever the agreement.
+    """
+    said = F.nullif(F.upper(F.trim(F.col(code))), F.lit(""))
+    r = review.select(F.col(row).alias("wl_row"), said.alias("wl_said")).join(valid.select(F.col(code).alias("wl_said"), F.lit(True).alias("wl_valid")).distinct(), "wl_said", "left")
+    j = r.join(head.select(F.col(row).alias("wl_row"), F.col(code).alias("wl_head"), F.lit(True).alias("wl_known")), "wl_row", "left")
+    known = F.col("wl_known").isNotNull()
+    silent = known & (F.col("wl_said").isNull() | F.col("wl_said").isin(abstain))
+    wrong = known & ~silent & F.col("wl_valid").isNull()
+    scored = known & ~silent & ~wrong
+    cut = lambda c, k: F.array_join(F.slice(F.split(c, "\\."), 1, k), ".")
+    first = scored & (cut(F.col("wl_said"), 1) == cut(F.col("wl_head"), 1))
+    deep = first & (F.size(F.split("wl_said", "\\.")) >= 2) & (F.size(F.split("wl_head", "\\.")) >= 2)
+    second = deep & (cut(F.col("wl_said"), 2) == cut(F.col("wl_head"), 2))
+    n = j.agg(
+        F.count("*").alias("reviews"), F.count_if(~known).alias("unmatched"), F.count_if(silent).alias("abstained"), F.count_if(wrong).alias("invalid"), F.count_if(scored).alias("scored"),
+        F.count_if(first).alias("f"), F.count_if(deep).alias("level2_n"), F.count_if(second).alias("s"), F.count_if(scored & (F.col("wl_said") == F.col("wl_head"))).alias("e"),
+    )
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    passes = (F.col("unmatched") == 0) & (F.coalesce(F.try_divide("f", "scored"), F.lit(0.0)) >= bar)
+    return n.select("reviews", "unmatched", "abstained", "invalid", "scored", share("f", "scored").alias("level1"), "level2_n", share("s", "level2_n").alias("level2"), share("e", "scored").alias("exact"), passes.alias("passes"))
+
+
+def gold_scores(rows: DataFrame, gold: DataFrame, text: str, line: str, source: str, code: str, tier: str, levels: DataFrame, none: str, by_text: list[str]) -> DataFrame:
+    """Per tier of a fixed gold sample, how the codes that the rows carry now agree with it.
+
+    ``gold`` has the text, its tier, ``gold_code`` and ``gold_secondary``. A text is judged by its modal row: that of the
+    commonest line (the least on a tie), which is what the labeller saw. ``strict`` is the primary code, ``lenient`` either,
+    ``gap`` between the two is what the gold itself leaves open, ``level`` agreement by ``levels`` (code, level); and
+    ``row_strict`` weighs all rows of a text. ``reach`` is the share of the graded texts that have any code, beyond which
+    recall cannot go. Gold ``none`` says that the text names nothing: a code from a source in ``by_text`` is then an error
+    (``string_label``), one from elsewhere is right (``degree_line``), none is an abstention.
+    """
+    seen = rows.join(gold.select(text).distinct(), text).groupBy(text, line).agg(F.count("*").alias("n"), F.min(F.struct(source, code)).alias("wl_x"))
+    modal = seen.groupBy(text).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(line).alias("l"), F.col("wl_x").alias("x")))["x"].alias("wl_x"))
+    weighed = rows.join(gold.select(text, "gold_code"), text).groupBy(text).agg(F.count("*").alias("rows"), F.count_if(F.col(code) == F.col("gold_code")).alias("right"))
+    of = levels.groupBy("code").agg(F.min("level").alias("level"))
+    j = gold.join(modal, text, "left").join(weighed, text, "left").withColumns({"wl_s": F.col(f"wl_x.{source}"), "wl_c": F.col(f"wl_x.{code}")})
+    j = j.join(of.toDF("wl_c", "wl_l1"), "wl_c", "left").join(of.toDF("gold_code", "wl_l2"), "gold_code", "left")
+    graded = F.col("gold_code") != none
+    yes = lambda c: F.count_if(graded & F.coalesce(c, F.lit(False)))
+    strict, second = F.col("wl_c") == F.col("gold_code"), F.col("wl_c") == F.col("gold_secondary")
+    empty, labelled = ~graded & F.col("wl_c").isNull(), ~graded & F.col("wl_c").isNotNull() & F.coalesce(F.col("wl_s").isin(by_text), F.lit(False))
+    a = j.groupBy(tier).agg(
+        F.count("*").alias("n"), F.count_if(graded).alias("graded"), yes(strict).alias("s"), yes(F.coalesce(strict, F.lit(False)) | F.coalesce(second, F.lit(False))).alias("l"), yes(F.col("wl_l1").eqNullSafe(F.col("wl_l2"))).alias("v"),
+        yes(F.col("wl_c").isNotNull()).alias("c"), F.sum(F.when(graded, F.col("rows"))).alias("w"), F.sum(F.when(graded, F.col("right"))).alias("k"),
+        F.count_if(empty).alias("abstained"), F.count_if(labelled).alias("string_label"), F.count_if(~graded & ~empty & ~labelled).alias("degree_line"),
+    )
+    share = lambda x, y: F.round(F.try_divide(x, y), 6)
+    return a.select(tier, "n", "graded", share("s", "graded").alias("strict"), share("l", "graded").alias("lenient"), F.round(F.try_divide(F.col("l") - F.col("s"), "graded"), 6).alias("gap"), share("v", "graded").alias("level"), share("k", "w").alias("row_strict"), share("c", "graded").alias("reach"), "abstained", "string_label", "degree_line")

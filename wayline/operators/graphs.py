@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators.aggregates import top_value
 from wayline.operators.windows import average_percent_rank, clip_confidence, correlation, z_scores
 from wayline.sources.scratch import discard, written
 
@@ -22,6 +23,33 @@ def edge_table(df: DataFrame, src: Column, dst: Column, person: Column | None =
     return df.filter(src.isNotNull() & dst.isNotNull()).groupBy(*keys).agg(*n).withColumn("is_self_loop", F.col("src") == F.col("dst"))
 
 
+def axis_networks(moves: DataFrame, axes: dict[str, tuple[str, str]], person: str, means: dict[str, Column], modes: dict[str, str]) -> DataFrame:
+    """Edges of several networks over the same moves: ``axis``, ``src``, ``dst``, ``weight``, ``persons``, ``is_self_loop``, a mean of each of ``means``, the commonest value of each of ``modes``.
+
+    ``axes`` name the columns a move leads from and to; a move counts on the axes where it has both. Moves are read once and
+    laid out by axis; persons and modes add up in two steps, so that a frequent edge is a row per person or value, not per
+    move, when it is counted. Of equally common values the least is taken.
+    """
+    ends = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(x).cast("string").alias("src"), F.col(y).cast("string").alias("dst")) for a, (x, y) in axes.items())))
+    measured = [c.cast("double").alias(f"wl_x{i}") for i, c in enumerate(means.values())]
+    laid = moves.select(F.col(person).alias("wl_p"), *measured, *(F.col(c).alias(f"wl_m{i}") for i, c in enumerate(modes.values())), ends.alias("wl_e"))
+    laid = laid.select("wl_e.*", *[c for c in laid.columns if c != "wl_e"]).filter("src is not null and dst is not null")
+    edge = ["axis", "src", "dst"]
+    each = [f(F.col(f"wl_x{i}")).alias(f"wl_{n}{i}") for i in range(len(means)) for n, f in (("s", F.sum), ("n", F.count))]
+    per = laid.groupBy(*edge, "wl_p").agg(F.count("*").alias("w"), *each)
+    out = per.groupBy(*edge).agg(F.sum("w").alias("weight"), F.count("wl_p").alias("persons"), *(F.try_divide(F.sum(f"wl_s{i}"), F.sum(f"wl_n{i}")).alias(n) for i, n in enumerate(means)))
+    for i, n in enumerate(modes):
+        out = out.join(top_value(laid, edge, f"wl_m{i}").select(*edge, F.col(f"wl_m{i}").alias(n)), edge, "left")
+    return out.withColumn("is_self_loop", F.col("src") == F.col("dst"))
+
+
+def axis_coverage(moves: DataFrame, axes: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per axis the ``moves`` in all, those ``kept`` (both ends known) and their share, counted in one pass."""
+    kept = {a: F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) for a, (x, y) in axes.items()}
+    one = moves.agg(F.count("*").alias("moves"), F.array(*(F.struct(F.lit(a).alias("axis"), k.alias("kept")) for a, k in kept.items())).alias("wl_a"))
+    return one.select("moves", F.explode("wl_a").alias("a")).select("a.axis", "moves", "a.kept", F.round(F.coalesce(F.try_divide("a.kept", "moves"), F.lit(0.0)), 4).alias("coverage"))
+
+
 def node_strengths(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per node: out and in strength and degree without self-loops, self-loop weight, net flow."""
     keys = keys or []

@@ -81,7 +81,8 @@ def wls_clustered(df: DataFrame, y: str, xs: list[str], weight: str, cluster: st
 
 def kmeans_profiles(df: DataFrame, key: str, features: list[str], k: int, seed: int = 7) -> DataFrame:
     """Standardised k-means; one card per cluster: size and mean of every feature."""
-    v = VectorAssembler(inputCols=features, outputCol="wl_raw").transform(df.na.drop(subset=features))
+    rows = written(df.na.drop(subset=features).select(key, *features), "features")  # every pass of the fits reads the files
+    v = VectorAssembler(inputCols=features, outputCol="wl_raw").transform(rows)
     v = StandardScaler(inputCol="wl_raw", outputCol="wl_v", withMean=True).fit(v).transform(v)
     labelled = KMeans(k=k, seed=seed, featuresCol="wl_v", predictionCol="cluster").fit(v).transform(v)
     return labelled.groupBy("cluster").agg(F.count(key).alias("n"), *(F.round(F.avg(f), 6).alias(f) for f in features))
@@ -146,9 +147,11 @@ def vendi(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 def bootstrap_vendi(df: DataFrame, group: str, key: str, vector: str, n: int, replicates: int) -> DataFrame:
     """Vendi of ``n`` vectors per group drawn by a hash of key and replicate: mean and a 95 % interval."""
-    rep = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # Keys are drawn alone (Spark keeps each task's first n before the exchange); vectors join the few that are drawn.
+    rep = df.select(group, key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     w = Window.partitionBy(group, "rep").orderBy(F.md5(F.concat_ws("|", key, "rep")), key)
-    drawn = rep.withColumn("wl_rn", F.row_number().over(w)).filter(F.col("wl_rn") <= n)
+    few = rep.withColumn("wl_rn", F.row_number().over(w)).filter(F.col("wl_rn") <= n).drop("wl_rn")
+    drawn = few.join(df.select(group, key, vector), [group, key])
     drawn = drawn.withColumn("wl_g", F.concat_ws("|", group, "rep"))
     each = vendi(drawn, "wl_g", vector).withColumn(group, F.split_part("wl_g", F.lit("|"), F.lit(1)))
     return each.groupBy(group).agg(F.count("*").alias("replicates"), F.round(F.avg("vendi"), 6).alias("mean"), F.round(F.percentile("vendi", 0.025), 6).alias("low"), F.round(F.percentile("vendi", 0.975), 6).alias("high"))

@@ -18,7 +18,7 @@ from wayline.sources.scratch import scratch
     "company_ladder",
     """WITH cw AS (SELECT lower(p_name) AS match, min(p_brand) AS id FROM part WHERE p_size > 40 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1), t AS (SELECT p_partkey, lower(trim(p_name)) AS x, CASE WHEN p_partkey % 10 = 0 THEN p_partkey END AS own, id FROM part LEFT JOIN cw ON lower(trim(p_name)) = match),
     m AS (SELECT *, CASE WHEN regexp_matches(x, '^red') THEN 'placeholder' WHEN own IS NOT NULL THEN 'id' WHEN id IS NOT NULL THEN 'crosswalk' ELSE 'raw' END AS company_method FROM t)
-    SELECT p_partkey, CASE company_method WHEN 'placeholder' THEN 'nonorg:self' WHEN 'id' THEN 'id:' || own WHEN 'crosswalk' THEN 'id:' || id ELSE 'raw:' || x END AS company, company_method, CAST(CASE company_method WHEN 'placeholder' THEN 1 WHEN 'id' THEN 1 WHEN 'crosswalk' THEN 0.9 ELSE 0.5 END AS DOUBLE) AS company_confidence FROM m""",
+    SELECT p_partkey, CASE company_method WHEN 'placeholder' THEN 'nonorg:self' WHEN 'id' THEN 'id:' || own WHEN 'crosswalk' THEN 'id:' || id ELSE 'raw:' || x END AS company, company_method, CAST(CASE company_method WHEN 'placeholder' THEN 1 WHEN 'id' THEN 1 WHEN 'crosswalk' THEN 0.97 ELSE 0.5 END AS DOUBLE) AS company_confidence FROM m""",
 )
 def company_ladder(spark, d):
     p = table(spark, d, "part")
@@ -40,60 +40,82 @@ def rescue_levels(spark, d):
 
 @query(
     "classify_industry",
-    """WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, sum(count(*)) OVER (PARTITION BY c_nationkey) AS t FROM customer GROUP BY 1, 2), pr AS (SELECT c_nationkey AS n_nationkey, left(c_mktsegment, 1) || '.' || c_mktsegment AS prior_code, n / t AS prior_share FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1),
-    j AS (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'A.' || n_regionkey END AS cc, CASE WHEN regexp_matches(lower(n_name), 'a$') THEN 'B.LND' WHEN regexp_matches(lower(n_name), '^i') THEN 'M.INI' END AS rc, prior_code AS pc, prior_share AS ps FROM nation LEFT JOIN pr USING (n_nationkey)),
-    s AS (SELECT *, coalesce(cc, rc, pc) AS code, CASE WHEN cc IS NOT NULL THEN 'curated' WHEN rc IS NOT NULL THEN 'rule' WHEN pc IS NOT NULL THEN 'prior' END AS source, split_part(coalesce(cc, rc, pc), '.', 1) = split_part(pc, '.', 1) AS agrees FROM j)
-    SELECT n_nationkey, code, source, round(CAST(least(1.0, CASE source WHEN 'curated' THEN 0.95 WHEN 'rule' THEN 0.8 WHEN 'prior' THEN ps * 0.7 END + CASE WHEN source <> 'prior' AND agrees THEN 0.05 ELSE 0 END) AS DOUBLE), 6) AS confidence, coalesce(CASE WHEN source <> 'prior' THEN NOT agrees ELSE ps < 0.5 END, FALSE) AS review FROM s""",
+    """WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, sum(count(*)) OVER (PARTITION BY c_nationkey) AS t FROM customer GROUP BY 1, 2), pr AS (SELECT c_nationkey AS n_nationkey, left(c_mktsegment, 1) || '.' || c_mktsegment AS prior_code, n / t AS ps FROM c WHERE c_nationkey % 7 > 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1),
+    j AS (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'A.' || n_regionkey END AS cc, CASE WHEN regexp_matches(n_name, '1$') THEN 'B.LND.X' WHEN regexp_matches(n_name, '_2') THEN 'M.INI' WHEN n_nationkey % 5 = 3 THEN 'F' END AS rc, n_nationkey % 5 = 3 AND NOT regexp_matches(n_name, '1$|_2') AS many, prior_code AS pc, ps FROM nation LEFT JOIN pr USING (n_nationkey)),
+    s AS (SELECT *, coalesce(cc, rc, pc, 'XOT') AS code, CASE WHEN cc IS NOT NULL THEN 'curated' WHEN rc IS NOT NULL THEN 'name_rule' WHEN pc IS NOT NULL THEN 'occupation_prior' ELSE 'unresolved' END AS source FROM j), q AS (SELECT *, split_part(code, '.', 1) = split_part(pc, '.', 1) AS agrees, len(string_split(code, '.')) AS depth FROM s),
+    r AS (SELECT *, round(CAST(least(1.0, CASE source WHEN 'curated' THEN 1 WHEN 'name_rule' THEN CASE WHEN many THEN 0.9 ELSE 0.82 END WHEN 'occupation_prior' THEN ps ELSE 0 END + CASE WHEN source IN ('curated', 'name_rule') AND agrees THEN 0.05 ELSE 0 END) AS DOUBLE), 3) AS confidence FROM q)
+    SELECT n_nationkey, code, CAST(depth AS INT) AS depth, source, confidence, [confidence FOR i IN range(depth)] AS per_level, CASE source WHEN 'curated' THEN FALSE WHEN 'name_rule' THEN coalesce(NOT agrees, FALSE) ELSE TRUE END AS review FROM r""",
 )
 def classify_industry(spark, d):
     n = table(spark, d, "nation")
+    named = n.withColumn("n_name", F.concat("n_name", F.when(F.col("n_nationkey") % 5 == 3, " trading house").otherwise("")))
     curated = n.filter("n_nationkey % 4 = 0").select("n_nationkey", F.concat(F.lit("A."), F.col("n_regionkey").cast("string")).alias("curated_code"))
-    top = top_value(table(spark, d, "customer"), ["c_nationkey"], "c_mktsegment")
-    prior = top.select(F.col("c_nationkey").alias("n_nationkey"), F.concat(F.left("c_mktsegment", F.lit(1)), F.lit("."), "c_mktsegment").alias("prior_code"), (F.col("support") / F.col("total")).alias("prior_share"))
-    return K.classify_industry(n, "n_nationkey", "n_name", curated, [("a$", "B.LND"), ("^i", "M.INI")], prior)
+    top = top_value(table(spark, d, "customer").filter("c_nationkey % 7 > 0"), ["c_nationkey"], "c_mktsegment")
+    prior = top.select(F.col("c_nationkey").alias("n_nationkey"), F.concat(F.left("c_mktsegment", F.lit(1)), F.lit("."), "c_mktsegment").alias("prior_code"), (F.col("support") / F.col("total")).alias("prior_confidence"))
+    return K.classify_industry(named, "n_nationkey", "n_name", curated, [("1(?: |$)", "B.LND.X"), ("_2", "M.INI"), ("trading house", "F")], prior)
 
 
 @query(
     "cohort_profile",
-    f"""WITH t AS {_STEP}, m AS (SELECT year(o_orderdate) AS entry_year, round(avg(o_totalprice), 4) AS macro FROM orders GROUP BY 1), f AS (SELECT o_custkey, year(s) AS entry_year, o_orderpriority AS entry_value FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey) = 1), n AS (SELECT o_custkey, greatest(0, year(max(e)) - year(min(s))) AS years_seen FROM t GROUP BY 1)
-    SELECT o_custkey, entry_year, entry_value, years_seen, CAST(floor(entry_year / 2) * 2 AS INT) AS cohort, entry_year + 3 > 2000 AS censored, macro FROM f JOIN n USING (o_custkey) LEFT JOIN m USING (entry_year)""",
+    f"""WITH t AS {_STEP}, m AS (SELECT year(o_orderdate) AS entry_year, round(avg(o_totalprice), 4) AS macro FROM orders GROUP BY 1), f AS (SELECT o_custkey, year(s) AS entry_year, o_orderpriority AS entry_value FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey) = 1),
+    n AS (SELECT o_custkey, max(year(e)) AS last_year, count(*) AS n_steps, coalesce(bool_or(e >= DATE '2001-01-01'), FALSE) AS right_censored FROM t GROUP BY 1), g AS (SELECT c_custkey AS o_custkey, CASE WHEN c_custkey % 3 > 0 THEN 1940 + c_custkey % 70 END AS a, CASE WHEN c_custkey % 4 > 0 THEN 1990 END AS b FROM customer)
+    SELECT o_custkey, entry_year, last_year, n_steps, entry_value, right_censored, last_year - entry_year AS years_seen, entry_year - 22 AS birth_year_proxy, CASE WHEN entry_year - 22 BETWEEN 1946 AND 1964 THEN 'Boomer' WHEN entry_year - 22 BETWEEN 1965 AND 1980 THEN 'Gen X' WHEN entry_year - 22 BETWEEN 1981 AND 1996 THEN 'Millennial' END AS generation, entry_year BETWEEN 1995 AND 1998 AS valid_cohort,
+      CAST(floor(entry_year / 5) * 5 AS INT) AS cohort, CAST(coalesce(CASE WHEN a BETWEEN 1950 AND 2000 THEN a END, CASE WHEN b BETWEEN 1950 AND 2000 THEN b END) AS INT) AS graduation_year, macro FROM f JOIN n USING (o_custkey) LEFT JOIN m USING (entry_year) LEFT JOIN g USING (o_custkey)""",
 )
 def cohort_profile(spark, d):
     macro = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.round(F.avg("o_totalprice"), 4).alias("macro"))
-    return K.cohort_profile(steps(spark, d), "o_custkey", ["s", "e", "o_orderkey"], F.col("o_orderpriority"), macro, "y", 2000)
+    key = F.col("c_custkey")
+    anchors = table(spark, d, "customer").select(key.alias("o_custkey"), F.when(key % 3 > 0, 1940 + key % 70).alias("a"), F.when(key % 4 > 0, 1990).alias("b"))
+    return K.cohort_profile(steps(spark, d), "o_custkey", ["s", "e", "o_orderkey"], F.col("o_orderpriority"), macro, "y", 2001, (1995, 1998), anchors=anchors)
 
 
 @query(
     "role_features",
-    """WITH b AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) = 1), x AS (SELECT p_type, p_name, count(*) AS n FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_name) = 1), s AS (SELECT p_type, count(*) AS steps, avg(CAST(p_size > 25 AS INT)) AS o, avg(p_size) AS m FROM part GROUP BY 1)
-    SELECT p_type, steps, round(o, 6) AS owner_share, round(m, 6) AS mean_seniority, p_brand, b.n AS code_support, p_name AS usual_text, round(b.n / steps, 6) AS code_share FROM s LEFT JOIN b USING (p_type) LEFT JOIN x USING (p_type)""",
+    """WITH l AS (SELECT p.*, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN p_brand END AS code FROM lineitem JOIN part p ON l_partkey = p_partkey), b AS (SELECT p_type, code, count(*) AS n FROM l WHERE code IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, code) = 1), x AS (SELECT p_type, p_name, count(*) AS n FROM l GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_name) = 1), s AS (SELECT p_type, count(*) AS steps, count(DISTINCT l_suppkey) AS persons, count(code) AS coded_steps, avg(CAST(p_size > 25 AS INT)) AS o, avg(p_size) AS m FROM l GROUP BY 1)
+    SELECT p_type, steps, persons, coded_steps, round(o, 6) AS owner_share, round(m, 6) AS mean_seniority, code, coalesce(b.n, 0) AS code_support, p_name AS usual_text, round(coalesce(b.n, 0) / nullif(coded_steps, 0), 6) AS code_share FROM s LEFT JOIN b USING (p_type) LEFT JOIN x USING (p_type)""",
 )
 def role_features(spark, d):
-    return K.role_features(table(spark, d, "part"), "p_type", "p_brand", F.col("p_size") > 25, F.col("p_size"), "p_name")
+    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("code", F.when(F.col("l_linenumber") % 3 == 0, F.col("p_brand")))  # noqa: E741
+    return K.role_features(l, "p_type", "l_suppkey", "code", F.col("p_size") > 25, F.col("p_size"), "p_name")
 
 
 @query(
     "assign_archetypes",
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT min(vec_id) AS vec_id FROM e GROUP BY label), q AS (SELECT e.* FROM e JOIN p USING (vec_id)), s AS (SELECT a.vec_id, q.label, round(list_cosine_similarity(a.v, q.v), 9) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, q.v), 9) DESC, q.vec_id) AS rn FROM e a CROSS JOIN q),
-    n AS (SELECT vec_id, max(label) FILTER (rn = 1) AS near, max(c) FILTER (rn = 1) AS s1, max(c) FILTER (rn = 2) AS s2 FROM s GROUP BY 1) SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label WHEN s1 - coalesce(s2, -1) >= 0.05 THEN near END AS archetype, CASE WHEN vec_id % 3 = 0 AND label IS NOT NULL THEN 'rule' WHEN s1 - coalesce(s2, -1) >= 0.05 THEN 'vector' END AS archetype_source FROM e JOIN n USING (vec_id)""",
+    n AS (SELECT vec_id, max(label) FILTER (rn = 1) AS near, max(c) FILTER (rn = 1) AS s1, max(c) FILTER (rn = 2) AS s2 FROM s GROUP BY 1), r AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 AND vec_id % 30 >= 10 AND vec_id % 30 >= 0.05 * vec_id THEN CAST(label AS VARCHAR) END AS rule, vec_id % 9 >= 5 AND s1 >= 0.45 AND s1 - coalesce(s2, -1) >= 0.05 AS led, near, s1 FROM e JOIN n USING (vec_id))
+    SELECT vec_id, coalesce(rule, CASE WHEN led THEN CAST(near AS VARCHAR) END, 'other') AS archetype, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN led THEN 'embed' ELSE 'residual_other' END AS archetype_source, CASE WHEN rule IS NULL AND led THEN round(s1, 3) END AS cosine FROM r""",
 )
 def assign_archetypes(spark, d):
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
     prototypes = e.join(first, "vec_id").withColumn("archetype", F.col("label"))
     near = nearest_vectors(e, prototypes, "vec_id", "embedding", 2, keep_self=True)
-    return K.assign_archetypes(e, "vec_id", F.when(F.col("vec_id") % 3 == 0, F.col("label")), near, prototypes, 0.05)
+    code = K.trusted_code(F.col("label"), F.col("vec_id") % 30, F.col("vec_id"))
+    return K.assign_archetypes(e, "vec_id", F.when(F.col("vec_id") % 3 == 0, code), F.col("vec_id") % 9, near, prototypes, "other")
+
+
+_JURY = f"""{_VOTES}, w AS (SELECT doc_id, juror, CASE WHEN juror = 'source' AND doc_id % 5 = 0 THEN 'unsure' ELSE code END AS code FROM v WHERE NOT (juror = 'length' AND doc_id % 7 = 0)),
+    o AS (SELECT doc_id, CASE WHEN count(*) < 3 THEN 'incomplete' WHEN count(*) FILTER (code = 'unsure') > 0 THEN 'abstained' WHEN min(code) = max(code) THEN 'accepted' ELSE 'disagree' END AS outcome, min(code) AS code FROM w GROUP BY 1)"""
+
+
+def _jury(spark, d):
+    v = votes(spark, d).filter("not (juror = 'length' and doc_id % 7 = 0)")
+    return v.withColumn("code", F.when((F.col("juror") == "source") & (F.col("doc_id") % 5 == 0), "unsure").otherwise(F.col("code")))
+
+
+@query("vote_outcomes", f"WITH {_JURY} SELECT doc_id, outcome, CASE WHEN outcome = 'accepted' THEN code END AS code FROM o")
+def vote_outcomes(spark, d):
+    return K.vote_outcomes(_jury(spark, d), "doc_id", "juror", "code", ["length", "language", "source"], ["unsure"])
 
 
 @query(
     "accepted_votes",
-    f"""WITH {_VOTES}, c AS (SELECT doc_id, code, count(*) AS votes, sum(count(*)) OVER (PARTITION BY doc_id) AS n FROM v JOIN documents USING (doc_id) WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND NOT (juror = 'source' AND code = '1') GROUP BY 1, 2) SELECT doc_id, code, votes FROM c WHERE 2 * votes > n AND n >= 2""",
+    f"WITH {_JURY} SELECT doc_id, code, 3 AS n_jurors FROM o JOIN documents USING (doc_id) WHERE outcome = 'accepted' AND lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
 )
 def accepted_votes(spark, d):
-    v = votes(spark, d).withColumn("code", F.when((F.col("juror") == "source") & (F.col("code") == "1"), "unsure").otherwise(F.col("code")))
     population = table(spark, d, "documents").filter("lang = 'en'")
     known = table(spark, d, "labels").filter("quality = 1")
-    return K.accepted_votes(v, "doc_id", "code", 2, ["unsure"], population, known)
+    return K.accepted_votes(_jury(spark, d), "doc_id", "juror", "code", ["length", "language", "source"], ["unsure"], population, known)
 
 
 _MARKED = "m AS (SELECT doc_id, lang, source, quality, n_chars, CASE WHEN toxic = 1 THEN 'unsure' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS mark, CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars > 500 AS INT) END AS predicted FROM documents JOIN labels USING (doc_id))"

@@ -211,3 +211,49 @@ def calibration_terciles(spark, d):
     gold = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("gold"))
     gold = gold.join(docs.select("doc_id", "source"), "doc_id").join(bands, "source").select("doc_id", "gold", "tercile")
     return E.calibration(votes(spark, d), gold, "doc_id", "juror", "code", "gold", "tercile", 0.5).filter("slice LIKE 'band:%'")
+
+
+_HEAD = """h AS (SELECT p_partkey AS row, upper(left(p_type, 1)) || '.' || p_brand AS code FROM part WHERE p_partkey % 50 <> 7), r AS (SELECT p_partkey AS row, CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'xun' WHEN 2 THEN 'Q.Q' WHEN 3 THEN upper(left(p_type, 1)) WHEN 4 THEN upper(left(p_type, 1)) || '.Brand#1' WHEN 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 'E' ELSE upper(left(p_type, 1)) || '.' || p_brand END ELSE lower(upper(left(p_type, 1)) || '.' || p_brand) END AS code FROM part),
+    v AS (SELECT DISTINCT upper(code) AS code FROM h UNION SELECT DISTINCT upper(left(p_type, 1)) FROM part UNION SELECT DISTINCT upper(left(p_type, 1)) || '.BRAND#1' FROM part)"""
+
+
+def _reviewed(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    top = F.left("p_type", F.lit(1))
+    whole = F.concat(top, F.lit("."), F.col("p_brand"))
+    head = p.filter(k % 50 != 7).select(k.alias("row"), F.upper(whole).alias("code"))
+    said = F.when(k % 10 == 0, None).when(k % 10 == 1, "xun").when(k % 10 == 2, "Q.Q").when(k % 10 == 3, top).when(k % 10 == 4, F.concat(top, F.lit(".Brand#1"))).when(k % 10 == 5, F.when(k % 3 == 0, "E").otherwise(whole)).otherwise(F.lower(whole))
+    valid = head.select("code").union(p.select(top)).union(p.select(F.concat(top, F.lit(".BRAND#1")))).distinct()
+    return head, p.select(k.alias("row"), said.alias("code")), valid
+
+
+@query(
+    "head_gate",
+    f"""WITH {_HEAD}, j AS (SELECT h.row IS NOT NULL AS known, upper(r.code) AS said, upper(h.code) AS head, v.code IS NOT NULL AS valid FROM r LEFT JOIN h USING (row) LEFT JOIN v ON v.code = upper(r.code)), s AS (SELECT *, known AND (said IS NULL OR said = 'XUN') AS silent FROM j), t AS (SELECT *, known AND NOT silent AND valid AS scored FROM s),
+    u AS (SELECT *, scored AND split_part(said, '.', 1) = split_part(head, '.', 1) AS f FROM t), w AS (SELECT *, f AND said LIKE '%.%' AND head LIKE '%.%' AS deep FROM u), c AS (SELECT count(*) AS reviews, count(*) FILTER (NOT known) AS unmatched, count(*) FILTER (silent) AS abstained, count(*) FILTER (known AND NOT silent AND NOT valid) AS invalid, count(*) FILTER (scored) AS scored, count(*) FILTER (f) AS l1, count(*) FILTER (deep) AS level2_n, count(*) FILTER (deep AND said = head) AS l2, count(*) FILTER (scored AND said = head) AS e FROM w)
+    SELECT reviews, unmatched, abstained, invalid, scored, round(l1 / scored, 6) AS level1, level2_n, round(l2 / level2_n, 6) AS level2, round(e / scored, 6) AS exact, unmatched = 0 AND l1 / scored >= 0.9 AS passes FROM c""",
+)
+def head_gate(spark, d):
+    head, review, valid = _reviewed(spark, d)
+    return E.head_gate(head, review, "row", "code", ["XUN"], valid)
+
+
+_GOLD = """r AS (SELECT p_name AS text, p_brand AS line, CASE p_size % 3 WHEN 0 THEN 'det' WHEN 1 THEN 'jury' ELSE 'degree_type' END AS source, CASE WHEN p_size % 5 > 0 THEN p_type END AS code FROM part), g AS (SELECT DISTINCT text, CASE WHEN text LIKE 'r%' THEN 'det' WHEN text LIKE '%o%' THEN 'jury' ELSE 'rest' END AS tier, CASE WHEN text LIKE '%ring' THEN 'XUN' WHEN text LIKE '%bolt' THEN 'ECONOMY' ELSE 'PROMO' END AS gold_code, CASE WHEN text LIKE 'n%' THEN 'SMALL' END AS gold_secondary FROM r WHERE text NOT LIKE 'hot%'),
+    s AS (SELECT text, line, count(*) AS n, arg_min(source, (coalesce(source, ''), code IS NOT NULL, coalesce(code, ''))) AS ms, arg_min(coalesce(code, '-'), (coalesce(source, ''), code IS NOT NULL, coalesce(code, ''))) AS mc FROM r GROUP BY 1, 2), m AS (SELECT text, ms, nullif(mc, '-') AS mc FROM s QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, line) = 1), w AS (SELECT text, count(*) AS k, count(*) FILTER (code = gold_code) AS ok FROM r JOIN g USING (text) GROUP BY 1),
+    lv(code, level) AS (VALUES ('ECONOMY', 1), ('PROMO', 2), ('SMALL', 2), ('LARGE', 1)), j AS (SELECT g.*, ms, mc, k, ok, gold_code <> 'XUN' AS graded, a.level IS NOT DISTINCT FROM b.level AS same FROM g LEFT JOIN m USING (text) LEFT JOIN w USING (text) LEFT JOIN lv a ON mc = a.code LEFT JOIN lv b ON gold_code = b.code)"""
+
+
+@query(
+    "gold_scores",
+    f"""WITH {_GOLD}, c AS (SELECT tier, count(*) AS n, count(*) FILTER (graded) AS graded, count(*) FILTER (graded AND mc = gold_code) AS s, count(*) FILTER (graded AND (coalesce(mc = gold_code, FALSE) OR coalesce(mc = gold_secondary, FALSE))) AS l, count(*) FILTER (graded AND same) AS v, count(*) FILTER (graded AND mc IS NOT NULL) AS c, sum(k) FILTER (graded) AS w, sum(ok) FILTER (graded) AS o, count(*) FILTER (NOT graded AND mc IS NULL) AS abstained, count(*) FILTER (NOT graded AND mc IS NOT NULL AND ms = 'jury') AS string_label, count(*) FILTER (NOT graded AND mc IS NOT NULL AND ms <> 'jury') AS degree_line FROM j GROUP BY 1)
+    SELECT tier, n, graded, round(s / nullif(graded, 0), 6) AS strict, round(l / nullif(graded, 0), 6) AS lenient, round((l - s) / nullif(graded, 0), 6) AS gap, round(v / nullif(graded, 0), 6) AS level, round(o / w, 6) AS row_strict, round(c / nullif(graded, 0), 6) AS reach, abstained, string_label, degree_line FROM c""",
+)
+def gold_scores(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_size")
+    rows = p.select(F.col("p_name").alias("text"), F.col("p_brand").alias("line"), F.when(n % 3 == 0, "det").when(n % 3 == 1, "jury").otherwise("degree_type").alias("source"), F.when(n % 5 > 0, F.col("p_type")).alias("code"))
+    t = F.col("text")
+    gold = rows.filter(~t.startswith("hot")).select("text").distinct().withColumns({
+        "tier": F.when(t.startswith("r"), "det").when(t.contains("o"), "jury").otherwise("rest"), "gold_code": F.when(t.endswith("ring"), "XUN").when(t.endswith("bolt"), "ECONOMY").otherwise("PROMO"), "gold_secondary": F.when(t.startswith("n"), "SMALL"),
+    })
+    levels = spark.createDataFrame([("ECONOMY", 1), ("PROMO", 2), ("SMALL", 2), ("LARGE", 1)], "code string, level int")
+    return E.gold_scores(rows, gold, "text", "line", "source", "code", "tier", levels, "XUN", ["jury"])

@@ -41,6 +41,36 @@ def transition_network_rr(spark, d):
     return e.select("src", "dst", F.when(shown, F.col("weight")).alias("weight"), F.when(shown, F.round("rr", 6)).alias("rr"), "suppressed")
 
 
+_MOVES = """m AS (SELECT o_custkey AS person, s_nationkey AS n1, c_nationkey AS n2, a.n_regionkey AS r1, b.n_regionkey AS r2, CASE WHEN p_size > 10 THEN p_brand END AS k1, p_type AS k2, l_quantity, l_discount, l_returnflag, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey JOIN part ON l_partkey = p_partkey)"""
+_AXES = {"nation": ("n1", "n2"), "region": ("r1", "r2"), "kind": ("k1", "k2")}
+
+
+def moves(spark, d):
+    """Order lines as moves from a supplier to a customer, told by nation, region and kind of part."""
+    of = lambda k: table(spark, d, "nation").select(F.col("n_nationkey").alias(f"n{k}"), F.col("n_regionkey").alias(f"r{k}"))
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    j = j.join(of(1), F.col("s_nationkey") == F.col("n1")).join(of(2), F.col("c_nationkey") == F.col("n2"))
+    return j.select(F.col("o_custkey").alias("person"), "n1", "n2", "r1", "r2", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("k1"), F.col("p_type").alias("k2"), "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+
+
+@query(
+    "axis_networks",
+    f"""WITH {_MOVES}, x AS (SELECT 'nation' AS axis, CAST(n1 AS VARCHAR) AS src, CAST(n2 AS VARCHAR) AS dst, * FROM m UNION ALL SELECT 'region', CAST(r1 AS VARCHAR), CAST(r2 AS VARCHAR), * FROM m UNION ALL SELECT 'kind', k1, k2, * FROM m), y AS (SELECT * FROM x WHERE src IS NOT NULL AND dst IS NOT NULL),
+    f AS (SELECT axis, src, dst, l_returnflag AS modal_kind FROM y GROUP BY axis, src, dst, l_returnflag QUALIFY row_number() OVER (PARTITION BY axis, src, dst ORDER BY count(*) DESC, l_returnflag) = 1), t AS (SELECT axis, src, dst, l_linestatus AS modal_type FROM y GROUP BY axis, src, dst, l_linestatus QUALIFY row_number() OVER (PARTITION BY axis, src, dst ORDER BY count(*) DESC, l_linestatus) = 1)
+    SELECT axis, src, dst, count(*) AS weight, count(DISTINCT person) AS persons, round(avg(l_quantity), 6) AS mean_quantity, round(avg(CAST(l_discount > 0.05 AS INT)), 6) AS frac_reduced, any_value(modal_kind) AS modal_kind, any_value(modal_type) AS modal_type, src = dst AS is_self_loop FROM y JOIN f USING (axis, src, dst) JOIN t USING (axis, src, dst) GROUP BY axis, src, dst""",
+)
+def axis_networks(spark, d):
+    means = {"mean_quantity": F.col("l_quantity"), "frac_reduced": (F.col("l_discount") > 0.05).cast("int")}
+    out = G.axis_networks(moves(spark, d), _AXES, "person", means, {"modal_kind": "l_returnflag", "modal_type": "l_linestatus"})
+    return out.withColumns({c: F.round(c, 6) for c in means})
+
+
+@query("axis_coverage", f"WITH {_MOVES} SELECT a.axis, count(*) AS moves, count(*) FILTER (WHERE axis <> 'kind' OR k1 IS NOT NULL) AS kept, round(count(*) FILTER (WHERE axis <> 'kind' OR k1 IS NOT NULL) / count(*), 4) AS coverage FROM m CROSS JOIN (VALUES ('nation'), ('region'), ('kind')) a(axis) GROUP BY 1")
+def axis_coverage(spark, d):
+    return G.axis_coverage(moves(spark, d), _AXES)
+
+
 @query(
     "node_strengths",
     f"""WITH {_TRADE}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, CAST(coalesce((SELECT sum(weight) FROM e WHERE src = node AND src <> dst), 0) AS BIGINT) AS out_strength, CAST(coalesce((SELECT sum(weight) FROM e WHERE dst = node AND src <> dst), 0) AS BIGINT) AS in_strength,
@@ -104,7 +134,14 @@ def label_spread(spark, d):
     return G.label_spread(e, seeds)
 
 
-@query("components")
+@query(
+    "components",
+    # The least order that reaches a node: every order steps over the parts it shares with others until nothing changes.
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey + 1000000000 AS p FROM lineitem), reach(node, least) USING KEY (node) AS (
+      SELECT o, o FROM e UNION SELECT p, min(o) FROM e GROUP BY 1
+      UNION (SELECT x.node, min(x.least) FROM (SELECT e.o AS node, r.least FROM reach r JOIN e ON e.p = r.node UNION ALL SELECT e.p, r.least FROM reach r JOIN e ON e.o = r.node) x JOIN recurring.reach c ON c.node = x.node WHERE x.least < c.least GROUP BY 1))
+    SELECT node, least AS component FROM reach""",
+)
 def components(spark, d):
     e = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") + 1000000000).alias("p"))
     return connected_components(e.distinct(), "l_orderkey", "p")

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from wayline.plans import aggregates, canon, classifiers, cohorts, composites, evaluation, flatten, graphs, joins, projections, proposals, spelling, statistics, streams, trajectories, windows  # noqa: E402, F401
+from wayline.plans import aggregates, canon, classifiers, cohorts, composites, evaluation, facts, flatten, graphs, joins, persons, projections, proposals, spelling, statistics, streams, taxonomy, trajectories, windows  # noqa: E402, F401

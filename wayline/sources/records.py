@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,10 +57,21 @@ def schema_of(spec: Record) -> T.StructType:
 
 
 def read_lines(spark: SparkSession, path: str, spec: Record, glob: str = "*.jsonl") -> DataFrame:
-    """One row per line with ``rec`` (null if malformed or not an object), ``bad``, ``source_file`` and ``source_row``."""
-    lines = spark.read.option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("wl_at"))
+    """One row per line with ``rec`` (null if malformed or not an object), ``bad``, ``source_file`` and ``source_row``.
+
+    Rows are numbered by block: each block of a file numbers its lines, and the counts of the blocks before it are added, so
+    that a large file is not one task.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(
+        "value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("wl_f"), F.col("_metadata.file_block_start").alias("wl_b"), F.monotonically_increasing_id().alias("wl_at")
+    )
     lines = lines.filter(F.trim("value") != "")
-    return _parsed(lines, spec).withColumn("source_row", F.row_number().over(Window.partitionBy("source_file").orderBy("wl_at"))).drop("wl_at")
+    block = ["wl_f", "wl_b"]
+    counts = lines.groupBy(*block).agg(F.count("*").alias("wl_n"))
+    earlier = F.coalesce(F.sum("wl_n").over(Window.partitionBy("wl_f").orderBy("wl_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = lines.withColumn("wl_i", F.row_number().over(Window.partitionBy(*block).orderBy("wl_at")))
+    numbered = inside.join(counts.select(*block, earlier.alias("wl_before")), block)
+    return _parsed(numbered, spec).withColumn("source_row", (F.col("wl_i") + F.col("wl_before")).cast("int")).drop("wl_at", "wl_i", "wl_before", *block)
 
 
 def parse(lines: DataFrame, value: str, spec: Record) -> DataFrame:
@@ -103,18 +117,38 @@ def child_table(parsed: DataFrame, spec: Record, *route: str) -> DataFrame:
     return at.select(*kept, *(coerce(F.col(f"wl_item.{f.path or f.name}"), f.type).alias(f.name) for f in level.fields))
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True) -> DataFrame:
-    """Delimited text without quoting; lines that do not fit the schema are dropped."""
-    return spark.read.csv(path, schema=schema, sep=sep, quote="", header=header, mode="DROPMALFORMED")
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True, skip_rows: int = 0) -> DataFrame:
+    """Delimited text without quoting, without the first ``skip_rows`` lines and the header of each file.
+
+    A line with another number of fields than the schema, or a field that does not fit its type, is dropped, whichever
+    columns are asked for; an empty field is null, an empty line is no row.
+    """
+    skip = skip_rows + header
+    lines = spark.read.text(path)
+    if skip:
+        # Only a file's first block is put in order; lines of other blocks stay where they are.
+        lines = lines.select("value", F.col("_metadata.file_path").alias("wl_f"), (F.col("_metadata.file_block_start") == 0).alias("wl_first"), F.monotonically_increasing_id().alias("wl_at"))
+        place = F.row_number().over(Window.partitionBy("wl_f").orderBy("wl_at"))
+        lines = lines.filter("not wl_first").select("value").union(lines.filter("wl_first").withColumn("wl_n", place).filter(F.col("wl_n") > skip).select("value"))
+    fields = T.StructType.fromDDL(schema)
+    parts = F.split("value", re.escape(sep), -1)
+    rows = lines.filter("value <> ''").select(parts.alias("wl_p")).filter(F.size("wl_p") == len(fields))
+    text = [F.nullif(F.col("wl_p")[i], F.lit("")) for i in range(len(fields))]
+    typed = [x.try_cast(f.dataType) for x, f in zip(text, fields, strict=True)]
+    whole = reduce(lambda a, b: a & b, (t.isNotNull() | x.isNull() for t, x in zip(typed, text, strict=True)))
+    return rows.filter(whole).select(*(t.alias(f.name) for t, f in zip(typed, fields, strict=True)))
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table if it is there, else an empty one with the declared columns."""
+    """A Parquet table if it is there, else, with a warning, an empty one with the declared columns; other errors stay errors."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"{path} is not there; taken as empty", stacklevel=2)
         return spark.createDataFrame([], schema)
 
 
