@@ -45,8 +45,28 @@ def test_stitching_gives_the_whole_text(spark, chunk, overlap):
     alphabets = [" \n'slé7,ab中", "ab ", "abc", ",.7a", " \n\t", "中文，é"]
     rows = [(i // 2, "".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 300)))) for i in range(160)] + [(None, "x y" * 50), (7, "q" * 400 + " z" * 80)]
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.read_ranks(RANKS), special_tokens={})
-    got = bpe_chunks.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, chunk=chunk, overlap=overlap).collect()
-    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), encoding.encode_ordinary(t)) for i, t in rows)
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), sorted((str(i), encoding.encode_ordinary(t)) for i, t in rows)
+    for sizes in ({"dealt": chunk, "dealt_overlap": overlap}, {"chunk": chunk, "overlap": overlap}, {"dealt": 4 * chunk, "dealt_overlap": 2 * overlap, "chunk": chunk, "overlap": overlap}):
+        assert sorted((str(r.doc_id), r.ids) for r in bpe_chunks.encode(docs, RANKS, **sizes).collect()) == want
+
+
+@given(st.text(alphabet=" \n\t'slé7,ab中\u3000\x1c\xa0", max_size=200), st.integers(4, 40), st.integers(1, 20))
+@settings(max_examples=400, deadline=None)
+def test_stitched_chunks_have_the_pretokens_of_the_text(text, chunk, overlap):
+    assert bpe_chunks.chunk_pretokens(text, chunk, min(overlap, chunk // 2)) == pretokens.pretokens(text)
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(512, 64), (96, 24)])
+def test_the_whole_table_in_small_chunks(spark, sf_dir, chunk, overlap):
+    """Nearly every text of the table is many chunks here, and the result that of the library."""
+    import tiktoken
+
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.read_ranks(RANKS), special_tokens={})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.ids for r in bpe_chunks.encode(docs, RANKS, chunk=chunk, overlap=overlap, dealt=8 * chunk, dealt_overlap=2 * overlap).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert sum(len(t) > chunk for t in texts.values()) > len(texts) / 2
+    assert got == {i: encoding.encode_ordinary(t) for i, t in texts.items()}
 
 
 def test_bpe_as_the_library_does(spark, odd):

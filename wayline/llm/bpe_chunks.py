@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
-A text of up to CHUNK characters is one chunk. A longer one is cut into chunks that overlap by OVERLAP characters and are
-dealt out, so that the chunks of one text are pre-tokenised in parallel. Neighbours are stitched at a pre-token boundary
+A text of up to CHUNK characters is one chunk. A longer one is cut into chunks that overlap by OVERLAP characters. Neighbours
+are stitched at a pre-token boundary
 that both have in their overlap. What a pre-token matches depends only on the text after its start, so from a common
 boundary on both chunks agree; it is a boundary of the whole text if the earlier chunk's are, or if white space follows
 other characters there, for no pre-token contains that. The pieces between such boundaries are encoded in parallel; where
 an overlap has none (a run of thousands of letters), its chunks are joined into one piece. So the result is always that of
 the whole text, whose ids are then put together in order.
 
+Chunks of one text are cut, stitched and encoded in the task that has it. A text of more than DEALT characters is first cut
+in the same way into chunks of that size, which are dealt out over the tasks, so that no task holds a very long text alone.
+
 Defined cases: a null text is the empty text; an empty text has no ids; rows with equal ids or equal texts each give
 their own row; an empty table gives an empty result; a null id stays null.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from wayline.llm import common
 from wayline.llm.pretokens import _OUTSIDE, Pieces, boundaries, pretokens, read_ranks
 
-CHUNK = 32_768
-OVERLAP = 1_024
+CHUNK, OVERLAP = 4_096, 256
+DEALT, DEALT_OVERLAP = 32_768, 1_024
 
 
 @lru_cache(2)
@@ -77,11 +80,10 @@ def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
         at += chunk - overlap
 
 
-def edges(text: str, overlap: int) -> tuple[list[int], list[int]]:
-    """A chunk's pre-token boundaries in its first ``overlap`` characters, and those in its last that no text behind it can change."""
-    starts = boundaries(text)
+def edges(starts: list[int], n: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Of a chunk of ``n`` characters, its pre-token boundaries in its first ``overlap``, and those in its last that no text behind it can change."""
     # A pre-token is settled if it ends two characters before the end of the chunk: none looks further ahead.
-    settled, shift = len(text) - 2, len(text) - overlap
+    settled, shift = n - 2, n - overlap
     return [b for b in starts if b < overlap], [b for b, end in zip(starts, starts[1:]) if b >= shift and end <= settled]
 
 
@@ -90,28 +92,57 @@ def sure(text: str, b: int) -> bool:
     return b > 0 and text[b].isspace() and not text[b - 1].isspace() and not _OUTSIDE.search(text[b - 1 : b + 1])
 
 
+def chunk_pretokens(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The pre-tokens of a text, each chunk pre-tokenised by itself and stitched to the next."""
+    if len(text) <= chunk:
+        return pretokens(text)
+    parts = list(cut(text, chunk, overlap))
+    found = [boundaries(part) for _, part in parts]
+    pieces, exact, tail = [(0, 0)], True, set()  # pieces begin in a chunk, at a place of the text
+    for k, ((at, part), starts) in enumerate(zip(parts, found, strict=True)):
+        head, settled = edges(starts, len(part), overlap)
+        if k:
+            met = [at + b for b in head if at + b in tail]
+            certain = [x for x in met if sure(part, x - at)]
+            exact = bool(certain) or (exact and bool(met))  # boundaries of the whole text, not of the chunk alone
+            if exact:
+                pieces.append((k, (certain or met)[0]))
+        tail = {at + b for b in settled}
+    out: list[str] = []
+    for (k, lo), (after, hi) in zip(pieces, [*pieces[1:], (len(parts), len(text))], strict=True):
+        if after > k + 1:  # chunks without a common boundary are one piece
+            out += pretokens(text[lo:hi])
+            continue
+        at, part = parts[k]
+        marks = [b for b in found[k] if lo - at <= b < hi - at] + [hi - at]
+        out += [part[x:y] for x, y in zip(marks, marks[1:])]
+    return out
+
+
 def encode(
-    docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP
+    docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT, dealt_overlap: int = DEALT_OVERLAP
 ) -> DataFrame:
     """One row per document: its id and ``ids`` array<int>, as tiktoken's encode_ordinary would give them."""
     rows = common.id_and_text(docs, id_col, text_col)
     id_type = rows.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, ids array<int>"
+    if 2 * overlap > chunk or 2 * dealt_overlap > dealt:  # a chunk's two overlaps must not cross
+        raise ValueError("overlap is more than half of a chunk")
+
+    def encoded(texts: list[str]) -> pa.ListArray:
+        return encode_texts([chunk_pretokens(t, chunk, overlap) for t in texts], ranks_path)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                ids = encode_texts([pretokens(t) for t in part.column(1).to_pylist()], ranks_path)
-                yield pa.record_batch([part.column(0), ids], [id_col, "ids"])
+                yield pa.record_batch([part.column(0), encoded(part.column(1).to_pylist())], [id_col, "ids"])
 
-    if 2 * overlap > chunk:  # a chunk's two overlaps must not cross
-        raise ValueError("overlap is more than half of a chunk")
-    long = F.length(text_col) > chunk
+    long = F.length(text_col) > dealt
     short_rows = rows.filter(~long).mapInArrow(whole, schema)
-    return short_rows.unionByName(_encode_long(rows.filter(long), ranks_path, chunk, overlap))
+    return short_rows.unionByName(_encode_long(rows.filter(long), encoded, dealt, dealt_overlap))
 
 
-def _encode_long(rows: DataFrame, ranks_path: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(rows: DataFrame, encode_pieces: Callable[[list[str]], pa.ListArray], chunk: int, overlap: int) -> DataFrame:
     """``encode`` for (id, text) rows of more than ``chunk`` characters."""
     id_col, text_col = rows.columns
     id_type = rows.schema[id_col].dataType.simpleString()
@@ -134,7 +165,7 @@ def _encode_long(rows: DataFrame, ranks_path: str, chunk: int, overlap: int) ->
             for part in _slices(batch, 32):
                 heads, tails, sures = [], [], []
                 for at, text in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    head, tail = edges(text, overlap)
+                    head, tail = edges(boundaries(text), len(text), overlap)
                     heads.append([at + b for b in head])
                     tails.append([at + b for b in tail])
                     sures.append([at + b for b in head if sure(text, b)])
@@ -164,7 +195,7 @@ def _encode_long(rows: DataFrame, ranks_path: str, chunk: int, overlap: int) ->
         held: list[tuple] = []
 
         def encoded() -> pa.RecordBatch:
-            ids = encode_texts([pretokens("".join(p[4][p[5] : p[6]] for p in g)) for g in held], ranks_path)
+            ids = encode_pieces(["".join(p[4][p[5] : p[6]] for p in g) for g in held])
             firsts = [g[0] for g in held]
             return pa.record_batch([pa.array([f[0] for f in firsts], pa.int64()), pa.array([f[1] for f in firsts], pa.int64()), pa.array([f[3] for f in firsts], id_arrow), ids], ["tag", "piece", "id", "ids"])
 
