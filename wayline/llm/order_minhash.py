@@ -7,7 +7,7 @@ shingles whole, so further sketches take shorter ones (FAMILIES), those of two w
 texts whose words align at an edit distance of at most 0.2 of the longer text; the alignment runs inside a band.
 
 Equal texts are one node from the start. First, every node of a sketch's bucket is aligned with the bucket's least node;
-each such pair once, in however many buckets it stands. By the triangle inequality only nodes near the edge of the band
+each such pair once, in however many buckets it stands, and the groups that these links make are formed. By the triangle inequality only nodes near the edge of the band
 can be similar to nodes beyond it: those beyond it, and the few near its edge, stay. What stays of a bucket is dealt into
 blocks of bounded size, and every two blocks of a bucket meet in a task. There a product of word counts gives, for all
 pairs at once, a distance that no alignment can undercut; the pairs that it does not tell apart, and that nothing links
@@ -236,21 +236,24 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", tex
     near = _aligned(pairs.filter(close).select("hub", "node"), texts, similarity)
     far = pairs.filter(~close).select("hub", "node", F.abs(F.col("n") - F.col("hub_n")).alias("d"), F.lit(False).alias("similar"))
     known = common.written(near.unionByName(far).join(pairs.select("hub", "node", "n"), ["hub", "node"]), "known")
-    left = common.written(_unsettled(spokes, known, similarity), "left")
+    to_hubs = known.filter("similar").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    groups = connected_components(to_hubs, "a", "b")  # what the hubs of all buckets link needs no further test
+    left = common.written(_unsettled(spokes, known, groups, similarity), "left")
     more = common.written(_rest_links(left, texts, similarity), "links")
-    links = common.written(known.filter("similar").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(more), "links")
+    links = common.written(to_hubs.unionByName(more), "links")
     common.discard(spokes, texts, pairs, known, left, more)
     return links
 
 
-def _unsettled(spokes: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Members of a bucket that may be similar to others than its hub: ``bucket``, ``node``, ``n`` and ``linked``, the hub where they are similar to it and else themselves."""
+def _unsettled(spokes: DataFrame, known: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Members of a bucket that may be similar to others than its hub: ``bucket``, ``node``, ``n`` and ``linked``, the group that hubs link them to and else themselves."""
     judged = spokes.join(known, ["hub", "node"])
     allowed = F.floor((1 - similarity) * F.col("n") + 1e-9)
     beyond = judged.filter("not similar").groupBy("bucket").agg(F.min("d").alias("nearest"), F.min(F.col("d") - allowed).alias("reach"))
     # What is similar to a member that this settles is similar to its hub too.
     settled = F.col("similar") & (F.col("d") < F.least("reach", F.col("nearest") - allowed))
-    return judged.join(beyond, "bucket").filter(~settled).select("bucket", "node", "n", F.when(F.col("similar"), F.col("hub")).otherwise(F.col("node")).alias("linked"))
+    left = judged.join(beyond, "bucket").filter(~settled).select("bucket", "node", "n")
+    return left.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("linked"))
 
 
 def _rest_links(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
