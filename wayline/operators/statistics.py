@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.windows import average_percent_rank, correlation
-from wayline.sources.scratch import written
+from wayline.sources.scratch import discard, written
 
 
 def kaplan_meier(df: DataFrame, group: str, time: str, event: str) -> DataFrame:
@@ -31,7 +31,7 @@ def median_survival(km: DataFrame, group: str, time: str) -> DataFrame:
 
 
 def cox(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int = 15) -> dict[str, float]:
-    """Coefficients by Newton's method, tied times by Efron's weights.
+    """Coefficients by Newton's method, tied times by Efron's weights; an error if they still move after ``rounds``.
 
     Each round is one aggregation to rows per distinct time (counts and sums, no person data), then running sums.
     """
@@ -57,8 +57,9 @@ def cox(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int
         move = np.linalg.solve(h + 1e-12 * np.eye(k), g)
         beta = beta + move
         if np.abs(move).max() < 1e-9:
-            break
-    return dict(zip(covariates, map(float, beta), strict=True))
+            discard(base)
+            return dict(zip(covariates, map(float, beta), strict=True))
+    raise RuntimeError(f"coefficients still move by {np.abs(move).max()} after {rounds} rounds")
 
 
 def wls_clustered(df: DataFrame, y: str, xs: list[str], weight: str, cluster: str) -> list[tuple[str, float, float]]:
