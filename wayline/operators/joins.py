@@ -119,22 +119,28 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(f"{key}_a", f"{key}_b", "jaccard", "rank")
 
 
-BLOCK_ROWS = 4_096  # vectors of either side that a task holds
+BLOCK_ROWS = 4_096  # titles of either side that a task holds
+BLOCK_BYTES = 64 << 20  # of vectors of either side that a task holds: the larger, the less often a vector is sent
+LINK_ROWS = 16_384  # vectors of either side where a task marks all pairs, a byte each
+TILE_ROWS, TILE_COLUMNS = 512, 8_192  # of the scores that it has at a time
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt into blocks of about ``block_rows`` and repeated for every block of the other: as many blocks as the rows ask for."""
+def _block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into blocks of about ``block_rows`` (else of BLOCK_BYTES) and repeated for every block of the other: as many blocks as the rows ask for."""
     sides = [df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (left, right)]
+    if block_rows is None:
+        width = sides[1].select(F.size("v")).filter("size(v) > 0").head()
+        block_rows = max(1_024, BLOCK_BYTES // (8 * (width[0] if width else 1)))
     n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
     a = sides[0].withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(n)), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
     b = sides[1].withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(m)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))})
     return a, b
 
 
-def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS, keep_self: bool = False) -> DataFrame:
+def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, block_rows: int | None = None, keep_self: bool = False) -> DataFrame:
     """``k`` nearest reference vectors of each query by cosine, exactly: every query against all rows, in blocks.
 
-    Both sides are dealt into blocks of about ``block_rows``; a task multiplies tiles of one block of queries by one of
+    Both sides are dealt into blocks of about ``block_rows`` (by default as many as a task can hold); a task multiplies tiles of one block of queries by one of
     references and keeps ``k`` per query, and the partial lists are merged.
     """
     key_type = queries.schema[key].dataType.simpleString()
@@ -144,19 +150,17 @@ def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector:
         ids, a = _unit(mine)
         others, b = _unit(theirs)
         rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for lo in range(0, len(ids) if len(others) else 0, 512):
-            score = np.round(a[lo : lo + 512] @ b.T, 9)
-            if not keep_self:
-                score[ids[lo : lo + 512, None] == others[None, :]] = -np.inf
-            edge = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-            i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
-            order = np.lexsort((others[j], -score[i, j], i))
-            i, j = i[order], j[order]
-            first = np.searchsorted(i, i, side="left")
-            best = np.arange(len(i)) - first < k
+        for lo in range(0, len(ids), TILE_ROWS):
+            tile = [_best(a[lo : lo + TILE_ROWS] @ b[co : co + TILE_COLUMNS].T, ids[lo : lo + TILE_ROWS], others[co : co + TILE_COLUMNS], k, keep_self) for co in range(0, len(others), TILE_COLUMNS)]
+            if not tile:
+                continue
+            i, j, score = (np.concatenate(x) for x in zip(*((i, j + n * TILE_COLUMNS, x) for n, (i, j, x) in enumerate(tile)), strict=True))
+            order = np.lexsort((others[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
             rows.append(i[best] + lo)
             cols.append(j[best])
-            scores.append(score[i[best], j[best]])
+            scores.append(score[best])
         i, j = np.concatenate(rows), np.concatenate(cols)
         id_type = mine.schema.field("id").type
         return pa.table({"query": pa.array(ids[i], id_type), "neighbour": pa.array(others[j], id_type), "similarity": pa.array(np.concatenate(scores), pa.float64())})
@@ -166,7 +170,18 @@ def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector:
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def similar_vector_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _best(score: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, keep_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of a tile's ``k`` best of each row, and of what ties with the last of them."""
+    score = np.round(score, 9)
+    if not keep_self:
+        score[ids[:, None] == others[None, :]] = -np.inf
+    at = max(0, score.shape[1] - k)
+    edge = np.partition(score, at, axis=1)[:, at]
+    i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+    return i, j, score[i, j]
+
+
+def similar_vector_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = LINK_ROWS) -> DataFrame:
     """``a``, ``b``: links whose connected components are those of all pairs of that cosine or more.
 
     Every pair is looked at, in pairs of blocks; a task returns a forest of its pairs, not the pairs.
@@ -202,5 +217,6 @@ def similar_vector_links(vectors: DataFrame, key: str, vector: str, least: float
 
 
 def _unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    v = np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
+    v = t.column("v").combine_chunks()
+    v = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
     return t.column("id").to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
