@@ -112,3 +112,11 @@ def test_longest_rule_places_a_code(spark):
     assert got["45.10"] == got["46"] == (*one(2), "Social") and all(got[c] == out for c in ("30.2202", "45.0603", "99", "", None, "xx"))
     with pytest.raises(ValueError):
         Y.code_levels(codes, "code", [("1", None, 1, "a"), ("1", None, 2, "a")])
+
+
+def test_cleaned_values_in_one_normal_form(spark):
+    from wayline.functions.text import clean_values
+
+    cases = {"ﬁne　text": "fine text", "it’s": "it's", "a\x07b\n c": "a b c", "２０２４": "2024", "e\u0301": "é", " ": None, "plain": "plain"}
+    df = spark.createDataFrame([(v,) for v in [*cases, None]], "v string")
+    assert {r.v: r.c for r in clean_values(df, "v", "c").collect()} == {**cases, None: None}

@@ -50,6 +50,12 @@ def clean_text(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x1f\\x7f]", " "), "\\s+", " ")), F.lit(""))
 
 
+def clean_values(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add ``clean_text`` of the value in normal form NFKC, with straight quotes."""
+    straight = F.translate(F.col(name), "\u2018\u2019\u00a0", "'' ")
+    return compose(df, value, name).withColumn(name, clean_text(straight))
+
+
 def soundex_block(key: Column) -> Column:
     """Word count and the sorted phonetic codes of the words."""
     words = F.filter(F.split(key, " "), lambda t: t != "")

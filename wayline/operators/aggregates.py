@@ -131,3 +131,21 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and two order-free checksums of all columns: rows that stand twice cancel in the first, not in the second."""
     row = F.xxhash64(*df.columns)
     return df.agg(F.count("*").alias("rows"), F.bit_xor(row).alias("checksum"), F.sum(row.cast("decimal(20,0)")).alias("total"))
+
+
+def portable_fingerprint(df: DataFrame) -> DataFrame:
+    """The same of rows as text, by MD5, which any engine can repeat: ``rows``, ``checksum`` (exclusive or) and ``total`` (a decimal as text).
+
+    A row is its columns in order with | between: numbers with a fraction to six places, times to the second, null as \\N.
+    """
+    def text(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            c = F.format_string("%.6f", c.cast("double"))
+        elif kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        return F.when(F.col(f"`{name}`").isNull(), "\\N").otherwise(c.cast("string"))
+
+    digits = F.left(F.md5(F.concat_ws("|", *(text(n, k) for n, k in df.dtypes))), F.lit(15))
+    mark = F.conv(digits, 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), F.bit_xor(mark).alias("checksum"), F.coalesce(F.sum(mark.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("total"))

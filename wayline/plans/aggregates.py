@@ -250,6 +250,15 @@ def content_fingerprint(spark, d):
     return A.fingerprint(table(spark, d, "lineitem"))
 
 
+@query(
+    "portable_fingerprint",
+    """WITH r AS (SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, printf('%.6f', l_quantity), printf('%.6f', l_extendedprice), printf('%.6f', l_discount), printf('%.6f', l_tax), l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')) AS t FROM lineitem), m AS (SELECT ('0x' || left(md5(t), 15))::BIGINT AS x FROM r)
+    SELECT count(*) AS rows, bit_xor(x) AS checksum, CAST(sum(x) AS VARCHAR) AS total FROM m""",
+)
+def portable_fingerprint(spark, d):
+    return A.portable_fingerprint(table(spark, d, "lineitem"))
+
+
 @query(
     "nested_tier_counts",
     "SELECT p_brand, count(*) AS all_rows, count(*) FILTER (p_size > 10) AS tier1, count(*) FILTER (p_size > 10 AND p_retailprice > 1200) AS tier2, count(*) FILTER (p_size > 10) >= count(*) FILTER (p_size > 10 AND p_retailprice > 1200) AS nested FROM part GROUP BY 1",
