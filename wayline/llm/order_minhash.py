@@ -224,6 +224,14 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``a``, ``b``: linked nodes. Pairs inside a bucket that others already link may be left out."""
+    to_hubs, _, more = _found(docs, nodes, id_col, text_col, similarity)
+    links = common.written(to_hubs.unionByName(more), "links")
+    common.discard(to_hubs, more)
+    return links
+
+
+def _found(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (``a``, ``b``) to hubs, the groups (``node``, ``component``) that these make, and links beyond them."""
     members = nodes.select("node", F.posexplode("sketches").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node")
     firsts = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
     spokes = common.written(members.join(firsts, "bucket").filter("node <> hub"), "spokes")
@@ -236,13 +244,25 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", tex
     near = _aligned(pairs.filter(close).select("hub", "node"), texts, similarity)
     far = pairs.filter(~close).select("hub", "node", F.abs(F.col("n") - F.col("hub_n")).alias("d"), F.lit(False).alias("similar"))
     known = common.written(near.unionByName(far).join(pairs.select("hub", "node", "n"), ["hub", "node"]), "known")
-    to_hubs = known.filter("similar").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    groups = connected_components(to_hubs, "a", "b")  # what the hubs of all buckets link needs no further test
+    to_hubs = common.written(known.filter("similar").select(F.col("hub").alias("a"), F.col("node").alias("b")), "hubs")
+    # What the hubs of all buckets link needs no further test. A node hangs on its least hub, which takes its other hubs along.
+    first = to_hubs.groupBy("b").agg(F.min("a").alias("first"))
+    chief = to_hubs.join(first, "b").filter("a <> first").select(F.col("first").alias("b"), "a").distinct()
+    groups = connected_components(first.select("b", F.col("first").alias("a")).unionByName(chief), "a", "b")
     left = common.written(_unsettled(spokes, known, groups, similarity), "left")
     more = common.written(_rest_links(left, texts, similarity), "links")
-    links = common.written(to_hubs.unionByName(more), "links")
-    common.discard(spokes, texts, pairs, known, left, more)
-    return links
+    common.discard(spokes, texts, pairs, known, left)
+    return to_hubs, groups, more
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``node`` and ``component``: the groups, those that links meet made one."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    tops = connected_components(between.filter("a <> b").distinct(), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(groups, "node", "left_anti")
+    every = groups.unionByName(alone.withColumn("component", F.col("node")))
+    return every.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
 def _unsettled(spokes: DataFrame, known: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -333,8 +353,8 @@ def _common_words(texts: list[list[bytes]]):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Each row's id and ``class_id``, the least id of its group of near copies; a text without any is its own class."""
     nodes = common.written(_nodes(docs, id_col, text_col), "nodes")
-    links = similar_pairs(docs, nodes, id_col, text_col, similarity)
-    linked = connected_components(links, "a", "b")
+    _, groups, more = _found(docs, nodes, id_col, text_col, similarity)
+    linked = _joined(groups, more)
     label = nodes.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
     rows = common.id_and_text(docs, id_col, text_col).select(F.col(id_col), F.unhex(F.md5(text_col)).alias("key"))
     known = rows.filter(F.col(id_col).isNotNull()).join(label, "key").select(id_col, "class_id")
