@@ -159,7 +159,7 @@ SELECT s_nationkey, band, CASE WHEN NOT (small OR (k = 1 AND NOT small AND rk =
 
 @query("two_cell_suppression", _SUPP)
 def two_cell_suppression(spark, d):
-    c = table(spark, d, "supplier").groupBy("s_nationkey", F.round(F.col("s_acctbal") / 1000).cast("int").alias("band")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "supplier").groupBy("s_nationkey", F.rint(F.col("s_acctbal") / 1000).cast("int").alias("band")).agg(F.count("*").alias("n"))
     return A.suppress(c, ["s_nationkey"], "n", 2, "band").withColumn("n", F.when(~F.col("suppressed"), F.col("n")))
 
 
