@@ -430,6 +430,27 @@ def test_seeded_kmeans_against_lloyd(spark):
     assert [got[i] for i in range(60)] == near.tolist()
 
 
+def test_word_neighbours_of_texts_on_many_rows(spark):
+    from wayline.operators import joins
+
+    texts = ["red hot bolt", "hot bolt red", "red bolt", "blue nut", "red hot nut", None]
+    both = [(i, texts[i % 6]) for i in range(60)]
+    df = spark.createDataFrame(both, "id int, name string")
+    found = joins.token_neighbours(df.filter("id % 7 = 0"), df, "id", "name", 0.5, 4)
+    want = set()
+    for i, x in both:
+        near = []
+        for j, y in both:
+            if i % 7 == 0 and x and y and x != y:
+                a, b = set(x.split()), set(y.split())
+                if len(a & b) / len(a | b) >= 0.5:
+                    near.append((-len(a & b) / len(a | b), j))
+        want |= {(i, j, round(-s, 6), k + 1) for k, (s, j) in enumerate(sorted(near)[:4])}
+    assert {(r.id_a, r.id_b, round(r.jaccard, 6), r["rank"]) for r in found.collect()} == want
+    # A text is compared once, not for each of its rows.
+    assert "Aggregate [name" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ladders_of_odd_rows(spark):
     from wayline.operators import composites
 

@@ -91,12 +91,16 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
     """For each left value its ``k`` best right values by Jaccard of word sets, ``least`` or more, equal texts excluded.
 
     An inverted index: both sides are joined on words, so only values that share one meet. A value that shares a word with
-    ``least`` overlap must share one of its rarest words, which keeps frequent words out of the join.
+    ``least`` overlap must share one of its rarest words, which keeps frequent words out of the join. Texts meet once however
+    many rows have them: of the best right texts, the ``k`` least keys each are all that can be among a value's ``k`` best.
     """
-    def tokens(df: DataFrame, suffix: str) -> DataFrame:
-        return df.select(F.col(key).alias(f"{key}_{suffix}"), F.col(text).alias(f"{text}_{suffix}"), F.array_distinct(F.split(F.lower(F.col(text)), " ")).alias(f"t_{suffix}"))
+    ka, kb = f"{key}_a", f"{key}_b"
 
-    a, b = tokens(left, "a"), tokens(right, "b")
+    def texts(df: DataFrame, suffix: str) -> DataFrame:
+        one = df.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias(f"{key}_{suffix}"))
+        return one.select(f"{key}_{suffix}", F.col(text).alias(f"{text}_{suffix}"), F.array_distinct(F.split(F.lower(F.col(text)), " ")).alias(f"t_{suffix}"))
+
+    a, b = texts(left, "a"), texts(right, "b")
     words = a.select(F.explode("t_a").alias("w")).union(b.select(F.explode("t_b").alias("w"))).groupBy("w").agg(F.count("*").alias("wl_n"))
 
     def rare(df: DataFrame, suffix: str) -> DataFrame:
@@ -108,15 +112,19 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
 
     met = rare(a, "a").join(rare(b, "b"), "w").filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
     # Both sides are in one order, so from the first shared word on no more can be shared than either has left; words are fetched for what that allows.
-    firsts = met.groupBy(f"{key}_a", f"{key}_b").agg(*(F.min(c).alias(c) for c in ("at_a", "at_b", "size_a", "size_b")))
+    firsts = met.groupBy(ka, kb).agg(*(F.min(c).alias(c) for c in ("at_a", "at_b", "size_a", "size_b")))
     most = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     able = firsts.filter(most >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    pairs = able.select(f"{key}_a", f"{key}_b").join(a, f"{key}_a").join(b, f"{key}_b")
+    pairs = able.select(ka, kb).join(a, ka).join(b, kb)
     pairs = pairs.filter(F.col(f"{text}_a") != F.col(f"{text}_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     pairs = pairs.withColumn("jaccard", both / (F.size("t_a") + F.size("t_b") - both)).filter(F.col("jaccard") >= least)
-    w = Window.partitionBy(f"{key}_a").orderBy(F.desc("jaccard"), f"{key}_b")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(f"{key}_a", f"{key}_b", "jaccard", "rank")
+    first = Window.partitionBy(f"{text}_a").orderBy(F.desc("jaccard"), kb)
+    pairs = pairs.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select(f"{text}_a", f"{text}_b", "jaccard")
+    keys = right.select(F.col(text).alias(f"{text}_b"), F.col(key).alias(kb)).withColumn("wl_rn", F.row_number().over(Window.partitionBy(f"{text}_b").orderBy(kb)))
+    pairs = pairs.join(keys.filter(F.col("wl_rn") <= k).drop("wl_rn"), f"{text}_b")
+    best = pairs.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    return left.select(F.col(key).alias(ka), F.col(text).alias(f"{text}_a")).join(best, f"{text}_a").select(ka, kb, "jaccard", "rank")
 
 
 BLOCK_ROWS = 4_096  # titles of either side that a task holds
