@@ -178,7 +178,7 @@ def snapshot_drift(spark, d):
 def seeded_kmeans(spark, d):
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return K.seeded_kmeans(e, "vec_id", "embedding", e.join(first.select("vec_id"), "vec_id"), "label", rounds=100)
+    return K.seeded_kmeans(e, "vec_id", "embedding", e.join(first.select("vec_id"), "vec_id"), "label")
 
 
 @query(
