@@ -128,20 +128,25 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
 
 
 BLOCK_ROWS = 4_096  # titles of either side that a task holds
-BLOCK_BYTES = 64 << 20  # of vectors of either side that a task holds: the larger, the less often a vector is sent
+BLOCK_BYTES = 8 << 20  # of vectors of either side, as doubles, that a task holds: the larger, the less often a vector is sent and the longer the task
+TASK_PAIRS = 1 << 26  # pairs of vectors that are worth a task of their own
 LINK_ROWS = 16_384  # vectors of either side where a task marks all pairs, a byte each
 TILE_ROWS, TILE_COLUMNS = 512, 8_192  # of the scores that it has at a time
 
 
 def _block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt into blocks of about ``block_rows`` (else of BLOCK_BYTES) and repeated for every block of the other: as many blocks as the rows ask for."""
-    sides = [df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (left, right)]
+    sides = [df.select(F.col(key).alias("id"), F.col(vector).alias("v")) for df in (left, right)]
     if block_rows is None:
         width = sides[1].select(F.size("v")).filter("size(v) > 0").head()
         block_rows = max(1_024, BLOCK_BYTES // (8 * (width[0] if width else 1)))
-    n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    sizes = [df.count() for df in (left, right)]
+    n, m = (max(1, -(-size // block_rows)) for size in sizes)
+    tasks = min(n * m, -(-sizes[0] * sizes[1] // TASK_PAIRS))
     a = sides[0].withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(n)), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
     b = sides[1].withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(m)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))})
+    if tasks > 1:  # small in bytes, long in time: Spark would deal all pairs of blocks into a few tasks
+        a, b = (x.repartition(tasks, "qb", "rb") for x in (a, b))
     return a, b
 
 
@@ -159,16 +164,27 @@ def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector:
         others, b = _unit(theirs)
         rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for lo in range(0, len(ids), TILE_ROWS):
-            tile = [_best(a[lo : lo + TILE_ROWS] @ b[co : co + TILE_COLUMNS].T, ids[lo : lo + TILE_ROWS], others[co : co + TILE_COLUMNS], k, keep_self) for co in range(0, len(others), TILE_COLUMNS)]
-            if not tile:
-                continue
-            i, j, score = (np.concatenate(x) for x in zip(*((i, j + n * TILE_COLUMNS, x) for n, (i, j, x) in enumerate(tile)), strict=True))
-            order = np.lexsort((others[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
-            rows.append(i[best] + lo)
-            cols.append(j[best])
-            scores.append(score[best])
+            mine_ids, edge = ids[lo : lo + TILE_ROWS], None
+            i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for co in range(0, len(others), TILE_COLUMNS):
+                raw = a[lo : lo + TILE_ROWS] @ b[co : co + TILE_COLUMNS].T
+                if edge is None:
+                    ti, tj, ts = _best(raw, mine_ids, others[co : co + TILE_COLUMNS], k, keep_self)
+                else:  # of later tiles, only what comes up to a row's k-th best, before rounding
+                    ti, tj = np.nonzero(raw >= edge[:, None] - 1e-9)
+                    other = np.ones(len(ti), bool) if keep_self else mine_ids[ti] != others[co + tj]
+                    ti, tj = ti[other], tj[other]
+                    ts = np.round(raw[ti, tj], 9)
+                i, j, score = np.concatenate([i, ti]), np.concatenate([j, tj + co]), np.concatenate([score, ts])
+                order = np.lexsort((others[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+                i, j, score, last = i[place < k], j[place < k], score[place < k], place[place < k] == k - 1
+                edge = np.full(len(mine_ids), -np.inf)
+                edge[i[last]] = score[last]
+            rows.append(i + lo)
+            cols.append(j)
+            scores.append(score)
         i, j = np.concatenate(rows), np.concatenate(cols)
         id_type = mine.schema.field("id").type
         return pa.table({"query": pa.array(ids[i], id_type), "neighbour": pa.array(others[j], id_type), "similarity": pa.array(np.concatenate(scores), pa.float64())})
@@ -203,11 +219,13 @@ def similar_vector_links(vectors: DataFrame, key: str, vector: str, least: float
         if not len(ids) or not len(others):
             i = j = np.zeros(0, np.int64)
         else:
-            near = np.concatenate([np.round(a[lo : lo + 512] @ b.T, 9) >= least for lo in range(0, len(a), 512)])
+            near = np.empty((len(a), len(b)), bool)
+            for lo in range(0, len(a), 128):
+                np.greater_equal(np.round(a[lo : lo + 128] @ b.T, 9), least, out=near[lo : lo + 128])
             label, far = np.arange(len(others)), len(others)  # of theirs; mine take the least around, until nothing changes
             while True:
-                around = np.concatenate([np.where(near[lo : lo + 512], label[None, :], far).min(1) for lo in range(0, len(a), 512)])
-                new = np.concatenate([np.where(near[:, lo : lo + 512], around[:, None], far).min(0) for lo in range(0, len(b), 512)])
+                around = np.concatenate([np.where(near[lo : lo + 128], label[None, :], far).min(1) for lo in range(0, len(a), 128)])
+                new = np.concatenate([np.where(near[:, lo : lo + 128], around[:, None], far).min(0) for lo in range(0, len(b), 128)])
                 new = np.minimum(label, new)
                 if (new == label).all():
                     break
