@@ -143,5 +143,16 @@ def test_rows_take_their_own_id_first_but_for_placeholders(spark):
     assert got == {1: ("id:acme", "company_id", 0.9), 2: ("id:acme", "company_id", 1.0), 3: ("id:9", "company_id", 1.0), 4: ("nonorg:self", "placeholder", 1.0), 5: ("id:some-school", "school_url", 0.98), 6: (None, None, None), 7: (None, None, None)}
 
 
+def test_words_share_a_key_at_every_number_of_edits():
+    rng = random.Random(7)
+    for _ in range(2000):
+        a = b = "".join(rng.choices("abcdefghij", k=rng.randint(4, 30)))
+        for _ in range(rng.randint(1, 8)):
+            k = rng.randint(0, len(b))
+            b = b[:k] + rng.choice("abcdefghij") + b[k:] if rng.random() < 0.5 else b[:k] + b[k + 1 :]
+        if a != b and S.alike(a, b):
+            assert set(S.meeting_keys(a)) & set(S.meeting_keys(b)), (a, b)
+
+
 def test_key_counts_stay_small():
     assert max(Counter(len(w) and len(S.meeting_keys(w)) for w in ("abcdefghijklmn", "abcdefghijklmno", "abcdefghijklmnopqrstuvwxyz"))) < 3000

@@ -143,28 +143,29 @@ def meeting_keys(word: str, ratio: float = RATIO, least: int = LEAST_LETTERS) ->
     """Keys of which two different words that count as the same share one.
 
     Both become their common letters by leaving out others. Where the longer word has at most SHORT letters, both emit what
-    is left for every number of letters they may lack. Beyond, the shorter word emits its pieces, one more than there can be
-    edits, so that one is whole in the longer word, at most that many places away.
+    is left of just as many letters as each length of the other word asks for. Beyond, the shorter word emits its pieces, one more than there can be
+    edits, so that one is whole in the longer word; for one of the whole ones at least, no more edits lie before it than pieces,
+    and none more after it than pieces and edits left allow, which bounds its place from both ends.
     """
     n = len(word)
     if n < least:
         return []
     out = set()
     if n <= SHORT:
-        # A word of n letters can have a common rest with one of m letters by leaving out at most n - (n + m - edits) / 2.
-        most = max(n - -(-(n + m - _edits(n + m, ratio)) // 2) for m in range(least, SHORT + 1))
-        for k in range(max(0, min(most, n)) + 1):
-            out |= {"d" + "".join(word[i] for i in kept) for kept in combinations(range(n), n - k)}
+        # Words of n and m letters that count as the same have a rest of just (n + m - edits) / 2 letters in common, or cannot be.
+        rests = {-(-(n + m - _edits(n + m, ratio)) // 2) for m in range(least, SHORT + 1) if -(-(n + m - _edits(n + m, ratio)) // 2) <= min(n, m)}
+        for rest in rests:
+            out |= {"d" + "".join(word[i] for i in kept) for kept in combinations(range(n), rest)}
     lengths = [m for m in range(least, 2 * n + 2) if abs(n - m) <= _edits(n + m, ratio) and max(n, m) > SHORT]
     for m in lengths:
         edits = _edits(n + m, ratio)
         short = min(n, m)
         bounds = [short * k // (edits + 1) for k in range(edits + 2)]
-        for lo, hi in zip(bounds, bounds[1:]):
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
             if n <= m:
                 out.add(f"p{n}:{m}:{lo}:{word[lo:hi]}")
             if n >= m:
-                out |= {f"p{m}:{n}:{lo}:{word[at : at + hi - lo]}" for at in range(max(0, lo - edits), min(n - (hi - lo), lo + edits) + 1)}
+                out |= {f"p{m}:{n}:{lo}:{word[at : at + hi - lo]}" for at in range(max(0, lo - k, lo + n - m - edits + k), min(n - (hi - lo), lo + k, lo + n - m + edits - k) + 1)}
     return sorted(out)
 
 
