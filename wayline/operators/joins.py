@@ -162,38 +162,45 @@ def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector:
     def block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         ids, a = _unit(mine)
         others, b = _unit(theirs)
-        rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for lo in range(0, len(ids), TILE_ROWS):
-            mine_ids, edge = ids[lo : lo + TILE_ROWS], None
-            i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            for co in range(0, len(others), TILE_COLUMNS):
-                raw = a[lo : lo + TILE_ROWS] @ b[co : co + TILE_COLUMNS].T
-                if edge is None:
-                    ti, tj, ts = _best(raw, mine_ids, others[co : co + TILE_COLUMNS], k, keep_self)
-                else:  # of later tiles, only what comes up to a row's k-th best, before rounding
-                    ti, tj = np.nonzero(raw >= edge[:, None] - 1e-9)
-                    other = np.ones(len(ti), bool) if keep_self else mine_ids[ti] != others[co + tj]
-                    ti, tj = ti[other], tj[other]
-                    ts = np.round(raw[ti, tj], 9)
-                i, j, score = np.concatenate([i, ti]), np.concatenate([j, tj + co]), np.concatenate([score, ts])
-                order = np.lexsort((others[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-                i, j, score, last = i[place < k], j[place < k], score[place < k], place[place < k] == k - 1
-                edge = np.full(len(mine_ids), -np.inf)
-                edge[i[last]] = score[last]
-            rows.append(i + lo)
-            cols.append(j)
-            scores.append(score)
-        i, j = np.concatenate(rows), np.concatenate(cols)
+        i, j, score = nearest(ids, a, others, b, k, keep_self)
         id_type = mine.schema.field("id").type
-        return pa.table({"query": pa.array(ids[i], id_type), "neighbour": pa.array(others[j], id_type), "similarity": pa.array(np.concatenate(scores), pa.float64())})
+        return pa.table({"query": pa.array(ids[i], id_type), "neighbour": pa.array(others[j], id_type), "similarity": pa.array(score, pa.float64())})
 
     partial = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(block, f"query {key_type}, neighbour {key_type}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, keep_self: bool, undefined: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of the ``k`` best of each row by products, in tiles; products that are no numbers count as ``undefined``."""
+    rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for lo in range(0, len(ids), TILE_ROWS):
+        mine_ids, edge = ids[lo : lo + TILE_ROWS], None
+        i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for co in range(0, len(others), TILE_COLUMNS):
+            raw = a[lo : lo + TILE_ROWS] @ b[co : co + TILE_COLUMNS].T
+            if undefined is not None:
+                raw = np.where(np.isnan(raw), undefined, raw)
+            if edge is None:
+                ti, tj, ts = _best(raw, mine_ids, others[co : co + TILE_COLUMNS], k, keep_self)
+            else:  # of later tiles, only what comes up to a row's k-th best, before rounding
+                ti, tj = np.nonzero(raw >= edge[:, None] - 1e-9)
+                other = np.ones(len(ti), bool) if keep_self else mine_ids[ti] != others[co + tj]
+                ti, tj = ti[other], tj[other]
+                ts = np.round(raw[ti, tj], 9)
+            i, j, score = np.concatenate([i, ti]), np.concatenate([j, tj + co]), np.concatenate([score, ts])
+            order = np.lexsort((others[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            i, j, score, last = i[place < k], j[place < k], score[place < k], place[place < k] == k - 1
+            edge = np.full(len(mine_ids), -np.inf)
+            edge[i[last]] = score[last]
+        rows.append(i + lo)
+        cols.append(j)
+        scores.append(score)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+
+
 def _best(score: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, keep_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and score of a tile's ``k`` best of each row, and of what ties with the last of them."""
     score = np.round(score, 9)

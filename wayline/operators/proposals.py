@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.aggregates import top_value
-from wayline.operators.joins import BLOCK_ROWS
+from wayline.operators.joins import BLOCK_BYTES, BLOCK_ROWS, TASK_PAIRS, nearest
+from wayline.sources.scratch import written
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -20,22 +21,82 @@ def _dot(a: Column, b: Column) -> Column:
 def nearest_by_words(queries: DataFrame, reference: DataFrame, key: str, vector: str, text: str, k: int = 1) -> DataFrame:
     """``query``, ``neighbour``, ``similarity``, ``rank``: the nearest references all of whose words the query has, by cosine.
 
-    A reference meets queries on the word of its own that fewest queries have; only ids go through that join. References
-    without words are left out.
+    Texts with the same words are one set. A reference's set meets those of queries on the word of its own that fewest of them
+    have; only sets go through that join. The vectors of the sets that fit are dealt into blocks, as many as a set's rows ask
+    for and small sets together; a task multiplies tiles and keeps ``k`` per query. References without words are left out.
+    Vectors that are null, hold nulls or have no length have no similarity, nor have vectors of two lengths; they come last.
     """
     words = F.array_remove(F.array_distinct(F.split(F.lower(F.trim(text)), " +")), "")
-    side = lambda df, s: df.select(F.col(key).alias(f"id_{s}"), words.alias(f"w_{s}"), F.col(vector).cast("array<double>").alias(f"v_{s}"))
-    q, r = side(queries, "q"), side(reference, "r")
-    has = q.select("id_q", F.explode("w_q").alias("w"))
+    length = lambda v: F.sqrt(_dot(v, v))
+    fit = F.when(length(F.col(vector).cast("array<double>")) > 0, F.col(vector))
+    side = lambda df: df.select(F.col(key).alias("id"), F.array_join(F.array_sort(words), " ").alias("s"), fit.alias("v")).filter("s <> ''")
+    q, r = side(queries), side(reference)
+    split = lambda c: F.split(c, " ")
+    asked = q.groupBy("s").agg(F.count("*").alias("n_q"))
+    has = asked.select(F.col("s").alias("s_q"), "n_q", F.explode(split("s")).alias("w"))
     common = has.groupBy("w").agg(F.count("*").alias("n"))
-    rarest = r.select("id_r", F.explode("w_r").alias("w")).join(common, "w", "left").groupBy("id_r").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("t"))
-    pairs = has.join(rarest.select("id_r", F.col("t.w").alias("w")), "w").select("id_q", "id_r")
-    fits = pairs.join(r, "id_r").join(q, "id_q").filter(F.size(F.array_except("w_r", "w_q")) == 0)
-    length = lambda v: F.sqrt(_dot(F.col(v), F.col(v)))
-    cosine = F.try_divide(_dot(F.col("v_q"), F.col("v_r")), length("v_q") * length("v_r"))
-    found = fits.select(F.col("id_q").alias("query"), F.col("id_r").alias("neighbour"), F.round(cosine, 9).alias("similarity"))
+    named = r.groupBy("s").agg(F.count("*").alias("n_r")).select(F.col("s").alias("s_r"), "n_r", F.explode(split("s")).alias("w"))
+    rarest = named.join(common, "w", "left").groupBy("s_r", "n_r").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("t"))
+    met = has.join(rarest.select("s_r", "n_r", F.col("t.w").alias("w")), "w").filter(F.size(F.array_except(split("s_r"), split("s_q"))) == 0)
+    fits = written(met.select("s_q", "s_r", "n_q", "n_r"), "word_sets")
+    width = r.agg(F.max(F.size("v"))).head()[0] or 1
+    rows = max(1_024, BLOCK_BYTES // (8 * max(1, width)))
+    blocks = lambda n: F.ceil(F.col(n) / rows)
+    sets = fits.groupBy("s_q", "n_q").agg(F.sum("n_r").alias("n_r")).select(F.col("s_q").alias("s"), "n_q", "n_r", blocks("n_q").alias("qn"), blocks("n_r").alias("rn"))
+    sent, pairs = sets.agg(F.greatest(F.sum(F.col("n_q") * F.col("rn")), F.sum(F.col("n_r") * F.col("qn"))), F.sum(F.col("n_q").cast("double") * F.col("n_r"))).head()
+    cells, tasks = max(1, -(-(sent or 0) // rows)), int((pairs or 0) // TASK_PAIRS) + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = F.pmod(F.xxhash64("s"), F.lit(cells)).alias("cell")
+    mine = q.join(sets, "s").select("id", "s", "v", cell, F.pmod(F.xxhash64("id"), "qn").alias("qb"), every("rn").alias("rb"))
+    meant = r.withColumnRenamed("s", "s_r").join(fits.select("s_r", F.col("s_q").alias("s")), "s_r").join(sets, "s")
+    theirs = meant.select("id", "s", "v", cell, F.pmod(F.xxhash64("id"), "rn").alias("rb"), every("qn").alias("qb"))
+    if tasks > 1:  # small in bytes, long in time
+        mine, theirs = (x.repartition(tasks, "cell", "qb", "rb") for x in (mine, theirs))
+    key_type = queries.schema[key].dataType.simpleString()
+
+    def block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, others = (t.column("id").to_numpy() for t in (mine, theirs))
+        (values, widths, starts), (their_values, their_widths, their_starts) = _flat(mine), _flat(theirs)
+        names = np.concatenate([t.column("s").to_numpy() for t in (mine, theirs)])
+        at = np.unique(names, return_inverse=True)[1]
+        groups, their_groups = at[: len(ids)], at[len(ids) :]
+        order, by_id = np.lexsort((widths, groups)), np.lexsort((others, their_groups))
+        cuts = np.flatnonzero(np.diff(groups[order]) | np.diff(widths[order])) + 1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for rows in np.split(order, cuts):
+            of = groups[rows[0]] if len(rows) else -1
+            cols = by_id[np.searchsorted(their_groups[by_id], of) : np.searchsorted(their_groups[by_id], of, "right")]
+            if not len(rows) or not len(cols):
+                continue
+            width = widths[rows[0]]
+            able = (their_widths[cols] == width) & (width > 0)
+            good = cols[able]
+            a, b = _units(values, starts[rows], width), _units(their_values, their_starts[good], width)
+            odd = None if np.isfinite(a).all() and np.isfinite(b).all() else 2.0
+            i, j, score = nearest(ids[rows], a, others[good], b, k, True, odd)
+            found.append((rows[i], good[j], np.where(score > 1.5, np.nan, score)))
+            last = cols[~able][: max(0, k - len(good))]  # without a similarity, where others do not suffice
+            found.append((np.repeat(rows, len(last)), np.tile(last, len(rows)), np.full(len(rows) * len(last), -np.inf)))
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        id_type = mine.schema.field("id").type
+        return pa.table({"query": pa.array(ids[i], id_type), "neighbour": pa.array(others[j], id_type), "similarity": pa.array(score, pa.float64(), mask=np.isneginf(score))})
+
+    partial = mine.groupBy("cell", "qb", "rb").cogroup(theirs.groupBy("cell", "qb", "rb")).applyInArrow(block, f"query {key_type}, neighbour {key_type}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The components of all vectors on end, and each vector's width and start; null is of width 0."""
+    v = t.column("v").combine_chunks()
+    widths = v.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    return v.flatten().to_numpy(zero_copy_only=False), widths, np.cumsum(widths) - widths
+
+
+def _units(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    v = values[starts[:, None] + np.arange(width)].astype(float)
+    with np.errstate(invalid="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True) if width else v
 
 
 def vector_proposals(df: DataFrame, key: str, own: Column, near: DataFrame, reference: DataFrame, label: str, least: float, rest: Column) -> DataFrame:
