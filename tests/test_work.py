@@ -5,7 +5,7 @@ import pytest
 from conftest import plain
 from pyspark.sql import functions as F
 
-from wayline.operators import proposals
+from wayline.operators import company, proposals
 
 
 @pytest.fixture
@@ -60,3 +60,10 @@ def test_nearest_by_words_of_odd_vectors_and_text_keys(spark):
             want += [(i, j, s, r) for r, (s, j) in enumerate(near[:k], 1)]
         got = [tuple(r) for r in proposals.nearest_by_words(df, df, "id", "v", "name", k).collect()]
         assert sorted(plain(r) for r in got) == sorted(plain(r) for r in want)
+
+
+def test_company_values_read_the_rows_once(spark, rows_out):
+    rows = spark.range(5000).select(F.concat(F.lit("Acme "), F.col("id") % 3).alias("name"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("id"), F.col("id") % 3)).alias("own"))
+    found, counts = rows_out(lambda: company.company_values(company.company_vocabulary(rows, "name", "own"), []))
+    assert {(r.value, r.company, r.confidence) for r in found} == {(f"Acme {k}", f"id:id{k}", 0.9) for k in range(3)}
+    assert 1 <= counts.count(5000) < 12  # the steps of one scan, as parts of a write counted again; 108 where every use read the rows

@@ -25,8 +25,10 @@ def _text(c: str) -> Column:
 def company_vocabulary(rows: DataFrame, name: str, own_id: str, support: int = 3, share: float = 0.5) -> DataFrame:
     """``value``, ``freq``, ``id_rows`` and ``modal_id``: the commonest id of a name's rows where enough of them carry one."""
     base = rows.filter(_text(name).isNotNull()).select(F.col(name).alias("value"), _text(own_id).alias("id"))
-    top = top_value(base, ["value"], "id").select("value", F.col("id").alias("top_id"), F.col("total").alias("id_rows"))
-    j = base.groupBy("value").agg(F.count("*").alias("freq")).join(top, "value", "left").withColumn("id_rows", F.coalesce("id_rows", F.lit(0)))
+    # The rows are read once: all else follows from the counts, which are read several times.
+    counts = written(base.groupBy("value", "id").agg(F.count("*").alias("n")), "company_counts")
+    top = top_value(counts, ["value"], "id", F.col("n")).select("value", F.col("id").alias("top_id"), F.col("total").alias("id_rows"))
+    j = counts.groupBy("value").agg(F.sum("n").alias("freq")).join(top, "value", "left").withColumn("id_rows", F.coalesce("id_rows", F.lit(0)))
     enough = (F.col("id_rows") >= support) & (F.col("id_rows") >= share * F.col("freq"))
     return j.select("value", "freq", "id_rows", F.when(enough, F.col("top_id")).alias("modal_id"))
 
