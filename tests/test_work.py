@@ -67,3 +67,11 @@ def test_company_values_read_the_rows_once(spark, rows_out):
     found, counts = rows_out(lambda: company.company_values(company.company_vocabulary(rows, "name", "own"), []))
     assert {(r.value, r.company, r.confidence) for r in found} == {(f"Acme {k}", f"id:id{k}", 0.9) for k in range(3)}
     assert 1 <= counts.count(5000) < 12  # the steps of one scan, as parts of a write counted again; 108 where every use read the rows
+
+
+def test_hybrid_codes_send_no_query_to_blocks_without_codes(spark, rows_out):
+    df = spark.range(2000).select("id", (F.col("id") % 5).alias("code"), F.array(F.col("id") + 1.0, F.lit(900.0)).alias("v"))
+    codes, titles = df.filter("id < 5"), df.filter("id % 2 = 0")
+    found, counts = rows_out(lambda: proposals.hybrid_codes(df, "id", "v", "v", titles, codes, "code", "v", block_rows=10))
+    assert len(found) == 2000
+    assert max(counts) < 20_000  # 202,000 where every block of titles counted, with codes or not

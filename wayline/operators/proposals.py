@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.aggregates import top_value
-from wayline.operators.joins import BLOCK_BYTES, BLOCK_ROWS, TASK_PAIRS, nearest
+from wayline.operators.joins import BLOCK_BYTES, BLOCK_ROWS, TASK_PAIRS, TILE_COLUMNS, TILE_ROWS, nearest
 from wayline.sources.scratch import written
 
+BLOCKS = 16  # of a side that ask for no larger ones
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -117,45 +119,57 @@ def hybrid_codes(queries: DataFrame, key: str, title: str, description: str, can
 
     The title term is the greatest cosine to a code's ``candidates``, the description term the cosine to its row in ``codes``.
     Rows where ``plain`` holds go by the description alone. Rows without both vectors, and rows for which no code has a
-    score, are left out. Codes and queries are dealt into blocks, and a task keeps the best code of its block per query.
+    score, are left out. Codes and queries are dealt into blocks of ``block_rows``, of BLOCK_BYTES where that would make more
+    than BLOCKS of them, and never more blocks of codes than codes; a task keeps the best code of its block per query.
     """
     code_type, key_type = codes.schema[code].dataType.simpleString(), queries.schema[key].dataType.simpleString()
     array = lambda c: F.col(c).cast("array<double>")
     terms = candidates.select(F.col(code).alias("c"), array(vector).alias("v"), F.lit(True).alias("title")).union(codes.select(code, array(vector), F.lit(False))).dropna()
     asked = queries.select(F.col(key).alias("id"), array(title).alias("t"), array(description).alias("d"), F.coalesce(plain if plain is not None else F.lit(False), F.lit(False)).alias("plain")).dropna()
-    n, m = (max(1, -(-df.count() // block_rows)) for df in (asked, terms))
+    sizes = [df.count() for df in (asked, terms, codes)]
+    width = terms.select(F.size("v")).head()
+    wide = max(1_024, BLOCK_BYTES // (8 * max(1, width[0] if width else 1)))
+    n, m = (max(1, min(-(-size // block_rows), max(BLOCKS, -(-size // wide)))) for size in sizes[:2])
+    m = max(1, min(m, sizes[2]))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     left = asked.withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(n)), "rb": every(m)})
     right = terms.withColumns({"rb": F.pmod(F.xxhash64("c"), F.lit(m)), "qb": every(n)})
+    tasks = min(n * m, -(-sizes[0] * sizes[1] // TASK_PAIRS))
+    if tasks > 1:  # small in bytes, long in time
+        left, right = (x.repartition(tasks, "qb", "rb") for x in (left, right))
 
-    def unit(rows: list) -> np.ndarray:
-        v = np.array(rows, float).reshape(len(rows), -1)
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        v = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         schema = pa.schema([("id", mine.schema.field("id").type), ("c", theirs.schema.field("c").type), ("score", pa.float64()), ("title", pa.float64()), ("description", pa.float64())])
-        ref = sorted(theirs.select(["c", "title", "v"]).to_pylist(), key=lambda r: r["c"])
-        described = [r for r in ref if not r["title"]]
-        at = {r["c"]: i for i, r in enumerate(described)}
-        titled = [r for r in ref if r["title"] and r["c"] in at]
-        if not mine.num_rows or not described:
+        theirs = theirs.take(np.argsort(theirs.column("c").to_numpy(), kind="stable"))
+        is_title = theirs.column("title").to_numpy()
+        described = theirs.filter(pa.array(~is_title))
+        if not mine.num_rows or not described.num_rows:
             return schema.empty_table()
+        names_of = described.column("c").to_pylist()
+        at = {c: i for i, c in enumerate(names_of)}
+        places = np.array([at.get(c, -1) if title else -1 for c, title in zip(theirs.column("c").to_pylist(), is_title, strict=True)], int)
+        titled = theirs.filter(pa.array(places >= 0))
+        places = places[places >= 0]
         ids, plain_rows = mine.column("id").to_pylist(), mine.column("plain").to_numpy()
-        t, d, about = unit(mine.column("t").to_pylist()), unit(mine.column("d").to_pylist()), unit([r["v"] for r in described])
-        places = np.array([at[r["c"]] for r in titled], int)
-        starts = np.flatnonzero(np.r_[True, np.diff(places) > 0]) if titled else []
-        names = unit([r["v"] for r in titled]) if titled else None
+        t, d, about = unit(mine.column("t")), unit(mine.column("d")), unit(described.column("v"))
+        starts = np.flatnonzero(np.r_[True, np.diff(places) > 0]) if len(places) else []
+        names = unit(titled.column("v")) if len(places) else None
+        step = max(16, min(512, (TILE_ROWS * TILE_COLUMNS) // max(1, len(places))))
         out: dict[str, list] = {f: [] for f in schema.names}
-        for lo in range(0, len(ids), 512):
-            by_text = np.round(d[lo : lo + 512] @ about.T, 9)
+        for lo in range(0, len(ids), step):
+            by_text = np.round(d[lo : lo + step] @ about.T, 9)
             by_title = np.full(by_text.shape, -np.inf)
-            if titled:
-                by_title[:, places[starts]] = np.round(np.maximum.reduceat(t[lo : lo + 512] @ names.T, starts, axis=1), 9)
-            score = np.where(plain_rows[lo : lo + 512, None], by_text, by_title + by_text).round(9)
+            if len(places):
+                by_title[:, places[starts]] = np.round(np.maximum.reduceat(t[lo : lo + step] @ names.T, starts, axis=1), 9)
+            score = np.where(plain_rows[lo : lo + step, None], by_text, by_title + by_text).round(9)
             for i, best in enumerate(score.argmax(1)):
                 if score[i, best] > -np.inf:
                     term = by_title[i, best]
-                    for name, value in zip(schema.names, (ids[lo + i], described[best]["c"], score[i, best], term if term > -np.inf else None, by_text[i, best]), strict=True):
+                    for name, value in zip(schema.names, (ids[lo + i], names_of[best], score[i, best], term if term > -np.inf else None, by_text[i, best]), strict=True):
                         out[name].append(value)
         return pa.table(out, schema)
 
