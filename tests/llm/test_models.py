@@ -163,6 +163,26 @@ def test_spelled_out_forms_do_not_need_another_at(spark):
     assert all(model.spans(text)[1] == [("email", 9, 9 + len(form))] for text, form in zip(texts[:2], forms))
 
 
+def test_pii_learns_from_the_candidates_of_all_documents(spark):
+    import zlib
+
+    texts = [f"card {1000 + i} {2000 + i} {3000 + i} {4000 + i}, mail u{'x' * (i % 50)}@host{i}.org" for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = [(t, c, c in pii.base_spans(t)) for t in texts for c in pii.candidates(t) if c in pii.base_spans(t) or not pii.Cover(pii.base_spans(t)).meets(*c[1:]) and pii.refuted(c[0], t[c[1] : c[2]])]
+    assert pii.forms(docs).groupBy().sum("n").head()[0] == len(marked) > 8000
+    one, dealt = pii.fit(docs), pii.fit(docs, task_forms=500)
+    for a, b in zip(one.trees.trees, dealt.trees.trees, strict=True):
+        assert all((p == q).all() for p, q in zip(a, b))
+    assert one.thresholds == dealt.thresholds
+    made, weight = pii._examples(pii.EXAMPLES), -(-len(marked) // pii.EXAMPLES)
+    held = [(t, c, m, 1) for t, c, m in marked if zlib.crc32(t.encode()) % 4 == 3] + [(*e, weight) for e in made[3::4]]
+    score, y, n = one.trees.score(np.array([pii.form(t, c) for t, c, _, _ in held], float)), np.array([h[2] for h in held]), np.array([h[3] for h in held])
+    kinds = np.array([h[1][0] for h in held])
+    for kind in pii.KINDS:
+        fits = [s for s in set(score[kinds == kind]) if (n * y)[(kinds == kind) & (score >= s)].sum() >= pii.PRECISION * n[(kinds == kind) & (score >= s)].sum()]
+        assert one.thresholds[kind] == max(min(fits), 0.0)
+
+
 def test_op10_base_spans_on_the_table(spark, sf_dir):
     import hashlib
 

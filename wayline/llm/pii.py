@@ -3,8 +3,9 @@
 The base spans (email, ip, card, phone by pattern and validity test) always stay. Generators with high recall propose
 further, overlapping spans: spelled-out addresses, bracketed or spaced numbers, cards with other separators, phone numbers
 without a plus. Boosted trees judge a proposal by its form and its surroundings; per kind, the threshold is the least
-whose precision on held-back candidates reaches PRECISION. The trees learn from candidates of a bounded sample of the
-documents (marked by the base patterns and by what cannot be valid) and from written-out examples of the forms that these patterns do not know.
+whose precision on held-back candidates reaches PRECISION. The trees learn from candidates of all documents (marked by the
+base patterns and by what cannot be valid) and from written-out examples of the forms that these patterns do not know, which
+together weigh as much. Candidates are counted by form; every fourth text, by a hash of it, is held back for the thresholds.
 
 Defined cases: a null text is the empty text and has no spans; offsets are code points, ends exclusive; of overlapping
 added spans the likelier stays, and none overlaps a base span; rows with equal ids each give their own row; an empty table
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 
 from wayline.llm import common
 from wayline.llm.boosting import Boosted
+from wayline.operators.windows import running_total
 
-TRAIN_DOCS = 2_000  # documents whose candidates are learned from at most
 EXAMPLES = 3_000  # written-out candidates
+CUTS = np.array([*range(21), 22, 24, 28, 32, 40, 48, 64, 96, 128, 256], float)  # of all features, which are small counts
+TASK_FORMS = 100_000  # forms that a task, or the driver, adds up at a time
 PRECISION = 0.99
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -221,43 +226,98 @@ class PiiModel:
         return base, sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> PiiModel:
-    """Candidates of at most ``limit`` documents, chosen by a hash of their id, are described in the tasks."""
+def _bins(forms: list[list[float]]) -> np.ndarray:
+    return np.searchsorted(CUTS, np.array(forms, float)).astype(np.uint8)
+
+
+def forms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``x`` (the features' bins), ``y`` (the mark), ``held`` and ``n``: marked candidates of all documents by form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
+            found: Counter[tuple[bytes, int, bool]] = Counter()
             for text in batch.column(0).to_pylist():
                 base = base_spans(text)
                 exact, covered = set(base), Cover(base)
-                for c in candidates(text):
-                    clear = not covered.meets(*c[1:])
-                    if c in exact or clear and refuted(c[0], text[c[1] : c[2]]):
-                        x.append([float(v) for v in form(text, c)])
-                        y.append(int(c in exact))
-            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
-
-    ids = docs.select(F.col(id_col).alias("wl_id")).filter(F.col("wl_id").isNotNull()).distinct().orderBy(F.md5(F.col("wl_id").cast("string"))).limit(limit)
-    sample = common.id_and_text(docs, id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("wl_id"), "left_semi")
-    rows = sorted((tuple(r.x), r.y) for r in sample.select(text_col).mapInArrow(run, "x array<double>, y int").collect())
+                marked = [c for c in candidates(text) if c in exact or not covered.meets(*c[1:]) and refuted(c[0], text[c[1] : c[2]])]
+                if marked:
+                    held = zlib.crc32(text.encode("utf-8", "replace")) % 4 == 3
+                    found.update((x.tobytes(), int(c in exact), held) for x, c in zip(_bins([form(text, c) for c in marked]), marked))
+            columns = list(zip(*found)) or [(), (), ()]
+            types = (pa.binary(), pa.int32(), pa.bool_())
+            yield pa.record_batch([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(list(found.values()), pa.int64())], ["x", "y", "held", "n"])
+
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "x binary, y int, held boolean, n long").groupBy("x", "y", "held").agg(F.sum("n").alias("n"))
+
+
+def _arrays(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, marks and counts."""
+    x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.uint8).reshape(t.num_rows, -1 if t.num_rows else 1)
+    return x, t.column("y").to_numpy(), t.column("n").to_numpy()
+
+
+def _grown(table: DataFrame, rows: int, task_forms: int) -> Boosted:
+    """Trees over a table of forms: few are added up here, more in the tasks, which gives the same sums."""
+    bins = len(CUTS) + 1
+    total, marked = table.agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).head()
+    if rows <= task_forms:
+        x, y, n = _arrays(table.toArrow())
+
+        def sums(model: Boosted, features: np.ndarray, limits: np.ndarray, level: int) -> np.ndarray:
+            return model.sums(x, y, n, features, limits, level, bins)
+
+    else:
+        dealt = common.written(table.repartition(-(-rows // task_forms)), "forms")
+
+        def sums(model: Boosted, features: np.ndarray, limits: np.ndarray, level: int) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                parts = [model.sums(*_arrays(b), features, limits, level, bins) for b in batches if b.num_rows]
+                yield pa.record_batch([pa.array([sum(parts).tobytes()] if parts else [], pa.binary())], ["h"])
+
+            parts = [np.frombuffer(r.h) for r in dealt.mapInArrow(run, "h binary").collect()]
+            return np.sum(parts, axis=0).reshape(2, 2**level, -1, bins)
+
+    features = len(table.select("x").head().x)
+    return Boosted.grow(sums, features, bins, total, marked)
+
+
+def fit(docs: DataFrame, text_col: str = "text", task_forms: int = TASK_FORMS) -> PiiModel:
+    """Trees and thresholds from the marked candidates of all documents and the written-out examples."""
+    spark = docs.sparkSession
+    found = common.written(forms(docs, text_col), "forms")
+    count, total = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     made = _examples(EXAMPLES)
-    x = np.array([r[0] for r in rows] + [form(t, c) for t, c, _ in made], float)
-    y = np.array([r[1] for r in rows] + [m for _, _, m in made])
-    held = np.arange(len(x)) % 4 == 3
-    trees = Boosted.fit(x[~held], y[~held])
-    score, thresholds = trees.score(x[held]), {}
-    for k, kind in enumerate(KINDS):
-        mine = x[held][:, 0] == k
-        thresholds[kind] = _threshold(score[mine], y[held][mine])
-    return PiiModel(trees, thresholds)
-
-
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The least score from which on the precision is PRECISION or more; infinite if none."""
-    order = np.argsort(-score, kind="stable")
-    precise = np.cumsum(y[order]) / np.arange(1, len(y) + 1) >= PRECISION
-    last = np.flatnonzero(precise)
-    return float(max(score[order][last[-1]], 0.0)) if len(last) else float("inf")
+    weight = max(1, -(-total // len(made)))
+    examples = Counter((x.tobytes(), m, i % 4 == 3) for i, (x, m) in enumerate(zip(_bins([form(t, c) for t, c, _ in made]), (m for _, _, m in made))))
+    examples = spark.createDataFrame([(bytearray(x), m, held, n * weight) for (x, m, held), n in examples.items()], found.schema)
+    every = found.unionByName(examples)
+    trees = _grown(every.filter("not held").drop("held"), count + EXAMPLES, task_forms)
+    limits = thresholds(every.filter("held").drop("held"), trees)
+    common.discard(found)
+    return PiiModel(trees.named([CUTS] * len(form("", ("email", 0, 0)))), limits)
+
+
+def thresholds(held: DataFrame, trees: Boosted) -> dict[str, float]:
+    """Per kind the least score from which on the precision of these forms is PRECISION or more, 0 at least; infinite if none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n = _arrays(b)
+            yield pa.record_batch([pa.array(x[:, 0].astype(np.int32)), pa.array(trees.score(x)), pa.array(n * (y == 1)), pa.array(n)], ["kind", "score", "good", "n"])
+
+    scored = held.mapInArrow(run, "kind int, score double, good long, n long").groupBy("kind", "score").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    scored = common.written(scored, "scores")
+    order = [F.col("kind"), F.desc("score")]
+    upto = running_total(running_total(scored, order, "good", "good_to"), order, "n", "n_to")
+    before = {k: (0, 0) for k in range(len(KINDS))}
+    for r in scored.groupBy("kind").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect():
+        for k in range(r.kind + 1, len(KINDS)):
+            before[k] = (before[k][0] + r.good, before[k][1] + r.n)
+    of = lambda i: F.element_at(F.array(*(F.lit(before[k][i]) for k in range(len(KINDS)))), F.col("kind") + 1)
+    precise = upto.filter(F.col("good_to") - of(0) >= PRECISION * (F.col("n_to") - of(1)))
+    least = dict(precise.groupBy("kind").agg(F.min("score")).collect())
+    return {kind: max(least[k], 0.0) if k in least else float("inf") for k, kind in enumerate(KINDS)}
 
 
 def joined(spans: list[Span]) -> str:
