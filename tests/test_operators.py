@@ -48,6 +48,20 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
 
 
+def test_components_send_each_link_once_and_fewer_each_round(spark, monkeypatch):
+    import random
+
+    from wayline.operators import components
+
+    sizes, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: (out := write(df, name), name == "links" and sizes.append(out.count()))[0])
+    rng = random.Random(4)
+    edges = list({tuple(sorted(rng.sample(range(400), 2))) for _ in range(500)})
+    got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b")))
+    assert got == union_find(edges)
+    assert sizes[0] == len(edges) and sizes[-1] == 0 and all(b <= a / 2 for a, b in zip(sizes, sizes[1:]))
+
+
 def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
