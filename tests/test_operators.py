@@ -201,6 +201,14 @@ def test_typo_clusters(spark):
     assert got["marketting"] == got["markting"] == "marketing" and got["accounting"] == "accounting" and got["sales"] == "sales"
 
 
+def test_typo_clusters_read_their_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    value = F.udf(lambda v: (seen.add(1), v)[1])
+    v = spark.createDataFrame([("marketing", 90), ("marketting", 3), ("sales", 7)], "v string, n long").withColumn("v", value("v"))
+    assert dict(rows(canon.typo_clusters(v, "v", "n", 1))) == {"marketing": "marketing", "marketting": "marketing", "sales": "sales"}
+    assert seen.value == 3
+
+
 def test_match_keys_fold_accents_and_keep_symbols(spark):
     df = fold(spark.createDataFrame([("Été & C++",), ("ﬁnance",), (None,), ("",)], "v string"), "v", "f")
     got = {r.v: (r.k, r.t) for r in df.select("v", match_key(F.col("f")).alias("k"), token_key(match_key(F.col("f"))).alias("t")).collect()}

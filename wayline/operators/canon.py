@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from wayline.functions.text import soundex_block
 from wayline.operators.aggregates import top_value
 from wayline.operators.components import connected_components
+from wayline.sources.scratch import written
+
+CUT_WORDS = 50_000  # of a vocabulary that a task cuts
 
 
 def rule_ladder(df: DataFrame, value: str, rules: list[tuple[str, str, str, float]], name: str) -> DataFrame:
@@ -68,17 +71,20 @@ def typo_clusters(vocab: DataFrame, key: str, n: str, distance: int = 2) -> Data
 
     The most frequent value of a cluster stands for it. Values within the distance share a text that each becomes by deleting
     at most that many characters, so values meet on those texts inside their block, and a block is never compared with itself
-    as a whole.
+    as a whole. The vocabulary is written first: whatever it is counted from is read once.
     """
+    vocab = written(vocab.select(key, n), "vocab")
     shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
     left = F.array(F.col(key))
     for _ in range(distance):
         left = F.array_distinct(F.concat(left, F.flatten(F.transform(F.filter(left, lambda t: t != ""), shorter))))
-    cut = vocab.select(key, F.explode(left).alias("wl_left"), soundex_block(F.col(key)).alias("wl_b"))
+    # A word becomes many pieces: small tasks, and no broadcast by the words' own size.
+    cut = vocab.repartition(max(1, -(-vocab.count() // CUT_WORDS)), key).select(key, F.explode(left).alias("wl_left"), soundex_block(F.col(key)).alias("wl_b"))
     cut = cut.select(key, F.xxhash64("wl_b", "wl_left").alias("wl_piece"))
-    other = cut.select(F.col(key).alias("wl_other"), "wl_piece")
-    pairs = cut.join(other, "wl_piece").filter((F.col(key) < F.col("wl_other")) & (F.levenshtein(F.col(key), F.col("wl_other"), distance) >= 0))
-    groups = connected_components(pairs.select(key, "wl_other").distinct(), key, "wl_other")
+    one, other = F.col(f"a.{key}"), F.col(f"b.{key}")  # of the same rows, which are cut and sent once for both sides
+    met = cut.alias("a").hint("merge").join(cut.alias("b"), F.col("a.wl_piece") == F.col("b.wl_piece")).filter(one < other)
+    pairs = met.filter(F.levenshtein(one, other, distance) >= 0).select(one.alias("wl_one"), other.alias("wl_other"))
+    groups = connected_components(pairs, "wl_one", "wl_other")
     member = vocab.join(groups, F.col(key) == F.col("node"), "left").withColumn("component", F.coalesce("component", key))
     best = member.groupBy("component").agg(F.min(F.struct((-F.col(n)).alias("f"), F.col(key).alias("v"))).alias("wl_t"))
     return member.join(best, "component").select(key, F.col("wl_t.v").alias("representative"))
