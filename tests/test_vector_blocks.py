@@ -1,6 +1,9 @@
 """The vector search deals its work out by pairs of vectors, and keeps ties over tiles."""
 
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from wayline.operators import joins
 
@@ -23,3 +26,11 @@ def test_nearest_over_tiles_with_ties(spark, monkeypatch):
     want = {(i, j) for i in range(40) for j in sorted((j for j in range(40) if j != i), key=lambda j: (-s[i, j], j))[:6]}
     got = joins.nearest_vectors(df, df, "id", "v", 6).collect()
     assert {(r.query, r.neighbour) for r in got} == want and len(got) == 240
+
+
+def test_pairs_of_blocks_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 25)  # a quarter of a pair of blocks
+    df = spark.range(80).select(F.col("id"), F.array(F.lit(1.0)).alias("v"))
+    left, _ = joins._block_pairs(df, df, "id", "v", 10)
+    pairs = left.select("qb", "rb", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(pairs) == 64 and max(Counter(r.task for r in pairs).values()) <= 2

@@ -132,6 +132,7 @@ BLOCK_BYTES = 8 << 20  # of vectors of either side, as doubles, that a task hold
 TASK_PAIRS = 1 << 26  # pairs of vectors that are worth a task of their own
 LINK_ROWS = 16_384  # vectors of either side where a task marks all pairs, a byte each
 TILE_ROWS, TILE_COLUMNS = 512, 8_192  # of the scores that it has at a time
+FIRST_COLUMNS = 256  # of its first tile, whose best are sorted out in full and bound what counts in later ones
 
 
 def _block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +143,7 @@ def _block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, block
         block_rows = max(1_024, BLOCK_BYTES // (8 * (width[0] if width else 1)))
     sizes = [df.count() for df in (left, right)]
     n, m = (max(1, -(-size // block_rows)) for size in sizes)
-    tasks = min(n * m, -(-sizes[0] * sizes[1] // TASK_PAIRS))
+    tasks = -(-sizes[0] * sizes[1] // TASK_PAIRS)  # more than pairs of large blocks, which a hash then deals out more evenly; empty ones cost nothing
     a = sides[0].withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(n)), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
     b = sides[1].withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(m)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))})
     if tasks > 1:  # small in bytes, long in time: Spark would deal all pairs of blocks into a few tasks
@@ -177,12 +178,13 @@ def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k
     for lo in range(0, len(ids), TILE_ROWS):
         mine_ids, edge = ids[lo : lo + TILE_ROWS], None
         i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for co in range(0, len(others), TILE_COLUMNS):
-            raw = a[lo : lo + TILE_ROWS] @ b[co : co + TILE_COLUMNS].T
+        first = min(TILE_COLUMNS, max(FIRST_COLUMNS, 16 * k))
+        for co, upto in [(0, first), *((c, c + TILE_COLUMNS) for c in range(first, len(others), TILE_COLUMNS))]:
+            raw = a[lo : lo + TILE_ROWS] @ b[co:upto].T
             if undefined is not None:
                 raw = np.where(np.isnan(raw), undefined, raw)
             if edge is None:
-                ti, tj, ts = _best(raw, mine_ids, others[co : co + TILE_COLUMNS], k, keep_self)
+                ti, tj, ts = _best(raw, mine_ids, others[co:upto], k, keep_self)
             else:  # of later tiles, only what comes up to a row's k-th best, before rounding
                 ti, tj = np.nonzero(raw >= edge[:, None] - 1e-9)
                 other = np.ones(len(ti), bool) if keep_self else mine_ids[ti] != others[co + tj]

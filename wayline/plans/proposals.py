@@ -38,7 +38,8 @@ def vector_proposals(spark, d):
     reference = e.filter("vec_id % 5 = 0")
     own = F.when(F.col("vec_id") % 3 == 0, F.col("name"))
     rest = F.when(F.col("vec_id") % 4 > 0, F.concat(F.lit("raw:"), F.col("vec_id").cast("string")))
-    return P.vector_proposals(e, "vec_id", own, nearest_vectors(e, reference, "vec_id", "embedding", 1), reference, "name", 0.3, rest)
+    near = nearest_vectors(e.filter(own.isNull()), reference, "vec_id", "embedding", 1)  # others are never proposed a name
+    return P.vector_proposals(e, "vec_id", own, near, reference, "name", 0.3, rest)
 
 
 @query(
