@@ -156,3 +156,27 @@ def test_words_share_a_key_at_every_number_of_edits():
 
 def test_key_counts_stay_small():
     assert max(Counter(len(w) and len(S.meeting_keys(w)) for w in ("abcdefghijklmn", "abcdefghijklmno", "abcdefghijklmnopqrstuvwxyz"))) < 3000
+
+
+def test_words_of_up_to_twenty_letters_meet_by_letters_left_out_alone():
+    assert not any(k.startswith("p") for n in range(4, 16) for k in S.meeting_keys("abcdefghijklmno"[:n]))  # pieces of two letters, which many words share, before
+    longer = {k for w in ("abcdefghijklmnopq", "abcdefghijklmnopqrst") for k in S.meeting_keys(w) if k.startswith("p")}
+    assert all(int(k.split(":")[1]) > 20 for k in longer)
+    for n, m in itertools.combinations_with_replacement(range(4, 21), 2):  # words meet by just the letters that their lengths ask for
+        kept = S.rest(n, m)
+        assert (m in S.partners(n, kept)) == (n in S.partners(m, kept)) == (kept <= n) and 2 * kept >= 0.85 * (n + m) - 1e-9 > 2 * (kept - 1)
+
+
+def test_word_pairs_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_KEYS", 5_000)  # many buckets
+    monkeypatch.setattr(S, "MEETINGS", 7)
+    rng = random.Random(5)
+    syllables = ["tion", "the", "an", "er", "and", "ss", "ou", "é", "ñu", "日本", "😀a"]
+    words = {"", "abc", "abcd", "a" * 19, "a" * 20, "a" * 21, "a" * 25, "x\0yzw\0", "x\0yzw", "x\0yzwv\0"}
+    for _ in range(90):
+        word = "".join(rng.choices(syllables, k=rng.randint(2, 7)))[:24]
+        words |= {word, misspelt(rng, word), misspelt(rng, word)}
+    df = spark.createDataFrame([(w,) for w in sorted(words)] + [(None,)], "w string")
+    got = sorted(map(tuple, S.word_pairs(df, "w").collect()))
+    assert got == sorted(p for p in itertools.combinations(sorted(words), 2) if plain_alike(*p)) and len(got) > 100
+    assert S.word_pairs(df.filter("w is null"), "w").count() == 0

@@ -10,10 +10,14 @@ which meet in a task that returns a forest of links.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +25,11 @@ from wayline.operators.components import connected_components
 from wayline.sources.scratch import discard, written
 
 RATIO, LEAST_LETTERS = 0.85, 4  # of two words that count as the same, and the shortest that may differ at all
-SHORT = 14  # letters up to which words meet by letters left out, beyond by pieces
+SHORT = 20  # letters up to which words meet by letters left out, beyond by pieces
+TASK_KEYS = 1 << 20  # of words with letters left out that a task makes or holds at a time
+TASK_WORDS = 1_024  # longer than that, which a task cuts into pieces
+FILTER_BITS = 26  # of the filter of whole words, as a power of two at most
+MEETINGS = 1 << 18  # pairs that are compared at a time
 BLOCK_VALUES = 1_024  # of a meeting that a task holds twice
 
 
@@ -139,6 +147,38 @@ def _edits(total: int, ratio: float) -> int:
     return int((1 - ratio) * total + 1e-9)
 
 
+def rest(n: int, m: int, ratio: float = RATIO) -> int:
+    """Letters that words of ``n`` and ``m`` letters have in common at least if they count as the same."""
+    return -(-(n + m - _edits(n + m, ratio)) // 2)
+
+
+def partners(n: int, kept: int, ratio: float = RATIO, least: int = LEAST_LETTERS) -> list[int]:
+    """Lengths up to SHORT of the words that a word of ``n`` letters meets by ``kept`` of its letters."""
+    return [m for m in range(least, SHORT + 1) if rest(n, m, ratio) == kept <= min(n, m)]
+
+
+def rests(n: int, ratio: float = RATIO, least: int = LEAST_LETTERS) -> list[int]:
+    """Numbers of letters that a word of ``n`` letters, SHORT at most, keeps to meet others."""
+    return [kept for kept in range(1, n + 1) if partners(n, kept, ratio, least)] if least <= n <= SHORT else []
+
+
+def piece_keys(word: str, longer: bool, ratio: float = RATIO, least: int = LEAST_LETTERS) -> list[str]:
+    """The keys of ``meeting_keys`` by pieces, as the shorter or the longer word of pairs in which that has more than SHORT letters."""
+    n, out = len(word), set()
+    others = range(least, n + 1) if longer else range(max(n, SHORT + 1), 2 * n + 2)
+    for m in others if n >= least and (n > SHORT or not longer) else ():
+        edits, short = _edits(n + m, ratio), min(n, m)
+        if abs(n - m) > edits:
+            continue
+        bounds = [short * k // (edits + 1) for k in range(edits + 2)]
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if longer:
+                out |= {f"p{m}:{n}:{lo}:{word[at : at + hi - lo]}" for at in range(max(0, lo - k, lo + n - m - edits + k), min(n - (hi - lo), lo + k, lo + n - m + edits - k) + 1)}
+            else:
+                out.add(f"p{n}:{m}:{lo}:{word[lo:hi]}")
+    return sorted(out)
+
+
 def meeting_keys(word: str, ratio: float = RATIO, least: int = LEAST_LETTERS) -> list[str]:
     """Keys of which two different words that count as the same share one.
 
@@ -147,46 +187,172 @@ def meeting_keys(word: str, ratio: float = RATIO, least: int = LEAST_LETTERS) ->
     edits, so that one is whole in the longer word; for one of the whole ones at least, no more edits lie before it than pieces,
     and none more after it than pieces and edits left allow, which bounds its place from both ends.
     """
-    n = len(word)
-    if n < least:
-        return []
-    out = set()
-    if n <= SHORT:
-        # Words of n and m letters that count as the same have a rest of just (n + m - edits) / 2 letters in common, or cannot be.
-        rests = {-(-(n + m - _edits(n + m, ratio)) // 2) for m in range(least, SHORT + 1) if -(-(n + m - _edits(n + m, ratio)) // 2) <= min(n, m)}
-        for rest in rests:
-            out |= {"d" + "".join(word[i] for i in kept) for kept in combinations(range(n), rest)}
-    lengths = [m for m in range(least, 2 * n + 2) if abs(n - m) <= _edits(n + m, ratio) and max(n, m) > SHORT]
-    for m in lengths:
-        edits = _edits(n + m, ratio)
-        short = min(n, m)
-        bounds = [short * k // (edits + 1) for k in range(edits + 2)]
-        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-            if n <= m:
-                out.add(f"p{n}:{m}:{lo}:{word[lo:hi]}")
-            if n >= m:
-                out |= {f"p{m}:{n}:{lo}:{word[at : at + hi - lo]}" for at in range(max(0, lo - k, lo + n - m - edits + k), min(n - (hi - lo), lo + k, lo + n - m + edits - k) + 1)}
-    return sorted(out)
+    out = {"d" + "".join(kept) for k in rests(len(word), ratio, least) for kept in combinations(word, k)}
+    return sorted(out.union(*(piece_keys(word, longer, ratio, least) for longer in (False, True))))
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+
+
+def _words(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as words."""
+    n = codes.shape[1]
+    if codes.max(initial=0) < 128:
+        return pa.StringArray.from_buffers(len(codes), pa.py_buffer(np.arange(0, codes.size + 1, n, dtype=np.int32)), pa.py_buffer(codes.astype(np.uint8).tobytes()))
+    text = codes.astype("<u4").tobytes().decode("utf-32-le")
+    return pa.array([text[i : i + n] for i in range(0, len(text), n)], pa.string())
+
+
+def _kept_hashes(codes: np.ndarray, kept: int) -> np.ndarray:
+    """A row per word of the hashes of what is left where ``kept`` letters stay, for every choice of them."""
+    places = np.array(list(combinations(range(codes.shape[1]), kept)))
+    wide, out = codes.astype(np.uint64) + np.uint64(1), np.zeros((len(codes), len(places)), np.uint64)
+    for j in range(kept):
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += wide[:, places[:, j]]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(29)
+
+
+def _marks(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in a filter of ``size`` bits, a power of two."""
+    return hashes & np.uint64(size - 1), hashes >> np.uint64(32) & np.uint64(size - 1)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``common_letters`` of each row of ``a`` with that of ``b``, of at most SHORT letters."""
+    n = a.shape[1]
+    full, powers = np.int64((1 << n) - 1), (1 << np.arange(n)).astype(np.float32)  # sums below 2^24, which are exact
+    row = np.full(len(a), full)
+    for j in range(b.shape[1]):
+        met = row & ((a == b[:, j : j + 1]).astype(np.float32) @ powers).astype(np.int64)
+        row = (row + met | row - met) & full
+    return n - np.bitwise_count(row).astype(np.int64)
+
+
+def _meetings(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in two sorted lists of hashes, or in one list, which are equal, MEETINGS at a time."""
+    lo = np.arange(1, len(a) + 1) if same else np.searchsorted(b, a, "left")
+    n = np.searchsorted(b, a, "right") - lo
+    at = np.flatnonzero(n)
+    lo, n = lo[at], n[at]
+    ends = np.cumsum(n)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, MEETINGS):
+        number = np.arange(start, min(start + MEETINGS, ends[-1]))
+        i = np.searchsorted(ends, number, "right")
+        yield at[i], lo[i] + number - (ends[i] - n[i])
+
+
+def _short_pairs(words: DataFrame, ratio: float, least: int) -> DataFrame:
+    """``word_pairs`` of the words with at most SHORT letters: what is left of them meets by hash, in buckets of TASK_KEYS.
+
+    Two words meet by as many letters as their lengths ask for, so all that meet count as the same, but for equal hashes of
+    different letters, which are told apart. Where all partners of a length are whole words, only what the filter of whole words
+    lets through goes out. A bucket's hashes of one length and one number of letters kept are a few rows, with the words beside them.
+    """
+    spark = words.sparkSession
+    short = words.filter(F.length("word").between(least, SHORT))
+    lengths = dict(short.groupBy(F.length("word")).count().collect())  # a row per length
+    size = 1 << min(max(16 * sum(lengths.values()), 1 << 16).bit_length(), FILTER_BITS)
+
+    def by_length(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        found: dict[int, list[str]] = {}
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                found.setdefault(len(word), []).append(word)
+        return {n: _codes(some) for n, some in found.items()}
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for n, codes in by_length(batches).items():
+            for places in _marks(_kept_hashes(codes, n), size):
+                bits[places] = True
+        cells = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(cells)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(cells[at])], ["at", "cell"])
+
+    cells = short.coalesce(8).mapInArrow(marked, "at int, cell long").groupBy("at").agg(F.bit_or("cell").alias("cell")).toArrow()  # a few MB at most
+    whole = np.zeros(size // 64, np.int64)
+    whole[cells.column("at").to_numpy()] = cells.column("cell").to_numpy()
+    sent = spark.sparkContext.broadcast(whole)
+    kinds = {n: [(k, all(m == k for m in partners(n, k, ratio, least))) for k in rests(n, ratio, least)] for n in lengths}
+    made = sum(count * comb(n, k) for n, count in lengths.items() for k, _ in kinds[n])
+    going = sum(count * comb(n, k) for n, count in lengths.items() for k, few in kinds[n] if not few or k == n)
+    tasks, buckets = -(-made // TASK_KEYS) or 1, -(-going // TASK_KEYS) or 1
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value.view(np.uint8), bitorder="little").view(bool)
+        for n, every in by_length(batches).items():
+            for k, few in kinds[n]:
+                step = max(1, TASK_KEYS // comb(n, k))
+                for codes in (every[i : i + step] for i in range(0, len(every), step)):
+                    hashes = _kept_hashes(codes, k)
+                    if few and k < n:
+                        first, second = _marks(hashes, size)
+                        at = np.flatnonzero(bits[first] & bits[second])
+                    else:
+                        at = np.arange(hashes.size)
+                    bucket = (hashes.ravel()[at] >> np.uint64(40)) % np.uint64(buckets)
+                    order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+                    at, ends = at[order], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+                    keys, who = hashes.ravel()[at], codes[at // hashes.shape[1]]
+                    narrow = who.astype(np.uint8) if who.max(initial=0) < 256 else who
+                    rows = [(b, n, k, keys[lo:hi].tobytes(), narrow[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)) if hi > lo]
+                    if rows:
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "n", "kept", "hashes", "letters"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for n, k, keys, letters in zip(*(table.column(c).to_pylist() for c in ("n", "kept", "hashes", "letters"))):
+            one = np.frombuffer(keys, np.uint64)
+            parts.setdefault((n, k), []).append((one, np.frombuffer(letters, np.uint8 if len(letters) == n * len(one) else "<u4").reshape(-1, n)))
+        lists = {}
+        for at, some in parts.items():
+            keys = np.concatenate([x for x, _ in some])
+            order = np.argsort(keys)
+            lists[at] = keys[order], np.concatenate([y for _, y in some])[order]
+        out = [pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})]
+        for (n, k), (keys, who) in lists.items():
+            for m in partners(n, k, ratio, least):
+                if m >= n and (m, k) in lists:
+                    others, them = lists[m, k]
+                    swap = len(keys) > len(others)
+                    for i, j in _meetings(others, keys, False) if swap else _meetings(keys, others, m == n):
+                        a, b = who[j if swap else i], them[i if swap else j]
+                        good = _common(a, b) >= k
+                        if m == n:
+                            good &= (a != b).any(1)
+                        out.append(pa.table({"a": _words(a[good]), "b": _words(b[good])}))
+        return pa.concat_tables(out)
+
+    sides = short.repartition(tasks).mapInArrow(packed, "bucket int, n int, kept int, hashes binary, letters binary")
+    met = sides.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a string, b string")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def word_pairs(words: DataFrame, word: str, ratio: float = RATIO, least: int = LEAST_LETTERS) -> DataFrame:
     """``a`` < ``b``: different words of a vocabulary that count as the same."""
+    vocabulary = written(words.select(F.col(word).alias("word")).filter(F.length("word") >= least), "vocabulary")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(values: pd.Series) -> pd.Series:
-        return values.map(lambda w: meeting_keys(w, ratio, least))
+    def keys(longer: bool) -> Callable[..., Column]:
+        return F.pandas_udf(lambda values: values.map(lambda w: piece_keys(w, longer, ratio, least)), T.ArrayType(T.StringType()))
 
     @F.pandas_udf(T.BooleanType())
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([alike(x, y, ratio, least) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    # A key that no other word has goes before the words meet.
-    cut = written(words.select(F.col(word).alias("a"), F.explode(keys(word)).alias("k")).select("a", F.xxhash64("k").alias("k")), "word_keys")
-    shared = cut.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    met = cut.join(shared, "k")
-    pairs = met.join(met.select(F.col("a").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
-    out = written(pairs.filter(same("a", "b")), "word_pairs")
-    discard(cut)
+    shortest = min(n for n in range(1, SHORT + 2) if SHORT + 1 - n <= _edits(SHORT + 1 + n, ratio))
+    long = vocabulary.filter(F.length("word") >= shortest)
+    tasks = -(-long.count() // TASK_WORDS) or 1
+    shorter, longer = (long.repartition(tasks).select(F.col("word").alias(c), F.explode(keys(c == "b")("word")).alias("k")).select(c, F.xxhash64("k").alias("k")) for c in "ab")
+    met = shorter.join(longer, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = met.repartition(tasks, "a", "b").distinct().filter(same("a", "b"))
+    # Each pair of lengths meets either by pieces or by letters left out.
+    out = written(pairs.filter(F.greatest(F.length("a"), F.length("b")) > SHORT).unionByName(_short_pairs(vocabulary, ratio, least)), "word_pairs")
+    discard(vocabulary)
     return out
 
 
