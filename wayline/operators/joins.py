@@ -108,14 +108,15 @@ def token_neighbours(left: DataFrame, right: DataFrame, key: str, text: str, lea
         w = Window.partitionBy(f"{key}_{suffix}").orderBy("wl_n", "w")
         out = df.select(f"{key}_{suffix}", F.size(f"t_{suffix}").alias(f"size_{suffix}"), F.explode(f"t_{suffix}").alias("w"))
         out = out.join(words, "w").withColumn("wl_rn", F.row_number().over(w))
-        return out.filter(F.col("wl_rn") <= F.col(f"size_{suffix}") - F.ceil(F.col(f"size_{suffix}") * least) + 1).drop("wl_n").withColumnRenamed("wl_rn", f"at_{suffix}")
+        return out.filter(F.col("wl_rn") <= F.col(f"size_{suffix}") - F.ceil(F.col(f"size_{suffix}") * least - 1e-9) + 1).drop("wl_n").withColumnRenamed("wl_rn", f"at_{suffix}")
 
-    met = rare(a, "a").join(rare(b, "b"), "w").filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
-    # Both sides are in one order, so from the first shared word on no more can be shared than either has left; words are fetched for what that allows.
-    firsts = met.groupBy(ka, kb).agg(*(F.min(c).alias(c) for c in ("at_a", "at_b", "size_a", "size_b")))
+    # Few words in few bytes, but many meetings: Spark would merge them into a task or two.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rare(a, "a").repartition(tasks, "w").join(rare(b, "b").repartition(tasks, "w"), "w").filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)
+    # Both sides are in one order, so from the first shared word on no more can be shared than either has left; only pairs that meet early enough go on.
     most = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    able = firsts.filter(most >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    pairs = able.select(ka, kb).join(a, ka).join(b, kb)
+    able = met.filter(most >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9).select(ka, kb).repartition(tasks, ka, kb).distinct()
+    pairs = able.join(a, ka).join(b, kb)
     pairs = pairs.filter(F.col(f"{text}_a") != F.col(f"{text}_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     pairs = pairs.withColumn("jaccard", both / (F.size("t_a") + F.size("t_b") - both)).filter(F.col("jaccard") >= least)
