@@ -10,7 +10,7 @@ which meet in a task that returns a forest of links.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -205,18 +205,41 @@ def _words(codes: np.ndarray) -> pa.Array:
     return pa.array([text[i : i + n] for i in range(0, len(text), n)], pa.string())
 
 
-def _kept_hashes(codes: np.ndarray, kept: int) -> np.ndarray:
-    """A row per word of the hashes of what is left where ``kept`` letters stay, for every choice of them."""
-    places = np.array(list(combinations(range(codes.shape[1]), kept)))
-    wide, out = codes.astype(np.uint64) + np.uint64(1), np.zeros((len(codes), len(places)), np.uint64)
-    for j in range(kept):
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out += wide[:, places[:, j]]
+def _choices(n: int, kept: int) -> np.ndarray:
+    """The places of the letters that stay, a row per choice of ``kept`` of ``n``."""
+    return np.array(list(combinations(range(n), kept)))
+
+
+def _hashes(letters: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of the words whose first, second and further letters these arrays hold."""
+    out = np.uint64(0)
+    for codes in letters:
+        out = out * np.uint64(0xD6E8FEB86659FD93) + (codes.astype(np.uint64) + np.uint64(1))
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x9E3779B97F4A7C15)
     return out ^ out >> np.uint64(29)
 
 
+def _kept_hashes(codes: np.ndarray, kept: int) -> np.ndarray:
+    """A row per word of the hashes of what is left where ``kept`` letters stay, for every choice of them."""
+    return _hashes(codes[:, places] for places in _choices(codes.shape[1], kept).T)
+
+
+def _packed(which: np.ndarray, codes: np.ndarray, choices: int) -> bytes:
+    """Choices and words, column by column and compressed."""
+    return pa.Codec("zstd", 1).compress(which.astype(_size(choices)).tobytes() + codes.T.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, rows: int, n: int, choices: int, letter: str) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.dtype(_size(choices))
+    whole = pa.Codec("zstd", 1).decompress(data, rows * (kind.itemsize + n * np.dtype(letter).itemsize), asbytes=True)
+    return np.frombuffer(whole, kind, rows), np.frombuffer(whole, letter, offset=rows * kind.itemsize).reshape(n, rows).T
+
+
+def _size(choices: int) -> str:
+    return "u1" if choices <= 1 << 8 else "<u2" if choices <= 1 << 16 else "<u4"
+
+
 def _marks(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of each hash in a filter of ``size`` bits, a power of two."""
     return hashes & np.uint64(size - 1), hashes >> np.uint64(32) & np.uint64(size - 1)
@@ -251,7 +274,8 @@ def _short_pairs(words: DataFrame, ratio: float, least: int) -> DataFrame:
 
     Two words meet by as many letters as their lengths ask for, so all that meet count as the same, but for equal hashes of
     different letters, which are told apart. Where all partners of a length are whole words, only what the filter of whole words
-    lets through goes out. A bucket's hashes of one length and one number of letters kept are a few rows, with the words beside them.
+    lets through goes out. A bucket's words of one length and one number of letters kept are a few rows: which letters stay, and the
+    letters, from which the task of the bucket makes the hashes anew.
     """
     spark = words.sparkSession
     short = words.filter(F.length("word").between(least, SHORT))
@@ -263,7 +287,7 @@ def _short_pairs(words: DataFrame, ratio: float, least: int) -> DataFrame:
         for batch in batches:
             for word in batch.column("word").to_pylist():
                 found.setdefault(len(word), []).append(word)
-        return {n: _codes(some) for n, some in found.items()}
+        return {n: _codes(sorted(some)) for n, some in found.items()}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
@@ -281,7 +305,7 @@ def _short_pairs(words: DataFrame, ratio: float, least: int) -> DataFrame:
     kinds = {n: [(k, all(m == k for m in partners(n, k, ratio, least))) for k in rests(n, ratio, least)] for n in lengths}
     made = sum(count * comb(n, k) for n, count in lengths.items() for k, _ in kinds[n])
     going = sum(count * comb(n, k) for n, count in lengths.items() for k, few in kinds[n] if not few or k == n)
-    tasks, buckets = -(-made // TASK_KEYS) or 1, -(-going // TASK_KEYS) or 1
+    tasks, buckets = -(-made // (4 * TASK_KEYS)) or 1, -(-going // TASK_KEYS) or 1
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(sent.value.view(np.uint8), bitorder="little").view(bool)
@@ -298,22 +322,23 @@ def _short_pairs(words: DataFrame, ratio: float, least: int) -> DataFrame:
                     bucket = (hashes.ravel()[at] >> np.uint64(40)) % np.uint64(buckets)
                     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
                     at, ends = at[order], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
-                    keys, who = hashes.ravel()[at], codes[at // hashes.shape[1]]
-                    narrow = who.astype(np.uint8) if who.max(initial=0) < 256 else who
-                    rows = [(b, n, k, keys[lo:hi].tobytes(), narrow[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)) if hi > lo]
+                    who, which = codes[at // hashes.shape[1]], at % hashes.shape[1]
+                    letter = "u1" if who.max(initial=0) < 256 else "<u4"
+                    who = who.astype(letter)
+                    rows = [(b, n, k, hi - lo, letter, _packed(which[lo:hi], who[lo:hi], hashes.shape[1])) for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)) if hi > lo]
                     if rows:
-                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "n", "kept", "hashes", "letters"])
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (*[pa.int32()] * 4, pa.string(), pa.binary()))], ["bucket", "n", "kept", "rows", "letter", "words"])
 
     def meet(table: pa.Table) -> pa.Table:
         parts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for n, k, keys, letters in zip(*(table.column(c).to_pylist() for c in ("n", "kept", "hashes", "letters"))):
-            one = np.frombuffer(keys, np.uint64)
-            parts.setdefault((n, k), []).append((one, np.frombuffer(letters, np.uint8 if len(letters) == n * len(one) else "<u4").reshape(-1, n)))
+        for n, k, rows, letter, packs in zip(*(table.column(c).to_pylist() for c in ("n", "kept", "rows", "letter", "words"))):
+            parts.setdefault((n, k), []).append(_unpacked(packs, rows, n, comb(n, k), letter))
         lists = {}
-        for at, some in parts.items():
-            keys = np.concatenate([x for x, _ in some])
+        for (n, k), some in parts.items():
+            who, choices = np.concatenate([x for _, x in some]), _choices(n, k)[np.concatenate([x for x, _ in some])]
+            keys = _hashes(who[np.arange(len(who)), places] for places in choices.T)
             order = np.argsort(keys)
-            lists[at] = keys[order], np.concatenate([y for _, y in some])[order]
+            lists[n, k] = keys[order], who[order]
         out = [pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})]
         for (n, k), (keys, who) in lists.items():
             for m in partners(n, k, ratio, least):
@@ -328,7 +353,7 @@ def _short_pairs(words: DataFrame, ratio: float, least: int) -> DataFrame:
                         out.append(pa.table({"a": _words(a[good]), "b": _words(b[good])}))
         return pa.concat_tables(out)
 
-    sides = short.repartition(tasks).mapInArrow(packed, "bucket int, n int, kept int, hashes binary, letters binary")
+    sides = short.repartition(tasks).mapInArrow(packed, "bucket int, n int, kept int, rows int, letter string, words binary")
     met = sides.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a string, b string")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
